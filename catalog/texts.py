@@ -1 +1,292 @@
-"""Placeholder."""
+"""Text gate, scores, chat records and preference pairs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog import inputs as I
+from catalog.registry import query
+from evenhand.functions import text as tx
+from evenhand.operators import gate, joins, preference, ranking
+
+PASS = ", ".join(f"pass_{c}" for c in gate.CHECKS)
+
+
+def _checked(spark, sf_dir):
+    return gate.run_checks(I.document_records(spark, sf_dir), I.LEXICON)
+
+
+def _candidates(spark, sf_dir):
+    return gate.run_checks(I.candidate_texts(spark, sf_dir), I.LEXICON)
+
+
+@query("keyword_check", I.DOCUMENTS_SQL + """
+SELECT image_id, array_to_string(matched, ',') AS matched, pass_keywords FROM checked""")
+def keyword_check(spark, sf_dir):
+    """Expected keywords of the class found in the whole text."""
+    return _checked(spark, sf_dir).select("image_id", F.concat_ws(",", "keywords_matched").alias("matched"), "pass_keywords")
+
+
+@query("listed_keyword_check", """
+WITH d AS (SELECT doc_id, lower(text) AS low, CASE WHEN doc_id % 2 = 0 THEN ['the', 'und', 'que'] END AS listed FROM documents)
+SELECT doc_id AS image_id, CASE WHEN listed IS NULL THEN 'class' ELSE 'listed' END AS origin,
+       len(list_filter(coalesce(listed, ['lesion', 'skin']), lambda x: contains(low, x))) AS n FROM d""", ints="n")
+def listed_keyword_check(spark, sf_dir):
+    """An explicit keyword list on the row wins over the class list."""
+    rows = I.document_records(spark, sf_dir).withColumns({
+        "listed": F.when(F.col("image_id") % 2 == 0, F.array(*[F.lit(w) for w in ("the", "und", "que")])),
+        "predicted_class": F.lit("other")})
+    checked = gate.run_checks(rows, I.LEXICON, listed="listed")
+    return checked.select("image_id", F.when(F.col("listed").isNull(), "class").otherwise("listed").alias("origin"),
+                          F.size("keywords_matched").alias("n"))
+
+
+@query("whole_word_check", """
+SELECT doc_id AS image_id, regexp_matches(lower(text), '(^|[^a-zà-ÿ0-9_])con([^a-zà-ÿ0-9_]|$)') AS found FROM documents""")
+def whole_word_check(spark, sf_dir):
+    """Whole-word matching instead of substrings."""
+    rows = I.document_records(spark, sf_dir)
+    return rows.select("image_id", tx.mentions(F.lower("teacher_reasoning"), "con", word_boundary=True).alias("found"))
+
+
+@query("reject_phrase_check", I.DOCUMENTS_SQL + " SELECT image_id, phrase, pass_indeterminate FROM checked")
+def reject_phrase_check(spark, sf_dir):
+    return _checked(spark, sf_dir).select("image_id", F.col("reject_phrase").alias("phrase"), "pass_indeterminate")
+
+
+@query("region_check", I.DOCUMENTS_SQL + """
+SELECT image_id, focus, array_to_string(conflicts, ',') AS conflicts, pass_spatial FROM checked""")
+def region_check(spark, sf_dir):
+    """Regions named in the text must not oppose the focus region."""
+    return _checked(spark, sf_dir).select(
+        "image_id", F.col("gradcam_spatial_region").alias("focus"),
+        F.concat_ws(",", "region_conflicts").alias("conflicts"), "pass_spatial")
+
+
+@query("length_check", I.DOCUMENTS_SQL + " SELECT image_id, word_count, pass_length FROM checked", ints="word_count")
+def length_check(spark, sf_dir):
+    return _checked(spark, sf_dir).select("image_id", "word_count", "pass_length")
+
+
+@query("safety_check", I.DOCUMENTS_SQL + " SELECT image_id, problem, pass_safety FROM checked")
+def safety_check(spark, sf_dir):
+    return _checked(spark, sf_dir).select("image_id", F.col("safety_problem").alias("problem"), "pass_safety")
+
+
+@query("text_gate", I.DOCUMENTS_SQL + """
+SELECT image_id, label, reason, CASE WHEN reason IS NULL THEN word_count END AS words,
+       CASE WHEN reason IS NULL THEN array_to_string(matched, ',') END AS matched FROM gated""", ints="words")
+def text_gate(spark, sf_dir):
+    """Five checks in order; the first failure names the reason, kept rows get metadata."""
+    gated = gate.gate(_checked(spark, sf_dir))
+    kept = F.col("qc_metadata").isNotNull()
+    return gated.select(
+        "image_id", F.col("predicted_class").alias("label"), "reason", F.col("qc_metadata.word_count").alias("words"),
+        F.when(kept, F.concat_ws(",", "qc_metadata.keywords_matched")).alias("matched"))
+
+
+@query("gate_report", I.DOCUMENTS_SQL + """,
+t AS (SELECT count(*) AS n, count(*) FILTER (WHERE reason IS NULL) AS k FROM gated),
+r AS (SELECT v AS name FROM (VALUES ('keyword_fail'), ('indeterminate'), ('spatial_misalign'), ('length_fail'), ('safety_fail')) a(v))
+SELECT 'total' AS section, unnest(['input', 'clean', 'discarded']) AS name, unnest([n, k, n - k]) AS count,
+       unnest([n, k, n - k])::DOUBLE / n AS share FROM t
+UNION ALL SELECT 'reason', name, count(reason), count(reason)::DOUBLE / (SELECT n FROM t) FROM r LEFT JOIN gated ON name = reason GROUP BY name
+UNION ALL SELECT 'class', label, count(*), count(*)::DOUBLE / (SELECT n FROM t) FROM gated WHERE reason IS NULL GROUP BY label
+UNION ALL SELECT 'threshold', 'meets_minimum', (k >= 100)::INT, NULL FROM t""", ints="count", doubles="share")
+def gate_report(spark, sf_dir):
+    """Totals, discards per reason, kept per class, whether the minimum is met."""
+    return gate.gate_report(gate.gate(_checked(spark, sf_dir)), minimum=100)
+
+
+@query("response_scores", I.CANDIDATES_SQL + """
+SELECT conv_id, turn, points / 100.0::DOUBLE AS score, passed FROM gated""", doubles="score")
+def response_scores(spark, sf_dir):
+    """Weighted score of each candidate text."""
+    return preference.score_candidates(_candidates(spark, sf_dir)).select("conv_id", "turn", "score", "passed")
+
+
+@query("pass_rates", I.DOCUMENTS_SQL + """
+SELECT count(*) AS n, avg(passed::INT) AS overall_rate, avg(pass_keywords::INT) AS keywords_rate,
+       avg(pass_indeterminate::INT) AS indeterminate_rate, avg(pass_spatial::INT) AS spatial_rate,
+       avg(pass_length::INT) AS length_rate, avg(pass_safety::INT) AS safety_rate, avg(word_count) AS mean_words,
+       quantile_cont(word_count, 0.5) AS median_words FROM gated
+""", ints="n", doubles="overall_rate keywords_rate indeterminate_rate spatial_rate length_rate safety_rate mean_words median_words")
+def pass_rates(spark, sf_dir):
+    """Pass rate per check, mean and interpolated median word count."""
+    return gate.pass_rates(_checked(spark, sf_dir))
+
+
+@query("class_pass_rates", I.DOCUMENTS_SQL + """
+SELECT label AS class, count(*) AS n, count(*) FILTER (WHERE passed) AS passed, avg(passed::INT) AS rate FROM gated GROUP BY label
+""", ints="n passed", doubles="rate")
+def class_pass_rates(spark, sf_dir):
+    return gate.class_pass_rates(_checked(spark, sf_dir))
+
+
+@query("pass_rates_by_source", I.DOCUMENTS_SQL + """
+SELECT source, count(*) AS n, avg(passed::INT) AS overall_rate, avg(word_count) AS mean_words,
+       quantile_cont(word_count, 0.5) AS median_words FROM gated GROUP BY source
+""", ints="n", doubles="overall_rate mean_words median_words")
+def pass_rates_by_source(spark, sf_dir):
+    return gate.pass_rates(_checked(spark, sf_dir), ["source"]).select(
+        "source", "n", "overall_rate", "mean_words", "median_words")
+
+
+HEAD_SQL = I.CANDIDATES_SQL + """,
+r AS (SELECT conv_id, turn % 2 AS side, n_passed, row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS rn FROM gated),
+o AS (SELECT CASE WHEN a.n_passed > b.n_passed THEN 'even' WHEN b.n_passed > a.n_passed THEN 'odd' ELSE 'tie' END AS outcome
+      FROM r a JOIN r b ON a.conv_id = b.conv_id AND a.rn = b.rn AND a.side = 0 AND b.side = 1)"""
+
+
+@query("head_to_head", HEAD_SQL + """
+SELECT v AS outcome, count(outcome) AS n, coalesce(count(outcome)::DOUBLE / nullif((SELECT count(*) FROM o), 0), 0) AS share
+FROM (VALUES ('even'), ('odd'), ('tie')) f(v) LEFT JOIN o ON v = outcome GROUP BY v""", ints="n", doubles="share")
+def head_to_head(spark, sf_dir):
+    """Even against odd assistant turns, paired by their rank in the conversation."""
+    checked = _candidates(spark, sf_dir).withColumn("side", F.col("turn") % 2)
+    bucket = F.floor(F.col("turn") / 65536).cast("bigint")
+    numbered = ranking.number_rows(checked, ["conv_id", "side"], ["turn"], bucket, "rank")
+    return gate.head_to_head(
+        numbered.where("side = 0"), numbered.where("side = 1"), ["conv_id", "rank"], ("even", "odd"))
+
+
+@query("head_to_head_documents", I.DOCUMENTS_SQL + """,
+o AS (SELECT CASE WHEN a.n_passed > b.n_passed THEN 'first' WHEN b.n_passed > a.n_passed THEN 'second' ELSE 'tie' END AS outcome
+      FROM gated a JOIN gated b ON a.image_id % 2 = 0 AND b.image_id = a.image_id + 1)
+SELECT outcome, count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER () AS share FROM o GROUP BY outcome""", ints="n", doubles="share")
+def head_to_head_documents(spark, sf_dir):
+    """Neighbouring documents as the two answers to one item, joined on the item id."""
+    checked = _checked(spark, sf_dir).withColumn("item", F.floor(F.col("image_id") / 2))
+    even = F.col("image_id") % 2 == 0
+    return gate.head_to_head(checked.where(even), checked.where(~even), ["item"], ("first", "second"))
+
+
+BEST_SQL = I.CANDIDATES_SQL + """,
+ends AS (SELECT conv_id, first(turn ORDER BY points DESC, turn) AS best_turn, last(turn ORDER BY points DESC, turn) AS worst_turn,
+    max(points) AS hi, min(points) AS lo FROM gated GROUP BY conv_id)"""
+
+
+@query("best_and_worst", BEST_SQL + """
+SELECT conv_id, best_turn, worst_turn, hi / 100.0::DOUBLE AS best_score, lo / 100.0::DOUBLE AS worst_score FROM ends
+""", ints="best_turn worst_turn", doubles="best_score worst_score")
+def best_and_worst(spark, sf_dir):
+    """Best and worst candidate of an item; ties keep the candidate order."""
+    scored = preference.score_candidates(_candidates(spark, sf_dir))
+    ends = preference.best_and_worst(scored, ["conv_id"], "turn", "teacher_reasoning")
+    return ends.select("conv_id", F.col("best.ordinal").alias("best_turn"), F.col("worst.ordinal").alias("worst_turn"),
+                       F.col("best.score").alias("best_score"), F.col("worst.score").alias("worst_score"))
+
+
+PAIRS_SQL = BEST_SQL + """,
+pairs AS (SELECT ends.conv_id, b.text AS chosen, w.text AS rejected, hi / 100.0::DOUBLE AS chosen_score, lo / 100.0::DOUBLE AS rejected_score,
+       'automated' AS source FROM ends JOIN gated b ON b.conv_id = ends.conv_id AND b.turn = best_turn
+       JOIN gated w ON w.conv_id = ends.conv_id AND w.turn = worst_turn WHERE hi - lo >= 20)"""
+
+
+def _pairs(spark, sf_dir, **kw):
+    scored = preference.score_candidates(_candidates(spark, sf_dir))
+    return preference.preference_pairs(scored, ["conv_id"], "turn", "teacher_reasoning", **kw)
+
+
+@query("preference_pairs", PAIRS_SQL + " SELECT * FROM pairs", doubles="chosen_score rejected_score")
+def preference_pairs(spark, sf_dir):
+    """Best against worst where the score gap is at least 0.2."""
+    return _pairs(spark, sf_dir).drop("chosen_details", "rejected_details")
+
+
+@query("preference_pairs_target", PAIRS_SQL + " SELECT conv_id, chosen_score FROM pairs ORDER BY conv_id LIMIT 10", doubles="chosen_score")
+def preference_pairs_target(spark, sf_dir):
+    """At most a target number of pairs, first items first."""
+    return _pairs(spark, sf_dir, target=10).select("conv_id", "chosen_score")
+
+
+@query("pair_details", BEST_SQL + """
+SELECT ends.conv_id, len(b.matched) AS matched, b.word_count AS words, w.pass_spatial AS worst_spatial
+FROM ends JOIN gated b ON b.conv_id = ends.conv_id AND b.turn = best_turn
+JOIN gated w ON w.conv_id = ends.conv_id AND w.turn = worst_turn WHERE hi - lo >= 20""", ints="matched words")
+def pair_details(spark, sf_dir):
+    """Per-check details carried by a pair."""
+    return _pairs(spark, sf_dir).select(
+        "conv_id", F.col("chosen_details.keywords.matched").alias("matched"),
+        F.col("chosen_details.length.word_count").alias("words"),
+        F.col("rejected_details.spatial.pass").alias("worst_spatial"))
+
+
+@query("automatic_and_manual_pairs", PAIRS_SQL + """
+SELECT conv_id, 'automated' AS source, md5(chosen) AS chosen, md5(rejected) AS rejected FROM pairs
+UNION ALL SELECT conv_id, 'manual', md5(text), NULL FROM records WHERE turn = 1""")
+def automatic_and_manual_pairs(spark, sf_dir):
+    """Union with a manual side that lacks columns."""
+    manual = I.candidate_texts(spark, sf_dir).where("turn = 1").select(
+        "conv_id", F.lit("manual").alias("source"), F.col("teacher_reasoning").alias("chosen"))
+    both = joins.union_pairs(_pairs(spark, sf_dir).select("conv_id", "source", "chosen", "rejected"), manual)
+    return both.select("conv_id", "source", F.md5("chosen").alias("chosen"), F.md5("rejected").alias("rejected"))
+
+
+@query("review_template", """
+SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS id, text AS user_input, '' AS chosen, '' AS rejection_reason, 5 AS criteria
+FROM (SELECT * FROM conversations WHERE role = 'user' ORDER BY conv_id, turn LIMIT 150)""", ints="id criteria")
+def review_template(spark, sf_dir):
+    """First 150 user messages with empty fields for a reviewer."""
+    rows = I.table(spark, sf_dir, "conversations").where("role = 'user'")
+    template = preference.review_template(rows, ["conv_id", "turn"], F.col("text"), 150)
+    return template.select("id", "user_input", "chosen", "rejection_reason", F.size("alignment_criteria").alias("criteria"))
+
+
+@query("training_pairs", PAIRS_SQL + """
+SELECT md5('[{"role":"user","content":"item ' || conv_id || '"}]') AS prompt, md5(chosen) AS chosen, md5(rejected) AS rejected FROM pairs""")
+def training_pairs(spark, sf_dir):
+    """Prompt messages as JSON text next to the two answers."""
+    prompt = F.array(F.struct(F.lit("user").alias("role"), F.concat(F.lit("item "), F.col("conv_id").cast("string")).alias("content")))
+    pairs = preference.training_pairs(_pairs(spark, sf_dir).withColumn("prompt", prompt))
+    return pairs.select(*[F.md5(c).alias(c) for c in ("prompt", "chosen", "rejected")])
+
+
+def _classifier_records(spark, sf_dir):
+    """Documents as classifier records: name, confidence, class scores and focus words."""
+    from evenhand.functions.hashing import uniform
+
+    rows = I.document_records(spark, sf_dir)
+    score = {c: F.round(uniform(c, F.col("image_id")), 2) for c in ("en", "fr", "de", "es")}
+    name = F.initcap("predicted_class")
+    return rows.withColumns({
+        "predicted_name": name, "confidence": F.round(uniform("p", F.col("image_id")), 2),
+        "all_scores": F.create_map(*[x for c, s in score.items() for x in (F.lit(c), s)]),
+        "gradcam_intensity": F.lit("strong"), "cnn_correct": F.col("image_id") % 2 == 0,
+        "image_path": F.concat(F.lit("/img/"), F.col("image_id").cast("string"), F.lit(".jpg")),
+        "gradcam_overlay_path": F.concat(F.lit("/img/"), F.col("image_id").cast("string"), F.lit("_overlay.jpg")),
+    })
+
+
+@query("chat_records", """
+SELECT doc_id AS image_id, 3 AS n_messages, 'system,user,assistant' AS roles, '1,3,1' AS parts,
+       '/img/' || doc_id || '.jpg' AS first_image, md5(text) AS answer FROM documents""", ints="n_messages")
+def chat_records(spark, sf_dir):
+    """Record to chat messages; two images and a text on the user's turn."""
+    chats = preference.create_conversations(_classifier_records(spark, sf_dir))
+    return chats.select(
+        "image_id", F.size("messages").alias("n_messages"), F.array_join("messages.role", ",").alias("roles"),
+        F.array_join(F.transform("messages", lambda m: F.size(m["content"]).cast("string")), ",").alias("parts"),
+        F.expr("messages[1].content[0].image").alias("first_image"), F.md5(F.expr("messages[2].content[0].text")).alias("answer"))
+
+
+_scores = ", ".join(f"{{'c': '{c}', 's': round({I.u(repr(c), 'doc_id')}, 2)}}" for c in ("en", "fr", "de", "es"))
+
+
+@query("prompt_score_lines", f"""
+WITH r AS (SELECT doc_id, unnest([{_scores}]) AS e FROM documents)
+SELECT doc_id AS image_id, string_agg(e.c, '>' ORDER BY e.s DESC, e.c) AS ranking, any_value(true) AS in_order FROM r GROUP BY doc_id""")
+def prompt_score_lines(spark, sf_dir):
+    """Class scores in the prompt text, highest first, in the order of the ranking."""
+    rows = _classifier_records(spark, sf_dir).select(
+        "image_id", preference.user_prompt().alias("text"), preference.ranked_scores(F.col("all_scores")).alias("r"))
+    lines = F.regexp_extract_all("text", F.lit(r"  - (\w+): [0-9.]+%"), F.lit(1))
+    return rows.select("image_id", F.array_join("r.class", ">").alias("ranking"), (lines == F.col("r.class")).alias("in_order"))
+
+
+@query("teacher_prompts", """
+SELECT doc_id AS image_id, doc_id % 2 = 0 AS says_yes, true AS has_scores FROM documents""")
+def teacher_prompts(spark, sf_dir):
+    rows = _classifier_records(spark, sf_dir).select("image_id", preference.teacher_prompt().alias("p"))
+    return rows.select("image_id", F.contains("p", F.lit("Ground Truth:** Yes")).alias("says_yes"),
+                       F.col("p").rlike(r'\{"en":[0-9.]+,"fr":').alias("has_scores"))

@@ -57,13 +57,13 @@ def stratum_audit(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col(flag)).alias("flagged"), kept.alias("kept"),
         F.count_if(F.col(confidence) < threshold).alias("filtered"),
     )
-    sections = F.array(
-        *[F.struct(F.lit("total").alias("section"), F.lit(c).alias("name"), F.col(c).alias("count"))
-          for c in ("total", "flagged", "kept", "filtered")],
-        F.struct(F.lit("method"), F.col(method), F.col("total")),
-        F.struct(F.lit("kept"), F.col(stratum), F.col("kept")),
-        F.struct(F.lit("filtered"), F.col(stratum), F.col("filtered")),
-    )
+    entries = [("total", F.lit(c), c) for c in ("total", "flagged", "kept", "filtered")]
+    entries += [("method", F.col(method), "total"), ("kept", F.col(stratum), "kept"),
+                ("filtered", F.col(stratum), "filtered")]
+    sections = F.array(*[
+        F.struct(F.lit(section).alias("section"), name.alias("name"), F.col(count).alias("count"))
+        for section, name, count in entries
+    ])
     frame = df.sparkSession.range(1).select(F.inline(F.array(*[
         F.struct(F.lit(s).alias("section"), F.lit(v).alias("name"), F.lit(0).cast("bigint").alias("count"))
         for s in ("kept", "filtered") for v in strata
@@ -71,12 +71,13 @@ def stratum_audit(
     parts = cells.select(F.inline(sections)).unionByName(frame)
     listed = F.col("section").isin("total", "method") | F.col("name").isin(list(strata))
     sums = parts.where(listed).groupBy("section", "name").agg(F.sum("count").alias("count"))
-    whole = Window.partitionBy()
-    base = (
-        F.when(F.col("section") == "kept", F.max(F.when((F.col("section") == "total") & (F.col("name") == "kept"), F.col("count"))).over(whole))
-        .when(F.col("section") == "filtered", F.max(F.when((F.col("section") == "total") & (F.col("name") == "filtered"), F.col("count"))).over(whole))
-        .otherwise(F.max(F.when((F.col("section") == "total") & (F.col("name") == "total"), F.col("count"))).over(whole))
-    )
+
+    def total_of(name: str) -> Column:
+        hit = (F.col("section") == "total") & (F.col("name") == name)
+        return F.max(F.when(hit, F.col("count"))).over(Window.partitionBy())  # a handful of result rows
+
+    base = F.when(F.col("section") == "kept", total_of("kept")).when(
+        F.col("section") == "filtered", total_of("filtered")).otherwise(total_of("total"))
     return sums.withColumn("pct", ratio(F.col("count") * 100.0, base))
 
 

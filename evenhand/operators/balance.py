@@ -53,7 +53,7 @@ def method_quotas(
     table = deficits.withColumn("ratio", F.explode(F.array(*[F.lit(float(r)) for r in ratios]))).withColumn("_q", first)
     return table.select("ratio", "class", F.inline(F.array(
         F.struct(F.lit(methods[0]).alias("method"), F.col("_q").alias("quota")),
-        F.struct(F.lit(methods[1]), F.col("deficit") - F.col("_q")),
+        F.struct(F.lit(methods[1]).alias("method"), (F.col("deficit") - F.col("_q")).alias("quota")),
     )))
 
 

@@ -79,13 +79,16 @@ def gate_report(gated: DataFrame, label: str = "predicted_class", minimum: int =
     cells = gated.groupBy("reason", F.col(label).alias("_class")).agg(F.count(F.lit(1)).alias("n"))
     kept = F.col("reason").isNull()
     zero = F.lit(0).cast("bigint")
-    rows = F.array(
-        F.struct(F.lit("total").alias("section"), F.lit("input").alias("name"), F.col("n").alias("count")),
-        F.struct(F.lit("total"), F.lit("clean"), F.when(kept, F.col("n")).otherwise(zero)),
-        F.struct(F.lit("total"), F.lit("discarded"), F.when(kept, zero).otherwise(F.col("n"))),
-        F.struct(F.when(kept, F.lit("class")).otherwise(F.lit("reason")),
-                 F.when(kept, F.col("_class")).otherwise(F.col("reason")), F.col("n")),
-    )
+    entries = [
+        (F.lit("total"), F.lit("input"), F.col("n")),
+        (F.lit("total"), F.lit("clean"), F.when(kept, F.col("n")).otherwise(zero)),
+        (F.lit("total"), F.lit("discarded"), F.when(kept, zero).otherwise(F.col("n"))),
+        (F.when(kept, F.lit("class")).otherwise(F.lit("reason")),
+         F.when(kept, F.col("_class")).otherwise(F.col("reason")), F.col("n")),
+    ]
+    rows = F.array(*[
+        F.struct(section.alias("section"), name.alias("name"), count.alias("count")) for section, name, count in entries
+    ])
     frame = gated.sparkSession.range(1).select(F.inline(F.array(*[
         F.struct(F.lit(s).alias("section"), F.lit(v).alias("name"), zero.alias("count"))
         for s, v in [("total", "input"), ("total", "clean"), ("total", "discarded"),
