@@ -113,22 +113,22 @@ def candidate_attempts(
     plan = deficits.where(F.col("deficit") > 0).select(
         F.col("class").alias("target"), per_cycle.alias("_per_cycle"), total.alias("_attempts"))
 
-    # The first sources in hash order; a pool larger than the attempts is not used up.
-    order = ["_h", "source_id"]
-    pool = sources.withColumn("_h", hash32(F.lit("source"), F.col("target"), F.col("source_id"), seed=seed))
-    used = take_first(pool, ["target"], order, hash_bucket(F.col("_h")), plan.select("target", "_attempts"), "_attempts")
-    numbered = number_rows(used, ["target"], order, hash_bucket(F.col("_h")), "_idx").drop("_h")
-    sizes = used.groupBy("target").agg(F.count(F.lit(1)).alias("_pool"))
-    rows = numbered.join(sizes.join(plan, "target"), "target")
+    order = hash32(F.lit("source"), F.col("target"), F.col("source_id"), seed=seed)
+    rows = sources.withColumn("_h", order)
+    rows = number_rows(
+        rows, ["target"], ["_h", "source_id"], hash_bucket(F.col("_h")), "_idx", size="_pool").drop("_h")
+    # Sources beyond the number of attempts are dropped by the turn count of 0.
+    rows = rows.join(plan, "target")
     turns = F.floor((F.col("_attempts") - 1 - F.col("_idx")) / F.col("_pool")) + 1
     attempts = repeat_rows(rows, turns, "_turn").withColumn(
         "attempt", F.col("_idx") + (F.col("_turn") - 1) * F.col("_pool"))
 
-    key = hash32(F.lit("order"), F.col("target"), F.col("reference_id"), seed=seed)
-    refs = references.withColumn("_h", key)
-    refs = number_rows(refs, ["target"], ["_h", "reference_id"], hash_bucket(F.col("_h")), "_ref").drop("_h")
-    n_refs = references.groupBy("target").agg(F.count(F.lit(1)).alias("_n_refs"))
-    chosen = attempts.join(n_refs, "target").withColumn(
+    order = hash32(F.lit("order"), F.col("target"), F.col("reference_id"), seed=seed)
+    refs = references.withColumn("_h", order)
+    refs = number_rows(
+        refs, ["target"], ["_h", "reference_id"], hash_bucket(F.col("_h")), "_ref").drop("_h")
+    sizes = references.groupBy("target").agg(F.count(F.lit(1)).alias("_n_refs"))
+    chosen = attempts.join(sizes, "target").withColumn(
         "_ref", F.pmod(hash32(F.lit("reference"), F.col("target"), F.col("attempt"), seed=seed), F.col("_n_refs")))
     cycle = F.when(F.col("_per_cycle") > 0, F.least(F.floor(F.col("attempt") / F.col("_per_cycle")), F.lit(cycles - 1)))
     return chosen.join(refs, ["target", "_ref"]).select(
@@ -243,8 +243,8 @@ def class_weights(
     table = counts.withColumn("_raw", raw)
     weight = F.col("_raw") / F.sum("_raw").over(whole)
     natural = n / F.sum(n).over(whole)
-    return table.withColumns({"weight": weight, "natural": natural}).withColumn(
-        "oversample", F.col("weight") / F.col("natural")).drop("_raw")
+    return table.withColumns({"weight": weight, "natural_share": natural}).withColumn(
+        "oversample", F.col("weight") / F.col("natural_share")).drop("_raw")
 
 
 def loss_weights(counts: DataFrame, strategy: str = "balanced") -> DataFrame:

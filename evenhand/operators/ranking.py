@@ -41,14 +41,19 @@ def bucket_offsets(df: DataFrame, keys: Sequence[str], bucket: str) -> DataFrame
 
 
 def number_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str = "idx"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str = "idx",
+    size: str | None = None,
 ) -> DataFrame:
     """0-based position of each row in its group, in the order of ``order``.
 
-    ``bucket`` must be an integer that never decreases along ``order``.
+    ``bucket`` must be an integer that never decreases along ``order``. ``size``
+    names a column for the number of rows in the group.
     """
     rows = df.withColumn("_b", bucket)
-    offsets = bucket_offsets(rows.select(*keys, "_b"), keys, "_b").drop("_n")
+    offsets = bucket_offsets(rows.select(*keys, "_b"), keys, "_b")
+    if size is not None:
+        offsets = offsets.withColumn(size, F.sum("_n").over(Window.partitionBy(*keys)))
+    offsets = offsets.drop("_n")
     inside = Window.partitionBy(*keys, "_b").orderBy(*order)
     ranked = rows.withColumn("_rn", F.row_number().over(inside))
     joined = null_safe_join(ranked, offsets, [*keys, "_b"])
@@ -121,70 +126,60 @@ def sample_per_group(df: DataFrame, keys: Sequence[str], item: str, n: int, seed
     return take_first(rows, keys, ["_h", item], hash_bucket(F.col("_h")), n).drop("_h")
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+def value_cells(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, value, n): distinct values with their counts; NULL and NaN are left out."""
+    v = F.col(value)
+    return (
+        df.select(*keys, v.cast("double").alias(value)).where(v.isNotNull() & ~F.isnan(v))
+        .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def exact_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], weight: str | None = None
+) -> DataFrame:
     """(keys, prob, quantile) with linear interpolation between closest ranks.
 
     Same result as ``percentile``, whose state is a map of all distinct values of
-    a group in one task; here a group is narrowed down digit by digit. NULL and
-    NaN are ignored.
+    a group in one task; here each wanted rank is narrowed down digit by digit.
+    NULL and NaN are ignored. With ``weight`` the rows are distinct values that
+    stand for that many rows, as from :func:`value_cells`.
     """
+    keys = list(keys)
+    cells = value_cells(df, keys, value) if weight is None else df.withColumnRenamed(weight, "n")
     coarse, fine = digits(F.col("_v"))
-    cells = (
-        df.select(*keys, F.col(value).cast("double").alias("_v"))
-        .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-        .groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumns({"_c": coarse, "_f": fine})
-    )
+    cells = cells.select(*keys, F.col(value).alias("_v"), F.col("n").alias("_n")).withColumns(
+        {"_c": coarse, "_f": fine})
+    inside = (F.col("_off") <= F.col("_pos")) & (F.col("_pos") < F.col("_off") + F.col("_n"))
 
-    # Level 1: which coarse digit holds each wanted position.
-    level1 = cells.groupBy(*keys, "_c").agg(F.sum("_n").alias("_n"))
+    # Level 1: the coarse digit that holds each wanted rank (floor and ceiling of the exact position).
     whole = Window.partitionBy(*keys)
+    level1 = cells.groupBy(*keys, "_c").agg(F.sum("_n").alias("_n"))
     level1 = level1.withColumns({
-        "_off": F.sum("_n").over(whole.orderBy("_c")) - F.col("_n"),
-        "_total": F.sum("_n").over(whole),
-    })
-    position = F.explode(F.array(*[
-        F.struct(
-            F.lit(float(p)).alias("prob"),
-            pick((F.col("_total") - 1) * F.lit(float(p))).cast("bigint").alias("pos"),
-            ((F.col("_total") - 1) * F.lit(float(p))).alias("exact"),
-            F.lit(side).alias("side"),
-        )
-        for p in probs
-        for side, pick in enumerate((F.floor, F.ceil))
+        "_off": F.sum("_n").over(whole.orderBy("_c")) - F.col("_n"), "_total": F.sum("_n").over(whole)})
+    exact = [((F.col("_total") - 1) * F.lit(float(p))) for p in probs]
+    ranks = F.inline(F.array(*[
+        F.struct(F.lit(float(p)).alias("prob"), e.alias("_exact"), F.lit(side).alias("_side"),
+                 pick(e).cast("bigint").alias("_pos"))
+        for p, e in zip(probs, exact) for side, pick in enumerate((F.floor, F.ceil))
     ]))
-    inside = (F.col("_off") <= F.col("_w.pos")) & (F.col("_w.pos") < F.col("_off") + F.col("_n"))
-    wanted = (
-        level1.withColumn("_w", position).where(inside)
-        .select(*keys, "_c", F.col("_off").alias("_base"), "_w")
-    )
-
-    # Level 2: which fine digit inside the coarse one.
-    near = null_safe_join(cells, wanted.select(*keys, "_c").distinct(), [*keys, "_c"], "left_semi")
-    level2 = near.groupBy(*keys, "_c", "_f").agg(F.sum("_n").alias("_n"))
-    level2 = level2.withColumn(
-        "_off", F.sum("_n").over(Window.partitionBy(*keys, "_c").orderBy("_f")) - F.col("_n")
-    )
-    wanted2 = (
-        null_safe_join(level2, wanted, [*keys, "_c"])
-        .withColumn("_off", F.col("_off") + F.col("_base")).where(inside)
-        .select(*keys, "_c", "_f", F.col("_off").alias("_base"), "_w")
-    )
+    target = ["prob", "_exact", "_side", "_pos"]
+    wanted = level1.select(*keys, "_c", "_n", "_off", ranks).where(inside).select(
+        *keys, "_c", *target, F.col("_off").alias("_base"))
+
+    # Level 2: the fine digit; only cells of the wanted coarse digits go on.
+    near = null_safe_join(cells, wanted, [*keys, "_c"])
+    group = [*keys, *target, "_c"]
+    level2 = near.groupBy(*group, "_f", "_base").agg(F.sum("_n").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_f")) - F.col("_n")
+    wanted2 = level2.withColumn("_off", F.col("_base") + before).where(inside).select(
+        *keys, "_c", "_f", *target, F.col("_off").alias("_base"))
 
     # Level 3: the value itself.
-    last = null_safe_join(near, wanted2.select(*keys, "_c", "_f").distinct(), [*keys, "_c", "_f"], "left_semi")
-    last = last.withColumn(
-        "_off", F.sum("_n").over(Window.partitionBy(*keys, "_c", "_f").orderBy("_v")) - F.col("_n")
-    )
-    found = (
-        null_safe_join(last, wanted2, [*keys, "_c", "_f"])
-        .withColumn("_off", F.col("_off") + F.col("_base")).where(inside)
-    )
-    low = F.max(F.when(F.col("_w.side") == 0, F.col("_v")))
-    high = F.max(F.when(F.col("_w.side") == 1, F.col("_v")))
-    share = F.max(F.col("_w.exact") - F.floor(F.col("_w.exact")))
-    return (
-        found.groupBy(*keys, F.col("_w.prob").alias("prob"))
-        .agg((low + (high - low) * share).alias("quantile"))
-    )
+    last = null_safe_join(cells, wanted2, [*keys, "_c", "_f"])
+    before = F.sum("_n").over(Window.partitionBy(*group, "_f").orderBy("_v")) - F.col("_n")
+    found = last.withColumn("_off", F.col("_base") + before).where(inside)
+    low = F.max(F.when(F.col("_side") == 0, F.col("_v")))
+    high = F.max(F.when(F.col("_side") == 1, F.col("_v")))
+    share = F.max(F.col("_exact") - F.floor("_exact"))
+    return found.groupBy(*keys, "prob").agg((low + (high - low) * share).alias("quantile"))

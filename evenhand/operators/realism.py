@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evenhand.functions.arrays import bind, mean
-from evenhand.operators.ranking import exact_quantiles, null_safe_join
+from evenhand.operators.ranking import exact_quantiles, null_safe_join, value_cells
 
 # Fixed values: (reason, feature, lower bound, upper bound) in rule order. A rule
 # fires when the feature lies strictly between the bounds.
@@ -141,19 +141,23 @@ def robust_consensus(df: DataFrame, keys: Sequence[str], value: str, fence: floa
     kept; a single value has spread 0.
     """
     v = F.col(value)
-    clean = df.select(*keys, v.cast("double").alias(value)).where(v.isNotNull() & ~F.isnan(v))
-    bounds = exact_quantiles(clean, keys, value, [0.25, 0.75]).groupBy(*keys).agg(
+    cells = value_cells(df, keys, value)
+    bounds = exact_quantiles(cells, keys, value, [0.25, 0.75], weight="n").groupBy(*keys).agg(
         F.max(F.when(F.col("prob") == 0.25, F.col("quantile"))).alias("_q1"),
         F.max(F.when(F.col("prob") == 0.75, F.col("quantile"))).alias("_q3"),
     )
     reach = fence * (F.col("_q3") - F.col("_q1"))
-    fenced = null_safe_join(clean, bounds, keys).withColumn(
-        "_in", v.between(F.col("_q1") - reach, F.col("_q3") + reach))
     # The interquartile values always lie inside the fence, so a group never loses all rows.
-    kept = fenced.where("_in")
+    fenced = null_safe_join(cells, bounds, keys).withColumn(
+        "_in", F.when(v.between(F.col("_q1") - reach, F.col("_q3") + reach), F.col("n")).otherwise(0))
+    gap = v - F.col("_q1")  # sums around a value of the group keep the spread accurate
     sums = fenced.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("_in").alias("kept"),
-        F.coalesce(F.stddev_pop(F.when(F.col("_in"), v)), F.lit(0.0)).alias("std"),
+        F.sum("n").alias("n"), F.sum("_in").alias("kept"),
+        F.sum(gap * F.col("_in")).alias("_s1"), F.sum(gap * gap * F.col("_in")).alias("_s2"),
     )
-    medians = exact_quantiles(kept, keys, value, [0.5]).select(*keys, F.col("quantile").alias("median"))
-    return null_safe_join(sums, medians, keys)
+    spread = F.col("_s2") / F.col("kept") - F.pow(F.col("_s1") / F.col("kept"), F.lit(2))
+    kept = fenced.where(F.col("_in") > 0).select(*keys, value, "n")
+    medians = exact_quantiles(kept, keys, value, [0.5], weight="n").select(
+        *keys, F.col("quantile").alias("median"))
+    return null_safe_join(sums, medians, keys).select(
+        *keys, "n", "kept", "median", F.sqrt(F.greatest(spread, F.lit(0.0))).alias("std"))
