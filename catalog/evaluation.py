@@ -325,7 +325,7 @@ _weights = ", ".join(
     ) + f" ELSE {len(inference.POISSON_ONE_CDF)} END) AS w{d}" for d in range(DRAWS))
 POISSON_SQL = I.ORDERS_SQL + f""",
 draws AS (SELECT model, stratum, true_class, pred_class,
-  {', '.join(f"{I.u(repr(f'draw{d}'), 'item_id')} AS x{d}" for d in range(DRAWS))} FROM predicted),
+  {', '.join(f"{I.u(repr(f'draw{d // 4}'), 'item_id', word=d % 4)} AS x{d}" for d in range(DRAWS))} FROM predicted),
 weighted AS (SELECT model, stratum, true_class, pred_class, {_weights} FROM draws GROUP BY ALL),
 cells AS (SELECT model, stratum, true_class, pred_class, unnest(range({DRAWS})) AS draw,
                  unnest([{', '.join(f'w{d}' for d in range(DRAWS))}]) AS n FROM weighted),

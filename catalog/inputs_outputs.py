@@ -26,7 +26,7 @@ def prediction_files(spark, sf_dir):
         "model", F.col("item_id").alias("image_id"), (F.array_position(classes, F.col("pred_class")) - 1).alias("pred_idx"),
         *[F.get("probs", F.lit(i)).alias(f"prob_{c}") for i, c in enumerate(I.ORDER_CLASSES)])
     folder = new_work_path(spark, "predictions")
-    sinks.write_predictions(wide, folder, list(I.MODELS))
+    sinks.write_predictions(wide, folder)
     return tables.read_predictions(spark, folder, I.ORDER_CLASSES)
 
 

@@ -22,6 +22,13 @@ def hash32(*parts, seed: int = SEED) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
 
 
+def uniform_slices(*parts, seed: int = SEED) -> list[Column]:
+    """Four independent uniform numbers from the four 32-bit words of one md5."""
+    key = F.concat_ws("|", F.lit(str(seed)), *[_column(p).cast("string") for p in parts])
+    words = F.md5(key)
+    return [F.conv(F.substring(words, 1 + 8 * i, 8), 16, 10).cast("bigint") / F.lit(_SPACE) for i in range(4)]
+
+
 def uniform(*parts, seed: int = SEED) -> Column:
     """Uniform number in [0, 1) of the parts."""
     return hash32(*parts, seed=seed) / F.lit(_SPACE)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from evenhand.operators.metrics import literal_array, ratio, with_overall
 from evenhand.operators.ranking import exact_quantiles, null_safe_join
 from evenhand.schemas import OVERALL
+from evenhand.session import settle
 
 
 def class_composition(
@@ -114,6 +115,7 @@ def confidence_histogram(df: DataFrame, by: Sequence[str], confidence: str, bins
         "_hi": F.when(single, F.col("_hi") + 0.5).otherwise(F.col("_hi")),
     })
     width = (F.col("_hi") - F.col("_lo")) / bins
+    spans = settle(spans, "spans")
     placed = null_safe_join(df.where(c.isNotNull()).select(*by, c.alias("_v")), spans, by).withColumn(
         "bin", F.least(F.floor((F.col("_v") - F.col("_lo")) / width).cast("int"), F.lit(bins - 1))
     )

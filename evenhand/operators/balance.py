@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evenhand.functions.hashing import SEED, hash32, uniform
 from evenhand.operators.metrics import literal_array, ratio
-from evenhand.operators.ranking import hash_bucket, null_safe_join, number_rows, take_first
+from evenhand.operators.ranking import hash_bucket, number_rows, take_first
+from evenhand.session import settle
 
 ATTEMPT_BUCKET = 65536  # attempts per bucket when ranking accepted attempts
 REPEAT_CHUNK = 4096  # copies one generator row may emit
@@ -74,13 +75,13 @@ def source_pool(df: DataFrame, label: str, item: str, deficits: DataFrame) -> Da
 
 def reference_pool(references: DataFrame, own: DataFrame, label: str, item: str, deficits: DataFrame) -> DataFrame:
     """(target, reference_id): references of each class in need, own rows where there are none."""
-    needy = deficits.where(F.col("deficit") > 0).select(F.col("class").alias("target"))
+    needy = settle(deficits.where(F.col("deficit") > 0).select(F.col("class").alias("target")), "needy")
 
     def of(table: DataFrame) -> DataFrame:
         return table.select(F.col(label).alias("target"), F.col(item).alias("reference_id")).join(needy, "target")
 
     given = of(references)
-    missing = needy.join(given.select("target").distinct(), "target", "left_anti")
+    missing = settle(needy.join(given.select("target").distinct(), "target", "left_anti"), "missing")
     return given.unionByName(of(own).join(missing, "target", "left_semi"))
 
 
@@ -110,8 +111,8 @@ def candidate_attempts(
     """
     per_cycle = F.floor(F.col("deficit") * F.lit(float(oversample))).cast("bigint")
     total = per_cycle * (cycles - 1) + F.col("deficit") * last_factor
-    plan = deficits.where(F.col("deficit") > 0).select(
-        F.col("class").alias("target"), per_cycle.alias("_per_cycle"), total.alias("_attempts"))
+    plan = settle(deficits.where(F.col("deficit") > 0).select(
+        F.col("class").alias("target"), per_cycle.alias("_per_cycle"), total.alias("_attempts")), "plan")
 
     order = hash32(F.lit("source"), F.col("target"), F.col("source_id"), seed=seed)
     rows = sources.withColumn("_h", order)
@@ -127,7 +128,8 @@ def candidate_attempts(
     refs = references.withColumn("_h", order)
     refs = number_rows(
         refs, ["target"], ["_h", "reference_id"], hash_bucket(F.col("_h")), "_ref").drop("_h")
-    sizes = references.groupBy("target").agg(F.count(F.lit(1)).alias("_n_refs"))
+    refs = settle(refs, "references")  # few references are broadcast, many have well spread numbers
+    sizes = settle(refs.groupBy("target").agg(F.count(F.lit(1)).alias("_n_refs")), "sizes")
     chosen = attempts.join(sizes, "target").withColumn(
         "_ref", F.pmod(hash32(F.lit("reference"), F.col("target"), F.col("attempt"), seed=seed), F.col("_n_refs")))
     cycle = F.when(F.col("_per_cycle") > 0, F.least(F.floor(F.col("attempt") / F.col("_per_cycle")), F.lit(cycles - 1)))
@@ -162,8 +164,8 @@ def rejection_reasons(gated: DataFrame, accepted: DataFrame, quotas: DataFrame,
     """
     need = quotas.groupBy("ratio", F.col("class").alias("target")).agg(F.sum("quota").alias("_need"))
     got = accepted.groupBy("ratio", "target").agg(F.count(F.lit(1)).alias("_got"), F.max("attempt").alias("_last"))
-    ends = need.join(got, ["ratio", "target"], "left").select(
-        "ratio", "target", F.when(F.col("_got") >= F.col("_need"), F.col("_last")).alias("_last"))
+    ends = settle(need.join(got, ["ratio", "target"], "left").select(
+        "ratio", "target", F.when(F.col("_got") >= F.col("_need"), F.col("_last")).alias("_last")), "ends")
     failed = gated.where(F.col(reason) != "ok").join(ends, ["ratio", "target"])
     failed = failed.where(F.col("_last").isNull() | (F.col("attempt") <= F.col("_last")))
     return failed.groupBy("ratio", F.substring_index(F.col(reason), "=", 1).alias("reason")).agg(
@@ -263,7 +265,8 @@ def loss_weights(counts: DataFrame, strategy: str = "balanced") -> DataFrame:
 
 def with_class_weight(df: DataFrame, label: str, weights: DataFrame, name: str = "weight") -> DataFrame:
     """Attach the class weight to each row, for weighted losses and draws."""
-    return df.join(weights.select(F.col("class").alias(label), F.col("weight").alias(name)), label)
+    table = settle(weights.select(F.col("class").alias(label), F.col("weight").alias(name)), "weights")
+    return df.join(table, label)
 
 
 def expected_copies(weights: DataFrame, epoch: str | int = "balanced") -> DataFrame:
@@ -289,7 +292,7 @@ def weighted_draw(df: DataFrame, label: str, item: str, expected: DataFrame, see
     Same expectation as drawing with replacement, but repeatable and without a
     driver-side index list.
     """
-    rows = df.join(expected.select(F.col("class").alias(label), "copies_per_row"), label)
+    rows = df.join(settle(expected.select(F.col("class").alias(label), "copies_per_row"), "copies"), label)
     whole = F.floor("copies_per_row")
     extra = uniform(F.lit("draw"), F.col(item), seed=seed) < (F.col("copies_per_row") - whole)
     return repeat_rows(rows, whole + F.when(extra, 1).otherwise(0)).drop("copies_per_row")
@@ -304,8 +307,8 @@ def transfer_batch(
     Donors of the largest other class above a confidence, in hash order; all
     classes in one job. The pixel step is ``arrays.transfer_channel``.
     """
-    need = deficits.where(F.col("deficit") > 0).select(
-        F.col("class").alias("target"), F.col("donor").alias("_donor"), "deficit")
+    need = settle(deficits.where(F.col("deficit") > 0).select(
+        F.col("class").alias("target"), F.col("donor").alias("_donor"), "deficit"), "need")
     donors = df.where(F.col(confidence) >= min_confidence).join(
         need.select("target", "_donor"), F.col(label) == F.col("_donor"))
     rows = donors.withColumn("_h", hash32(F.col(item), seed=seed))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evenhand.functions import text as tx
 from evenhand.functions.text import Lexicon
 from evenhand.operators.metrics import literal_array, ratio
 from evenhand.operators.ranking import exact_quantiles
+from evenhand.session import settle
 
 CHECKS = ["keywords", "indeterminate", "spatial", "length", "safety"]
 # Reason per check in gate order, and the weight of each check.
@@ -83,6 +84,7 @@ def gate_report(gated: DataFrame, label: str = "predicted_class", minimum: int =
         (F.lit("total"), F.lit("input"), F.col("n")),
         (F.lit("total"), F.lit("clean"), F.when(kept, F.col("n")).otherwise(zero)),
         (F.lit("total"), F.lit("discarded"), F.when(kept, zero).otherwise(F.col("n"))),
+        (F.lit("threshold"), F.lit("meets_minimum"), F.when(kept, F.col("n")).otherwise(zero)),
         (F.when(kept, F.lit("class")).otherwise(F.lit("reason")),
          F.when(kept, F.col("_class")).otherwise(F.col("reason")), F.col("n")),
     ]
@@ -91,17 +93,17 @@ def gate_report(gated: DataFrame, label: str = "predicted_class", minimum: int =
     ])
     frame = gated.sparkSession.range(1).select(F.inline(F.array(*[
         F.struct(F.lit(s).alias("section"), F.lit(v).alias("name"), zero.alias("count"))
-        for s, v in [("total", "input"), ("total", "clean"), ("total", "discarded"),
+        for s, v in [("total", "input"), ("total", "clean"), ("total", "discarded"), ("threshold", "meets_minimum"),
                      *[("reason", r) for r in REASONS.values()]]
     ])))
     sums = cells.select(F.inline(rows)).unionByName(frame).groupBy("section", "name").agg(
         F.sum("count").alias("count"))
-    total = sums.where((F.col("section") == "total") & (F.col("name") == "input")).select("count").scalar()
-    met = sums.where((F.col("section") == "total") & (F.col("name") == "clean")).select(
-        F.lit("threshold").alias("section"), F.lit("meets_minimum").alias("name"),
-        (F.col("count") >= minimum).cast("bigint").alias("count"))
-    return sums.unionByName(met).withColumn(
-        "share", F.when(F.col("section") != "threshold", ratio(F.col("count"), F.greatest(total, F.lit(1)))))
+    total = F.max(F.when(F.col("name") == "input", F.col("count"))).over(Window.partitionBy())  # a few result rows
+    flag = F.col("section") == "threshold"
+    return sums.select(
+        "section", "name", F.when(flag, (F.col("count") >= minimum).cast("bigint")).otherwise(F.col("count")).alias("count"),
+        F.when(~flag, ratio(F.col("count"), F.greatest(total, F.lit(1)))).alias("share"),
+    )
 
 
 def response_score(float_scores: bool = False) -> Column:
@@ -140,13 +142,21 @@ def score_details() -> Column:
 
 
 def pass_rates(checked: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by, n, pass rate per check and overall, mean and interpolated median words)."""
-    rate = {f"{c}_rate": F.avg(F.col(f"pass_{c}").cast("double")) for c in CHECKS}
-    sums = checked.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(passes_all().cast("double")).alias("overall_rate"),
-        *[v.alias(k) for k, v in rate.items()], F.avg(F.col("word_count").cast("double")).alias("mean_words"),
+    """(by, n, pass rate per check and overall, mean and interpolated median words).
+
+    Texts are read once, into cells per word count; rates, mean and median all come
+    from the cells.
+    """
+    flags = {"overall": passes_all(), **{c: F.col(f"pass_{c}") for c in CHECKS}}
+    cells = settle(checked.groupBy(*by, "word_count").agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(f).alias(c) for c, f in flags.items()]), "word-cells")
+    total = F.sum("n")
+    sums = cells.groupBy(*by).agg(
+        total.alias("n"), *[(F.sum(c) / total).alias(f"{c}_rate") for c in flags],
+        (F.sum(F.col("word_count") * F.col("n")) / total).alias("mean_words"),
     )
-    medians = exact_quantiles(checked, by, "word_count", [0.5]).select(*by, F.col("quantile").alias("median_words"))
+    medians = exact_quantiles(cells.select(*by, "word_count", "n"), by, "word_count", [0.5], weight="n").select(
+        *by, F.col("quantile").alias("median_words"))
     if not by:
         return sums.withColumn("median_words", medians.select("median_words").scalar())
     return sums.join(medians, list(by), "left")
@@ -168,5 +178,5 @@ def head_to_head(a: DataFrame, b: DataFrame, keys: Sequence[str], names: tuple[s
     frame = a.sparkSession.range(1).select(
         F.explode(literal_array([*names, "tie"])).alias("outcome"), F.lit(0).cast("bigint").alias("n"))
     full = frame.unionByName(counts).groupBy("outcome").agg(F.sum("n").alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
-    return full.withColumn("share", ratio(F.col("n"), F.coalesce(total, F.lit(0))))
+    total = F.sum("n").over(Window.partitionBy())  # three rows
+    return full.withColumn("share", ratio(F.col("n"), total))

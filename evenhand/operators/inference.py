@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from evenhand.functions.hashing import SEED, hash32, uniform
+from evenhand.functions.hashing import SEED, hash32, uniform_slices
 from evenhand.operators.metrics import PRED, TRUE, average_scores, class_scores, confusion_cells, with_overall
 from evenhand.operators.ranking import null_safe_join
 from evenhand.schemas import OVERALL
@@ -94,15 +94,16 @@ def poisson_bootstrap_f1(
 ) -> DataFrame:
     """(by, draw, n, macro_f1): row-level variant that can be checked in SQL.
 
-    Each row gets a Poisson(1) weight per draw from its hash, so the number of
-    rows varies a little between draws. All draws are summed in one aggregation;
-    rows are not multiplied.
+    Each row gets a Poisson(1) weight per draw from its hash (one md5 serves four
+    draws), so the number of rows varies a little between draws. All draws are
+    summed in one aggregation; rows are not multiplied.
     """
     keys = [*by, TRUE, PRED]
-    weighted = df.where(F.col(TRUE).isNotNull()).groupBy(*keys).agg(*[
-        F.sum(poisson_weight(uniform(F.lit(f"draw{d}"), F.col(item), seed=seed))).alias(f"_w{d}")
-        for d in range(draws)
-    ])
+    numbers = [
+        u for block in range(-(-draws // 4)) for u in uniform_slices(F.lit(f"draw{block}"), F.col(item), seed=seed)
+    ][:draws]
+    rows = df.where(F.col(TRUE).isNotNull())
+    weighted = rows.groupBy(*keys).agg(*[F.sum(poisson_weight(u)).alias(f"_w{d}") for d, u in enumerate(numbers)])
     per_draw = F.inline(F.array(*[
         F.struct(F.lit(d).alias("draw"), F.col(f"_w{d}").cast("bigint").alias("n")) for d in range(draws)
     ]))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from evenhand.operators.metrics import literal_array
 from evenhand.schemas import require_columns
+from evenhand.session import settle
 
 
 def label_ground_truth(
@@ -50,14 +51,17 @@ def build_merged(
 ) -> DataFrame:
     """Inner join strata x truth x predictions, all models at once in long form.
 
-    The small two-column sides are joined first; filters sit before the join.
+    The narrow sides, one row per item, are joined first and settled, so that the
+    join with the predictions is a plain two-table join: a broadcast if the items
+    are few, else a shuffle in which AQE can split a hot item. Filters sit before
+    the join.
     """
     kept = strata
     if min_confidence is not None:
         kept = kept.where(F.col(confidence) >= min_confidence)
     if exclude_flag is not None:
         kept = kept.where(~F.col(exclude_flag))
-    return kept.join(truth, item).join(predictions, item)
+    return predictions.join(settle(kept.join(truth, item), "items"), item)
 
 
 def apply_taxonomy(df: DataFrame, mapping: DataFrame, raw: str, arms: Sequence[str] | None = None) -> DataFrame:
@@ -68,7 +72,7 @@ def apply_taxonomy(df: DataFrame, mapping: DataFrame, raw: str, arms: Sequence[s
     table = require_columns(mapping, ["arm", "raw_label", "label"])
     if arms is not None:
         table = table.where(F.col("arm").isin(list(arms)))
-    return df.join(table, F.col(raw) == F.col("raw_label")).drop("raw_label")
+    return df.join(settle(table, "taxonomy"), F.col(raw) == F.col("raw_label")).drop("raw_label")
 
 
 def detect_column(df: DataFrame, candidates: Sequence[str], required: bool = True) -> str | None:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evenhand.functions.hashing import SEED, hash32
 from evenhand.functions.radix import digits
+from evenhand.session import settle
 
 HASH_BUCKET_BITS = 16  # 65,536 buckets per group
 
@@ -97,14 +98,15 @@ def take_first(
 ) -> DataFrame:
     """Rows among the first ``limit`` of their group; groups smaller than that are kept whole.
 
-    ``order`` must identify a row within its group. Wide rows are not shuffled:
-    they are compared with one cut per group.
+    ``order`` must identify a row within its group. Only keys and order columns are
+    read to find one cut per group; wide rows are then compared with the cuts and
+    are not shuffled as long as the table of cuts can be broadcast.
     """
     rows = df.withColumn("_b", bucket)
     if isinstance(limits, int):
         limits = rows.select(*keys).distinct().withColumn(limit, F.lit(limits).cast("bigint"))
     cuts = cut_points(df, keys, order, bucket, limits, limit).select(*keys, "cut")
-    table = null_safe_join(limits.select(*keys, limit), cuts, keys, "left")
+    table = settle(null_safe_join(limits.select(*keys, limit), cuts, keys, "left"), "cuts")
     kept = null_safe_join(rows, table, keys).where(
         (F.col(limit) > 0) & (F.col("cut").isNull() | (F.struct(*order) <= F.col("cut")))
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evenhand.functions.hashing import SEED, hash32, uniform
 from evenhand.operators.ranking import cut_points, hash_bucket, null_safe_join, sample_per_group, take_first
+from evenhand.session import settle
 
 __all__ = ["cap_per_class", "hash_split", "sample_per_class", "stratified_split", "predefined_split"]
 
@@ -107,7 +108,7 @@ def stratified_split(
     table = null_safe_join(limits, cuts.drop("_end"), [*keys, "_part"], "left").groupBy(*keys).agg(*[
         F.max(F.when(F.col("_part") == p, F.struct("_end", "cut"))).alias(f"_c{p}") for p in range(len(names) - 1)
     ])
-    joined = null_safe_join(rows, table, keys)
+    joined = null_safe_join(rows, settle(table, "cuts"), keys)
     split = F
     for position, name in enumerate(names[:-1]):
         end, cut = F.col(f"_c{position}._end"), F.col(f"_c{position}.cut")

@@ -40,3 +40,30 @@ def reliable_checkpoint(df: DataFrame, name: str = "table") -> DataFrame:
     path = new_work_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """The planner's estimate of the size of a table; aggregates count as large as their input."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def broadcast_limit(spark: SparkSession) -> int:
+    """``spark.sql.autoBroadcastJoinThreshold`` in bytes, -1 if broadcasting is off."""
+    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760b").strip().lower()
+    units = {"b": 1, "k": 1024, "kb": 1024, "m": 1024**2, "mb": 1024**2, "g": 1024**3, "gb": 1024**3}
+    digits = text.rstrip("bkmg")
+    return int(digits) * units.get(text[len(digits):] or "b", 1)
+
+
+def settle(df: DataFrame, name: str = "settled") -> DataFrame:
+    """Let the planner know the true size of a derived table before wide rows are joined with it.
+
+    The planner takes an aggregate to be as large as its input, so a join of all
+    rows with a table of a few classes would first shuffle all rows on a few keys.
+    Unless the estimate already allows a broadcast, the table is written to the
+    shared folder: its file size then decides, broadcast if small and shuffle if
+    not, without any hint.
+    """
+    if planned_bytes(df) <= broadcast_limit(df.sparkSession):
+        return df
+    return reliable_checkpoint(df, name)

@@ -13,10 +13,10 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
-def write_predictions(df: DataFrame, folder: str, models: Sequence[str], model: str = "model") -> None:
-    """One ``<tag>_predictions.csv`` folder per model."""
-    for tag in models:
-        write_csv(df.where(F.col(model) == tag).drop(model), f"{folder.rstrip('/')}/{tag}_predictions.csv")
+def write_predictions(df: DataFrame, folder: str, model: str = "model", mode: str = "overwrite") -> None:
+    """All models in one pass: a ``file=<tag>_predictions.csv`` folder each, as ``read_predictions`` expects."""
+    named = df.withColumn("file", F.concat(F.col(model), F.lit("_predictions.csv"))).drop(model)
+    named.write.mode(mode).partitionBy("file").option("header", True).csv(folder)
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:

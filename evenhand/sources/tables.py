@@ -37,7 +37,18 @@ def read_csv(
     return nan_to_null(raw.select(*columns))
 
 
-MODEL_TAG = r"([^/]+)_predictions"
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a table that is stored in fewer pieces than there are cores.
+
+    A file with one row group is read by one task, which then does all row-wise
+    work. Tables with enough pieces are returned as they are, so nothing large is
+    ever shuffled. The keys should identify a row; they decide the new partition.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
+MODEL_TAG = r"([^/=]+)_predictions"
 
 
 def read_predictions(

@@ -170,6 +170,18 @@ def test_shared_folder_comes_from_the_session(spark):
     assert copy.count() == 5 and "FileScan" in copy._jdf.queryExecution().toString()
 
 
+def test_settled_tables_have_a_known_size(spark):
+    from evenhand.session import broadcast_limit, planned_bytes, settle
+
+    small = spark.range(3)
+    assert settle(small) is small
+    wide = spark.range(50_000_000).selectExpr("id % 3 as k", "repeat('x', 100) as s")
+    classes = wide.groupBy("k").count()
+    assert planned_bytes(classes) > broadcast_limit(spark) >= planned_bytes(settle(classes))
+    joined = wide.join(settle(classes), "k")
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_audit_job(spark):
     classes = ["A", "B"]
     items = [(f"i{i}", ["Light", "Dark", "Medium"][i % 3], 0.5 + (i % 6) / 10, classes[i % 2], f"s{i % 2}") for i in range(120)]
