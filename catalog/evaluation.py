@@ -44,7 +44,8 @@ SELECT model, stratum, class, support, predicted, tp, precision, recall, f1 FROM
 """, ints="support predicted tp", doubles="precision recall f1")
 def class_report(spark, sf_dir):
     cells = metrics.confusion_cells(I.order_scores(spark, sf_dir), KEYS)
-    return metrics.class_scores(metrics.with_overall(cells, "stratum", ["n"], STRATA), KEYS, I.ORDER_CLASSES)
+    scores = metrics.class_scores(metrics.with_overall(cells, "stratum", ["n"], STRATA), KEYS, I.ORDER_CLASSES)
+    return scores.drop("group_n", "group_correct")
 
 
 AVERAGE_SQL = """
@@ -99,7 +100,7 @@ def macro_f1_seen_labels(spark, sf_dir):
 @query("partial_label_metrics", I.CELLS_SQL + """
 SELECT model, stratum, sum(support) AS n, sum(CASE WHEN class IN ('F', 'O') THEN f1 END) / 3 AS macro_f1,
        sum(CASE WHEN class IN ('F', 'O') THEN f1 * support END) / sum(CASE WHEN class IN ('F', 'O') THEN support END) AS weighted_f1
-FROM scored WHERE class IN ('F', 'O') GROUP BY ALL""", ints="n", doubles="macro_f1 weighted_f1")
+FROM scored GROUP BY ALL""", ints="n", doubles="macro_f1 weighted_f1")
 def partial_label_metrics(spark, sf_dir):
     """A label list without class P and with an absent class Z."""
     cells = metrics.with_overall(
@@ -426,8 +427,7 @@ def combined_model_report(spark, sf_dir):
     right = F.col("true_class") == F.col("pred_class")
     aucs = auc.groupBy("model").agg(F.max(F.when(F.col("class") == "c3", F.col("auc"))).alias("auc_c3"))
     return (
-        metrics.accuracy(cells, by).select("model", "n", "accuracy")
-        .join(metrics.average_scores(scores, by).drop("n", "macro_recall"), "model")
+        metrics.average_scores(scores, by).drop("correct", "macro_recall")
         .join(metrics.wide_class_scores(scores, by, classes).select("model", "f1_c3"), "model")
         .join(roc.macro_auc(auc, by), "model").join(aucs, "model")
         .join(audit.confidence_by_outcome(rows, by, "score", right).drop("n"), "model")

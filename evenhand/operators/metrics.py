@@ -12,7 +12,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from evenhand.operators.ranking import null_safe_join
 from evenhand.schemas import OVERALL
 
 TRUE, PRED = "true_class", "pred_class"
@@ -74,7 +73,7 @@ def dense_cells(cells: DataFrame, by: Sequence[str], labels: Sequence[str]) -> D
 # --- per class and averages --------------------------------------------------
 
 def class_scores(cells: DataFrame, by: Sequence[str], labels: Sequence[str] | None = None) -> DataFrame:
-    """(by, class, support, predicted, tp, precision, recall, f1).
+    """(by, class, support, predicted, tp, precision, recall, f1, group_n, group_correct).
 
     ``labels=None`` covers the classes seen in truth or prediction; a list covers
     exactly these, absent ones with zeros. A prediction outside the list still
@@ -87,14 +86,17 @@ def class_scores(cells: DataFrame, by: Sequence[str], labels: Sequence[str] | No
                  hit.cast("bigint").alias("tp")),
         F.struct(F.col(PRED).alias("class"), zero.alias("support"), F.col("n").alias("predicted"), zero.alias("tp")),
     )
-    parts = cells.select(*by, F.inline(roles)).where(F.col("class").isNotNull())
-    if labels is not None:
-        frame = cells.select(*by).distinct().select(
-            *by, F.explode(literal_array(labels)).alias("class"),
-            zero.alias("support"), zero.alias("predicted"), zero.alias("tp"),
-        )
-        parts = parts.where(F.col("class").isin(list(labels))).unionByName(frame)
-    totals = parts.groupBy(*by, "class").agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "tp")])
+    counts = ["support", "predicted", "tp"]
+    totals = cells.select(*by, F.inline(roles)).groupBy(*by, "class").agg(*[F.sum(c).alias(c) for c in counts])
+    # One entry per class: a group's whole report fits in one row, also if no listed class occurs.
+    entries = F.collect_list(F.when(F.col("class").isNotNull(), F.struct("class", F.struct(*counts).alias("c"))))
+    groups = totals.groupBy(*by).agg(
+        F.map_from_entries(entries).alias("_m"), F.sum("support").alias("group_n"), F.sum("tp").alias("group_correct"))
+    names = F.map_keys("_m") if labels is None else literal_array(labels)
+    listed = groups.withColumn("class", F.explode(names))
+    entry = F.try_element_at("_m", F.col("class"))
+    totals = listed.select(
+        *by, "class", *[F.coalesce(entry[c], zero).alias(c) for c in counts], "group_n", "group_correct")
     return totals.withColumns({
         "precision": ratio(F.col("tp"), F.col("predicted")),
         "recall": ratio(F.col("tp"), F.col("support")),
@@ -112,16 +114,21 @@ def accuracy(cells: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def average_scores(scores: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, n, macro and weighted averages, balanced accuracy) from :func:`class_scores`."""
+    """(by, n, correct, accuracy, macro and weighted averages, balanced accuracy) from :func:`class_scores`.
+
+    ``n`` counts all rows of the group, also those of unlisted classes.
+    """
     present = F.col("support") > 0
-    return scores.groupBy(*by).agg(
-        F.sum("support").alias("n"),
+    averages = scores.groupBy(*by).agg(
+        F.max("group_n").alias("n"),
+        F.max("group_correct").alias("correct"),
         F.avg("precision").alias("macro_precision"),
         F.avg("recall").alias("macro_recall"),
         F.avg("f1").alias("macro_f1"),
         ratio(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("weighted_f1"),
         F.avg(F.when(present, F.col("recall"))).alias("balanced_accuracy"),
     )
+    return averages.withColumn("accuracy", ratio(F.col("correct"), F.col("n")))
 
 
 def stratified_metrics(
@@ -134,10 +141,9 @@ def stratified_metrics(
     pred: str = PRED,
 ) -> DataFrame:
     """Averages per (by, stratum) and overall, from one pass over the rows."""
-    cells = with_overall(confusion_cells(df, [*by, stratum], truth, pred), stratum, ["n"], strata)
     keys = [*by, stratum]
-    averages = average_scores(class_scores(cells, keys, labels), keys).drop("n")
-    return null_safe_join(accuracy(cells, keys), averages, keys)
+    cells = with_overall(confusion_cells(df, keys, truth, pred), stratum, ["n"], strata)
+    return average_scores(class_scores(cells, keys, labels), keys)
 
 
 def pivot_grid(

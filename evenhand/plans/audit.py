@@ -56,7 +56,7 @@ def stratified_audit(
     cells = reliable_checkpoint(metrics.with_overall(
         metrics.confusion_cells(main, KEYS), "stratum", ["n"], stratum_order), "cells")
     scores = metrics.class_scores(cells, KEYS, classes)
-    averages = null_safe_join(metrics.accuracy(cells, KEYS), metrics.average_scores(scores, KEYS).drop("n"), KEYS)
+    averages = metrics.average_scores(scores, KEYS)
     per_class = metrics.wide_class_scores(scores, KEYS, classes)
     auc = roc.stratified_auc(main, ["model"], "stratum", prob_classes, stratum_order)
     auc = roc.macro_auc(auc.where(F.col("class").isin(list(classes))), KEYS)
