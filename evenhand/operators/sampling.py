@@ -94,7 +94,8 @@ def stratified_split(
     label = list(label)
     rows = df.withColumn("_h", hash32(F.col(item), seed=seed))
     if not label:
-        rows = rows.withColumn("_all", F.lit(1))
+        # Always 1, but not a constant to the optimizer, which would turn the joins below into cross joins.
+        rows = rows.withColumn("_all", F.when(F.col("_h") >= 0, 1))
     keys = label or ["_all"]
     sizes = split_sizes(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys, holdout, names)
     upto = F.lit(0).cast("bigint")
