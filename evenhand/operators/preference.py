@@ -49,6 +49,7 @@ def user_prompt() -> Column:
     """Prompt text of a classifier record, class scores in descending order."""
     lines = F.transform(ranked_scores(F.col("all_scores")), lambda e: F.concat(
         F.lit("  - "), e["class"], F.lit(": "), percent(e["score"]), F.lit("\n")))
+    # The wording between the fields.
     return F.concat(
         F.lit(PROMPT_HEAD),
         F.lit("**Predicted Classification:** "), F.col("predicted_name"), F.lit("\n"),
@@ -61,6 +62,7 @@ def user_prompt() -> Column:
 
 def teacher_prompt() -> Column:
     """Prompt text for the reasoning model, with the scores as JSON."""
+    # The wording between the fields.
     return F.concat(
         F.lit("Analyze this dermoscopic image with the following CNN classification output:\n\n"),
         F.lit("**Predicted Diagnosis:** "), F.col("predicted_name"), F.lit("\n"),

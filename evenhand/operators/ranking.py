@@ -116,16 +116,22 @@ def take_first(
 def sample_per_group(df: DataFrame, keys: Sequence[str], item: str, n: int, seed: int = SEED) -> DataFrame:
     """``n`` rows per group without replacement, by smallest seeded hash of ``item``.
 
-    For small ``n`` the rank filter is pruned before the shuffle (window group
-    limit), so at most ``n`` rows per group and input partition move. Larger
-    samples go through :func:`take_first`.
+    ``item`` must be unique within its group. For small ``n`` the cut of each group
+    comes from a rank filter that Spark prunes before the shuffle (window group
+    limit): at most ``n`` narrow rows per group and input partition move. Larger
+    samples go through :func:`take_first`. Either way wide rows are only compared
+    with the cut of their group.
     """
+    keys = list(keys)
     rows = df.withColumn("_h", hash32(F.col(item), seed=seed))
+    order = ["_h", item]
     threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if n <= threshold:
-        order = Window.partitionBy(*keys).orderBy("_h", item)
-        return rows.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= n).drop("_h", "_rn")
-    return take_first(rows, keys, ["_h", item], hash_bucket(F.col("_h")), n).drop("_h")
+    if not 0 < n <= threshold:
+        return take_first(rows, keys, order, hash_bucket(F.col("_h")), n).drop("_h")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    first = rows.select(*dict.fromkeys([*keys, *order])).withColumn("_rn", rank).where(F.col("_rn") <= n)
+    cuts = settle(first.groupBy(*keys).agg(F.max(F.struct(*order)).alias("_cut")), "cuts")
+    return null_safe_join(rows, cuts, keys).where(F.struct(*order) <= F.col("_cut")).drop("_h", "_cut")
 
 
 def value_cells(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -145,6 +145,8 @@ def pixel_features(bgr: np.ndarray, dark_threshold: float = 18.0, min_pixels: in
 def image_features(images: DataFrame, key: str = "path") -> DataFrame:
     """(key, feature columns) of decoded images, one row per image.
 
+    Arrow batches are limited in bytes (``spark.sql.execution.arrow.maxBytesPerBatch``),
+    so a worker holds a few large images at a time.
     ``dark_fraction`` is the plain share of dark pixels, without any
     morphological clean-up of the border mask.
     """

@@ -144,3 +144,22 @@ def test_repeat_rows_in_chunks(spark):
         F.count("*").alias("n"), F.min("copy").alias("lo"), F.max("copy").alias("hi"), F.count_distinct("copy").alias("d"))
     assert {r["id"]: (r["n"], r["lo"], r["hi"], r["d"]) for r in got.collect()} == {
         2: (1, 1, 1, 1), 3: (10000, 1, 10000, 10000), 4: (4096, 1, 4096, 4096), 5: (4097, 1, 4097, 4097)}
+
+
+@pytest.mark.parametrize("operator", ["split", "sample", "cap"])
+def test_wide_rows_are_not_shuffled(spark, operator):
+    """With a limit below the input's size the cuts are written, and the last step is a broadcast join."""
+    wide = spark.range(300_000).selectExpr("id", "if(id % 3 = 0, 'hot', concat('k', id % 5)) as label", "repeat('x', 50) as body")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100KB")
+    try:
+        result = {
+            "split": lambda: sampling.stratified_split(wide, ["label"], "id", [0.2], ["train", "val"]),
+            "sample": lambda: sampling.sample_per_class(wide, "label", "id", 100),
+            "cap": lambda: sampling.cap_per_class(wide, "label", "id", 30_000),
+        }[operator]()
+        plan = result._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Window" not in plan
+        expected = {"split": 300_000, "sample": 600, "cap": 180_000}[operator]
+        assert result.count() == expected
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
