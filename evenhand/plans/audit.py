@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from evenhand.functions.labels import stem
 from evenhand.operators import audit, inference, joins, metrics, roc
 from evenhand.operators.ranking import null_safe_join
-from evenhand.schemas import STRATA
+from evenhand.schemas import EVAL_CLASSES, MODEL_CLASSES, STRATA, nan_to_null, require_columns
 from evenhand.session import reliable_checkpoint
+from evenhand.sources import sinks, tables
 
 KEYS = ["model", "stratum"]
 
@@ -25,7 +27,6 @@ class AuditTables:
     source_composition: DataFrame | None
     sensitivity_metrics: DataFrame
     sensitivity_intervals: DataFrame
-    extra: dict[str, DataFrame] = field(default_factory=dict)
 
     def items(self) -> dict[str, DataFrame]:
         """Result tables by name, those that were made."""
@@ -83,3 +84,55 @@ def stratified_audit(
         sensitivity_metrics=metrics.average_scores(metrics.class_scores(strict, strict_keys, classes), strict_keys),
         sensitivity_intervals=inference.bootstrap_macro_f1(strict, strict_keys, classes, draws),
     )
+
+
+def read_truth(spark: SparkSession, path: str, classes: Sequence[str], include_unknown: bool = False) -> DataFrame:
+    """(image_id, true_class) of a one-hot CSV; the id column is found by name."""
+    names = tables.csv_header(spark, path)
+    item = next((c for c in joins.TRUTH_ID_COLUMNS if c in names), names[0])
+    unknown = "UNK" if "UNK" in names and "UNK" not in classes else None
+    schema = T.StructType().add(item, "string")
+    for c in [*classes, *([unknown] if unknown else [])]:
+        schema = schema.add(c, "double")
+    rows = tables.read_csv(spark, path, schema, [item, *classes])
+    return joins.label_ground_truth(rows, classes, item, include_unknown=include_unknown)
+
+
+def read_strata(spark: SparkSession, path: str) -> DataFrame:
+    """(image_id, stratum, confidence, flag) of a stratum CSV; the id may come from the file name."""
+    names = tables.csv_header(spark, path)
+    columns = [("image_id", "string"), ("file", "string"), ("mst_name", "string"), ("confidence_val", "double"),
+               ("has_vignette", "boolean")]
+    schema = T.StructType()
+    for name, kind in columns:
+        schema = schema.add(name, kind)
+    required = ["mst_name", "confidence_val", "image_id" if "image_id" in names else "file"]
+    rows = tables.read_csv(spark, path, schema, required)
+    return rows.select(
+        F.coalesce("image_id", stem(F.col("file"))).alias("image_id"), F.col("mst_name").alias("stratum"),
+        F.col("confidence_val").alias("confidence"), F.col("has_vignette").alias("flag"))
+
+
+def audit_from_files(
+    spark: SparkSession, truth_csv: str, strata_csv: str, prediction_folder: str, out: str,
+    models: Sequence[str], baseline: str, classes: Sequence[str] = EVAL_CLASSES,
+    model_classes: Sequence[str] = MODEL_CLASSES, metadata_csv: str | None = None, include_unknown: bool = False,
+    without_flagged: bool = False, thresholds: Sequence[float] = (0.6, 0.8), draws: int = 1000,
+) -> AuditTables:
+    """The audit from CSV files to one CSV folder per result table below ``out``."""
+    listed = [*classes, "UNK"] if include_unknown else list(classes)
+    truth = read_truth(spark, truth_csv, classes, include_unknown)
+    raw = tables.read_predictions(spark, prediction_folder, model_classes, models)
+    predictions = joins.long_predictions(raw, model_classes)
+    metadata = None
+    if metadata_csv is not None:
+        loose = nan_to_null(spark.read.option("header", True).csv(metadata_csv))
+        item = joins.detect_column(loose, ["image", "isic_id", "image_id"], required=False) or loose.columns[0]
+        metadata = loose.withColumnRenamed(item, "image_id")
+    job = stratified_audit(
+        require_columns(read_strata(spark, strata_csv), ["image_id"]), truth, predictions, models, baseline, listed,
+        model_classes, thresholds=thresholds, exclude_flag="flag" if without_flagged else None, metadata=metadata,
+        draws=draws)
+    for name, table in job.items().items():
+        sinks.write_csv(table, f"{out.rstrip('/')}/{name}")
+    return job

@@ -13,8 +13,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from evenhand.functions import labels as L
 from evenhand.functions.arrays import border_positions, centre_positions
-from evenhand.functions.labels import stem
+from evenhand.operators.realism import robust_consensus
 
 IMAGE_PATTERN = "*.{jpg,jpeg,png,JPG,JPEG,PNG,bmp,BMP}"
 
@@ -26,7 +27,7 @@ def list_images(spark: SparkSession, folder: str, pattern: str = IMAGE_PATTERN,
         .option("recursiveFileLookup", str(recursive).lower()).load(folder)
     )
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select("path", name.alias("file"), stem(F.col("path")).alias("stem"), "length")
+    return files.select("path", name.alias("file"), L.stem(F.col("path")).alias("stem"), "length")
 
 
 def resolve_paths(
@@ -165,3 +166,69 @@ def image_features(images: DataFrame, key: str = "path") -> DataFrame:
 
 def vignette_flag(dark_fraction: Column, min_fraction: float = 0.02) -> Column:
     return dark_fraction >= min_fraction
+
+
+# --- patches -----------------------------------------------------------------
+
+def patch_corners(valid: np.ndarray, patch: int, margin: int, min_valid: float) -> list[tuple[int, int]]:
+    """Same rule as ``realism.patch_positions`` for a boolean pixel mask."""
+    height, width = valid.shape
+
+    def clip(y: int, x: int) -> tuple[int, int]:
+        return max(0, min(y, height - patch)), max(0, min(x, width - patch))
+
+    def usable(spots: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        return [(y, x) for y, x in spots if valid[y:y + patch, x:x + patch].mean() >= min_valid]
+
+    low, high = (margin, margin), (height - patch - margin, width - patch - margin)
+    middle = (height // 2 - patch // 2, width // 2 - patch // 2)
+    edges = [clip(y, x) for y, x in [
+        (low[0], low[1]), (low[0], high[1]), (high[0], low[1]), (high[0], high[1]),
+        (low[0], middle[1]), (high[0], middle[1]), (middle[0], low[1]), (middle[0], high[1])]]
+    kept = usable(edges)
+    if not kept and valid.any():
+        ys, xs = np.nonzero(valid)
+        radius = int(0.35 * min(height, width))
+        turns = np.radians(np.arange(0, 360, 45))
+        kept = usable([
+            clip(int(int(ys.mean()) + radius * np.sin(t)) - patch // 2, int(int(xs.mean()) + radius * np.cos(t)) - patch // 2)
+            for t in turns])
+    return kept or edges
+
+
+def patch_angles(
+    images: DataFrame, key: str = "path", patch: int = 32, margin: int = 10,
+    dark_threshold: float = 18.0, min_valid: float = 0.95,
+) -> DataFrame:
+    """(key, patch_no, ita): median typology angle of up to eight patches per image, dark border avoided."""
+
+    def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for k, h, w, c, d in zip(batch[key], batch["height"], batch["width"], batch["channels"], batch["data"]):
+                bgr = to_bgr(d, h, w, c)
+                valid = np.rint(bgr @ np.array([0.114, 0.587, 0.299])) > dark_threshold
+                size = min(patch, h, w)
+                for number, (y, x) in enumerate(patch_corners(valid, size, margin, min_valid)):
+                    lab = bgr_to_lab(bgr[y:y + size, x:x + size])
+                    angle = np.degrees(np.arctan2(lab[..., 0] / 2.55 - 50.0, lab[..., 2] - 128.0))
+                    rows.append([k, number, float(np.median(angle))])
+            yield pd.DataFrame(rows, columns=[key, "patch_no", "ita"])
+
+    return images.select(key, "height", "width", "channels", "data").mapInPandas(
+        compute, f"`{key}` string, patch_no int, ita double")
+
+
+def tone_by_angle(images: DataFrame, key: str = "path", max_spread: float = 15.0, **patches) -> DataFrame:
+    """(key, method, ita, ita_std, mst10_class, mst5_class, mst_name, confidence) by patch consensus.
+
+    Images without a usable angle keep a row with unknown classes.
+    """
+    angles = robust_consensus(patch_angles(images, key, **patches), [key], "ita")
+    rows = images.select(key).join(angles, key, "left").withColumnRenamed("median", "ita")
+    mst5 = L.ita_to_mst5(F.col("ita"))
+    return rows.select(
+        key, F.lit("multi_patch").alias("method"), "ita", F.coalesce("std", F.lit(0.0)).alias("ita_std"),
+        L.ita_to_mst10(F.col("ita")).alias("mst10_class"), mst5.alias("mst5_class"), L.mst5_name(mst5).alias("mst_name"),
+        L.tier(F.coalesce("std", F.lit(0.0)), max_spread, high_if_below=True).alias("confidence"),
+    )

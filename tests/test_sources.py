@@ -10,8 +10,9 @@ from pyspark.sql import functions as F, types as T
 
 from evenhand.functions.text import Lexicon
 from evenhand.operators import realism
-from evenhand.plans.audit import stratified_audit
+from evenhand.plans.audit import audit_from_files, stratified_audit
 from evenhand.plans.curation import build_pairs, curate_records
+from evenhand.plans.manifest import dual_rater_manifest, single_rater_manifest
 from evenhand.schemas import CLASS_LABELS, CONVERSATION, MissingColumnsError
 from evenhand.session import new_work_path, reliable_checkpoint, shared_dir
 from evenhand.sources import images, sinks, tables
@@ -202,6 +203,82 @@ def test_audit_job(spark):
     assert set(job.items()) >= {"metrics", "grid", "intervals", "mcnemar", "class_composition"}
 
 
+def test_audit_from_files(spark, tmp_path):
+    classes, space = ["MEL", "NV"], ["MEL", "NV", "UNK"]
+    truth, strata = ["image,MEL,NV,UNK"], ["file,mst_name,confidence_val,has_vignette"]
+    preds = {m: ["image_id,pred_idx,prob_MEL,prob_NV,prob_UNK"] for m in ("orig", "best")}
+    for i in range(60):
+        k, unk = i % 2, i % 10 == 9
+        truth.append(f"i{i},{float(k == 0)},{float(k == 1)},{float(unk)}")
+        strata.append(f"i{i}.jpg,{'Light' if i % 3 else 'Dark'},{0.95 if i % 5 else 0.65},{'True' if i == 0 else 'False'}")
+        preds["best"].append(f"i{i},{k},{0.9 - 0.8 * k},{0.1 + 0.8 * k},0.0")
+        preds["orig"].append(f"i{i},{2 if i % 7 == 0 else k},0.4,0.4,0.2")
+    (tmp_path / "truth.csv").write_text("\n".join(truth))
+    (tmp_path / "strata.csv").write_text("\n".join(strata))
+    for m, lines in preds.items():
+        (tmp_path / f"{m}_predictions.csv").write_text("\n".join(lines))
+    (tmp_path / "meta.csv").write_text("isic_id,attribution\n" + "\n".join(f"i{i},site{i % 2}" for i in range(50)))
+
+    def run(out, **kw):
+        return audit_from_files(spark, str(tmp_path / "truth.csv"), str(tmp_path / "strata.csv"), str(tmp_path),
+                                str(tmp_path / out), ["orig", "best"], "orig", classes, space, draws=20, **kw)
+
+    rows = {(r["model"], r["stratum"]): r for r in run("out", metadata_csv=str(tmp_path / "meta.csv")).metrics.collect()}
+    assert rows[("best", "Overall")]["n"] == 54 and rows[("best", "Overall")]["macro_f1"] == 1.0
+    assert rows[("best", "Overall")]["macro_auc"] == 1.0 and rows[("orig", "Overall")]["macro_auc"] == 0.5
+    grid = spark.read.option("header", True).csv(str(tmp_path / "out" / "grid"))
+    assert grid.count() == 2 and set(grid.columns) == {"model", "Light", "Medium", "Dark", "Overall"}
+    sites = spark.read.option("header", True).csv(str(tmp_path / "out" / "source_composition"))
+    assert {"site0", "site1", "UNKNOWN"} == {r["source"] for r in sites.collect()}
+    unknown = {(r["model"], r["stratum"]): r for r in run("unk", include_unknown=True, without_flagged=True).metrics.collect()}
+    assert unknown[("best", "Overall")]["n"] == 59 and unknown[("best", "Overall")]["recall_UNK"] == 0.0
+
+
+def test_manifests(spark):
+    taxonomy = spark.createDataFrame(
+        [("STRICT", "melanoma", "MEL"), ("HIERARCHY", "melanoma", "MEL"), ("HIERARCHY", "mole", "NV")],
+        "arm string, raw_label string, label string")
+    listing = spark.createDataFrame([(f, f"/d/{f}") for f in ("a.png", "u2.jpg", "c.jpg", "7.JPG")], "file string, path string")
+    raw = spark.createDataFrame([
+        ("a", "melanoma", "2", "3", "http://www.DermaAmin.com/x", None), ("b", "mole", "5.0", "x", None, "u2"),
+        ("c", "mole", "7", "1", "http://o", None), ("c", "other", "1", "1", "http://o", None), ("gone", "mole", "1", "1", "http://o", None)],
+        "md5hash string, label string, fitzpatrick_scale string, fitzpatrick_centaur string, url string, url_alphanum string")
+    got = {(r["image_id"], r["mapping"]): r for r in dual_rater_manifest(raw, listing, taxonomy).collect()}
+    assert set(got) == {("a", "STRICT"), ("a", "HIERARCHY"), ("b", "HIERARCHY")}
+    a, b = got[("a", "STRICT")], got[("b", "HIERARCHY")]
+    assert (a["path"], a["true_class"], a["fst_tertile"], a["source"], a["fitzpatrick_centaur"]) == (
+        "/d/a.png", "MEL", "Light", "dermaamin", 3.0)
+    assert (b["path"], b["fst_tertile"], b["source"], b["fitzpatrick_centaur"]) == ("/d/u2.jpg", "Dark", "unknown", None)
+    single = spark.createDataFrame([(7, "melanoma", "0", None), (7, "mole", "5", "s"), (8, "mole", "1", "s")],
+                                   "isic_id int, dx string, skin_tone_class string, attribution string")
+    got = single_rater_manifest(single, listing, taxonomy, "dx", ["HIERARCHY"]).orderBy("skin_tone_class").collect()
+    assert [(r["image_id"], r["tone_tertile"], r["source"]) for r in got] == [("7", "Dark", "unknown"), ("7", "Light", "s")]
+
+
+def test_patch_angles_and_tone(spark, image_folder):
+    decoded = images.read_images(spark, str(image_folder))
+    got = {r["path"].rsplit("/", 1)[1]: r for r in images.tone_by_angle(decoded, patch=8, margin=2).collect()}
+    skin = got["skin.png"]
+    assert skin["ita"] == pytest.approx(np.degrees(np.arctan2(69.5 - 50, 22.9)), abs=1.5)
+    assert skin["ita_std"] == 0.0 and skin["confidence"] == "high" and skin["mst_name"] == "Light (MST 3-4)"
+    assert got["dark.png"]["ita"] == pytest.approx(skin["ita"])  # the dark band is avoided
+    patches = images.patch_angles(decoded, patch=8, margin=2).groupBy("path").count().collect()
+    assert {r["path"].rsplit("/", 1)[1]: r["count"] for r in patches} == {"skin.png": 8, "green.png": 8, "dark.png": 5}
+
+
+def test_patch_rule_is_the_same_for_columns_and_pixels(spark):
+    rng = np.random.default_rng(2)
+    masks = []
+    for n in range(40):
+        y, x = np.mgrid[0:60, 0:80]
+        cy, cx, r = rng.integers(15, 45), rng.integers(20, 60), rng.integers(0, 60)
+        masks.append((y - cy) ** 2 + (x - cx) ** 2 < r * r)
+    df = spark.createDataFrame([(n, m.ravel().tolist()) for n, m in enumerate(masks)], "n int, mask array<boolean>")
+    spots = realism.patch_positions(F.col("mask"), F.lit(60), F.lit(80), patch=12, margin=6)
+    for r in df.select("n", spots.alias("s")).collect():
+        assert [tuple(s) for s in r["s"]] == images.patch_corners(masks[r["n"]], 12, 6, 0.95)
+
+
 def test_curation_job(spark):
     text = "alpha beta maybe " + "word " * 60
     rows = [(f"i{i}", text if i % 4 else "alpha", "mel" if i % 2 else "nv", "upper", "n", 0.5, {"a": 0.5}, "weak", "/p", "/o")
