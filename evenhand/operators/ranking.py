@@ -62,29 +62,33 @@ def number_rows(
 
 
 def cut_points(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, limits: DataFrame, limit: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
+    limits: DataFrame | int, limit: str = "limit",
 ) -> DataFrame:
     """The ``limit``-th row of each group as a struct ``cut`` of the order columns.
 
-    ``limits`` holds the group keys, the limit and any further columns, which are
-    carried along; several limits per group are allowed. Limits below 1 or above
-    the group size give no row. Only the one bucket that a limit falls into is
-    sorted, and only keys and order columns are read.
+    ``limits`` is one number for all groups, or a table of the group keys, the limit
+    and any further columns, which are carried along; several limits per group are
+    allowed. Limits below 1 or above the group size give no row. Only the one bucket
+    that a limit falls into is sorted, and only keys and order columns are read.
     """
-    slim = df.select(*keys, *[c for c in order if c not in keys], bucket.alias("_b"))
+    slim = df.select(*dict.fromkeys([*keys, *order]), bucket.alias("_b"))
     offsets = bucket_offsets(slim, keys, "_b")
-    named = limits.withColumnRenamed(limit, "_limit")
+    if isinstance(limits, int):
+        extra = []
+        candidates = offsets.withColumn("_limit", F.lit(limits).cast("bigint"))
+    else:
+        named = limits.withColumnRenamed(limit, "_limit")
+        extra = [c for c in named.columns if c not in keys and c != "_limit"]
+        candidates = null_safe_join(offsets, named, keys)
     wanted = (
-        null_safe_join(offsets, named, keys)
-        .where((F.col("_off") < F.col("_limit")) & (F.col("_limit") <= F.col("_off") + F.col("_n")))
-        .withColumn("_need", F.col("_limit") - F.col("_off"))
-        .drop("_n", "_off")
+        candidates.where((F.col("_off") < F.col("_limit")) & (F.col("_limit") <= F.col("_off") + F.col("_n")))
+        .withColumn("_need", F.col("_limit") - F.col("_off")).drop("_n", "_off")
     )
     inside = Window.partitionBy(*keys, "_b").orderBy(*order)
     needed = null_safe_join(slim, wanted.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi")
     ranked = needed.withColumn("_rn", F.row_number().over(inside))
     found = null_safe_join(ranked, wanted, [*keys, "_b"]).where(F.col("_rn") == F.col("_need"))
-    extra = [c for c in named.columns if c not in keys and c != "_limit"]
     return found.select(*keys, *extra, F.col("_limit").alias(limit), F.struct(*order).alias("cut"))
 
 
@@ -100,17 +104,18 @@ def take_first(
 
     ``order`` must identify a row within its group. Only keys and order columns are
     read to find one cut per group; wide rows are then compared with the cuts and
-    are not shuffled as long as the table of cuts can be broadcast.
+    are not shuffled as long as the table of cuts can be broadcast. Groups that a
+    table of limits does not list are left out.
     """
-    rows = df.withColumn("_b", bucket)
+    before_cut = F.col("cut").isNull() | (F.struct(*order) <= F.col("cut"))
     if isinstance(limits, int):
-        limits = rows.select(*keys).distinct().withColumn(limit, F.lit(limits).cast("bigint"))
+        if limits <= 0:
+            return df.where(F.lit(False))
+        cuts = settle(cut_points(df, keys, order, bucket, limits).select(*keys, "cut"), "cuts")
+        return null_safe_join(df, cuts, keys, "left").where(before_cut).drop("cut")
     cuts = cut_points(df, keys, order, bucket, limits, limit).select(*keys, "cut")
     table = settle(null_safe_join(limits.select(*keys, limit), cuts, keys, "left"), "cuts")
-    kept = null_safe_join(rows, table, keys).where(
-        (F.col(limit) > 0) & (F.col("cut").isNull() | (F.struct(*order) <= F.col("cut")))
-    )
-    return kept.drop("_b", "cut", limit)
+    return null_safe_join(df, table, keys).where((F.col(limit) > 0) & before_cut).drop("cut", limit)
 
 
 def sample_per_group(df: DataFrame, keys: Sequence[str], item: str, n: int, seed: int = SEED) -> DataFrame:
