@@ -85,6 +85,7 @@ def cut_points(
         candidates.where((F.col("_off") < F.col("_limit")) & (F.col("_limit") <= F.col("_off") + F.col("_n")))
         .withColumn("_need", F.col("_limit") - F.col("_off")).drop("_n", "_off")
     )
+    wanted = settle(wanted, "wanted")  # a few buckets: only their rows are shuffled below
     inside = Window.partitionBy(*keys, "_b").orderBy(*order)
     needed = null_safe_join(slim, wanted.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi")
     ranked = needed.withColumn("_rn", F.row_number().over(inside))
@@ -156,10 +157,11 @@ def exact_quantiles(
     Same result as ``percentile``, whose state is a map of all distinct values of
     a group in one task; here each wanted rank is narrowed down digit by digit.
     NULL and NaN are ignored. With ``weight`` the rows are distinct values that
-    stand for that many rows, as from :func:`value_cells`.
+    stand for that many rows, as from :func:`value_cells`. Large inputs are reduced
+    to distinct values once and written; each level then scans these.
     """
     keys = list(keys)
-    cells = value_cells(df, keys, value) if weight is None else df.withColumnRenamed(weight, "n")
+    cells = settle(value_cells(df, keys, value), "values") if weight is None else df.withColumnRenamed(weight, "n")
     coarse, fine = digits(F.col("_v"))
     cells = cells.select(*keys, F.col(value).alias("_v"), F.col("n").alias("_n")).withColumns(
         {"_c": coarse, "_f": fine})
@@ -179,6 +181,7 @@ def exact_quantiles(
     target = ["prob", "_exact", "_side", "_pos"]
     wanted = level1.select(*keys, "_c", "_n", "_off", ranks).where(inside).select(
         *keys, "_c", *target, F.col("_off").alias("_base"))
+    wanted = settle(wanted, "wanted")
 
     # Level 2: the fine digit; only cells of the wanted coarse digits go on.
     near = null_safe_join(cells, wanted, [*keys, "_c"])
@@ -187,6 +190,7 @@ def exact_quantiles(
     before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_f")) - F.col("_n")
     wanted2 = level2.withColumn("_off", F.col("_base") + before).where(inside).select(
         *keys, "_c", "_f", *target, F.col("_off").alias("_base"))
+    wanted2 = settle(wanted2, "wanted")
 
     # Level 3: the value itself.
     last = null_safe_join(cells, wanted2, [*keys, "_c", "_f"])

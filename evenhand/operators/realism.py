@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from evenhand.functions.arrays import bind, mean
 from evenhand.operators.ranking import exact_quantiles, null_safe_join, value_cells
+from evenhand.session import settle
 
 # Fixed values: (reason, feature, lower bound, upper bound) in rule order. A rule
 # fires when the feature lies strictly between the bounds.
@@ -141,11 +142,12 @@ def robust_consensus(df: DataFrame, keys: Sequence[str], value: str, fence: floa
     kept; a single value has spread 0.
     """
     v = F.col(value)
-    cells = value_cells(df, keys, value)
+    cells = settle(value_cells(df, keys, value), "values")
     bounds = exact_quantiles(cells, keys, value, [0.25, 0.75], weight="n").groupBy(*keys).agg(
         F.max(F.when(F.col("prob") == 0.25, F.col("quantile"))).alias("_q1"),
         F.max(F.when(F.col("prob") == 0.75, F.col("quantile"))).alias("_q3"),
     )
+    bounds = settle(bounds, "bounds")
     reach = fence * (F.col("_q3") - F.col("_q1"))
     # The interquartile values always lie inside the fence, so a group never loses all rows.
     fenced = null_safe_join(cells, bounds, keys).withColumn(

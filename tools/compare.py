@@ -84,11 +84,14 @@ def main() -> int:
     parser = argparse.ArgumentParser()
     parser.add_argument("--sf", default="/root/testdata/sf0.01")
     parser.add_argument("--module", default=None)
+    parser.add_argument("--broadcast", default=None, help="broadcast threshold, e.g. 1KB to take the paths for large tables")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
     from catalog import QUERIES, SQL
 
     spark, con = session(), connect(args.sf)
+    if args.broadcast:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", args.broadcast)
     names = args.names or list(QUERIES)
     if args.module:
         import importlib
