@@ -229,7 +229,7 @@ _angles = ", ".join(
 PATCH_SQL = I.ARRAYS_SQL + f""",
 mask AS (SELECT item_id, i // 8 AS y, i % 8 AS x FROM cells WHERE v > -0.08),
 ids AS (SELECT item_id FROM arrays),
-edge0(o, y, x) AS (VALUES (0, 1, 1), (1, 1, 5), (2, 5, 1), (3, 5, 5), (4, 1, 3), (5, 5, 3), (6, 3, 1), (7, 3, 5)),
+edge0(o, y, x) AS (VALUES (0, 1, 1), (1, 1, 3), (2, 1, 5), (3, 3, 1), (4, 3, 5), (5, 5, 1), (6, 5, 3), (7, 5, 5)),
 edges AS (SELECT item_id, 'edge' AS kind, o, y, x FROM ids CROSS JOIN edge0),
 centre AS (SELECT item_id, trunc(avg(y)) AS cy, trunc(avg(x)) AS cx FROM mask GROUP BY item_id),
 angles(o, a) AS (VALUES {_angles}),

@@ -334,14 +334,14 @@ def listed_and_unlisted(spark, sf_dir):
 
 SYNTHETIC_SQL = f"WITH{I.ITEMS_SQL}" + """,
 manifest AS (SELECT 'x' || item_id || '.jpg' AS output_name, item_id AS source_id, 'Dark' AS target_class FROM items
-             WHERE stratum = 'Light' AND item_id % 4 = 0),
+             WHERE stratum = 'Light'),
 synthetic AS (SELECT 'aug_' || output_name AS image_id, true_class, target_class || '/' || output_name AS path
               FROM manifest JOIN items ON source_id = item_id)"""
 
 
 def _synthetic(spark, sf_dir):
     items = I.embedding_items(spark, sf_dir)
-    manifest = items.where((F.col("stratum") == "Light") & (F.col("item_id") % 4 == 0)).select(
+    manifest = items.where(F.col("stratum") == "Light").select(
         F.concat(F.lit("x"), F.col("item_id").cast("string"), F.lit(".jpg")).alias("output_name"),
         F.col("item_id").alias("source_id"), F.lit("Dark").alias("target_class"))
     truth = items.select(F.col("item_id").alias("image_id"), "true_class")

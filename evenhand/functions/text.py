@@ -60,6 +60,15 @@ DEFINITIVE_PHRASES = [
     "this is definitely", "this is certainly", "i diagnose", "the diagnosis is confirmed",
     "no doubt", "without question",
 ]
+# Status texts of the region and language checks.
+NO_REGION = "No spatial region in metadata, assuming pass"
+ANY_REGION = "diffuse activation: any spatial reference acceptable"
+NO_CLAIMS = "no spatial claims in text"
+ALIGNED = "spatial references aligned"
+CLASH = ('Text says "', '" but Grad-CAM shows "', '"')
+TOO_DEFINITIVE = "contains definitive diagnostic language"
+NO_HEDGE = "missing hedging/safety language"
+APPROPRIATE = "appropriate clinical language"
 
 
 @dataclass(frozen=True)
@@ -156,14 +165,14 @@ def region_conflicts(lowered: Column, focus: Column, lexicon: Lexicon) -> Column
 def spatial_status(conflicts: Column, regions: Column, focus: Column) -> Column:
     """Reason text of the region check."""
     clash = F.concat_ws("; ", F.transform(
-        conflicts, lambda r: F.concat(F.lit('Text says "'), r, F.lit('" but Grad-CAM shows "'), focus, F.lit('"'))
+        conflicts, lambda r: F.concat(F.lit(CLASH[0]), r, F.lit(CLASH[1]), focus, F.lit(CLASH[2]))
     ))
     return (
-        F.when(focus.isNull(), F.lit("No spatial region in metadata, assuming pass"))
-        .when(focus == "diffuse", F.lit("diffuse activation: any spatial reference acceptable"))
-        .when(F.size(regions) == 0, F.lit("no spatial claims in text"))
+        F.when(focus.isNull(), F.lit(NO_REGION))
+        .when(focus == "diffuse", F.lit(ANY_REGION))
+        .when(F.size(regions) == 0, F.lit(NO_CLAIMS))
         .when(F.size(conflicts) > 0, clash)
-        .otherwise(F.lit("spatial references aligned"))
+        .otherwise(F.lit(ALIGNED))
     )
 
 
@@ -175,7 +184,6 @@ def word_count(text: Column) -> Column:
 def safety_problem(lowered: Column, lexicon: Lexicon) -> Column:
     """NULL if the text hedges and claims nothing definitive, else what is wrong."""
     return (
-        F.when(any_of(lowered, lexicon.definitive, lexicon.word_boundary),
-               F.lit("contains definitive diagnostic language"))
-        .when(~any_of(lowered, lexicon.hedges, lexicon.word_boundary), F.lit("missing hedging/safety language"))
+        F.when(any_of(lowered, lexicon.definitive, lexicon.word_boundary), F.lit(TOO_DEFINITIVE))
+        .when(~any_of(lowered, lexicon.hedges, lexicon.word_boundary), F.lit(NO_HEDGE))
     )

@@ -137,7 +137,7 @@ def score_details() -> Column:
         F.struct(F.col("pass_spatial").alias("pass"), F.col("spatial_status").alias("reason")).alias("spatial"),
         F.struct(F.col("pass_length").alias("pass"), F.col("word_count")).alias("length"),
         F.struct(F.col("pass_safety").alias("pass"), F.coalesce(
-            "safety_problem", F.lit("appropriate clinical language")).alias("reason")).alias("safety"),
+            "safety_problem", F.lit(tx.APPROPRIATE)).alias("reason")).alias("safety"),
     )
 
 

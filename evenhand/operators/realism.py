@@ -65,6 +65,9 @@ def cascade(options: Sequence[tuple[str, Column, Column]], fallback: tuple[str,
     return result.otherwise(F.struct(F.lit(fallback[0]).alias("method"), fallback[1].alias("value")))
 
 
+EDGE_GRID = [(r, c) for r in range(3) for c in range(3) if (r, c) != (1, 1)]
+
+
 def _clip(value: Column, high: Column) -> Column:
     return F.greatest(F.lit(0), F.least(value, high))
 
@@ -74,14 +77,16 @@ def _position(y: Column, x: Column) -> Column:
 
 
 def edge_positions(height: Column, width: Column, patch: int, margin: int) -> Column:
-    """Eight patch corners: four image corners, then top, bottom, left and right middle."""
-    top, left = F.lit(margin), F.lit(margin)
-    bottom, right = height - patch - margin, width - patch - margin
-    mid_y = F.floor(height / 2) - patch // 2
-    mid_x = F.floor(width / 2) - patch // 2
-    corners = [(top, left), (top, right), (bottom, left), (bottom, right),
-               (top, mid_x), (bottom, mid_x), (mid_y, left), (mid_y, right)]
-    return F.array(*[_position(_clip(y, height - patch), _clip(x, width - patch)) for y, x in corners])
+    """Eight patch corners: a three by three grid inside the margin, without its middle, row by row."""
+
+    def stops(length: Column) -> list[Column]:
+        return [F.lit(margin), F.floor(length / 2) - patch // 2, length - patch - margin]
+
+    rows, columns = stops(height), stops(width)
+    return F.array(*[
+        _position(_clip(rows[r], height - patch), _clip(columns[c], width - patch))
+        for r, c in EDGE_GRID
+    ])
 
 
 def circle_positions(mask: Column, height: Column, width: Column, patch: int) -> Column:

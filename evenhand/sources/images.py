@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evenhand.functions import labels as L
 from evenhand.functions.arrays import border_positions, centre_positions
-from evenhand.operators.realism import robust_consensus
+from evenhand.operators.realism import EDGE_GRID, robust_consensus
 
 IMAGE_PATTERN = "*.{jpg,jpeg,png,JPG,JPEG,PNG,bmp,BMP}"
 
@@ -180,11 +180,8 @@ def patch_corners(valid: np.ndarray, patch: int, margin: int, min_valid: float)
     def usable(spots: list[tuple[int, int]]) -> list[tuple[int, int]]:
         return [(y, x) for y, x in spots if valid[y:y + patch, x:x + patch].mean() >= min_valid]
 
-    low, high = (margin, margin), (height - patch - margin, width - patch - margin)
-    middle = (height // 2 - patch // 2, width // 2 - patch // 2)
-    edges = [clip(y, x) for y, x in [
-        (low[0], low[1]), (low[0], high[1]), (high[0], low[1]), (high[0], high[1]),
-        (low[0], middle[1]), (high[0], middle[1]), (middle[0], low[1]), (middle[0], high[1])]]
+    rows, columns = ([margin, length // 2 - patch // 2, length - patch - margin] for length in (height, width))
+    edges = [clip(rows[r], columns[c]) for r, c in EDGE_GRID]
     kept = usable(edges)
     if not kept and valid.any():
         ys, xs = np.nonzero(valid)
