@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from evenhand.functions.hashing import hash32
 from evenhand.llm.bpe import decode, encode
+from evenhand.llm.language import identify
 from evenhand.llm.mixing import mix
 from evenhand.llm.registry import QUERIES, SQL, query, table, tokenizer_file
+from evenhand.llm.texts import remainder
 from evenhand.llm.token_count import token_counts
+from evenhand.llm.toxicity import score
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -63,6 +67,37 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def toxic_labels(spark: SparkSession, sf_dir: str, docs: DataFrame, most: int = 12_000) -> DataFrame:
+    """(doc_id, text, toxic) of about ``most`` labelled documents outside the held-out fifth.
+
+    Labels are narrow and cut by a hash of doc_id before they meet the texts, so the
+    broadcast side has about ``most`` rows whatever the input.
+    """
+    labels = table(spark, sf_dir, "labels").where(
+        (remainder("doc_id", 5) != 0) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
+    n = labels.count()
+    chosen = labels if n <= most else labels.where(
+        hash32(F.col("doc_id"), seed=7) < F.lit(int(2 ** 32 * most / n)))
+    one_each = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return docs.select("doc_id", "text").join(F.broadcast(one_each), "doc_id")
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents")
+    judged = score(docs, toxic_labels(spark, sf_dir, docs), max_examples=24_000)
+    return judged.withColumn("held_out", remainder("doc_id", 5) == 0)
+
+
+@query("op5_language")
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from documents outside the held-out quarter."""
+    docs = table(spark, sf_dir, "documents")
+    judged = identify(docs, docs.where(remainder("doc_id", 4) != 2))
+    return judged.withColumn("held_out", remainder("doc_id", 4) == 2)
+
+
 @query("op10_bpe")
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
