@@ -9,6 +9,7 @@ from evenhand.llm.bpe import decode, encode
 from evenhand.llm.language import identify
 from evenhand.llm.mixing import mix
 from evenhand.llm.registry import QUERIES, SQL, query, table, tokenizer_file
+from evenhand.llm.simhash import near_classes
 from evenhand.llm.texts import remainder
 from evenhand.llm.token_count import token_counts
 from evenhand.llm.toxicity import score
@@ -98,6 +99,12 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("held_out", remainder("doc_id", 4) == 2)
 
 
+@query("op7_simhash")
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; fingerprints link at 2 differing bits or fewer."""
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 @query("op10_bpe")
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
