@@ -8,6 +8,8 @@ from evenhand.functions.hashing import hash32
 from evenhand.llm.bpe import decode, encode
 from evenhand.llm.language import identify
 from evenhand.llm.mixing import mix
+from evenhand.llm.near_vectors import near_vectors
+from evenhand.llm.neighbours import nearest
 from evenhand.llm.registry import QUERIES, SQL, query, table, tokenizer_file
 from evenhand.llm.simhash import near_classes
 from evenhand.llm.texts import remainder
@@ -99,12 +101,25 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("held_out", remainder("doc_id", 4) == 2)
 
 
+@query("op6_near_vectors")
+def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and kept flag of every vector at a cosine of 0.9 or more."""
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query("op7_simhash")
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document; fingerprints link at 2 differing bits or fewer."""
     return near_classes(table(spark, sf_dir, "documents"))
 
 
+@query("op8_neighbours")
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector among all others, by inner product."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 @query("op10_bpe")
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
