@@ -29,7 +29,7 @@ from evenhand.llm.texts import bounded_batches, byte_groups, coded_words, gather
 from evenhand.session import reliable_checkpoint
 
 FREQUENT_WORDS = 1 << 17  # bound on the lexicon: words that make up 1 / FREQUENT_WORDS of all words or more
-KNOWN_WORDS = 1 << 18  # merged words kept between batches by one worker
+KNOWN_PIECES = 1 << 18  # merged pre-tokens kept between batches by one worker
 
 # Fixed values of the vocabulary's format: the pre-tokenizer's pattern and the special tokens.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -59,40 +59,50 @@ class Vocabulary:
             self.tokens[i] = token
         self.symbols = byte_symbols()
         self.pieces = regex.compile(PIECES)
+        self.known: dict[str, bytes] = {}
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
 
-    def merged(self, piece: str) -> list[int]:
-        """Ids of one pre-token: the pair of lowest rank is merged until none is left."""
+    def merged(self, piece: str) -> bytes:
+        """Packed ids of one pre-token: the leftmost pair of the lowest rank is merged until none is left."""
+        rank, none = self.rank.get, 1 << 40
         parts = [self.symbols[b] for b in piece.encode()]
         parts[-1] += WORD_END
-        while len(parts) > 1:
-            ranks = [self.rank.get(pair, 1 << 40) for pair in zip(parts, parts[1:])]
-            best = min(ranks)
-            if best == 1 << 40:
-                break
-            first, second = parts[at := ranks.index(best)], parts[at + 1]
-            joined, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and parts[i] == first and parts[i + 1] == second:
-                    joined.append(first + second)
-                    i += 2
-                else:
-                    joined.append(parts[i])
-                    i += 1
-            parts = joined
-        return [self.ids[p] for p in parts]
-
-    def encode_word(self, word: str) -> list[int]:
-        """Ids of a text without ASCII white space: special strings first, then the pieces of the rest."""
-        found: list[int] = []
-        for i, part in enumerate(self.marks.split(word)):
+        ranks = [rank(pair, none) for pair in zip(parts, parts[1:])]
+        while ranks and (best := min(ranks)) < none:
+            at = ranks.index(best)
+            parts[at] += parts.pop(at + 1)
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank((parts[at - 1], parts[at]), none)
+            if at < len(ranks):
+                ranks[at] = rank((parts[at], parts[at + 1]), none)
+        return np.array([self.ids[p] for p in parts], "<u4").tobytes()
+
+    def encode_piece(self, piece: str) -> bytes:
+        """Packed ids of one pre-token; merged ones are kept for the next time."""
+        found = self.known.get(piece)
+        if found is None:
+            if len(self.known) >= KNOWN_PIECES:
+                self.known.clear()
+            found = self.known[piece] = self.merged(piece)
+        return found
+
+    def encode_word(self, word: str) -> bytes:
+        """Packed ids of a text without ASCII white space: special strings first, then the pieces of the rest."""
+        found = []
+        for i, part in enumerate(self.marks.split(word) if "<|" in word else [word]):
             if i % 2:
-                found.append(self.special[part])
+                found.append(np.array([self.special[part]], "<u4").tobytes())
                 continue
-            lowered = "".join(c.lower() for c in unicodedata.normalize("NFC", part))
-            for piece in self.pieces.findall(lowered):
-                found += self.merged(piece)
-        return found
+            if not part.isascii():
+                part = unicodedata.normalize("NFC", part)
+            # Each character by itself: the lower case of a sigma must not depend on its place.
+            lowered = part.lower() if "\u03a3" not in part else "".join(c.lower() for c in part)
+            if lowered.isalpha():
+                found.append(self.encode_piece(lowered))
+            else:
+                found += map(self.encode_piece, self.pieces.findall(lowered))
+        return b"".join(found)
 
 
 @lru_cache(maxsize=2)
@@ -216,7 +226,7 @@ def publish_lexicon(docs: DataFrame, tokenizer_file: str, text: str = "text", bo
     """Compile the frequent words of ``docs`` and send the file to all executors; returns its name there."""
     vocab = vocabulary(tokenizer_file)
     words = frequent_words(docs, text, bound)
-    arrays = compile_lexicon([w.encode() for w in words], [vocab.encode_word(w) for w in words])
+    arrays = compile_lexicon([w.encode() for w in words], [np.frombuffer(vocab.encode_word(w), "<u4") for w in words])
     folder = tempfile.mkdtemp(prefix="lexicon-")
     path = f"{folder}/lexicon"
     write_lexicon(arrays, path)
@@ -236,7 +246,7 @@ class Encoder:
     def __init__(self, tokenizer_file: str, lexicon: Lexicon):
         self.vocab = vocabulary(tokenizer_file)
         self.lexicon = lexicon
-        self.known: dict[str, list[int]] = {}
+        self.listed = lexicon.ids.astype("<u4")
 
     def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all words one after the other, where each word's ids start, how many there are)."""
@@ -246,17 +256,10 @@ class Encoder:
         seen = rank >= 0
         starts[seen] = lex.starts[rank[seen]]
         sizes[seen] = lex.starts[rank[seen] + 1] - starts[seen]
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        unseen = np.flatnonzero(~seen)
-        merged: list[int] = []
-        for i, word in zip(unseen.tolist(), words.take(pa.array(unseen)).to_pylist()):
-            ids = self.known.get(word)
-            if ids is None:
-                ids = self.known[word] = self.vocab.encode_word(word)
-            starts[i], sizes[i] = len(lex.ids) + len(merged), len(ids)
-            merged += ids
-        return np.concatenate([lex.ids, np.array(merged, np.int64)]).astype("<u4"), starts, sizes
+        merged = [self.vocab.encode_word(w) for w in words.filter(pa.array(~seen)).to_pylist()]
+        sizes[~seen] = np.fromiter(map(len, merged), np.int64, len(merged)) // 4
+        starts[~seen] = len(self.listed) + np.cumsum(sizes[~seen]) - sizes[~seen]
+        return np.concatenate([self.listed, np.frombuffer(b"".join(merged), "<u4")]), starts, sizes
 
 
 def encode(docs: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str = "text",
