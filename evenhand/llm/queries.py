@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evenhand.functions.hashing import hash32
+from evenhand.llm import context_tree
 from evenhand.llm.bpe import decode, encode
 from evenhand.llm.language import identify
 from evenhand.llm.mixing import mix
@@ -15,6 +16,7 @@ from evenhand.llm.simhash import near_classes
 from evenhand.llm.texts import remainder
 from evenhand.llm.token_count import token_counts
 from evenhand.llm.toxicity import score
+from evenhand.llm.url_filter import BINS_PER_UNIT, FOLDS, MODEL_ROWS, ORDER, REACH, SMOOTHING, Rule, judge
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -63,6 +65,77 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+URL_RULES = [
+    Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"),
+    Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/"),
+]
+
+
+def url_sql() -> str:
+    """SQL of the URL verdicts: one pair of tables for each context length."""
+    rules = sorted(URL_RULES, key=lambda r: (len(r.host + r.path), r.verdict == "block"), reverse=True)
+    fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
+    case = lambda value: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{value(r)}'" for r in rules) + " ELSE NULL END"
+    levels, ratio, joins = [], "0.0", ""
+    for k in range(ORDER + 1):
+        end = f"substr(string, {ORDER + 1 - k}, {k + 1})"
+        q_a, q_b = ("q.p_a", "q.p_b") if k else ("1 / 256.0::DOUBLE", "1 / 256.0::DOUBLE")
+        shorter = f"JOIN l{k - 1} q ON q.string = substr(s.string, 2, {k})" if k else ""
+        levels.append(f"""
+seen{k} AS (SELECT {end} AS string, sum(a) AS a, sum(b) AS b FROM counts GROUP BY 1
+            HAVING (sum(a) + sum(b)) * {MODEL_ROWS} >= (SELECT sum(a) + sum(b) FROM counts)),
+after{k} AS (SELECT substr(string, {ORDER + 1 - k}, {k}) AS context, sum(a) AS a, sum(b) AS b FROM counts GROUP BY 1),
+l{k} AS (SELECT s.string, (s.a + {SMOOTHING}::DOUBLE * {q_a}) / (c.a + {SMOOTHING}::DOUBLE) AS p_a,
+                (s.b + {SMOOTHING}::DOUBLE * {q_b}) / (c.b + {SMOOTHING}::DOUBLE) AS p_b
+         FROM seen{k} s JOIN after{k} c ON c.context = substr(s.string, 1, {k}) {shorter}),""")
+        ratio = f"coalesce(ln(l{k}.p_a) - ln(l{k}.p_b), {ratio})"
+        joins += f" LEFT JOIN l{k} ON l{k}.string = substr(x.string, {ORDER + 1 - k}, {k + 1})"
+    reach = REACH * BINS_PER_UNIT
+    return rf"""
+WITH split AS (
+  SELECT page_id, url, row_number() OVER () AS row_,
+         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages),
+parts AS (
+  SELECT *, {case(lambda r: r.host + r.path)} AS rule, {case(lambda r: r.verdict)} AS ruled,
+         CAST('0x' || substr(md5(concat_ws('|', '42', url)), 1, 8) AS BIGINT) % {FOLDS} AS fold,
+         repeat(chr(2), {ORDER}) || host || path AS text
+  FROM split),
+strings AS (
+  SELECT row_, unnest(list_transform(range(1, length(text) - {ORDER} + 1), lambda i: substr(text, i, {ORDER + 1}))) AS string
+  FROM parts),
+counts AS (
+  SELECT string, count(*) FILTER (ruled = 'allow') AS a, count(*) FILTER (ruled = 'block') AS b
+  FROM strings JOIN parts USING (row_) WHERE ruled IS NOT NULL AND fold <> 0 GROUP BY string),{"".join(levels)}
+scores AS (SELECT row_, avg({ratio}) AS score FROM strings x{joins} GROUP BY row_),
+scored AS (SELECT p.*, coalesce(s.score, 0.0) AS score FROM parts p LEFT JOIN scores s USING (row_)),
+bins AS (
+  SELECT greatest(least(floor(score * {BINS_PER_UNIT}), {reach}), -{reach}) AS step,
+         count(*) FILTER (ruled = 'allow') AS a, count(*) FILTER (ruled = 'block') AS b
+  FROM scored WHERE ruled IS NOT NULL AND fold = 0 GROUP BY 1),
+parted AS (
+  SELECT step, sum(a) OVER () AS all_a, sum(b) OVER () AS all_b,
+         coalesce(sum(a) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low_a,
+         coalesce(sum(b) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low_b
+  FROM bins),
+best AS (
+  SELECT step FROM parted WHERE all_a > 0 AND all_b > 0
+  ORDER BY (all_a - low_a) * all_b + low_b * all_a DESC, abs(step), step LIMIT 1)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score >= coalesce((SELECT step FROM best) / {BINS_PER_UNIT}, 0)
+       THEN 'allow' ELSE 'block' END) AS verdict
+FROM scored
+"""
+
+
+@query("op2_url_filter", url_sql())
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page's URL by rules or, where none fits, by the character models."""
+    judged = judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 @query("op3_token_counts")
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document, and whether it is longer than 2,048 tokens."""
@@ -120,6 +193,12 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
+@query("op9_context_tree")
+def op9_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context-tree and single-word scores of every document, learned outside the held-out tenth."""
+    return context_tree.score(table(spark, sf_dir, "documents"), remainder("doc_id", 10) == 0)
+
+
 @query("op10_bpe")
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
