@@ -296,8 +296,7 @@ def encode(docs: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str
                                              [*batch.schema.names[1:], "n_tokens", "ids"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[1:])
-    encoded = narrow.mapInArrow(run, f"{kinds}, n_tokens long, ids binary")
-    return encoded.withColumnsRenamed({f"c_{c}": c for c in (key, *carry)})
+    return narrow.mapInArrow(run, f"{kinds}, n_tokens long, ids binary").toDF(key, *carry, "n_tokens", "ids")
 
 
 def decode(encoded: DataFrame, tokenizer_file: str, ids: str = "ids", name: str = "decoded") -> DataFrame:

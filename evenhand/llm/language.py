@@ -7,7 +7,7 @@ known, the next shorter length is tried.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evenhand.functions.hashing import hash32
-from evenhand.llm.texts import bounded_batches, byte_groups, coded_words
+from evenhand.llm.texts import bounded_batches, byte_groups, coded_words, pass_on, with_carried
 from evenhand.session import reliable_checkpoint
 
 LONGEST = 5  # characters of the longest n-gram; a word has one mark at each end
@@ -165,8 +165,9 @@ class Scorer:
 
 
 def identify(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
-             max_rows: int = 50_000, bound: int = 30_000, confident_words: int = 10) -> DataFrame:
-    """(key, lang_pred, score) for every row of ``docs``.
+             max_rows: int = 50_000, bound: int = 30_000, confident_words: int = 10,
+             carry: Sequence[str] = ()) -> DataFrame:
+    """(key, carry..., lang_pred, score) for every row of ``docs``.
 
     Learns from the texts and languages of ``labelled`` alone: all of its rows or, by a
     hash of the key, about ``max_rows`` of them; rows without text or language teach
@@ -176,19 +177,19 @@ def identify(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: st
     sharpened by the number of words up to ``confident_words``. Texts that are null,
     empty or without letters get ``und`` and the score 0, and so does every text if
     nothing could be learned. Repeated rows are judged one by one; empty tables give
-    empty tables; other columns are not read.
+    empty tables; columns outside ``carry`` are not read.
     """
     taught = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     model = profile(labelled_sample(taught.select(key, text, lang), key, max_rows), text, lang, bound)
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    narrow = docs.select(F.col(text).alias("_text"), F.col(key).alias("_key"))
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         scorer = Scorer(shared.value)
         fitted = scorer.model
         width = len(fitted.languages)
-        for batch in batches:
+
+        def judge(batch: pa.RecordBatch) -> list:
             sums = np.zeros((batch.num_rows, width))
             n = np.zeros(batch.num_rows, np.int64)
             for rows, group in byte_groups(batch.column(0)):
@@ -198,6 +199,8 @@ def identify(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: st
                     np.add.at(sums[:, k], rows, np.bincount(at, weights=scores[codes, k], minlength=len(rows)))
                 np.add.at(n, rows, np.bincount(at, minlength=len(rows)))
             none = (n == 0) | (width == 0)
+            share = np.zeros(batch.num_rows)
+            best = np.zeros(batch.num_rows, np.int64)
             if width:
                 flat = np.ptp(sums, axis=1) == 0
                 sums[flat] += np.log(fitted.prior)
@@ -206,9 +209,8 @@ def identify(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: st
                 share = 1 / np.exp(power).sum(axis=1)
                 best = sums.argmax(axis=1)
             names = [UNKNOWN if u else fitted.languages[best[i]] for i, u in enumerate(none)]
-            score = np.where(none, 0.0, share if width else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(names, pa.string()), pa.array(score)],
-                                             ["_key", "lang_pred", "score"])
+            return [pa.array(names, pa.string()), pa.array(np.where(none, 0.0, share))]
+
+        return judge
 
-    kind = narrow.schema["_key"].dataType.simpleString()
-    return narrow.mapInArrow(judge, f"_key {kind}, lang_pred string, score double").withColumnRenamed("_key", key)
+    return pass_on(with_carried(docs, key, text, carry), start, {"lang_pred": "string", "score": "double"}, key, text, carry)

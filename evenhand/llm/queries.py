@@ -116,14 +116,14 @@ bins AS (
          count(*) FILTER (ruled = 'allow') AS a, count(*) FILTER (ruled = 'block') AS b
   FROM scored WHERE ruled IS NOT NULL AND fold = 0 GROUP BY 1),
 parted AS (
-  SELECT step, sum(a) OVER () AS all_a, sum(b) OVER () AS all_b,
+  SELECT coalesce(floor((lag(step) OVER (ORDER BY step) + 1 + step) / 2), step) AS middle, sum(a) OVER () AS all_a, sum(b) OVER () AS all_b,
          coalesce(sum(a) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low_a,
          coalesce(sum(b) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low_b
   FROM bins),
 best AS (
-  SELECT step FROM parted WHERE all_a > 0 AND all_b > 0
-  ORDER BY (all_a - low_a) * all_b + low_b * all_a DESC, abs(step), step LIMIT 1)
-SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score >= coalesce((SELECT step FROM best) / {BINS_PER_UNIT}, 0)
+  SELECT middle FROM parted WHERE all_a > 0 AND all_b > 0
+  ORDER BY (all_a - low_a) * all_b + low_b * all_a DESC, abs(middle), middle LIMIT 1)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score >= coalesce((SELECT middle FROM best) / {BINS_PER_UNIT}, 0)
        THEN 'allow' ELSE 'block' END) AS verdict
 FROM scored
 """
@@ -183,7 +183,7 @@ def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_simhash")
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document; fingerprints link at 2 differing bits or fewer."""
-    return near_classes(table(spark, sf_dir, "documents"))
+    return near_classes(table(spark, sf_dir, "documents")).drop("root")
 
 
 @query("op8_neighbours")

@@ -9,7 +9,7 @@ once, and words in which every distance exceeds the radius are dropped on the wa
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from evenhand.llm.components import components
-from evenhand.llm.texts import bounded_batches
+from evenhand.llm.texts import bounded_batches, pass_on, with_carried
 from evenhand.session import reliable_checkpoint
 
 BITS = 64
@@ -48,18 +48,19 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """(key, bits): the fingerprint of every whole text as a signed long; a null text is empty."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3,
+                 carry: Sequence[str] = (), name: str = "bits") -> DataFrame:
+    """(key, carry..., ``name``): the fingerprint of every whole text as a signed long; a null text is empty."""
     bounded_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = np.fromiter((fingerprint(t.as_py() or "", shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64))], ["_key", "bits"])
+    def start():
+        def run(batch: pa.RecordBatch) -> list:
+            bits = np.fromiter((fingerprint(t.as_py() or "", shingle) for t in batch.column(0)), np.uint64, batch.num_rows)
+            return [pa.array(bits.view(np.int64))]
 
-    kind = docs.schema[key].dataType.simpleString()
-    narrow = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    return narrow.mapInArrow(run, f"_key {kind}, bits long").withColumnRenamed("_key", key)
+        return run
+
+    return pass_on(with_carried(docs, key, text, carry), start, {name: "long"}, key, text, carry)
 
 
 # --- bit slices --------------------------------------------------------------
@@ -190,7 +191,7 @@ def near_links(distinct: DataFrame, radius: int = 2, blocks: int = 4) -> DataFra
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2,
                  blocks: int = 4) -> DataFrame:
-    """(key, fingerprint, component_id) for every row of ``docs``.
+    """(key, fingerprint, component_id, root) for every row of ``docs``.
 
     Fingerprints with at most ``radius`` differing bits are linked; ``component_id`` is
     the smallest key that links reach, the row's own included. Null keys are passed
@@ -205,16 +206,21 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     rooted = classes.join(roots, classes["bits"] == roots["node"], "left").select(
         "bits", "least", F.coalesce("root", "bits").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select("bits", "component_id")
+    named = rooted.join(smallest, "root").select("bits", "component_id", "root")
     return rows.join(named, "bits").select(
-        key, F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+        key, F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id", "root")
 
 
-def keep_first(docs: DataFrame, classes: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row of ``docs`` for each component: that of the smallest key, the rest is dropped.
+def keep_first(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
+    """One row of ``docs`` for each component of :func:`near_classes`: that of the smallest key, the rest is dropped.
 
-    Rows that repeat this key are reduced to one. A component without any key keeps one
-    row for all components of that kind.
+    Rows that repeat this key are reduced to one. A row without a key stays only if no
+    row of its component has one, and one of such rows stays.
     """
-    kept = classes.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept")).distinct()
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([key])
+    kept = classes.where(F.col(key) == F.col("component_id")).select(key).distinct()
+    keyed = docs.join(kept, key, "left_semi").dropDuplicates([key])  # one shuffle serves both
+    lone = classes.where(F.col(key).isNull() & F.col("component_id").isNull()).select(
+        F.conv("fingerprint", 16, -10).cast("long").alias("_bits"), F.col("root").alias("_root")).distinct()
+    nameless = fingerprints(docs.where(F.col(key).isNull()), key, text, shingle, docs.columns, "_bits")
+    rest = nameless.join(lone, "_bits").dropDuplicates(["_root"])
+    return keyed.select(*docs.columns).unionByName(rest.select(*docs.columns))

@@ -7,7 +7,7 @@ are put together again by the caller.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,34 @@ def remainder(key: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def with_carried(docs: DataFrame, key: str, text: str, carry: Sequence[str]) -> DataFrame:
+    """(_text, _key, c_<name>...): the columns that an Arrow function needs, under names that cannot clash."""
+    rest = [F.col(c).alias(f"c_{c}") for c in carry if c not in (key, text)]
+    return docs.select(F.col(text).alias("_text"), F.col(key).alias("_key"), *rest)
+
+
+def pass_on(narrow: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], list]], made: dict[str, str],
+            key: str, text: str, carry: Sequence[str]) -> DataFrame:
+    """Map ``narrow`` of :func:`with_carried` batch by batch: key, carried columns, then the columns ``made``.
+
+    ``start`` makes the function of a batch once in each task. A carried column with the
+    name of a made one is replaced by it.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in narrow.schema.fields}
+    carry = [c for c in carry if c not in made]
+    names = ["_key"] + [f"c_{c}" for c in carry if c not in (key, text)] + (["_text"] if text in carry else [])
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(place[c]) for c in names] + work(batch), names + list(made))
+
+    place = {c: i for i, c in enumerate(narrow.columns)}
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in names] + [f"`{c}` {k}" for c, k in made.items()])
+    final = [key] + [c for c in carry if c not in (key, text)] + ([text] if text in carry else []) + list(made)
+    return narrow.mapInArrow(mapped, schema).toDF(*final)
+
+
 def cut_at_spaces(data: bytes, limit: int) -> Iterator[bytes]:
     """Pieces of about ``limit`` bytes that begin and end between words."""
     start = 0

@@ -89,20 +89,23 @@ def model_levels(counts: DataFrame, rows: int = MODEL_ROWS) -> list[DataFrame]:
 
 
 def threshold(scored: DataFrame) -> float:
-    """The step that best parts allowed from blocked URLs of the fold; 0 if it holds only one kind, ties to the one nearest 0.
+    """The step that best parts allowed from blocked URLs of the fold; 0 if it holds only one kind.
 
-    ``scored`` has (ruled, score). Best is the largest sum of the shares that are judged right.
+    ``scored`` has (ruled, score). Best is the largest sum of the shares that are judged
+    right; of a stretch of equally good steps it is the middle, ties go to the one nearest 0.
     """
     step = F.greatest(F.least(F.floor(F.col("score") * BINS_PER_UNIT), F.lit(REACH * BINS_PER_UNIT)), F.lit(-REACH * BINS_PER_UNIT))
     bins = scored.groupBy(step.alias("step")).agg(
         F.count_if(F.col("ruled") == "allow").alias("a"), F.count_if(F.col("ruled") == "block").alias("b"))
     whole, below = Window.partitionBy(), Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.max("step").over(below)
+    middle = F.coalesce(F.floor((last + 1 + F.col("step")) / 2), "step").alias("middle")
     parted = bins.select(  # at most 2 REACH BINS_PER_UNIT + 1 rows
-        "step", F.sum("a").over(whole).alias("all_a"), F.sum("b").over(whole).alias("all_b"),
+        middle, F.sum("a").over(whole).alias("all_a"), F.sum("b").over(whole).alias("all_b"),
         F.coalesce(F.sum("a").over(below), F.lit(0)).alias("low_a"), F.coalesce(F.sum("b").over(below), F.lit(0)).alias("low_b"))
     right = (F.col("all_a") - F.col("low_a")) * F.col("all_b") + F.col("low_b") * F.col("all_a")
-    best = parted.where((F.col("all_a") > 0) & (F.col("all_b") > 0)).orderBy(right.desc(), F.abs("step"), "step").first()
-    return best.step / BINS_PER_UNIT if best else 0.0
+    best = parted.where((F.col("all_a") > 0) & (F.col("all_b") > 0)).orderBy(right.desc(), F.abs("middle"), "middle").first()
+    return best.middle / BINS_PER_UNIT if best else 0.0
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], key: str = "page_id", url: str = "url",
