@@ -13,7 +13,6 @@ from evenhand.functions.hashing import uniform
 from evenhand.functions.labels import predicted_class, softmax
 from evenhand.functions.text import Lexicon
 from evenhand.operators.scoring import class_means, nearest_mean_scores
-from evenhand.sources.tables import spread
 
 MODELS = {"orig": 0.60, "lambda00": 0.64, "lambda03": 0.68, "lambda07": 0.72, "lambda10": 0.76}
 MODEL_DIMS = {"orig": 8, "lambda00": 16, "lambda03": 32, "lambda07": 48, "lambda10": 64}
@@ -27,11 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """A table for heavy row-wise work, spread over the cores if it is stored in few pieces."""
-    return spread(table(spark, sf_dir, name), key)
-
-
 def u(*parts: str, word: int = 0) -> str:
     """SQL text of ``uniform`` (and of word ``word`` of ``uniform_slices``); parts are SQL expressions."""
     key = ", ".join(f"CAST({p} AS VARCHAR)" for p in parts)
@@ -63,7 +57,7 @@ def order_items(spark: SparkSession, sf_dir: str, source: bool = False) -> DataF
     """(item_id, true_class, stratum, r1, r2[, source]), one row per order."""
     from evenhand.functions.labels import map_values
 
-    orders = spread_table(spark, sf_dir, "orders", "o_orderkey")
+    orders = table(spark, sf_dir, "orders")
     item = F.col("o_orderkey").cast("string")
     r1 = F.lit(1) + F.col("o_orderkey") % 6
     columns = [
@@ -144,7 +138,7 @@ scored AS (
 def embedding_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, true_class, stratum, confidence, method, flag, embedding)."""
     v = F.col("vec_id")
-    return spread_table(spark, sf_dir, "embeddings", "vec_id").select(
+    return table(spark, sf_dir, "embeddings").select(
         v.alias("item_id"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("true_class"),
         F.when(v % 10 <= 5, "Light").when(v % 10 <= 8, "Medium").otherwise("Dark").alias("stratum"),
         uniform("conf", v).alias("confidence"),
@@ -204,7 +198,7 @@ LEXICON = Lexicon(
 
 def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as gate records."""
-    return spread_table(spark, sf_dir, "documents", "doc_id").select(
+    return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("image_id"), F.col("text").alias("teacher_reasoning"),
         F.col("lang").alias("predicted_class"),
         F.get(F.array(*[F.lit(r) for r in REGIONS]), (F.col("doc_id") % 6).cast("int")).alias("gradcam_spatial_region"),
@@ -215,7 +209,7 @@ def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant turns as candidate answers of an item."""
     langs = F.array(*[F.lit(x) for x in LEXICON.keywords])
-    turns = spread_table(spark, sf_dir, "conversations", "conv_id")
+    turns = table(spark, sf_dir, "conversations")
     return turns.where(F.col("role") == "assistant").select(
         "conv_id", "turn", F.col("text").alias("teacher_reasoning"),
         F.get(langs, (F.col("conv_id") % 4).cast("int")).alias("predicted_class"),
@@ -279,7 +273,7 @@ CANDIDATES_SQL = f"""WITH records AS (
 
 def arrays_8x8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, label, cells): 64 values in row-major order."""
-    return spread_table(spark, sf_dir, "embeddings", "vec_id").select(
+    return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("item_id"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("label"),
         F.col("embedding").cast("array<double>").alias("cells"))
 

@@ -19,14 +19,16 @@ from catalog.sampling import SPLIT_SQL
 SELECT model, item_id AS image_id, CASE pred_class WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS pred_idx,
        p_F AS prob_F, p_O AS prob_O, p_P AS prob_P FROM scores""", ints="pred_idx", doubles="prob_F prob_O prob_P")
 def prediction_files(spark, sf_dir):
-    """One CSV per model, read in one scan with the model taken from the file name."""
+    """One CSV per model, two of them with another column order, read by name with the model from the file name."""
     rows = I.order_scores(spark, sf_dir)
     classes = F.array(*[F.lit(c) for c in I.ORDER_CLASSES])
     wide = rows.select(
         "model", F.col("item_id").alias("image_id"), (F.array_position(classes, F.col("pred_class")) - 1).alias("pred_idx"),
         *[F.get("probs", F.lit(i)).alias(f"prob_{c}") for i, c in enumerate(I.ORDER_CLASSES)])
     folder = new_work_path(spark, "predictions")
-    sinks.write_predictions(wide, folder)
+    turned = F.col("model").isin("orig", "lambda07")
+    sinks.write_predictions(wide.where(~turned), folder)
+    sinks.write_predictions(wide.where(turned).select(*reversed(wide.columns)), folder, mode="append")
     return tables.read_predictions(spark, folder, I.ORDER_CLASSES)
 
 

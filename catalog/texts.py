@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from catalog import inputs as I
 from catalog.registry import query
 from evenhand.functions import text as tx
+from evenhand.functions.hashing import uniform
+from evenhand.functions.text import EXPECTED_KEYWORDS
 from evenhand.operators import gate, joins, preference, ranking
+from evenhand.plans import curation
 
 PASS = ", ".join(f"pass_{c}" for c in gate.CHECKS)
 
@@ -233,19 +236,8 @@ def review_template(spark, sf_dir):
     return template.select("id", "user_input", "chosen", "rejection_reason", F.size("alignment_criteria").alias("criteria"))
 
 
-@query("training_pairs", PAIRS_SQL + """
-SELECT md5('[{"role":"user","content":"item ' || conv_id || '"}]') AS prompt, md5(chosen) AS chosen, md5(rejected) AS rejected FROM pairs""")
-def training_pairs(spark, sf_dir):
-    """Prompt messages as JSON text next to the two answers."""
-    prompt = F.array(F.struct(F.lit("user").alias("role"), F.concat(F.lit("item "), F.col("conv_id").cast("string")).alias("content")))
-    pairs = preference.training_pairs(_pairs(spark, sf_dir).withColumn("prompt", prompt))
-    return pairs.select(*[F.md5(c).alias(c) for c in ("prompt", "chosen", "rejected")])
-
-
 def _classifier_records(spark, sf_dir):
     """Documents as classifier records: name, confidence, class scores and focus words."""
-    from evenhand.functions.hashing import uniform
-
     rows = I.document_records(spark, sf_dir)
     score = {c: F.round(uniform(c, F.col("image_id")), 2) for c in ("en", "fr", "de", "es")}
     name = F.initcap("predicted_class")
@@ -270,23 +262,150 @@ def chat_records(spark, sf_dir):
         F.expr("messages[1].content[0].image").alias("first_image"), F.md5(F.expr("messages[2].content[0].text")).alias("answer"))
 
 
-_scores = ", ".join(f"{{'c': '{c}', 's': round({I.u(repr(c), 'doc_id')}, 2)}}" for c in ("en", "fr", "de", "es"))
+CLASS_SCORES = {c: f"round({I.u(repr(c), 'doc_id')}, 2)" for c in ("en", "fr", "de", "es")}
+_scores = ", ".join(f"{{'c': '{c}', 's': {s}}}" for c, s in CLASS_SCORES.items())
+_share = "printf('%.1f%%', {} * 100)".format
+_json = " || ',' || chr(10) || ".join(
+    f"'  \"{c}\": ' || CASE WHEN {s} = 0 THEN '0.0' ELSE {s}::VARCHAR END" for c, s in CLASS_SCORES.items())
 
 
-@query("prompt_score_lines", f"""
-WITH r AS (SELECT doc_id, unnest([{_scores}]) AS e FROM documents)
-SELECT doc_id AS image_id, string_agg(e.c, '>' ORDER BY e.s DESC, e.c) AS ranking, any_value(true) AS in_order FROM r GROUP BY doc_id""")
-def prompt_score_lines(spark, sf_dir):
-    """Class scores in the prompt text, highest first, in the order of the ranking."""
-    rows = _classifier_records(spark, sf_dir).select(
-        "image_id", preference.user_prompt().alias("text"), preference.ranked_scores(F.col("all_scores")).alias("r"))
-    lines = F.regexp_extract_all("text", F.lit(r"  - (\w+): [0-9.]+%"), F.lit(1))
-    return rows.select("image_id", F.array_join("r.class", ">").alias("ranking"), (lines == F.col("r.class")).alias("in_order"))
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
 
 
-@query("teacher_prompts", """
-SELECT doc_id AS image_id, doc_id % 2 = 0 AS says_yes, true AS has_scores FROM documents""")
+#: The two prompts of a document as a classifier record, in SQL: one row per document.
+PROMPTS_SQL = f"""
+facts AS (
+  SELECT doc_id, upper(lang[1]) || lang[2:] AS name, round({I.u("'p'", 'doc_id')}, 2) AS confidence, doc_id % 2 = 0 AS correct,
+         {I.sql_list(I.REGIONS)}[doc_id % 6 + 1] AS region, unnest([{_scores}]) AS e FROM documents),
+prompts AS (
+  SELECT doc_id, {_sql_text(preference.PROMPT_HEAD)} || '**Predicted Classification:** ' || any_value(name) || chr(10)
+         || '**Confidence Score:** ' || {_share("any_value(confidence)")} || chr(10) || '**Grad-CAM Focus Region:** '
+         || any_value(region) || ' (intensity: strong)' || chr(10) || chr(10) || '**All Class Probabilities:**' || chr(10)
+         || string_agg('  - ' || e.c || ': ' || {_share("e.s")} || chr(10), '' ORDER BY e.s DESC, e.c)
+         || {_sql_text(preference.PROMPT_TAIL)} AS user_text
+  FROM facts GROUP BY doc_id)"""
+
+
+@query("prompt_score_lines", f"WITH {PROMPTS_SQL} SELECT doc_id AS image_id, md5(user_text) AS prompt FROM prompts")
+def prompt_score_lines(spark, sf_dir):
+    """The whole prompt text: class scores highest first, percentages rounded half to even."""
+    rows = _classifier_records(spark, sf_dir)
+    return rows.select("image_id", F.md5(preference.user_prompt()).alias("prompt"))
+
+
+@query("percent_texts", """
+SELECT o_orderkey, printf('%.1f%%', round(o_totalprice / 1000000.0::DOUBLE, 4) * 100) AS share,
+       printf('%.1f%%', (o_orderkey % 4000) / 4000.0::DOUBLE * 100) AS tie FROM orders""")
+def percent_texts(spark, sf_dir):
+    """One decimal from the exact binary value; exact ties go to the even digit."""
+    rows = I.table(spark, sf_dir, "orders")
+    price = F.round(F.col("o_totalprice").cast("double") / 1000000.0, 4)
+    return rows.select("o_orderkey", preference.percent(price).alias("share"),
+                       preference.percent((F.col("o_orderkey") % 4000).cast("double") / 4000.0).alias("tie"))
+
+
+@query("teacher_prompts", f"""
+SELECT doc_id AS image_id, md5('Analyze this dermoscopic image with the following CNN classification output:' || chr(10) || chr(10)
+  || '**Predicted Diagnosis:** ' || upper(lang[1]) || lang[2:] || chr(10)
+  || '**Confidence Score:** ' || {_share("round(" + I.u("'p'", 'doc_id') + ", 2)")} || chr(10)
+  || '**CNN Correct vs Ground Truth:** ' || CASE WHEN doc_id % 2 = 0 THEN 'Yes' ELSE 'No' END || chr(10) || chr(10)
+  || '**Top differential scores:**' || chr(10) || '{{' || chr(10) || {_json} || chr(10) || '}}' || chr(10) || chr(10)
+  || '**Grad-CAM Analysis:**' || chr(10) || '- Primary activation region: ' || {I.sql_list(I.REGIONS)}[doc_id % 6 + 1] || chr(10)
+  || '- Activation intensity: strong' || chr(10) || chr(10) || 'The first image is the original dermoscopic image.' || chr(10)
+  || 'The second image is the Grad-CAM overlay showing which regions the CNN focused on.' || chr(10) || chr(10)
+  || 'Provide a concise diagnostic reasoning paragraph.') AS prompt FROM documents""")
 def teacher_prompts(spark, sf_dir):
-    rows = _classifier_records(spark, sf_dir).select("image_id", preference.teacher_prompt().alias("p"))
-    return rows.select("image_id", F.contains("p", F.lit("Ground Truth:** Yes")).alias("says_yes"),
-                       F.col("p").rlike(r'\{"en":[0-9.]+,"fr":').alias("has_scores"))
+    """The whole prompt for the reasoning model, scores as indented JSON."""
+    return _classifier_records(spark, sf_dir).select("image_id", F.md5(preference.teacher_prompt()).alias("prompt"))
+
+
+@query("null_texts", I.DOCUMENTS_SQL.replace("SELECT doc_id AS image_id, text,", "SELECT doc_id AS image_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END AS text,") + """
+SELECT label, count(*) AS n, avg(passed::INT) AS overall_rate, avg(pass_safety::INT) AS safety_rate,
+       avg(pass_length::INT) AS length_rate, avg(word_count) AS mean_words, quantile_cont(word_count, 0.5) AS median_words
+FROM gated GROUP BY label""", ints="n", doubles="overall_rate safety_rate length_rate mean_words median_words")
+def null_texts(spark, sf_dir):
+    """NULL texts are checked as empty ones: unsafe, too short and counted as no words."""
+    rows = I.document_records(spark, sf_dir).withColumn(
+        "teacher_reasoning", F.when(F.col("image_id") % 3 != 0, F.col("teacher_reasoning")))
+    rates = gate.pass_rates(gate.run_checks(rows, I.LEXICON), ["predicted_class"])
+    return rates.select(F.col("predicted_class").alias("label"), "n", "overall_rate", "safety_rate", "length_rate",
+                        "mean_words", "median_words")
+
+
+@query("weighted_quantiles_with_nulls", """
+WITH e AS (SELECT event_type, CASE WHEN event_id % 5 <> 0 THEN value END AS value FROM events)
+SELECT event_type, unnest([0.0, 0.5, 1.0]) AS prob, unnest(quantile_cont(value, [0.0, 0.5, 1.0])) AS quantile FROM e
+GROUP BY event_type""", doubles="prob quantile")
+def weighted_quantiles_with_nulls(spark, sf_dir):
+    """Distinct values with counts; NULL and NaN among them are left out."""
+    gone = F.when(F.col("event_id") % 10 == 0, F.lit(float("nan")))
+    value = F.when(F.col("event_id") % 5 != 0, F.col("value")).otherwise(gone)
+    cells = I.table(spark, sf_dir, "events").groupBy("event_type", value.alias("value")).agg(F.count(F.lit(1)).alias("times"))
+    return ranking.exact_quantiles(cells, ["event_type"], "value", [0.0, 0.5, 1.0], weight="times")
+
+
+def _records_as_conversations(spark, sf_dir):
+    rows = _classifier_records(spark, sf_dir)
+    return preference.create_conversations(rows).withColumnRenamed("image_id", "conv_id")
+
+
+@query("training_pairs", PAIRS_SQL + "," + PROMPTS_SQL + f"""
+SELECT conv_id, md5(json_array(
+         json_object('role', 'system', 'content', json_array(json_object('type', 'text', 'text', {_sql_text(preference.SYSTEM_MESSAGE)}))),
+         json_object('role', 'user', 'content', json_array(
+           json_object('type', 'image', 'image', '/img/' || conv_id || '.jpg'),
+           json_object('type', 'image', 'image', '/img/' || conv_id || '_overlay.jpg'),
+           json_object('type', 'text', 'text', user_text))))::VARCHAR) AS prompt, md5(chosen) AS chosen, md5(rejected) AS rejected
+FROM pairs JOIN prompts ON doc_id = conv_id""")
+def training_pairs(spark, sf_dir):
+    """Pairs with the system and user message of their record as JSON text."""
+    metadata = I.document_records(spark, sf_dir).limit(0).select(F.col("image_id").alias("conv_id"), "predicted_class", "gradcam_spatial_region")
+    built = curation.build_pairs(
+        I.candidate_texts(spark, sf_dir), metadata, "conv_id", "turn", "teacher_reasoning", I.LEXICON,
+        conversations=_records_as_conversations(spark, sf_dir))
+    pairs = preference.training_pairs(built.where(F.col("prompt").isNotNull()).select("conv_id", "prompt", "chosen", "rejected"), carry=["conv_id"])
+    return pairs.select("conv_id", *[F.md5(c).alias(c) for c in ("prompt", "chosen", "rejected")])
+
+
+LISTED_WORDS = ["the", "und", "que", "des", "con", "zzz"]
+LISTED_SQL = BEST_SQL.replace("AS matched,", f"AS by_class, CASE WHEN conv_id % 2 = 0 THEN list_filter({I.sql_list(LISTED_WORDS)}, lambda x: contains(low, x)) ELSE by_class END AS matched,", 1)
+
+
+@query("pairs_with_listed_keywords", LISTED_SQL + """
+SELECT conv_id, hi / 100.0::DOUBLE AS chosen_score, lo / 100.0::DOUBLE AS rejected_score
+FROM ends WHERE hi - lo >= 20""", doubles="chosen_score rejected_score")
+def pairs_with_listed_keywords(spark, sf_dir):
+    """A record's own keyword list wins over the list of its class when its answers are scored."""
+    texts = I.candidate_texts(spark, sf_dir)
+    listed = F.when(F.col("conv_id") % 2 == 0, F.array(*[F.lit(w) for w in LISTED_WORDS]))
+    metadata = texts.select("conv_id", "predicted_class", "gradcam_spatial_region", listed.alias("expected_keywords"))
+    answers = texts.select("conv_id", "turn", "teacher_reasoning")
+    pairs = curation.build_pairs(answers, metadata, "conv_id", "turn", "teacher_reasoning", I.LEXICON)
+    return pairs.select("conv_id", "chosen_score", "rejected_score")
+
+
+RECORD_CLASSES = list(EXPECTED_KEYWORDS)
+_record_scores = ", ".join(I.u(repr(c), "vec_id") for c in RECORD_CLASSES)
+_record_words = ", ".join(I.sql_list(EXPECTED_KEYWORDS[c]) for c in RECORD_CLASSES)
+
+
+@query("record_builder", f"""
+WITH s AS (SELECT vec_id, label, [{_record_scores}] AS p FROM embeddings),
+t AS (SELECT *, list_position(p, list_max(p)) AS k FROM s)
+SELECT 'v' || vec_id AS image_id, {I.sql_list(RECORD_CLASSES)}[k] AS predicted_class, upper({I.sql_list(RECORD_CLASSES)}[k]) AS predicted_name,
+       round(list_max(p), 4) AS confidence, round(p[1], 4) AS first_score, array_to_string([{_record_words}][k], ',') AS keywords,
+       k = label % 7 + 1 AS cnn_correct, 'out/gradcam/v' || vec_id || '_overlay.jpg' AS overlay
+FROM t""", doubles="confidence first_score")
+def record_builder(spark, sf_dir):
+    """Classifier records from scores and heat-map words, with the keywords of the predicted class."""
+    classes = F.array(*[F.lit(c) for c in RECORD_CLASSES])
+    scored = I.table(spark, sf_dir, "embeddings").select(
+        F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("image_id"), F.lit("x.jpg").alias("image_path"),
+        F.get(classes, (F.col("label") % 7).cast("int")).alias("ground_truth"),
+        F.create_map(*[x for c in RECORD_CLASSES for x in (F.lit(c), uniform(c, F.col("vec_id")))]).alias("all_scores"),
+        F.lit("center").alias("gradcam_spatial_region"), F.lit("strong").alias("gradcam_intensity"))
+    records = preference.classifier_records(scored, {c: c.upper() for c in RECORD_CLASSES}, folder="out")
+    return records.select(
+        "image_id", "predicted_class", "predicted_name", "confidence", F.col("all_scores")[RECORD_CLASSES[0]].alias("first_score"),
+        F.concat_ws(",", "expected_keywords").alias("keywords"), "cnn_correct", F.col("gradcam_overlay_path").alias("overlay"))

@@ -108,9 +108,13 @@ def confidence_histogram(df: DataFrame, by: Sequence[str], confidence: str, bins
     """(by, bin, low, high, n): equal bins over the group's own min..max, the last one closed.
 
     Two passes over the rows: the ranges, then one counted bin per row. Empty bins
-    are not listed. A group with one value spans 0.5 to either side.
+    are not listed. A group with one value spans 0.5 to either side. ``by=[]`` is one
+    group.
     """
     c = F.col(confidence)
+    if not by:
+        whole = df.withColumn("_all", F.when(c.isNotNull(), 1))  # not a constant to the optimizer
+        return confidence_histogram(whole, ["_all"], confidence, bins).drop("_all")
     spans = df.groupBy(*by).agg(F.min(c).alias("_lo"), F.max(c).alias("_hi"))
     single = F.col("_lo") == F.col("_hi")
     spans = spans.withColumns({

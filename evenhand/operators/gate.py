@@ -26,10 +26,12 @@ def run_checks(
     """Add check results: ``pass_<check>`` columns and their details.
 
     ``listed`` names a column with explicit keywords, which wins over the class
-    list where it is not NULL. Row-wise: also runs on a stream.
+    list where it is not NULL. A NULL text is checked as an empty one. Row-wise: also
+    runs on a stream.
     """
     region = F.col(focus) if focus is not None else F.lit(None).cast("string")
-    rows = df.withColumns({"_low": F.lower(F.col(text)), "_focus": region})
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = df.withColumns({"_low": F.lower(whole), "_focus": region})
     low = F.col("_low")
     by_class = tx.matched_keywords(low, F.col(label), lexicon)
     expected = tx.expected_keywords(F.col(label), lexicon)
@@ -42,7 +44,7 @@ def run_checks(
         "reject_phrase": tx.first_phrase(low, lexicon.reject, lexicon.word_boundary),
         "text_regions": tx.named_regions(low, lexicon),
         "region_conflicts": tx.region_conflicts(low, F.col("_focus"), lexicon),
-        "word_count": tx.word_count(F.col(text)),
+        "word_count": tx.word_count(whole),
         "safety_problem": tx.safety_problem(low, lexicon),
     })
     rows = rows.withColumn(

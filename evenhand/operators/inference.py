@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -76,13 +77,20 @@ def bootstrap_macro_f1(
     )
 
 
-# Cumulative probabilities of a Poisson(1) variable for 0, 1, 2, ...
-POISSON_ONE_CDF = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-                   0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
+def poisson_cdf(resolution: float = 2.0 ** -32) -> list[float]:
+    """Cumulative probabilities of a Poisson(1) variable up to where less than ``resolution`` is left."""
+    total, bounds = Fraction(0), []
+    while not bounds or 1 - bounds[-1] >= resolution:
+        total += Fraction(1, math.factorial(len(bounds)))
+        bounds.append(float(total) * math.exp(-1))
+    return bounds
+
+
+POISSON_ONE_CDF = poisson_cdf()
 
 
 def poisson_weight(u: Column) -> Column:
-    """Poisson(1) count of a uniform number, at most 8."""
+    """Poisson(1) count of a uniform number of 32 bits; the table reaches as far as such a number does."""
     weight = F.when(u < POISSON_ONE_CDF[0], 0)
     for count, bound in enumerate(POISSON_ONE_CDF[1:], start=1):
         weight = weight.when(u < bound, count)

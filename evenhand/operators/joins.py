@@ -121,9 +121,14 @@ def overlay(
     df: DataFrame, other: DataFrame, key: str, columns: Sequence[str],
     defaults: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Left join in which the right side overrides same-named fields; defaults fill what is still NULL."""
+    """Left join in which the right side overrides same-named fields; defaults fill what is still NULL.
+
+    The right side is reduced to its smallest row per key, so rows are never multiplied.
+    """
     defaults = defaults or {}
-    right = other.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_o_{c}") for c in columns])
+    row = F.min(F.struct(*[F.col(c) for c in columns]))
+    right = other.groupBy(F.col(key).alias("_k")).agg(row.alias("_m")).select(
+        "_k", *[F.col(f"_m.{c}").alias(f"_o_{c}") for c in columns])
     joined = df.join(right, F.col(key) == F.col("_k"), "left")
     merged = {}
     for c in columns:

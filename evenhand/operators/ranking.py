@@ -9,6 +9,8 @@ inside buckets. Results are exact and equal to the plain window.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -25,12 +27,14 @@ def hash_bucket(h: Column, bits: int = HASH_BUCKET_BITS) -> Column:
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on ``keys`` where NULL equals NULL; the right keys are not repeated."""
+    """Join on ``keys`` where NULL equals NULL; the right keys are not repeated.
+
+    Without keys this would pair all rows with all rows, so there must be one.
+    """
+    if not keys:
+        raise ValueError("a join needs at least one key")
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    condition = F.lit(True)
-    for i, k in enumerate(keys):
-        equal = left[k].eqNullSafe(renamed[f"_r_{k}"])
-        condition = equal if i == 0 else condition & equal
+    condition = reduce(and_, [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys])
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
@@ -122,22 +126,11 @@ def take_first(
 def sample_per_group(df: DataFrame, keys: Sequence[str], item: str, n: int, seed: int = SEED) -> DataFrame:
     """``n`` rows per group without replacement, by smallest seeded hash of ``item``.
 
-    ``item`` must be unique within its group. For small ``n`` the cut of each group
-    comes from a rank filter that Spark prunes before the shuffle (window group
-    limit): at most ``n`` narrow rows per group and input partition move. Larger
-    samples go through :func:`take_first`. Either way wide rows are only compared
-    with the cut of their group.
+    ``item`` must be unique within its group. One hash cut per group decides, so wide
+    rows are only compared with the cut of their group.
     """
-    keys = list(keys)
     rows = df.withColumn("_h", hash32(F.col(item), seed=seed))
-    order = ["_h", item]
-    threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if not 0 < n <= threshold:
-        return take_first(rows, keys, order, hash_bucket(F.col("_h")), n).drop("_h")
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    first = rows.select(*dict.fromkeys([*keys, *order])).withColumn("_rn", rank).where(F.col("_rn") <= n)
-    cuts = settle(first.groupBy(*keys).agg(F.max(F.struct(*order)).alias("_cut")), "cuts")
-    return null_safe_join(rows, cuts, keys).where(F.struct(*order) <= F.col("_cut")).drop("_h", "_cut")
+    return take_first(rows, list(keys), ["_h", item], hash_bucket(F.col("_h")), n).drop("_h")
 
 
 def value_cells(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -161,7 +154,11 @@ def exact_quantiles(
     to distinct values once and written; each level then scans these.
     """
     keys = list(keys)
-    cells = settle(value_cells(df, keys, value), "values") if weight is None else df.withColumnRenamed(weight, "n")
+    if weight is None:
+        cells = settle(value_cells(df, keys, value), "values")
+    else:
+        v = F.col(value).cast("double")
+        cells = df.withColumns({value: v, "n": F.col(weight)}).where(v.isNotNull() & ~F.isnan(v))
     coarse, fine = digits(F.col("_v"))
     cells = cells.select(*keys, F.col(value).alias("_v"), F.col("n").alias("_n")).withColumns(
         {"_c": coarse, "_f": fine})

@@ -144,9 +144,12 @@ def robust_consensus(df: DataFrame, keys: Sequence[str], value: str, fence: floa
     """(keys, n, kept, median, std): median and population spread of the values inside the IQR fence.
 
     Works for groups of any size. If the fence removes everything, all values are
-    kept; a single value has spread 0.
+    kept; a single value has spread 0. ``keys=[]`` is one group.
     """
     v = F.col(value)
+    if not keys:
+        whole = df.withColumn("_all", F.when(v.isNotNull(), 1))  # not a constant to the optimizer
+        return robust_consensus(whole, ["_all"], value, fence).drop("_all")
     cells = settle(value_cells(df, keys, value), "values")
     bounds = exact_quantiles(cells, keys, value, [0.25, 0.75], weight="n").groupBy(*keys).agg(
         F.max(F.when(F.col("prob") == 0.25, F.col("quantile"))).alias("_q1"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -15,14 +16,8 @@ def csv_header(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
     return spark.read.option("header", True).csv(path).columns
 
 
-def read_csv(
-    spark: SparkSession, path: str | Sequence[str], schema: T.StructType, required: Sequence[str] = ()
-) -> DataFrame:
-    """CSV by column name: schema columns in any file order, missing optional ones as NULL.
-
-    Required columns are checked before any job; ``nan`` becomes NULL. Columns that
-    are not in the schema are not parsed.
-    """
+def _typed(spark: SparkSession, path: str | Sequence[str], schema: T.StructType, required: Sequence[str]) -> DataFrame:
+    """One scan by the header that its files share; a file with another header makes the scan fail."""
     names = csv_header(spark, path)
     missing = [c for c in required if c not in names]
     if missing:
@@ -30,42 +25,53 @@ def read_csv(
                         missing)
     wanted = {f.name: f.dataType for f in schema.fields}
     file_schema = T.StructType([T.StructField(n, wanted.get(n, T.StringType())) for n in names])
-    raw = spark.read.option("header", True).option("enforceSchema", True).option("nanValue", "nan").schema(
+    return spark.read.option("header", True).option("enforceSchema", False).option("nanValue", "nan").schema(
         file_schema).csv(path)
-    columns = [F.col(f.name) if f.name in names else F.lit(None).cast(f.dataType).alias(f.name)
-               for f in schema.fields]
-    return nan_to_null(raw.select(*columns))
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a table that is stored in fewer pieces than there are cores.
+def read_csv(
+    spark: SparkSession, path: str | Sequence[str], schema: T.StructType, required: Sequence[str] = ()
+) -> DataFrame:
+    """CSV by column name: schema columns in the order of the files, missing optional ones as NULL.
 
-    A file with one row group is read by one task, which then does all row-wise
-    work. Tables with enough pieces are returned as they are, so nothing large is
-    ever shuffled. The keys should identify a row; they decide the new partition.
+    The files of one call must share one header; the scan fails on a file whose header
+    differs, so values never land in another column. Required columns are checked
+    before any job; ``nan`` becomes NULL. Columns that are not in the schema are not
+    parsed.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    raw = _typed(spark, path, schema, required)
+    columns = [F.col(f.name) if f.name in raw.columns else F.lit(None).cast(f.dataType).alias(f.name)
+               for f in schema.fields]
+    return nan_to_null(raw.select(*columns))
 
 
 MODEL_TAG = r"([^/=]+)_predictions"
 
 
+def prediction_tags(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Path below ``folder`` by model tag; lists names, reads no content."""
+    files = spark.read.format("binaryFile").load(f"{folder.rstrip('/')}/*_predictions.csv").select(
+        F.regexp_extract("path", rf"([^/]*_predictions\.csv)(?:/[^/]*)?$", 1).alias("name")).distinct()
+    names = [r["name"] for r in files.collect()]  # one per model
+    return {n.rpartition("=")[2].removesuffix("_predictions.csv"): f"{folder.rstrip('/')}/{n}" for n in names}
+
+
 def read_predictions(
     spark: SparkSession, folder: str, classes: Sequence[str] = MODEL_CLASSES, tags: Sequence[str] | None = None
 ) -> DataFrame:
-    """All ``<tag>_predictions.csv`` files (or folders) below ``folder`` in one scan, ``model`` from the name."""
+    """All ``<tag>_predictions.csv`` files (or folders) below ``folder``, ``model`` from the name.
+
+    Each model is read by its own header, so models may order their columns as they
+    like; the parts of one model must agree, or the scan fails.
+    """
     schema = predictions_schema(classes)
-    pattern = "*" if tags is None else "{" + ",".join(tags) + "}"
-    path = f"{folder.rstrip('/')}/{pattern}_predictions.csv"
-    names = csv_header(spark, path)
-    require_columns(spark.createDataFrame([], T.StructType([T.StructField(n, T.StringType()) for n in names])),
-                    schema.names)
-    wanted = {f.name: f.dataType for f in schema.fields}
-    file_schema = T.StructType([T.StructField(n, wanted.get(n, T.StringType())) for n in names])
-    raw = spark.read.option("header", True).option("nanValue", "nan").schema(file_schema).csv(path)
-    tag = F.regexp_extract("_metadata.file_path", rf"{MODEL_TAG}[^/]*(?:/[^/]*)?$", 1)
-    return nan_to_null(raw.select(tag.alias("model"), *schema.names))
+    found = prediction_tags(spark, folder)
+    wanted = sorted(found) if tags is None else list(tags)
+    missing = [t for t in wanted if t not in found]
+    if missing or not wanted:
+        raise FileNotFoundError(f"no prediction files for {missing or 'any model'} in {folder}")
+    each = [_typed(spark, found[t], schema, schema.names).select(F.lit(t).alias("model"), *schema.names) for t in wanted]
+    return nan_to_null(reduce(DataFrame.unionByName, each))
 
 
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

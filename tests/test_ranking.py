@@ -163,3 +163,24 @@ def test_wide_rows_are_not_shuffled(spark, operator):
         assert result.count() == expected
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_weighted_quantiles_leave_out_missing_values(spark):
+    cells = spark.createDataFrame([("a", None, 5), ("a", float("nan"), 5), ("a", 0.0, 1), ("a", 3.0, 1)],
+                                  "k string, v double, times long")
+    got = ranking.exact_quantiles(cells, ["k"], "v", [0.5, 1.0], weight="times").orderBy("prob").collect()
+    assert [r["quantile"] for r in got] == [1.5, 3.0]
+
+
+def test_a_join_without_keys_is_refused(spark):
+    with pytest.raises(ValueError):
+        ranking.null_safe_join(spark.range(2), spark.range(2), [])
+
+
+def test_one_group_without_keys(spark):
+    from evenhand.operators.audit import confidence_histogram
+    from evenhand.operators.realism import robust_consensus
+
+    values = spark.createDataFrame([(float(i),) for i in range(8)], "v double")
+    assert sorted(tuple(r) for r in confidence_histogram(values, [], "v", 2).collect()) == [(0, 0.0, 3.5, 4), (1, 3.5, 7.0, 4)]
+    assert [r["median"] for r in robust_consensus(values, [], "v").collect()] == [3.5]

@@ -298,3 +298,36 @@ def test_curation_job(spark):
     pairs = build_pairs(candidates, records.select("image_id", "predicted_class", "gradcam_spatial_region"),
                         "image_id", "n", "body", lexicon).collect()
     assert [(p["image_id"], p["chosen"], p["rejected"]) for p in pairs] == [("i1", text, "bad")]
+
+
+def test_each_model_is_read_by_its_own_header(spark, tmp_path):
+    (tmp_path / "one_predictions.csv").write_text("image_id,pred_idx,prob_A,prob_B\nx,1,0.1,0.9\n")
+    (tmp_path / "two_predictions.csv").write_text("prob_B,image_id,prob_A,pred_idx\n0.9,x,0.1,1\n")
+    got = tables.read_predictions(spark, str(tmp_path), ["A", "B"]).collect()
+    assert {(r["model"], r["image_id"], r["pred_idx"], r["prob_A"], r["prob_B"]) for r in got} == {
+        ("one", "x", 1, 0.1, 0.9), ("two", "x", 1, 0.1, 0.9)}
+    with pytest.raises(FileNotFoundError):
+        tables.read_predictions(spark, str(tmp_path), ["A", "B"], tags=["three"])
+
+
+def test_files_of_one_read_must_share_their_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("predicted_label,image_id,confidence\nmel,x,0.5\n")
+    (tmp_path / "b.csv").write_text("image_id,confidence,predicted_label\ny,0.5,mel\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        tables.read_csv(spark, str(tmp_path), CLASS_LABELS, ["image_id"]).collect()
+
+
+def test_pairs_carry_prompts_and_listed_keywords(spark):
+    texts = [("k", 1, "wanted words here, consistent with this"), ("k", 2, "none of it"), ("m", 1, "same"), ("m", 2, "same")]
+    candidates = spark.createDataFrame(texts, "key string, turn int, text string")
+    metadata = spark.createDataFrame(
+        [("k", "mel", "center", ["wanted", "words", "here"]), ("k", "zzz", "center", None)],
+        "key string, predicted_class string, gradcam_spatial_region string, expected_keywords array<string>")
+    messages = "array<struct<role: string, content: array<struct<type: string, image: string, text: string>>>>"
+    chat = [("system", [("text", None, "s")]), ("user", [("text", None, "u")]), ("assistant", [("text", None, "a")])]
+    conversations = spark.createDataFrame([("k", chat), ("m", chat)], f"key string, messages {messages}")
+    lexicon = Lexicon(min_keywords=3)
+    pairs = build_pairs(candidates, metadata, "key", "turn", "text", lexicon, conversations=conversations).collect()
+    assert [(r["key"], r["chosen"], r["rejected"]) for r in pairs] == [("k", texts[0][2], texts[1][2])]
+    assert [m["role"] for m in pairs[0]["prompt"]] == ["system", "user"]
+    assert pairs[0]["chosen_details"]["keywords"]["matched"] == 3

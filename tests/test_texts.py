@@ -147,3 +147,36 @@ def test_training_pairs_serialise_the_prompt(spark):
 def test_class_lists_ignore_case_and_blanks(spark, label, expected):
     df = spark.createDataFrame([(label,)], "c string")
     assert df.select(tx.expected_keywords(F.col("c"), Lexicon())).first()[0][0] == expected
+
+
+def test_percentages_are_rounded_like_exact_decimals(spark):
+    from evenhand.operators.preference import indented_json, percent
+
+    shares = [i / 10_000 for i in range(10_001)] + [0.0225, 0.00125, 0.00375, 1 / 3, 0.99949999, 0.9995, 1.0, 12.3456]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(shares)], "i int, s double")
+    got = {r["i"]: r["t"] for r in rows.select("i", percent(F.col("s")).alias("t")).collect()}
+    assert [got[i] for i in range(len(shares))] == [f"{s * 100:.1f}%" for s in shares]
+    scores = {"a": 0.0001, "b": 0.5, "c": 0.0, 'd"': 1.0, "e": 0.0123}
+    in_order = F.create_map(*[F.lit(x) for pair in scores.items() for x in pair])
+    none = F.map_filter(in_order, lambda k, v: v < 0)
+    text = spark.range(1).select(indented_json(in_order), indented_json(none)).first()
+    assert list(text) == [json.dumps(scores, indent=2), "{}"]
+
+
+def test_a_null_text_is_an_empty_text(spark):
+    from evenhand.operators import gate
+
+    rows = spark.createDataFrame([(1, None, "mel", "upper"), (2, "", "mel", "upper")],
+                                 "image_id int, teacher_reasoning string, predicted_class string, gradcam_spatial_region string")
+    checked = gate.run_checks(rows)
+    flags = [[r[f"pass_{c}"] for c in gate.CHECKS] + [r["word_count"], r["safety_problem"]] for r in checked.collect()]
+    assert flags[0] == flags[1] and flags[0][-2] == 0 and flags[0][4] is False
+
+
+def test_overlay_keeps_one_row_per_key(spark):
+    from evenhand.operators.joins import overlay
+
+    left = spark.createDataFrame([("k", 1), ("k", 2), ("x", 3)], "key string, n int")
+    right = spark.createDataFrame([("k", "b"), ("k", "a")], "key string, c string")
+    got = overlay(left, right, "key", ["c"], {"c": F.lit("none")}).orderBy("n").collect()
+    assert [(r["n"], r["c"]) for r in got] == [(1, "a"), (2, "a"), (3, "none")]
