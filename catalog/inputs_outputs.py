@@ -131,12 +131,12 @@ def streamed_gate(spark, sf_dir):
     return spark.read.schema("image_id bigint, reason string, word_count int").parquet(path)
 
 
-def _scored_in_batches(spark, sf_dir):
+def _scored_in_batches(spark, sf_dir, tags=tuple(I.MODEL_DIMS)):
     items = I.embedding_items(spark, sf_dir)
     # The fitted model: ten classes x 64 numbers, held by the driver as any model is.
     means = scoring.class_means(items, "true_class", "embedding", 64).orderBy("class").collect()
     matrix = np.array([r["mean"] for r in means])
-    models = {tag: scoring.nearest_mean_factory(matrix[:, :d]) for tag, d in I.MODEL_DIMS.items()}
+    models = {tag: scoring.nearest_mean_factory(matrix[:, :d]) for tag, d in I.MODEL_DIMS.items() if tag in tags}
     return scoring.batch_scores(
         items, models, "embedding", 64, [r["class"] for r in means], ["item_id", "true_class", "stratum"])
 
@@ -164,6 +164,6 @@ SELECT pred_class AS class, count(*) AS n, avg(score) AS mean_conf FROM scored W
 """, ints="n", doubles="mean_conf")
 def scored_summary(spark, sf_dir):
     """Batch scoring followed by the confidence audit."""
-    rows = _scored_in_batches(spark, sf_dir).where("model = 'lambda10'")
+    rows = _scored_in_batches(spark, sf_dir, ("lambda10",))
     return audit.confidence_by_class(rows, ["pred_class"], "confidence").select(
         F.col("pred_class").alias("class"), "n", "mean_conf")

@@ -16,18 +16,27 @@ def batch_scores(
     df: DataFrame, models: Mapping[str, Callable[[], Callable]], features: str, width: int,
     classes: Sequence[str], carry: Sequence[str], batch_size: int = 1024,
 ) -> DataFrame:
-    """(carry, model, pred_class, confidence, probs) for every model; the input is read once.
+    """(carry, model, pred_class, confidence, probs) for every model.
 
     Each entry is a factory, called once per Python worker, that returns a function
-    from a batch of feature rows to a batch of probability rows.
+    from a batch of feature rows to a batch of probability rows over ``classes``. The
+    features cross to Python once: one function holds all models and returns their
+    probabilities side by side.
     """
-    outputs = []
-    for tag, factory in models.items():
-        scorer = predict_batch_udf(
-            factory, return_type=ArrayType(DoubleType()), batch_size=batch_size, input_tensor_shapes=[[width]])
-        outputs.append(F.struct(F.lit(tag).alias("model"), scorer(F.col(features)).alias("probs")))
-    long = df.select(*carry, F.explode(F.array(*outputs)).alias("_m")).select(*carry, "_m.model", "_m.probs")
-    return long.withColumns({
+    factories = list(models.values())
+
+    def load_all() -> Callable:
+        loaded = [factory() for factory in factories]
+        return lambda batch: np.concatenate([np.asarray(score(batch), dtype="float64") for score in loaded], axis=1)
+
+    scorer = predict_batch_udf(
+        load_all, return_type=ArrayType(DoubleType()), batch_size=batch_size, input_tensor_shapes=[[width]])
+    n = len(classes)
+    outputs = F.array(*[
+        F.struct(F.lit(tag).alias("model"), F.slice("_all", 1 + i * n, n).alias("probs")) for i, tag in enumerate(models)
+    ])
+    scored = df.select(*carry, scorer(F.col(features)).alias("_all"))
+    return scored.select(*carry, F.inline(outputs)).withColumns({
         "pred_class": predicted_class(F.col("probs"), classes), "confidence": F.array_max("probs")})
 
 

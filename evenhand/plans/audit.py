@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from evenhand.functions.labels import stem
 from evenhand.operators import audit, inference, joins, metrics, roc
 from evenhand.operators.ranking import null_safe_join
-from evenhand.schemas import EVAL_CLASSES, MODEL_CLASSES, STRATA, nan_to_null, require_columns
+from evenhand.schemas import EVAL_CLASSES, MODEL_CLASSES, OVERALL, STRATA, nan_to_null, require_columns
 from evenhand.session import reliable_checkpoint
 from evenhand.sources import sinks, tables
 
@@ -48,7 +48,9 @@ def stratified_audit(
     true_class), predictions (model, image_id, pred_class, probs in the order of
     ``prob_classes``). The first threshold selects the main subset, all of them the
     sensitivity tables. The joined table is written once; confusion cells,
-    distinct-score cells and paired outcomes each read it with their own columns.
+    distinct-score cells and paired outcomes each read it with their own columns. The
+    sensitivity metrics have a row for every threshold, model and stratum: empty ones
+    have n = 0 and NULL for the rest.
     """
     low = min(thresholds)
     merged = reliable_checkpoint(
@@ -74,6 +76,19 @@ def stratified_audit(
             site = audit.source_composition(sites, "stratum", column, stratum_order)
     strict = inference.sensitivity_cells(merged, "confidence", thresholds, ["model"], "stratum", stratum_order)
     strict_keys = ["threshold", *KEYS]
+    strict_scores = metrics.class_scores(strict, strict_keys, classes)
+    steps = F.array(*[F.lit(float(t)) for t in sorted(thresholds)])
+    nested = merged.withColumn("threshold", F.explode(F.filter(steps, lambda t: F.col("confidence") >= t)))
+    strict_auc = roc.stratified_auc(nested, ["threshold", "model"], "stratum", prob_classes, stratum_order)
+    strict_auc = roc.macro_auc(strict_auc.where(F.col("class").isin(list(classes))), strict_keys)
+    strict_table = null_safe_join(
+        null_safe_join(metrics.average_scores(strict_scores, strict_keys),
+                       metrics.wide_class_scores(strict_scores, strict_keys, classes), strict_keys),
+        strict_auc, strict_keys, "left")
+    listed = {"threshold": sorted(map(float, thresholds)), "model": models, "stratum": [*stratum_order, OVERALL]}
+    frame = merged.sparkSession.range(1).select()
+    for name, values in listed.items():
+        frame = frame.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
     return AuditTables(
         metrics=table,
         grid=metrics.pivot_grid(table, "model", "stratum", "macro_f1", [*stratum_order, "Overall"], rows=models),
@@ -81,7 +96,7 @@ def stratified_audit(
         mcnemar=inference.mcnemar_test(counts, exact_below),
         class_composition=audit.class_composition(one_model, "stratum", "true_class", classes, stratum_order),
         source_composition=site,
-        sensitivity_metrics=metrics.average_scores(metrics.class_scores(strict, strict_keys, classes), strict_keys),
+        sensitivity_metrics=null_safe_join(frame, strict_table, strict_keys, "left").fillna(0, ["n"]),
         sensitivity_intervals=inference.bootstrap_macro_f1(strict, strict_keys, classes, draws),
     )
 

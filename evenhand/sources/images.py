@@ -8,16 +8,25 @@ decoded rows and returns feature columns. Rules on the features are plain column
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evenhand.functions import labels as L
-from evenhand.functions.arrays import border_positions, centre_positions
-from evenhand.operators.realism import EDGE_GRID, robust_consensus
+from evenhand.operators.realism import EDGE_GRID
 
-IMAGE_PATTERN = "*.{jpg,jpeg,png,JPG,JPEG,PNG,bmp,BMP}"
+IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "bmp")
+
+
+def any_case(suffixes: Sequence[str]) -> str:
+    """Glob of files with one of the suffixes, in upper, lower or mixed case."""
+    letters = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s) for s in suffixes]
+    return "*.{" + ",".join(letters) + "}"
+
+
+IMAGE_PATTERN = any_case(IMAGE_SUFFIXES)
 
 
 def list_images(spark: SparkSession, folder: str, pattern: str = IMAGE_PATTERN, recursive: bool = True) -> DataFrame:
@@ -59,16 +68,17 @@ def missing_paths(resolved: DataFrame) -> DataFrame:
 
 
 def read_images(
-    spark: SparkSession, folder: str | Sequence[str], on_error: str = "skip", placeholder: tuple[int, int, int] | None = None
+    spark: SparkSession, folder: str | Sequence[str], on_error: str = "skip", placeholder: tuple[int, int, int] | None = None,
+    suffixes: Sequence[str] = IMAGE_SUFFIXES,
 ) -> DataFrame:
-    """Decoded images: (path, height, width, channels, data).
+    """Decoded images: (path, height, width, channels, data) of files with one of ``suffixes``, in any case.
 
     ``on_error="skip"`` drops unreadable files, ``"placeholder"`` keeps them as a
     1 x 1 image of the given BGR colour (grey by default).
     """
     if on_error not in ("skip", "placeholder"):
         raise ValueError(f"on_error must be skip or placeholder, not {on_error!r}")
-    reader = spark.read.format("image").option("recursiveFileLookup", "true").option("pathGlobFilter", IMAGE_PATTERN)
+    reader = spark.read.format("image").option("recursiveFileLookup", "true").option("pathGlobFilter", any_case(suffixes))
     images = reader.option("dropInvalid", str(on_error == "skip").lower()).load(folder)
     flat = images.select(
         F.col("image.origin").alias("path"), F.col("image.height").alias("height"),
@@ -123,13 +133,27 @@ FEATURES = [
 ]
 
 
+@lru_cache(maxsize=64)
+def ring_and_centre(height: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Masks of the outer ring (an eighth of each side, two at least) and of the middle box, by slices.
+
+    The box is 15 % of each side to each way, two pixels at least, and cut off at the
+    image's edges; of an image without any such pixel it is the ring.
+    """
+    ring, centre = np.ones((height, width), bool), np.zeros((height, width), bool)
+    mh, mw = max(2, height // 8), max(2, width // 8)
+    ring[mh:height - mh, mw:width - mw] = False
+    rh, rw = max(2, int(height * 0.15)), max(2, int(width * 0.15))
+    centre[max(0, height // 2 - rh):height // 2 + rh, max(0, width // 2 - rw):width // 2 + rw] = True
+    return ring.ravel(), (centre if centre.any() else ring).ravel()
+
+
 def pixel_features(bgr: np.ndarray, dark_threshold: float = 18.0, min_pixels: int = 10) -> list[float | None]:
     """Feature values of one image, in the order of ``FEATURES``."""
     height, width = bgr.shape[:2]
     lab, hsv = bgr_to_lab(bgr).reshape(-1, 3), bgr_to_hsv(bgr).reshape(-1, 3)
     spread = np.column_stack([lab.mean(axis=0), lab.std(axis=0)]).ravel()
-    border = border_positions(height, width)
-    inside = [p for p in centre_positions(height, width) if 0 <= p < height * width] or border
+    border, inside = ring_and_centre(height, width)
     grey = np.rint(bgr.reshape(-1, 3) @ np.array([0.114, 0.587, 0.299]))
     skin = lab[grey > dark_threshold]
     angles = np.degrees(np.arctan2(skin[:, 0] / 2.55 - 50.0, skin[:, 2] - 128.0))
@@ -197,7 +221,10 @@ def patch_angles(
     images: DataFrame, key: str = "path", patch: int = 32, margin: int = 10,
     dark_threshold: float = 18.0, min_valid: float = 0.95,
 ) -> DataFrame:
-    """(key, patch_no, ita): median typology angle of up to eight patches per image, dark border avoided."""
+    """(key, patch_no, ita): median typology angle of up to eight patches per image, dark border avoided.
+
+    An image without a usable patch has one row with a NULL angle.
+    """
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -206,23 +233,42 @@ def patch_angles(
                 bgr = to_bgr(d, h, w, c)
                 valid = np.rint(bgr @ np.array([0.114, 0.587, 0.299])) > dark_threshold
                 size = min(patch, h, w)
-                for number, (y, x) in enumerate(patch_corners(valid, size, margin, min_valid)):
+                corners = patch_corners(valid, size, margin, min_valid)
+                for number, (y, x) in enumerate(corners):
                     lab = bgr_to_lab(bgr[y:y + size, x:x + size])
                     angle = np.degrees(np.arctan2(lab[..., 0] / 2.55 - 50.0, lab[..., 2] - 128.0))
                     rows.append([k, number, float(np.median(angle))])
+                if not corners:
+                    rows.append([k, 0, None])
             yield pd.DataFrame(rows, columns=[key, "patch_no", "ita"])
 
     return images.select(key, "height", "width", "channels", "data").mapInPandas(
         compute, f"`{key}` string, patch_no int, ita double")
 
 
+def fenced_consensus(values: np.ndarray, fence: float = 1.5) -> tuple[float, float]:
+    """(median, population spread) of the values inside the IQR fence; the same rule as ``realism.robust_consensus``."""
+    q1, q3 = np.percentile(values, [25, 75])
+    kept = values[(values >= q1 - fence * (q3 - q1)) & (values <= q3 + fence * (q3 - q1))]
+    return float(np.median(kept)), float(kept.std())
+
+
 def tone_by_angle(images: DataFrame, key: str = "path", max_spread: float = 15.0, **patches) -> DataFrame:
     """(key, method, ita, ita_std, mst10_class, mst5_class, mst_name, confidence) by patch consensus.
 
-    Images without a usable angle keep a row with unknown classes.
+    The few patches of an image are one row's array, so images are decoded once and
+    nothing is joined. Images without a usable angle keep a row with unknown classes.
     """
-    angles = robust_consensus(patch_angles(images, key, **patches), [key], "ita")
-    rows = images.select(key).join(angles, key, "left").withColumnRenamed("median", "ita")
+    angles = patch_angles(images, key, **patches).groupBy(key).agg(F.collect_list("ita").alias("_angles"))  # at most 8
+
+    @F.pandas_udf("ita double, std double")
+    def consensus(lists: pd.Series) -> pd.DataFrame:
+        found = [fenced_consensus(np.asarray(a)) if len(a) else (None, None) for a in lists]
+        return pd.DataFrame(found, columns=["ita", "std"], dtype="float64")
+
+    rows = angles.select(key, consensus("_angles").alias("_c")).select(
+        key, F.nanvl("_c.ita", F.lit(None).cast("double")).alias("ita"),
+        F.nanvl("_c.std", F.lit(None).cast("double")).alias("std"))
     mst5 = L.ita_to_mst5(F.col("ita"))
     return rows.select(
         key, F.lit("multi_patch").alias("method"), "ita", F.coalesce("std", F.lit(0.0)).alias("ita_std"),

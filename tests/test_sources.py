@@ -76,6 +76,26 @@ def test_image_features_and_gate(spark, image_folder):
     assert flags == {"skin.png": False, "dark.png": True, "green.png": False}
 
 
+def test_masks_of_ring_and_centre_equal_their_positions():
+    from evenhand.functions.arrays import border_positions, centre_positions
+
+    for h, w in [(40, 48), (9, 7), (64, 33)]:
+        ring, centre = images.ring_and_centre(h, w)
+        assert np.flatnonzero(ring).tolist() == border_positions(h, w)
+        assert np.flatnonzero(centre).tolist() == sorted(centre_positions(h, w))
+    for h, w in [(1, 1), (2, 3), (3, 1)]:
+        ring, centre = images.ring_and_centre(h, w)
+        assert ring.all() and centre.any()
+
+
+def test_suffixes_in_any_case(spark, tmp_path):
+    for name in ("a.PNG", "b.Png", "c.png"):
+        png(tmp_path / name, np.full((8, 8, 3), (210, 160, 130)))
+    (tmp_path / "d.txt").write_text("x")
+    assert images.list_images(spark, str(tmp_path)).count() == 3
+    assert images.read_images(spark, str(tmp_path)).count() == 3
+
+
 def test_unreadable_image_as_placeholder(spark, image_folder):
     rows = images.read_images(spark, str(image_folder), on_error="placeholder").collect()
     bad = [r for r in rows if r["path"].endswith("broken.png")]
@@ -198,6 +218,12 @@ def test_audit_job(spark):
     assert {r["model"] for r in job.grid.collect()} == {"orig", "best"}
     strict = {(r["threshold"], r["model"], r["stratum"]): r["n"] for r in job.sensitivity_metrics.collect()}
     assert strict[(0.8, "orig", "Overall")] == 60
+    assert {"macro_auc", "weighted_f1", "f1_A"} <= set(job.sensitivity_metrics.columns) and len(strict) == 16
+    few = base.withColumn("confidence", F.when(F.col("stratum") == "Dark", 0.65).otherwise(F.col("confidence")))
+    again = stratified_audit(few.select("image_id", "stratum", "confidence"), base.select("image_id", "true_class"), preds,
+                             ["orig", "best"], "orig", classes, classes, draws=5)
+    empty = again.sensitivity_metrics.where("threshold = 0.8 and stratum = 'Dark'").collect()
+    assert [(r["n"], r["macro_f1"], r["macro_auc"]) for r in empty] == [(0, None, None)] * 2
     assert job.mcnemar.where("stratum = 'Overall'").first()["only_baseline_correct"] == 0
     assert job.intervals.count() == 8 and job.source_composition.count() == 7
     assert set(job.items()) >= {"metrics", "grid", "intervals", "mcnemar", "class_composition"}
