@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog import inputs as I
 from catalog.registry import query
 from evenhand.operators import audit, inference, joins, metrics, roc
+from evenhand.plans import report
 
 KEYS = ["model", "stratum"]
 STRATA = I.STRATA
@@ -399,7 +400,10 @@ def rater_agreement_metrics(spark, sf_dir):
         *KEYS, "n", "macro_f1")
 
 
-@query("combined_model_report", I.VECTORS_SQL + VECTOR_AUC_SQL + """,
+_f1 = ", ".join(f"max(CASE WHEN class = '{c}' THEN 2.0::DOUBLE * tp / (support + predicted) END) AS f1_{c}" for c in I.VECTOR_CLASSES)
+_auc = ", ".join(f"max(CASE WHEN class = '{c}' THEN auc END) AS auc_{c}" for c in I.VECTOR_CLASSES)
+_each = " ".join(f"f1_{c} auc_{c}" for c in I.VECTOR_CLASSES)
+REPORT_SQL = I.VECTORS_SQL + VECTOR_AUC_SQL + f""",
 per_class AS (
   SELECT model, class, sum(support) AS support, sum(predicted) AS predicted, sum(tp) AS tp FROM (
     SELECT model, true_class AS class, 1 AS support, 0 AS predicted, (true_class = pred_class)::INT AS tp FROM scored
@@ -407,28 +411,28 @@ per_class AS (
 averages AS (SELECT model, sum(support) AS n, sum(tp)::DOUBLE / sum(support) AS accuracy,
     avg(CASE WHEN support > 0 THEN tp::DOUBLE / support END) AS balanced_accuracy,
     avg(CASE WHEN predicted > 0 THEN tp::DOUBLE / predicted ELSE 0 END) AS macro_precision,
+    avg(CASE WHEN support > 0 THEN tp::DOUBLE / support ELSE 0 END) AS macro_recall,
     avg(2.0::DOUBLE * tp / (support + predicted)) AS macro_f1,
-    sum(2.0::DOUBLE * tp / (support + predicted) * support) / sum(support) AS weighted_f1,
-    max(CASE WHEN class = 'c3' THEN 2.0::DOUBLE * tp / (support + predicted) END) AS f1_c3 FROM per_class GROUP BY model),
+    sum(2.0::DOUBLE * tp / (support + predicted) * support) / sum(support) AS weighted_f1, {_f1} FROM per_class GROUP BY model),
 conf AS (SELECT model, avg(score) AS mean_conf, avg(score) FILTER (WHERE true_class = pred_class) AS correct_conf,
-    avg(score) FILTER (WHERE true_class <> pred_class) AS incorrect_conf FROM scored GROUP BY model)
-SELECT model, n, accuracy, balanced_accuracy, macro_precision, macro_f1, weighted_f1, f1_c3, macro_auc, auc_c3,
-       mean_conf, correct_conf, incorrect_conf
-FROM averages JOIN (SELECT model, avg(auc) AS macro_auc, max(CASE WHEN class = 'c3' THEN auc END) AS auc_c3 FROM auc GROUP BY model) USING (model)
-JOIN conf USING (model)""", ints="n", doubles="accuracy balanced_accuracy macro_precision macro_f1 weighted_f1 f1_c3 "
-    "macro_auc auc_c3 mean_conf correct_conf incorrect_conf")
+    avg(score) FILTER (WHERE true_class <> pred_class) AS incorrect_conf FROM scored GROUP BY model),
+report AS (
+  SELECT * FROM averages JOIN (SELECT model, avg(auc) AS macro_auc, {_auc} FROM auc GROUP BY model) USING (model) JOIN conf USING (model))"""
+
+
+@query("combined_model_report", REPORT_SQL + " SELECT * FROM report", ints="n", doubles="accuracy balanced_accuracy macro_precision "
+       "macro_recall macro_f1 weighted_f1 macro_auc mean_conf correct_conf incorrect_conf " + _each)
 def combined_model_report(spark, sf_dir):
-    """One row per model: averages, per-class F1 and AUC, confidence."""
-    rows = I.embedding_scores(spark, sf_dir)
-    by, classes = ["model"], I.VECTOR_CLASSES
-    cells = metrics.confusion_cells(rows, by)
-    scores = metrics.class_scores(cells, by, classes)
-    auc = roc.auc_by_class(roc.score_cells(rows, by, classes), by)
-    right = F.col("true_class") == F.col("pred_class")
-    aucs = auc.groupBy("model").agg(F.max(F.when(F.col("class") == "c3", F.col("auc"))).alias("auc_c3"))
-    return (
-        metrics.average_scores(scores, by).drop("correct", "macro_recall")
-        .join(metrics.wide_class_scores(scores, by, classes).select("model", "f1_c3"), "model")
-        .join(roc.macro_auc(auc, by), "model").join(aucs, "model")
-        .join(audit.confidence_by_outcome(rows, by, "score", right).drop("n"), "model")
-    )
+    """One row per model: averages, F1 and AUC of every class, confidence."""
+    return report.combined_report(I.embedding_scores(spark, sf_dir), I.VECTOR_CLASSES)
+
+
+_metrics = " UNION ALL ".join(f"SELECT '{m}' AS metric, model, {m} AS value FROM report" for m in report.BEST_BY)
+
+
+@query("best_models", REPORT_SQL + f"""
+SELECT metric, min(model) AS model, any_value(value) AS value FROM ({_metrics}) m
+JOIN (SELECT metric, max(value) AS value FROM ({_metrics}) n GROUP BY metric) t USING (metric, value) GROUP BY metric""", doubles="value")
+def best_models(spark, sf_dir):
+    """The best model for each of five metrics."""
+    return report.best_models(report.combined_report(I.embedding_scores(spark, sf_dir), I.VECTOR_CLASSES))

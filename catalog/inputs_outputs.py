@@ -10,7 +10,7 @@ from catalog.registry import query
 from evenhand.functions import arrays as A
 from evenhand.operators import audit, gate, metrics, sampling, scoring
 from evenhand.session import new_work_path
-from evenhand.sources import sinks, tables
+from evenhand.sources import images, sinks, tables
 from evenhand.streaming.rowwise import read_record_stream, run_until_done
 from catalog.sampling import SPLIT_SQL
 
@@ -57,6 +57,32 @@ def json_lines_by_split(spark, sf_dir):
     return tables.read_json_lines(spark, path, schema).select("doc_id", "split", F.md5("text").alias("text"), "lang")
 
 
+def _array_files(spark, sf_dir):
+    """One file with a JSON array per language and thousand of document numbers."""
+    rows = I.table(spark, sf_dir, "documents").withColumn("part", F.floor(F.col("doc_id") / 1000))
+    arrays = rows.groupBy("lang", "part").agg(  # a thousand rows at most
+        F.to_json(F.sort_array(F.collect_list(F.struct("doc_id", "source", "n_chars")))).alias("value"))
+    path = new_work_path(spark, "arrays")
+    arrays.select("lang", "value").write.partitionBy("lang").option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+@query("json_array_files", "SELECT doc_id, source, n_chars FROM documents", ints="n_chars")
+def json_array_files(spark, sf_dir):
+    """Files that hold one JSON array each, read with an explicit schema."""
+    schema = T.StructType().add("doc_id", "long").add("source", "string").add("n_chars", "long")
+    return tables.read_json_array(spark, f"{_array_files(spark, sf_dir)}/lang=*", schema)
+
+
+@query("file_listing", """
+SELECT lang, count(DISTINCT doc_id // 1000) AS n, true AS filled FROM documents GROUP BY lang""", ints="n")
+def file_listing(spark, sf_dir):
+    """Files below a folder with their path and length; contents are not read."""
+    files = images.list_images(spark, _array_files(spark, sf_dir), pattern="part-*.txt")
+    lang = F.regexp_extract("path", "/lang=([^/]*)/", 1)
+    return files.groupBy(lang.alias("lang")).agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("length") > 2).alias("filled"))
+
+
 @query("missing_optional_input", "SELECT doc_id, CAST(NULL AS VARCHAR) AS lang FROM documents")
 def missing_optional_input(spark, sf_dir):
     """An optional input that is not there is an empty table of the schema, joined as usual."""
