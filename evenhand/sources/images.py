@@ -217,33 +217,44 @@ def patch_corners(valid: np.ndarray, patch: int, margin: int, min_valid: float)
     return kept or edges
 
 
+def angles_of(bgr: np.ndarray) -> np.ndarray:
+    """Typology angle of every pixel in degrees."""
+    lab = bgr_to_lab(bgr)
+    return np.degrees(np.arctan2(lab[..., 0] / 2.55 - 50.0, lab[..., 2] - 128.0))
+
+
+def edge_angles(bgr: np.ndarray, patch: int, margin: int, dark_threshold: float, min_valid: float) -> list[float]:
+    """Median angle of each of up to eight patches, dark border avoided."""
+    valid = np.rint(bgr @ np.array([0.114, 0.587, 0.299])) > dark_threshold
+    size = min(patch, *bgr.shape[:2])
+    corners = patch_corners(valid, size, margin, min_valid)
+    return [float(np.median(angles_of(bgr[y:y + size, x:x + size]))) for y, x in corners]
+
+
+def _per_image(images: DataFrame, key: str, compute, schema: str, extra: Sequence[str] = ()) -> DataFrame:
+    """Map each decoded image to rows after its key; ``compute`` takes the pixels and the extra values."""
+    columns = ["height", "width", "channels", "data", *extra]
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [[k, *row] for k, h, w, c, d, *more in zip(batch[key], *[batch[c] for c in columns])
+                    for row in compute(to_bgr(d, h, w, c), *more)]
+            yield pd.DataFrame(rows, columns=[key, *names])
+
+    return images.select(key, *columns).mapInPandas(run, f"`{key}` string, {schema}")
+
+
 def patch_angles(
     images: DataFrame, key: str = "path", patch: int = 32, margin: int = 10,
     dark_threshold: float = 18.0, min_valid: float = 0.95,
 ) -> DataFrame:
-    """(key, patch_no, ita): median typology angle of up to eight patches per image, dark border avoided.
+    """(key, patch_no, ita): median typology angle of up to eight patches per image, dark border avoided."""
 
-    An image without a usable patch has one row with a NULL angle.
-    """
+    def compute(bgr: np.ndarray) -> list[tuple[int, float]]:
+        return list(enumerate(edge_angles(bgr, patch, margin, dark_threshold, min_valid)))
 
-    def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for k, h, w, c, d in zip(batch[key], batch["height"], batch["width"], batch["channels"], batch["data"]):
-                bgr = to_bgr(d, h, w, c)
-                valid = np.rint(bgr @ np.array([0.114, 0.587, 0.299])) > dark_threshold
-                size = min(patch, h, w)
-                corners = patch_corners(valid, size, margin, min_valid)
-                for number, (y, x) in enumerate(corners):
-                    lab = bgr_to_lab(bgr[y:y + size, x:x + size])
-                    angle = np.degrees(np.arctan2(lab[..., 0] / 2.55 - 50.0, lab[..., 2] - 128.0))
-                    rows.append([k, number, float(np.median(angle))])
-                if not corners:
-                    rows.append([k, 0, None])
-            yield pd.DataFrame(rows, columns=[key, "patch_no", "ita"])
-
-    return images.select(key, "height", "width", "channels", "data").mapInPandas(
-        compute, f"`{key}` string, patch_no int, ita double")
+    return _per_image(images, key, compute, "patch_no int, ita double")
 
 
 def fenced_consensus(values: np.ndarray, fence: float = 1.5) -> tuple[float, float]:
@@ -253,25 +264,31 @@ def fenced_consensus(values: np.ndarray, fence: float = 1.5) -> tuple[float, flo
     return float(np.median(kept)), float(kept.std())
 
 
-def tone_by_angle(images: DataFrame, key: str = "path", max_spread: float = 15.0, **patches) -> DataFrame:
-    """(key, method, ita, ita_std, mst10_class, mst5_class, mst_name, confidence) by patch consensus.
+def tone_by_angle(
+    images: DataFrame, key: str = "path", max_spread: float = 15.0, ring: str | None = None,
+    min_ring_pixels: int = 500, patch: int = 32, margin: int = 10, dark_threshold: float = 18.0, min_valid: float = 0.95,
+) -> DataFrame:
+    """(key, method, ita, ita_std, mst10_class, mst5_class, mst_name, confidence), each image decoded once.
 
-    The few patches of an image are one row's array, so images are decoded once and
-    nothing is joined. Images without a usable angle keep a row with unknown classes.
+    ``ring`` names a binary column with one byte for each pixel, not 0 inside the ring
+    around a lesion. A ring of ``min_ring_pixels`` or more that fits the image gives the
+    median angle of its pixels; otherwise, and without a ring, it is the consensus of
+    the image's patches. Images without a usable angle keep a row with unknown classes.
     """
-    angles = patch_angles(images, key, **patches).groupBy(key).agg(F.collect_list("ita").alias("_angles"))  # at most 8
 
-    @F.pandas_udf("ita double, std double")
-    def consensus(lists: pd.Series) -> pd.DataFrame:
-        found = [fenced_consensus(np.asarray(a)) if len(a) else (None, None) for a in lists]
-        return pd.DataFrame(found, columns=["ita", "std"], dtype="float64")
+    def compute(bgr: np.ndarray, mask: bytes | None = None) -> list[tuple[str, float | None, float]]:
+        inside = np.frombuffer(mask, np.uint8) != 0 if mask is not None else np.zeros(0, bool)
+        if len(inside) == bgr.shape[0] * bgr.shape[1] and inside.sum() >= max(min_ring_pixels, 10):
+            angles = angles_of(bgr).ravel()[inside]
+            return [("perilesional_ring", float(np.median(angles)), float(angles.std()))]
+        patches = edge_angles(bgr, patch, margin, dark_threshold, min_valid)
+        return [("multi_patch", *(fenced_consensus(np.array(patches)) if patches else (None, 0.0)))]
 
-    rows = angles.select(key, consensus("_angles").alias("_c")).select(
-        key, F.nanvl("_c.ita", F.lit(None).cast("double")).alias("ita"),
-        F.nanvl("_c.std", F.lit(None).cast("double")).alias("std"))
+    rows = _per_image(images, key, compute, "method string, ita double, std double", [ring] if ring else [])
+    rows = rows.withColumn("ita", F.nanvl("ita", F.lit(None).cast("double")))
     mst5 = L.ita_to_mst5(F.col("ita"))
     return rows.select(
-        key, F.lit("multi_patch").alias("method"), "ita", F.coalesce("std", F.lit(0.0)).alias("ita_std"),
+        key, "method", "ita", F.coalesce("std", F.lit(0.0)).alias("ita_std"),
         L.ita_to_mst10(F.col("ita")).alias("mst10_class"), mst5.alias("mst5_class"), L.mst5_name(mst5).alias("mst_name"),
         L.tier(F.coalesce("std", F.lit(0.0)), max_spread, high_if_below=True).alias("confidence"),
     )

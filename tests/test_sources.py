@@ -76,6 +76,30 @@ def test_image_features_and_gate(spark, image_folder):
     assert flags == {"skin.png": False, "dark.png": True, "green.png": False}
 
 
+def test_ring_mask_gives_the_angle_and_patches_are_the_fallback(spark, tmp_path):
+    left, right = (210, 160, 130), (90, 60, 40)
+    both = np.full((40, 48, 3), left)
+    both[:, 24:] = right
+    png(tmp_path / "both.png", both)
+    decoded = images.read_images(spark, str(tmp_path))
+    ring = np.zeros((40, 48), np.uint8)
+    ring[:, 24:] = 1
+    few = np.zeros((40, 48), np.uint8)
+    few[0, :12] = 1
+
+    def tone(mask):
+        rows = decoded.withColumn("ring", F.lit(None).cast("binary") if mask is None else F.lit(bytes(mask)))
+        return images.tone_by_angle(rows, ring="ring", min_ring_pixels=100, patch=8, margin=2).first()
+
+    plain = images.tone_by_angle(decoded, patch=8, margin=2).first()
+    found = tone(ring.tobytes())
+    dark = np.full((1, 1, 3), right)[..., ::-1]
+    assert found["method"] == "perilesional_ring" and found["ita_std"] == 0.0
+    assert found["ita"] == pytest.approx(float(images.angles_of(dark)[0, 0]))
+    for mask in (few.tobytes(), b"", ring.tobytes()[:-1], None):
+        assert tone(mask) == plain and plain["method"] == "multi_patch"
+
+
 def test_masks_of_ring_and_centre_equal_their_positions():
     from evenhand.functions.arrays import border_positions, centre_positions
 
