@@ -17,7 +17,7 @@ BUILD_BEAM = 48
 FIRST = 256  # points that are compared one by one before the graph is walked
 BATCH = 1024  # points added side by side
 STEP = 4  # points of a beam that are opened at a time
-MARKS = 1 << 24  # entries of the table of visited points of the queries that walk together
+MARKS = 1 << 21  # entries of the table of visited points of the queries that walk together
 
 
 @dataclass
@@ -72,7 +72,7 @@ def walk(points: np.ndarray, links: np.ndarray, queries: np.ndarray, entries: np
     n = len(links)
     sims_out = np.full((len(queries), beam), -np.inf, np.float32)
     ids_out = np.full((len(queries), beam), -1, np.int32)
-    together = max(16, min(1024, MARKS // max(n, 1)))
+    together = max(16, min(512, MARKS // max(n, 1)))
     for start in range(0, len(queries), together):
         q = queries[start:start + together]
         entry = entries[start:start + together].astype(np.int32)

@@ -20,7 +20,8 @@ from evenhand.session import reliable_checkpoint
 
 LEAST_SHARDS = 6
 SHARD_BYTES = 64 << 20  # of the vectors of a shard in double precision
-BLOCK_ROWS = 32_768  # queries that a task asks at a time
+BLOCK_ROWS = 8_192  # queries that a task asks at a time
+SPREAD = 4  # partitions for each group, so that few groups meet in one
 
 
 def usable(vector: str) -> Column:
@@ -63,7 +64,7 @@ def shard_graphs(vectors: DataFrame, unit: Callable[[np.ndarray], np.ndarray]) -
                              ("counts", pa.binary()), ("vectors", pa.binary()), ("sizes", pa.list_(pa.int64())),
                              ("links", pa.binary())]))
 
-    built = placed.repartition(shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(
+    built = placed.repartition(SPREAD * shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(
         graph, "dim int, shard int, numbers binary, counts binary, vectors binary, sizes array<long>, links binary")
     return reliable_checkpoint(built, "graphs")
 
@@ -94,7 +95,7 @@ def ask_all(queries: DataFrame, graphs: DataFrame, unit: Callable[[np.ndarray],
     asked = queries.select(F.size("vector").alias("dim"), block.alias("block"), "number", "vector").join(
         F.broadcast(shards), "dim")  # as many rows as shards
     given = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    parts = blocks * max(LEAST_SHARDS, graphs.count())
+    parts = SPREAD * blocks * max(LEAST_SHARDS, graphs.count())
     key = ["dim", "shard", "block"]
 
     def run(block: pa.Table, graph: pa.Table) -> pa.Table:
