@@ -263,8 +263,10 @@ class Encoder:
 
 
 def encode(docs: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str = "text",
-           bound: int = FREQUENT_WORDS, carry: Sequence[str] = ()) -> DataFrame:
-    """(key, carry..., n_tokens, ids): the ids of every whole text as packed little-endian 32-bit integers.
+           bound: int = FREQUENT_WORDS, carry: Sequence[str] = (), packed: bool = True) -> DataFrame:
+    """(key, carry..., n_tokens, ids): the ids of every whole text.
+
+    ``ids`` are packed little-endian 32-bit integers or, with ``packed=False``, an array.
 
     ``tokenizer_file`` is a word BPE file that all machines have. Equal to the library's
     encoding without added special tokens; special strings inside a text become their
@@ -281,7 +283,7 @@ def encode(docs: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str
         encoder = Encoder(tokenizer_file, Lexicon(SparkFiles.get(name)))
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int64)
-            packed: list[list[bytes]] = [[] for _ in range(batch.num_rows)]
+            parts: list[list[bytes]] = [[] for _ in range(batch.num_rows)]
             for rows, group in byte_groups(batch.column(0)):
                 words, codes, at = coded_words(group)
                 ids, starts, sizes = encoder.words(words)
@@ -290,13 +292,17 @@ def encode(docs: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str
                 ends = np.cumsum(each)
                 np.add.at(n, rows, each)
                 for row, end, size in zip(rows.tolist(), ends.tolist(), each.tolist()):
-                    packed[row].append(flat[end - size:end].tobytes())
-            joined = pa.array([b"".join(p) for p in packed], pa.binary())
+                    parts[row].append(flat[end - size:end].tobytes())
+            if packed:
+                joined = pa.array([b"".join(p) for p in parts], pa.binary())
+            else:
+                whole = np.frombuffer(b"".join(x for p in parts for x in p), "<u4").astype(np.int32)
+                joined = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), pa.array(whole))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n), joined],
                                              [*batch.schema.names[1:], "n_tokens", "ids"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[1:])
-    return narrow.mapInArrow(run, f"{kinds}, n_tokens long, ids binary").toDF(key, *carry, "n_tokens", "ids")
+    return narrow.mapInArrow(run, f"{kinds}, n_tokens long, ids {'binary' if packed else 'array<int>'}").toDF(key, *carry, "n_tokens", "ids")
 
 
 def decode(encoded: DataFrame, tokenizer_file: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
@@ -322,12 +328,3 @@ def decode(encoded: DataFrame, tokenizer_file: str, ids: str = "ids", name: str
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(run, f"{kinds}, `{name}` string")
-
-
-def id_array(ids: str = "ids"):
-    """The packed ids as an array column of integers, without Python."""
-    digits = F.hex(F.col(ids))
-    whole = F.sequence(F.lit(0), F.greatest(F.length(digits) / 8 - 1, F.lit(0)).cast("int"))
-    swapped = F.transform(whole, lambda i: F.conv(F.concat(*[
-        F.substring(digits, i * 8 + 7 - 2 * b, F.lit(2)) for b in range(4)]), 16, 10).cast("int"))
-    return F.when(F.length(ids) > 0, swapped).otherwise(F.array().cast("array<int>"))

@@ -6,7 +6,7 @@ import pytest
 from helpers import documents, rows
 from hypothesis import given, settings, strategies as st
 
-from evenhand.llm.bpe import Lexicon, Vocabulary, compile_lexicon, decode, encode, id_array, write_lexicon
+from evenhand.llm.bpe import Lexicon, Vocabulary, compile_lexicon, decode, encode, write_lexicon
 from evenhand.llm.registry import tokenizer_file
 from evenhand.llm.texts import byte_groups, cut_at_spaces, split_words
 from evenhand.llm.token_count import token_counts
@@ -37,12 +37,14 @@ def test_counts_and_codes_equal_the_library(spark, docs, library):
     assert sorted(((r.doc_id is None, r.doc_id, r.n_bytes, r.n_tokens) for r in counted), key=str) == sorted(
         ((a, b, c, len(d)) for a, b, c, d in want), key=str)
     coded = decode(encode(table, tokenizer_file(), carry=("lang", "size")), tokenizer_file())
-    got = coded.select("*", id_array("ids").alias("listed")).collect()
-    assert sorted(((r.doc_id is None, r.doc_id, r.listed) for r in got), key=str) == sorted(
-        ((a, b, d) for a, b, _, d in want), key=str)
-    for r in got:
-        assert r.size == "own size" and np.frombuffer(r.ids, "<u4").tolist() == r.listed
-        assert r.decoded == library.decode(r.listed, skip_special_tokens=False)
+    expected = sorted(((a, b, d) for a, b, _, d in want), key=str)
+    got = [(r, np.frombuffer(r.ids, "<u4").tolist()) for r in coded.collect()]
+    assert sorted(((r.doc_id is None, r.doc_id, ids) for r, ids in got), key=str) == expected
+    for r, ids in got:
+        assert r["size"] == "own size" and r.n_tokens == len(ids)
+        assert r.decoded == library.decode(ids, skip_special_tokens=False)
+    arrays = encode(table, tokenizer_file(), packed=False).collect()
+    assert sorted(((r.doc_id is None, r.doc_id, r.ids) for r in arrays), key=str) == expected
     del docs
 
 
