@@ -18,6 +18,7 @@ from evenhand.llm.vectors import Shard, ask_all, shard_graphs, usable
 from evenhand.session import reliable_checkpoint
 
 BEAM = 32
+WIDEST = 16  # a beam of 1 / WIDEST of a shard is widened to the whole shard, which is then compared directly
 AUDITED = 256  # queries of a block that are compared with the whole shard
 SLACK = 1e-4  # single precision of the walk; every link is verified in double precision
 
@@ -36,16 +37,25 @@ def close_points(shard: Shard, units: np.ndarray, threshold: float, recall: floa
     true = (units[audit] @ all_units.T >= threshold).sum()
     beam = min(BEAM, n)
 
+    def whole(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What a beam as wide as the shard meets: all points."""
+        near = [np.nonzero(units[rows[i:i + 256]] @ all_units.T >= threshold - SLACK) for i in range(0, len(rows), 256)]
+        at = np.concatenate([rows[i * 256 + r] for i, (r, _) in enumerate(near)])
+        return at, np.concatenate([c for _, c in near])
+
     def walk_all(rows: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Found (row, point); a query whose beam holds links only asks again with twice the beam."""
         found = []
         while len(rows):
+            if beam * WIDEST >= n:
+                found.append(whole(rows))
+                break
             sims, points = search(shard.graph, units[rows], beam)
             near = sims >= threshold - SLACK
-            full = near.all(axis=1) & (beam < n)
+            full = near.all(axis=1)
             at, slot = np.nonzero(near & ~full[:, None])
             found.append((rows[at], points[at, slot]))
-            rows, beam = rows[full], min(2 * beam, n)
+            rows, beam = rows[full], 2 * beam
         at = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
         points = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
         exact = np.empty(len(at), bool)
@@ -56,9 +66,9 @@ def close_points(shard: Shard, units: np.ndarray, threshold: float, recall: floa
 
     while True:
         got, _ = walk_all(audit, beam)
-        if len(got) >= recall * true or beam >= n:
+        if len(got) >= recall * true or beam * WIDEST >= n:
             break
-        beam = min(2 * beam, n)
+        beam *= 2
     return walk_all(np.arange(len(units)), beam)
 
 
