@@ -9,7 +9,7 @@ once, and words in which every distance exceeds the radius are dropped on the wa
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -189,6 +189,17 @@ def near_links(distinct: DataFrame, radius: int = 2, blocks: int = 4) -> DataFra
     return rows.groupBy("slot").applyInArrow(link, "a long, b long")
 
 
+def classes_of(rows: DataFrame, classes: DataFrame, links: DataFrame, key: str) -> DataFrame:
+    """(key, fingerprint, component_id, root) of ``rows`` (key, bits), whose ``classes`` (bits, least) are linked."""
+    roots = components(links)
+    rooted = classes.join(roots, classes["bits"] == roots["node"], "left").select(
+        "bits", "least", F.coalesce("root", "bits").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(smallest, "root").select("bits", "component_id", "root")
+    return rows.join(named, "bits").select(
+        key, F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id", "root")
+
+
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2,
                  blocks: int = 4) -> DataFrame:
     """(key, fingerprint, component_id, root) for every row of ``docs``.
@@ -202,18 +213,15 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     """
     rows = reliable_checkpoint(fingerprints(docs, key, text, shingle), "fingerprints")
     classes = reliable_checkpoint(rows.groupBy("bits").agg(F.min(key).alias("least")), "classes")
-    roots = components(near_links(classes.select("bits"), radius, blocks))
-    rooted = classes.join(roots, classes["bits"] == roots["node"], "left").select(
-        "bits", "least", F.coalesce("root", "bits").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select("bits", "component_id", "root")
-    return rows.join(named, "bits").select(
-        key, F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id", "root")
+    return classes_of(rows, classes, near_links(classes.select("bits"), radius, blocks), key)
 
 
-def keep_first(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
+def keep_first(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3,
+               prints: Callable[..., DataFrame] = fingerprints) -> DataFrame:
     """One row of ``docs`` for each component of :func:`near_classes`: that of the smallest key, the rest is dropped.
 
+    ``prints`` is what made the fingerprints of ``classes``.
+
     Rows that repeat this key are reduced to one. A row without a key stays only if no
     row of its component has one, and one of such rows stays.
     """
@@ -221,6 +229,6 @@ def keep_first(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: s
     keyed = docs.join(kept, key, "left_semi").dropDuplicates([key])  # one shuffle serves both
     lone = classes.where(F.col(key).isNull() & F.col("component_id").isNull()).select(
         F.conv("fingerprint", 16, -10).cast("long").alias("_bits"), F.col("root").alias("_root")).distinct()
-    nameless = fingerprints(docs.where(F.col(key).isNull()), key, text, shingle, docs.columns, "_bits")
+    nameless = prints(docs.where(F.col(key).isNull()), key, text, shingle, docs.columns, "_bits")
     rest = nameless.join(lone, "_bits").dropDuplicates(["_root"])
     return keyed.select(*docs.columns).unionByName(rest.select(*docs.columns))
