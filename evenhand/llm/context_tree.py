@@ -7,8 +7,9 @@ would have coded the training texts. The counts are those of 6-byte strings of a
 training texts, summed by Spark, and the tree is built level by level as tables.
 
 Texts are scored as tokens: words of the lower-cased text joined by one space, and
-an end mark. Only nodes that hold a fixed share of all training bytes are sent to
-the workers, which bounds the model whatever the input.
+an end mark. Nodes that hold a fixed share of all training bytes are sent to the
+workers. Strings whose path leaves these are passed on with their number, meet the
+unpruned levels in tasks of one group of contexts, and are added back to their text.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ DEPTH = 5  # bytes of the longest context
 END = b"\xff"  # never part of UTF-8: the end of a text, and what stands before its first byte
 NODE_SHARE = 1 << 18  # a node is sent to the workers if it has seen 1 / NODE_SHARE of all training bytes
 WORD_SHARE = 1 << 17  # a word is, if it is 1 / WORD_SHARE of all training words
+TOP = 2  # nodes of so many bytes or fewer are all sent; the others are grouped by their last TOP + 1 bytes
+SLOT_NODES = 500_000  # nodes of such a task
 KNOWN_STRINGS = 1 << 21  # strings whose probability a worker keeps
 LN2 = float(np.log(2))
 
@@ -160,34 +163,45 @@ def tree_levels(counts: DataFrame) -> list[DataFrame]:
     return levels
 
 
-def tree_tables(counts: DataFrame, share: int = NODE_SHARE) -> list[tuple[np.ndarray, np.ndarray]]:
-    """By depth (nodes in rising order, probability of a one if the path ends there), bounded by ``share``.
+def place(nodes: np.ndarray, a: np.ndarray, b: np.ndarray, share: np.ndarray, depth: int,
+          above: tuple[np.ndarray, np.ndarray, np.ndarray] | None) -> tuple[tuple, tuple]:
+    """((nodes in rising order, probability of a one), what the next depth needs) of nodes whose parents are ``above``.
 
     A path through the tree mixes the estimates from the root down; ``sofar`` is what
     the shorter contexts give and ``left`` the weight that remains for longer ones.
     """
+    order = np.argsort(nodes)
+    nodes, a, b, share = nodes[order], a[order], b[order], share[order]
+    one = (b + 0.5) / (a + b + 1)
+    sofar, left = np.zeros(len(nodes)), np.ones(len(nodes))
+    if above is not None and len(nodes):
+        at = np.searchsorted(above[0], nodes & ((1 << (8 * depth)) - 1))
+        sofar, left = above[1][at], above[2][at]
+    p = np.clip(sofar + left * one, 1e-12, 1 - 1e-12).astype(np.float32)
+    return (nodes, p), (nodes, sofar + left * share * one, left * (1 - share))
+
+
+def arrays(table: pa.Table) -> list[np.ndarray]:
+    return [table[c].to_numpy() for c in ("node", "a", "b", "share")]
+
+
+def tree_model(counts: DataFrame, share: int = NODE_SHARE) -> tuple[list[tuple], tuple, list[DataFrame]]:
+    """(by depth the nodes sent to the workers and their probabilities, state below TOP, the deeper levels in full)."""
     total = counts.agg(F.sum("n")).first()[0] or 0
     least = max(1, -(-total // share))
-    tables = []
-    above = None
-    for depth, level in enumerate(tree_levels(counts)):
-        kept = level.where(F.lit(depth == 0) | (F.col("a") + F.col("b") >= least)).withColumn(
-            "one", (F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1))
-        if above is None:
-            placed = kept.withColumns({"sofar": F.lit(0.0), "left": F.lit(1.0)})
-        else:
-            mask = (1 << (8 * depth)) - 1
-            parents = above.select(
-                F.col("node").alias("parent"),
-                (F.col("sofar") + F.col("left") * F.col("share") * F.col("one")).alias("sofar"),
-                (F.col("left") * (1 - F.col("share"))).alias("left"))
-            placed = kept.withColumn("parent", F.col("node").bitwiseAND(F.lit(mask))).join(parents, "parent").drop("parent")
-        above = reliable_checkpoint(placed, "placed")
-        found = above.select("node", (F.col("sofar") + F.col("left") * F.col("one")).alias("p")).toArrow()
-        nodes, p = found["node"].to_numpy(), found["p"].to_numpy()
-        order = np.argsort(nodes)
-        tables.append((nodes[order], np.clip(p[order], 1e-12, 1 - 1e-12).astype(np.float32)))
-    return tables
+    levels = tree_levels(counts)
+    tables, above, state = [], None, None
+    for depth, level in enumerate(levels):
+        kept = level.where(F.lit(depth <= TOP) | (F.col("a") + F.col("b") >= least))
+        table, above = place(*arrays(kept.select("node", "a", "b", "share").toArrow()), depth, above)
+        tables.append(table)
+        state = above if depth == TOP else state
+    return tables, state, levels[TOP + 1:]
+
+
+def tree_tables(counts: DataFrame, share: int = NODE_SHARE) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By depth (nodes in rising order, probability of a one if the path ends there), bounded by ``share`` below TOP."""
+    return tree_model(counts, share)[0]
 
 
 class Coder:
@@ -195,10 +209,10 @@ class Coder:
 
     def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]]):
         self.tables = tables
-        self.values, self.logs = np.zeros(0, np.uint64), np.zeros(0, np.float64)
+        self.values, self.logs, self.open = np.zeros(0, np.uint64), np.zeros(0, np.float64), np.zeros(0, bool)
 
-    def fresh(self, values: np.ndarray) -> np.ndarray:
-        """Eight decisions for each string, each by the deepest node there is."""
+    def fresh(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Eight decisions for each string, each by the deepest node there is; whether a path ends above the last depth."""
         values = values.view(np.int64)
         byte, context = values & 255, values >> 8
         j = np.arange(8)
@@ -214,24 +228,65 @@ class Coder:
             there = nodes[place] == node
             at, column, decision, place = at[there], column[there], decision[there], place[there]
             p[at, column] = ones[place]
+        else:
+            depth = len(self.tables)
+        whole = np.bincount(at, minlength=len(values)) if depth == len(self.tables) else np.zeros(len(values), np.int64)
         bit = (byte[:, None] >> (7 - j)) & 1
-        return np.log2(np.where(bit == 1, p, 1 - p)).sum(axis=1)
+        return np.log2(np.where(bit == 1, p, 1 - p)).sum(axis=1), whole < 8
 
     def logs_of(self, values: np.ndarray) -> np.ndarray:
         """Log2 probability of distinct strings."""
+        return self.judged(values)[0]
+
+    def judged(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log2 probability of distinct strings, and whether deeper nodes may exist that the tables lack."""
         place = np.minimum(np.searchsorted(self.values, values), max(len(self.values) - 1, 0))
         known = self.values[place] == values if len(self.values) else np.zeros(len(values), bool)
-        logs = np.empty(len(values))
-        logs[known] = self.logs[place[known]]
+        logs, open_ = np.empty(len(values)), np.empty(len(values), bool)
+        logs[known], open_[known] = self.logs[place[known]], self.open[place[known]]
         new = values[~known]
-        logs[~known] = self.fresh(new)
         if len(new):
+            logs[~known], open_[~known] = self.fresh(new)
             if len(self.values) + len(new) > KNOWN_STRINGS:
-                self.values, self.logs = self.values[:0], self.logs[:0]
-            self.values, self.logs = np.concatenate([self.values, new]), np.concatenate([self.logs, logs[~known]])
-            order = np.argsort(self.values)
-            self.values, self.logs = self.values[order], self.logs[order]
-        return logs
+                self.values, self.logs, self.open = self.values[:0], self.logs[:0], self.open[:0]
+            merged = np.concatenate([self.values, new])
+            order = np.argsort(merged)
+            self.values = merged[order]
+            self.logs = np.concatenate([self.logs, logs[~known]])[order]
+            self.open = np.concatenate([self.open, open_[~known]])[order]
+        return logs, open_
+
+
+def deeper_logs(deep: DataFrame, levels: list[DataFrame], top: list[tuple], state: tuple) -> DataFrame:
+    """(_id, deeper): sum of the log2 probabilities of the strings of ``deep`` by the unpruned ``levels`` below TOP."""
+    spark = deep.sparkSession
+    shared = spark.sparkContext.broadcast((top, state))  # all nodes of at most TOP bytes
+    slots = max(6, -(-(deep.count() + sum(level.count() for level in levels)) // SLOT_NODES))
+    slot = F.pmod(F.xxhash64(F.shiftright("at", 8).bitwiseAND((1 << 8 * (TOP + 1)) - 1)), F.lit(slots)).cast("int")
+    nodes = None
+    for depth, level in enumerate(levels, TOP + 1):
+        part = level.select(F.lit(depth).alias("depth"), F.col("node").alias("at"), "a", "b", "share")
+        nodes = part if nodes is None else nodes.union(part)
+    nodes = nodes.withColumn("slot", slot).withColumnRenamed("at", "node")
+    asked = deep.withColumn("at", F.col("string")).withColumn("slot", slot).drop("at")
+
+    def run(strings: pa.Table, nodes: pa.Table) -> pa.Table:
+        top, above = shared.value
+        tables = list(top)
+        depth = nodes["depth"].to_numpy()
+        columns = arrays(nodes)
+        for d in range(TOP + 1, DEPTH + 1):
+            table, above = place(*(c[depth == d] for c in columns), d, above)
+            tables.append(table)
+        values, codes = np.unique(strings["string"].to_numpy(), return_inverse=True)
+        coder = Coder(tables)
+        logs = [coder.fresh(values[i:i + 65_536])[0] for i in range(0, len(values), 65_536)]
+        ids, row = np.unique(strings["_id"].to_numpy(), return_inverse=True)
+        each = np.concatenate([np.zeros(0), *logs])[codes] * strings["times"].to_numpy()
+        return pa.table({"_id": ids, "log": np.bincount(row, weights=each, minlength=len(ids))})
+
+    summed = asked.groupBy("slot").cogroup(nodes.groupBy("slot")).applyInArrow(run, "_id long, log double")
+    return summed.groupBy("_id").agg(F.sum("log").alias("deeper"))
 
 
 # --- scores ------------------------------------------------------------------
@@ -247,7 +302,8 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     single words: log10((c + 0.1) / (N + 0.1 (V + 1))) summed over words and one end
     token, c being the token's count, N the number and V the kinds of training tokens;
     ``n_known`` counts tokens with c > 0. Words of at least 1 / ``word_share`` of all are
-    summed where the text is, the others are joined with their counts. Null and empty
+    summed where the text is, the others are joined with their counts; so are strings of
+    bytes whose nodes hold less than 1 / ``node_share`` of all bytes, with no loss. Null and empty
     texts are one end token; a null ``held_out`` is held out; repeated rows count and are
     scored one by one; without training rows every bit costs 1 and N is 0; empty tables
     give empty tables; other columns are not read.
@@ -257,7 +313,7 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     rows = docs.select(F.col(text).alias("_text"), F.col(key).alias("_key"),
                        F.coalesce(held_out, F.lit(True)).alias("_held"))
     training = rows.where(~F.col("_held"))
-    tables = tree_tables(reliable_checkpoint(string_counts(training.select("_text")), "strings"), node_share)
+    tables, state, levels = tree_model(reliable_checkpoint(string_counts(training.select("_text")), "strings"), node_share)
     words = reliable_checkpoint(word_counts(training, "_text", lower=True), "words")
     n_texts = training.count()
     of_words = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).first()
@@ -276,10 +332,15 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
         for batch in batches:
             size = batch.num_rows
             logs, n_bytes = np.zeros(size), np.zeros(size, np.int64)
+            deep: list[tuple[np.ndarray, ...]] = []
             for at, parts in pieces(batch.column(0)):
                 values, sizes = strings(parts)
                 codes, distinct = pd.factorize(values)
-                each = coder.logs_of(distinct)[codes]
+                known_logs, left_open = coder.judged(distinct)
+                each = np.where(left_open, 0, known_logs)[codes]
+                there = left_open[codes]
+                pair, n = np.unique(np.repeat(at, sizes)[there] * len(distinct) + codes[there], return_counts=True)
+                deep.append((pair // max(len(distinct), 1), distinct[pair % max(len(distinct), 1)].view(np.int64), n))
                 np.add.at(logs, at, np.add.reduceat(np.r_[each, 0.0], np.cumsum(sizes) - sizes) * (sizes > 0))
                 np.add.at(n_bytes, at, sizes)
             tokens, known = np.ones(size, np.int64), np.full(size, int(ends > 0), np.int64)
@@ -301,24 +362,32 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
             offsets = np.searchsorted(row, np.arange(size + 1)).astype(np.int32)
             plain = lambda name: listed[name].combine_chunks()
             structs = pa.StructArray.from_arrays([plain("word"), plain("n")], ["word", "n"])
+            deep_row, string, times = (np.concatenate(c).astype(np.int64) for c in zip((np.zeros(0, np.int64),) * 3, *deep))
+            order = np.argsort(deep_row, kind="stable")
+            deep_offsets = np.searchsorted(deep_row[order], np.arange(size + 1)).astype(np.int32)
+            strings_left = pa.StructArray.from_arrays([pa.array(string[order]), pa.array(times[order])], ["string", "n"])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(serial + np.arange(size)), batch.column(1), batch.column(2), pa.array(tokens), pa.array(known),
-                 pa.array(base), pa.array(logs * np.log10(2)), pa.array(-logs / n_bytes),
-                 pa.ListArray.from_arrays(pa.array(offsets), structs)],
-                ["_id", "_key", "held_out", "n_tokens", "n_known", "base_score", "score", "bits_per_byte", "rare"])
+                 pa.array(base), pa.array(logs), pa.array(n_bytes), pa.ListArray.from_arrays(pa.array(offsets), structs),
+                 pa.ListArray.from_arrays(pa.array(deep_offsets), strings_left)],
+                ["_id", "_key", "held_out", "n_tokens", "n_known", "base_score", "logs", "n_bytes", "rare", "deep"])
             serial += size
 
     kind = rows.schema["_key"].dataType.simpleString()
     scored = reliable_checkpoint(rows.mapInArrow(
-        run, f"_id long, _key {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
-             "bits_per_byte double, rare array<struct<word: string, n: long>>"), "scored")
+        run, f"_id long, _key {kind}, held_out boolean, n_tokens long, n_known long, base_score double, logs double, "
+             "n_bytes long, rare array<struct<word: string, n: long>>, deep array<struct<string: long, n: long>>"), "scored")
+    deep = scored.select("_id", F.inline("deep").alias("string", "times"))
+    deeper = deeper_logs(deep, levels, tables[:TOP + 1], state)
     rare = scored.select("_id", F.inline("rare").alias("word", "times")).join(
         words.where(~often), "word", "left").groupBy("_id").agg(
         F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(float(whole)))).alias("more"),
         F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("more_known"))
     nothing = F.lit(0)
-    return scored.drop("rare").join(rare, "_id", "left").select(
+    bits = F.col("logs") + F.coalesce("deeper", F.lit(0.0))
+    return scored.drop("rare", "deep").join(rare, "_id", "left").join(deeper, "_id", "left").select(
         F.col("_key").alias(key), "held_out", "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", nothing)).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("more", nothing)).alias("base_score"), "score", "bits_per_byte")
+        (F.col("base_score") + F.coalesce("more", nothing)).alias("base_score"), (bits * F.lit(float(np.log10(2)))).alias("score"),
+        (-bits / F.col("n_bytes")).alias("bits_per_byte"))

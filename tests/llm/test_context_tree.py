@@ -92,6 +92,17 @@ def test_equals_plain_recursion(spark):
         assert r.bits_per_byte == pytest.approx(-r.score / math.log10(2) / (len(stream(text)) - DEPTH))
 
 
+def test_nodes_that_are_not_broadcast_count_in_full(spark):
+    content = [(i, f"the sea {'and' * (i % 3)} Sea of thing{i % 4} name{i}\nxyz", "en", "s", 0) for i in range(12)]
+    docs = documents(spark, content + [(52, "été thing2 name3 q", None, None, None)])
+    got = score(docs, F.col("doc_id") % 4 == 0, node_share=8, word_share=8).collect()
+    tree = Tree([t for i, t, *_ in content if i % 4])
+    texts = {i: t for i, t, *_ in content} | {52: "été thing2 name3 q"}
+    assert len(got) == 13
+    for r in got:
+        assert r.score == pytest.approx(tree.log10(texts[r.doc_id]), abs=1e-4)
+
+
 def test_awkward_rows_and_pruned_nodes(spark, docs):
     got = score(docs, F.col("doc_id") % 10 == 0, node_share=64, word_share=4).collect()
     assert len(got) == len(rows()) and all(r.score < 0 and r.bits_per_byte > 0 for r in got)
