@@ -7,16 +7,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from evenhand.functions.hashing import hash32
 from evenhand.llm import context_tree
 from evenhand.llm.bpe import decode, encode
+from evenhand.llm.hard_negatives import hard_negatives
 from evenhand.llm.language import identify
 from evenhand.llm.mixing import mix
 from evenhand.llm.near_vectors import near_vectors
 from evenhand.llm.neighbours import nearest
+from evenhand.llm.periods import listed_runs, periodic_runs, strongest
 from evenhand.llm.registry import QUERIES, SQL, query, table, tokenizer_file
 from evenhand.llm.simhash import near_classes
-from evenhand.llm.texts import remainder
+from evenhand.llm.texts import WORD, remainder
 from evenhand.llm.token_count import token_counts
 from evenhand.llm.toxicity import score
 from evenhand.llm.url_filter import BINS_PER_UNIT, FOLDS, MODEL_ROWS, ORDER, REACH, SMOOTHING, Rule, judge
+from evenhand.llm.winnowing import beside_next
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -206,3 +209,70 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = decode(encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): a tenth of the texts, chosen by the key's hash, continue periodically from some word on."""
+    mark = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.select("doc_id", "text", F.floor(mark / 10).alias("g"), F.when(
+        mark % 10 == 0, F.regexp_extract_all(F.col("text"), F.lit(f"({WORD})"))).alias("words")).withColumn("n", F.size("words"))
+    placed = chosen.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int")).withColumn(
+        "p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    repeated = F.concat(F.slice("words", F.lit(1), F.col("a")), F.transform(
+        F.sequence(F.lit(0), F.col("n") - F.col("a") - 1), lambda i: F.element_at("words", F.col("a") + i % F.col("p") + 1)))
+    return placed.select("doc_id", F.when(F.col("n") > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periods")
+def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, the strongest of them, and digests of all runs and of the collapsed text."""
+    found = periodic_runs(with_repeats(table(spark, sf_dir, "documents"))).withColumn("best", strongest(F.col("runs")))
+    milli = F.floor(1000 * F.col("best.length").cast("decimal(30,0)") / F.col("best.period")).cast("long")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        milli.alias("exponent_milli"), F.sha2(listed_runs(F.col("runs")).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+@query("op12_winnowing")
+def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and of its text edited with the next document; 8 digits for each chosen hash."""
+    found = beside_next(table(spark, sf_dir, "documents"))
+    digits = lambda prints: F.array_join(F.transform(
+        prints, lambda h: F.lpad(F.lower(F.hex(F.shiftright(h, 31))), 8, "0")), "")
+    return found.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        digits("prints").alias("fingerprint"), digits("edited_prints").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS "rank",
+       s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+  AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+QUALIFY "rank" <= 5
+"""
+
+
+@query("op13_hard_negatives", NEGATIVES_SQL)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hard negatives of every hundredth vector for each of its five positives."""
+    whole = table(spark, sf_dir, "embeddings")
+    parts = F.col("embedding").cast("array<double>")
+    finite = F.forall(parts, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = whole.where(F.coalesce(finite, F.lit(False))).select(
+        "vec_id", label.alias("label"), F.transform(parts, lambda x: F.floor(256 * x)).alias("vector"))
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0)

@@ -87,7 +87,7 @@ def test_query_equals_sql(spark, sf_dir, name):
     assert ok, text
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op13_hard_negatives"}))
 def test_every_row_has_a_result(spark, sf_dir, name):
     of = {"op2": "pages", "op6": "embeddings", "op8": None}.get(name.split("_")[0], "documents")
     n = QUERIES[name](spark, sf_dir).count()
