@@ -300,7 +300,64 @@ def mcnemar_significance(spark, sf_dir):
 
 # --- uncertainty -------------------------------------------------------------
 
-@query("bootstrap_intervals", None, ints="n", doubles="macro_f1 ci_low ci_high")
+def bootstrap_sql(with_cells: str, keys: list[str], classes: list[str], draws: int = 1000, frame: str = "") -> str:
+    """Intervals from the CTE ``cells`` (keys, true_class, pred_class, n): one binomial for each draw and cell, cell by cell."""
+    listed = ", ".join(keys)
+    word = lambda start, attempt: (
+        f"(CAST('0x' || substr(md5(concat_ws('|', '42', g, d, i, {attempt})), {start}, 8) AS BIGINT) + 0.5) / 4294967296.0::DOUBLE")
+    half = f"({word(1, 't')} - 0.5::DOUBLE)"
+    edge = f"(0.5::DOUBLE - abs({half}))"
+    return with_cells.replace("WITH", "WITH RECURSIVE", 1) + f""",
+numbered AS (
+  SELECT {listed}, true_class, pred_class, CAST(n AS BIGINT) AS n, {I.h("'bootstrap'", *keys)} AS g,
+         row_number() OVER (PARTITION BY {listed} ORDER BY true_class, pred_class NULLS LAST) AS i,
+         CAST(sum(n) OVER (PARTITION BY {listed} ORDER BY true_class, pred_class NULLS LAST
+                           ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS rest
+  FROM cells WHERE n > 0),
+walk AS (
+  SELECT g, d, CAST(0 AS BIGINT) AS i, rest AS m, CAST(0 AS BIGINT) AS x FROM numbered, range({draws}) AS t(d) WHERE i = 1
+  UNION ALL
+  SELECT g, d, i, m - x, x FROM (
+    SELECT g, d, i, m, CASE WHEN q >= 1 THEN m WHEN q > 0.5 THEN m - x0 ELSE x0 END AS x FROM (
+      SELECT *, CAST(CASE
+        WHEN q >= 1 THEN m
+        WHEN m * p < 10 THEN len(list_filter(range(1, len(masses) + 1), lambda j: list_sum(list_slice(masses, 1, j)) < u))
+        ELSE list_filter(list_transform(range(40), lambda t: CASE
+          WHEN {edge} >= 0.07 AND {word(9, 't')} <= 0.92 - 4.2 / b THEN floor((2 * a / {edge} + b) * {half} + m * p + 0.5)
+          WHEN floor((2 * a / {edge} + b) * {half} + m * p + 0.5) NOT BETWEEN 0 AND m THEN NULL
+          WHEN ln({word(9, 't')} * (2.83 + 5.1 / b) * s / (a / ({edge} * {edge}) + b))
+               <= lgamma(mode + 1) + lgamma(m - mode + 1) - lgamma(floor((2 * a / {edge} + b) * {half} + m * p + 0.5) + 1)
+                  - lgamma(m - floor((2 * a / {edge} + b) * {half} + m * p + 0.5) + 1)
+                  + (floor((2 * a / {edge} + b) * {half} + m * p + 0.5) - mode) * ln(p / (1 - p))
+          THEN floor((2 * a / {edge} + b) * {half} + m * p + 0.5) END), lambda k: k IS NOT NULL)[1] END AS BIGINT) AS x0
+      FROM (
+        SELECT *, floor((m + 1) * p) AS mode, -0.0873 + 0.0248 * b + 0.01 * p AS a,
+               CASE WHEN m * p < 10 THEN {word(1, '0')} END AS u,
+               CASE WHEN q < 1 AND m * p < 10 THEN list_transform(
+                 range(0, CAST(least(m, ceil(m * p + 6 * sqrt(m * p) + 8)) AS BIGINT) + 1),
+                 lambda k: exp(lgamma(m + 1) - lgamma(k + 1) - lgamma(m - k + 1) + k * ln(p) + (m - k) * ln(1 - p))) END AS masses
+        FROM (
+          SELECT *, 1.15::DOUBLE + 2.53::DOUBLE * s AS b FROM (
+            SELECT *, sqrt(m * p * (1 - p)) AS s FROM (
+              SELECT w.g, w.d, c.i, CAST(w.m AS DOUBLE) AS m, c.n::DOUBLE / c.rest AS q,
+                     least(c.n::DOUBLE / c.rest, 1 - c.n::DOUBLE / c.rest) AS p
+              FROM walk w JOIN numbered c ON c.g = w.g AND c.i = w.i + 1))))))),
+resampled AS (
+  SELECT {listed}, d, true_class, pred_class, x AS k FROM walk JOIN numbered USING (g, i)
+  UNION ALL SELECT {listed}, -1, true_class, pred_class, n FROM numbered),
+sides AS (
+  SELECT {listed}, d, class, sum(s) AS s, sum(h) AS h FROM (
+    SELECT {listed}, d, true_class AS class, k AS s, CASE WHEN true_class = pred_class THEN k ELSE 0 END AS h FROM resampled
+    UNION ALL SELECT {listed}, d, pred_class, k, 0 FROM resampled) GROUP BY ALL),
+f1 AS (
+  SELECT {listed}, d, sum(CASE WHEN s > 0 THEN 2.0::DOUBLE * h / s ELSE 0 END) / {len(classes)} AS f
+  FROM sides WHERE class IN ({", ".join(repr(c) for c in classes)}) GROUP BY ALL)
+SELECT {listed}, coalesce(any_value(size), 0) AS n, max(f) FILTER (WHERE d < 0) AS macro_f1,
+       quantile_cont(f, 0.025) FILTER (WHERE d >= 0) AS ci_low, quantile_cont(f, 0.975) FILTER (WHERE d >= 0) AS ci_high
+FROM f1 JOIN (SELECT {listed}, sum(n) AS size FROM numbered GROUP BY ALL) USING ({listed}) GROUP BY {listed}"""
+
+
+@query("bootstrap_intervals", bootstrap_sql(I.CELLS_SQL, KEYS, I.ORDER_CLASSES), ints="n", doubles="macro_f1 ci_low ci_high")
 def bootstrap_intervals(spark, sf_dir):
     """95 % bootstrap interval of macro F1 per (model, stratum) and overall, 1,000 draws."""
     cells = metrics.with_overall(
@@ -354,10 +411,13 @@ def poisson_bootstrap_interval(spark, sf_dir):
     return inference.poisson_interval(draws, KEYS)
 
 
-@query("sensitivity_metrics", I.VECTORS_SQL + """,
+STRICTER_SQL = I.VECTORS_SQL + """,
 tagged AS (SELECT t AS threshold, scored.* FROM scored JOIN (VALUES (0.6::DOUBLE), (0.8::DOUBLE)) v(t) ON confidence >= t),
 base AS (SELECT threshold, model, stratum, true_class, pred_class, count(*) AS n FROM tagged GROUP BY ALL),
-cells AS (SELECT * FROM base UNION ALL SELECT threshold, model, 'Overall', true_class, pred_class, sum(n) FROM base GROUP BY ALL),
+cells AS (SELECT * FROM base UNION ALL SELECT threshold, model, 'Overall', true_class, pred_class, sum(n) FROM base GROUP BY ALL)"""
+
+
+@query("sensitivity_metrics", STRICTER_SQL + """,
 per_class AS (
   SELECT threshold, model, stratum, class, sum(support) AS support, sum(predicted) AS predicted, sum(tp) AS tp FROM (
     SELECT threshold, model, stratum, true_class AS class, n AS support, 0 AS predicted,
@@ -374,7 +434,8 @@ def sensitivity_metrics(spark, sf_dir):
         *keys, "n", "macro_f1")
 
 
-@query("sensitivity_intervals", None, ints="n", doubles="threshold macro_f1 ci_low ci_high")
+@query("sensitivity_intervals", bootstrap_sql(STRICTER_SQL, ["threshold", *KEYS], I.VECTOR_CLASSES), ints="n",
+       doubles="threshold macro_f1 ci_low ci_high")
 def sensitivity_intervals(spark, sf_dir):
     """Bootstrap intervals on the stricter subsets."""
     cells = inference.sensitivity_cells(

@@ -10,7 +10,7 @@ from catalog.registry import query
 from evenhand.functions import arrays as A
 from evenhand.operators import audit, gate, metrics, sampling, scoring
 from evenhand.session import new_work_path
-from evenhand.sources import images, sinks, tables
+from evenhand.sources import images, json_pieces, sinks, tables
 from evenhand.streaming.rowwise import read_record_stream, run_until_done
 from catalog.sampling import SPLIT_SQL
 
@@ -57,11 +57,11 @@ def json_lines_by_split(spark, sf_dir):
     return tables.read_json_lines(spark, path, schema).select("doc_id", "split", F.md5("text").alias("text"), "lang")
 
 
-def _array_files(spark, sf_dir):
+def _array_files(spark, sf_dir, columns=("doc_id", "source", "n_chars")):
     """One file with a JSON array per language and thousand of document numbers."""
     rows = I.table(spark, sf_dir, "documents").withColumn("part", F.floor(F.col("doc_id") / 1000))
     arrays = rows.groupBy("lang", "part").agg(  # a thousand rows at most
-        F.to_json(F.sort_array(F.collect_list(F.struct("doc_id", "source", "n_chars")))).alias("value"))
+        F.to_json(F.sort_array(F.collect_list(F.struct(*columns)))).alias("value"))
     path = new_work_path(spark, "arrays")
     arrays.select("lang", "value").write.partitionBy("lang").option("maxRecordsPerFile", 1).text(path)
     return path
@@ -74,6 +74,15 @@ def json_array_files(spark, sf_dir):
     return tables.read_json_array(spark, f"{_array_files(spark, sf_dir)}/lang=*", schema)
 
 
+@query("json_array_split", "SELECT doc_id, md5(text) AS text, source, n_chars FROM documents", ints="n_chars")
+def json_array_split(spark, sf_dir):
+    """The same arrays with whole texts, each file cut into byte ranges that are read by tasks of their own."""
+    schema = T.StructType().add("doc_id", "long").add("text", "string").add("source", "string").add("n_chars", "long")
+    folder = _array_files(spark, sf_dir, ("doc_id", "text", "source", "n_chars"))
+    read = json_pieces.read_json_pieces(spark, f"{folder}/lang=*", schema, split_bytes=64 << 10, piece_bytes=16 << 10)
+    return read.withColumn("text", F.md5("text"))
+
+
 @query("file_listing", """
 SELECT lang, count(DISTINCT doc_id // 1000) AS n, true AS filled FROM documents GROUP BY lang""", ints="n")
 def file_listing(spark, sf_dir):

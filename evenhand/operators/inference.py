@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from fractions import Fraction
 
 import numpy as np
@@ -11,11 +11,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
+from evenhand.functions.draws import multinomial_counts
 from evenhand.functions.hashing import SEED, hash32, uniform_slices
 from evenhand.operators.metrics import PRED, TRUE, average_scores, class_scores, confusion_cells, with_overall
 from evenhand.operators.ranking import null_safe_join
 from evenhand.schemas import OVERALL
 
+DRAW_BLOCK = 100  # draws that a task takes at a time
+
 
 # --- bootstrap ---------------------------------------------------------------
 
@@ -29,6 +32,41 @@ def _macro_f1(counts: np.ndarray, truth: np.ndarray, pred: np.ndarray, classes:
     return np.mean(scores, axis=0)
 
 
+def bootstrap_draws(
+    cells: DataFrame, by: Sequence[str], labels: Sequence[str], draws: int = 1000, seed: int = SEED,
+) -> DataFrame:
+    """(by, draw, n, macro_f1) from confusion cells; draw -1 is the point estimate.
+
+    A draw of N rows with replacement has cell counts that are multinomial
+    (N, n_cell / N), so its cost does not depend on N. The counts come cell by cell, in
+    the order of the labels, as conditional binomials of counter-based uniform numbers:
+    any engine that has md5 gets the same draws, wherever and how often a task runs.
+    """
+    by = list(by)
+    listed = F.sort_array(F.collect_list(F.struct(
+        F.col(TRUE).alias("t"), F.col(PRED).isNull().alias("none"), F.col(PRED).alias("p"), F.col("n").alias("n"))))
+    groups = cells.where(F.col("n") > 0).groupBy(*by).agg(listed.alias("_cells")).withColumn(  # classes x classes entries at most
+        "_seed", hash32(F.lit("bootstrap"), *[F.col(k) for k in by], seed=seed))
+    blocks = groups.withColumn("_first", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(DRAW_BLOCK))))
+    kinds = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
+    schema = ", ".join([f"`{k}` {kinds[k]}" for k in by] + ["draw int, n bigint, macro_f1 double"])
+
+    def resample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                entries = row["_cells"]
+                weights = np.array([c["n"] for c in entries], np.int64)
+                truth, pred = (np.array([c[k] for c in entries], dtype=object) for k in ("t", "p"))
+                numbers = np.arange(row["_first"], min(draws, row["_first"] + DRAW_BLOCK))
+                drawn = multinomial_counts(weights, numbers, f"{seed}|{row['_seed']}")
+                if not row["_first"]:
+                    numbers, drawn = np.append(-1, numbers), np.vstack([weights, drawn])
+                yield pd.DataFrame({**{k: [row[k]] * len(numbers) for k in by}, "draw": numbers.astype(np.int32),
+                                    "n": int(weights.sum()), "macro_f1": _macro_f1(drawn, truth, pred, labels)})
+
+    return blocks.repartition(*by, "_first").mapInPandas(resample, schema)
+
+
 def bootstrap_macro_f1(
     cells: DataFrame,
     by: Sequence[str],
@@ -39,34 +77,16 @@ def bootstrap_macro_f1(
     strata: Sequence[str] | None = None,
     stratum: str = "stratum",
 ) -> DataFrame:
-    """(by, n, macro_f1, ci_low, ci_high) from confusion cells.
+    """(by, n, macro_f1, ci_low, ci_high) from confusion cells, by the percentiles of :func:`bootstrap_draws`.
 
-    Drawing N rows with replacement gives cell counts that are multinomial
-    (N, n_cell / N), and macro F1 depends on the counts alone. So the cost does
-    not depend on N; a group holds at most classes x classes cells. With
-    ``strata``, a (group, stratum) without rows gives a row of NULLs and n = 0.
+    With ``strata``, a (group, stratum) without rows gives a row of NULLs and n = 0.
     """
     tail = (1.0 - level) / 2.0
     by = list(by)
-    seeded = cells.withColumn("_seed", hash32(F.lit("bootstrap"), *[F.col(k) for k in by], seed=seed))
-    fields = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
-    schema = ", ".join([f"`{k}` {fields[k]}" for k in by] + [
-        "n bigint", "macro_f1 double", "ci_low double", "ci_high double"])
-
-    def resample(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([TRUE, PRED], na_position="last")
-        weights = group["n"].to_numpy(dtype="int64")
-        truth, pred = group[TRUE].to_numpy(dtype=object), group[PRED].to_numpy(dtype=object)
-        size = int(weights.sum())
-        random = np.random.default_rng(int(group["_seed"].iloc[0]))
-        drawn = random.multinomial(size, weights / size, size=draws)
-        samples = _macro_f1(drawn, truth, pred, labels)
-        point = float(_macro_f1(weights[None, :], truth, pred, labels)[0])
-        low, high = np.percentile(samples, [100 * tail, 100 * (1 - tail)])
-        head = {k: [group[k].iloc[0]] for k in by}
-        return pd.DataFrame({**head, "n": [size], "macro_f1": [point], "ci_low": [low], "ci_high": [high]})
-
-    result = seeded.groupBy(*by).applyInPandas(resample, schema)
+    drawn = F.when(F.col("draw") >= 0, F.col("macro_f1"))
+    result = bootstrap_draws(cells, by, labels, draws, seed).groupBy(*by).agg(  # as many values as draws
+        F.max("n").alias("n"), F.max(F.when(F.col("draw") < 0, F.col("macro_f1"))).alias("macro_f1"),
+        F.percentile(drawn, F.lit(tail)).alias("ci_low"), F.percentile(drawn, F.lit(1.0 - tail)).alias("ci_high"))
     if strata is None:
         return result
     others = [k for k in by if k != stratum]

@@ -77,8 +77,8 @@ def read_predictions(
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Files that hold one JSON array each.
 
-    Such a file is parsed by one task; convert large ones once with
-    ``sinks.write_json_lines``.
+    Such a file is parsed by one task; ``json_pieces.read_json_pieces`` reads large ones
+    in many.
     """
     return spark.read.option("multiLine", True).schema(schema).json(path)
 
