@@ -273,7 +273,7 @@ def periodic_runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     mark = F.xxhash64(F.col(text))
     runs = reliable_checkpoint(stitched_runs(found_stretches(docs, key, text, mark)), "runs")
     rows = docs.select(F.col(key).alias("_key"), mark.alias("_mark"), F.col(text).alias("_text"))
-    found = runs.select(F.col("_key").alias("_k"), F.col("_mark").alias("_m"), "runs")
+    found = runs.select(F.col("_key").alias("_k"), F.col("_mark").alias("_m"), "runs").hint("merge")  # at every size
     both = rows.join(found, rows["_key"].eqNullSafe(found["_k"]) & (rows["_mark"] == found["_m"]), "left").select(
         "_key", "_text", F.coalesce("runs", F.array().cast(RUNS)).alias("runs"))
     return collapse(both).withColumnRenamed("_key", key)
