@@ -14,7 +14,6 @@ import hashlib
 import json
 import os
 import tempfile
-import unicodedata
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -31,9 +30,8 @@ from evenhand.session import reliable_checkpoint
 FREQUENT_WORDS = 1 << 17  # bound on the lexicon: words that make up 1 / FREQUENT_WORDS of all words or more
 KNOWN_PIECES = 1 << 18  # merged pre-tokens kept between batches by one worker
 
-# Fixed values of the vocabulary's format: the pre-tokenizer's pattern and the special tokens.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-SPECIALS = ("<|startoftext|>", "<|endoftext|>")
+# Fixed values of the vocabulary's format: the pre-tokenizer's pattern for ASCII and the mark of a word's end.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0D a-z0-9]+"
 WORD_END = "</w>"
 
 
@@ -48,8 +46,12 @@ class Vocabulary:
     """Ids, merge ranks and token strings of a word BPE file (``tokenizers`` JSON)."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as file:
             content = json.load(file)
+        library = Tokenizer.from_file(path)
+        self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         self.ids: dict[str, int] = content["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in content["added_tokens"]}
         self.rank = {tuple(pair): i for i, pair in enumerate(content["model"]["merges"])}
@@ -58,14 +60,15 @@ class Vocabulary:
         for token, i in names.items():
             self.tokens[i] = token
         self.symbols = byte_symbols()
+        self.ascii = str.maketrans({b: self.symbols[b] for b in range(128)})
         self.pieces = regex.compile(PIECES)
         self.known: dict[str, bytes] = {}
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
 
     def merged(self, piece: str) -> bytes:
-        """Packed ids of one pre-token: the leftmost pair of the lowest rank is merged until none is left."""
+        """Packed ids of one pre-token in byte symbols: the leftmost pair of the lowest rank is merged until none is left."""
         rank, none = self.rank.get, 1 << 40
-        parts = [self.symbols[b] for b in piece.encode()]
+        parts = list(piece)
         parts[-1] += WORD_END
         ranks = [rank(pair, none) for pair in zip(parts, parts[1:])]
         while ranks and (best := min(ranks)) < none:
@@ -88,20 +91,25 @@ class Vocabulary:
         return found
 
     def encode_word(self, word: str) -> bytes:
-        """Packed ids of a text without ASCII white space: special strings first, then the pieces of the rest."""
+        """Packed ids of a text without ASCII white space: special strings first, then the pieces of the rest.
+
+        Letters, numbers, lower case and composition of other than ASCII characters are
+        the library's own, by its normalizer and its pre-tokenizer: its tables of
+        characters are not those of Python.
+        """
         found = []
         for i, part in enumerate(self.marks.split(word) if "<|" in word else [word]):
             if i % 2:
                 found.append(np.array([self.special[part]], "<u4").tobytes())
-                continue
-            if not part.isascii():
-                part = unicodedata.normalize("NFC", part)
-            # Each character by itself: the lower case of a sigma must not depend on its place.
-            lowered = part.lower() if "\u03a3" not in part else "".join(c.lower() for c in part)
-            if lowered.isalpha():
-                found.append(self.encode_piece(lowered))
+            elif part.isascii():
+                lowered = part.lower()
+                if lowered.isalpha():
+                    found.append(self.encode_piece(lowered))
+                else:
+                    found += [self.encode_piece(p.translate(self.ascii)) for p in self.pieces.findall(lowered)]
             else:
-                found += map(self.encode_piece, self.pieces.findall(lowered))
+                pieces = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(part))
+                found += [self.encode_piece(p) for p, _ in pieces]
         return b"".join(found)
 
 

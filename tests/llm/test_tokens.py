@@ -48,7 +48,19 @@ def test_counts_and_codes_equal_the_library(spark, docs, library):
     del docs
 
 
-@settings(max_examples=300, deadline=None)
+def test_every_code_point_in_three_positions(vocab, library):
+    """At the start of a word, after a letter and after a mark, over all of Unicode."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 4096):
+        texts = [f"{c}a{c}:{c} {c}" for c in points[at:at + 4096]]
+        want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        for text, ids in zip(texts, want):
+            words, _ = split_words(pa.array([text]))
+            got = b"".join(vocab.encode_word(w) for w in words.to_pylist())
+            assert np.frombuffer(got, "<u4").tolist() == ids, ascii(text)
+
+
+@settings(max_examples=1000, deadline=None)
 @given(st.text(max_size=30))
 def test_any_text_is_merged_like_the_library(vocab, library, text):
     words, _ = split_words(pa.array([text]))
