@@ -32,6 +32,7 @@ LEAST_POWER = 3  # periods of a run
 CORE = 1 << 13  # words that a tile of the first class answers for
 REACH = CORE // 4  # periods of the first class are shorter
 STEP = 8  # the shortest distance of boundaries
+BATCH_BYTES = 1 << 20  # of texts whose tiles are solved together
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -269,7 +270,7 @@ def periodic_runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     empty table gives an empty table; other columns are not read. A task holds one whole
     text and the largest of its tiles.
     """
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, BATCH_BYTES)
     mark = F.xxhash64(F.col(text))
     runs = reliable_checkpoint(stitched_runs(found_stretches(docs, key, text, mark)), "runs")
     rows = docs.select(F.col(key).alias("_key"), mark.alias("_mark"), F.col(text).alias("_text"))
