@@ -9,6 +9,8 @@ from catalog.registry import query
 from evenhand.functions import arrays as A
 from evenhand.functions import labels as L
 from evenhand.operators import ranking, realism
+from evenhand.session import new_work_path
+from evenhand.sources import image_files, images
 
 ARRAYS = I.ARRAYS_SQL
 
@@ -224,6 +226,73 @@ def dark_border_flag(spark, sf_dir):
     return rows.select("item_id", "dark", vignette_flag(F.col("dark"), 0.06).alias("flagged"))
 
 
+_cross = "abs(a.i // 8 - b.i // 8) + abs(a.i % 8 - b.i % 8) <= 1"
+_touch = "abs(a.i // 8 - b.i // 8) <= 1 AND abs(a.i % 8 - b.i % 8) <= 1 AND a.i <> b.i"
+_spread = lambda source, how: (
+    f"SELECT item_id, crossed.i, {how}(valid) AS valid FROM {source} JOIN crossed ON crossed.j = {source}.i GROUP BY item_id, crossed.i")
+BORDER_SQL = ARRAYS.replace("WITH", "WITH RECURSIVE", 1) + f""",
+places AS (SELECT unnest(range(64)) AS i),
+crossed AS (SELECT a.i, b.i AS j FROM places a JOIN places b ON {_cross}),
+touching AS (SELECT a.i, b.i AS j FROM places a JOIN places b ON {_touch}),
+bright AS (SELECT item_id, i, v > -0.1 AS valid FROM cells),
+shrunk AS ({_spread("bright", "bool_and")}),
+open_ AS ({_spread("shrunk", "bool_or")}),
+grown AS ({_spread("open_", "bool_or")}),
+close_ AS ({_spread("grown", "bool_and")}),
+kept AS (SELECT item_id, i FROM close_ WHERE valid),
+reach(item_id, i, j) AS (
+  SELECT item_id, i, i FROM kept
+  UNION SELECT r.item_id, r.i, t.j FROM reach r JOIN touching t ON t.i = r.j JOIN kept k ON k.item_id = r.item_id AND k.i = t.j),
+parts AS (SELECT item_id, root, count(*) AS size FROM (SELECT item_id, i, min(j) AS root FROM reach GROUP BY ALL) GROUP BY ALL),
+shares AS (SELECT item_id, 1 - coalesce(max(size), 0) / 64.0::DOUBLE AS border_fraction FROM arrays LEFT JOIN parts USING (item_id) GROUP BY item_id)
+SELECT item_id, border_fraction, border_fraction >= 0.3 AS has_border FROM shares"""
+
+
+@query("cleaned_border_flag", BORDER_SQL, doubles="border_fraction")
+def cleaned_border_flag(spark, sf_dir):
+    """Border share of masks after opening, closing and the cut to the largest component."""
+    rows = I.arrays_8x8(spark, sf_dir)
+    return image_files.array_border(rows, "item_id", F.transform("cells", lambda v: v > -0.1), 8, 8, 0.3, 3)
+
+
+GREY_SQL = ARRAYS + """,
+grey AS (SELECT item_id, i, greatest(0, least(255, round(128 + 400 * v))) AS g FROM cells WHERE item_id % 97 <> 5),
+lab AS (SELECT *, CASE WHEN g / 255 > 0.04045 THEN pow((g / 255 + 0.055) / 1.055, 2.4) ELSE g / 255 / 12.92 END AS y FROM grey),
+pixels AS (
+  SELECT *, greatest(0, least(255, round(2.55 * CASE WHEN y > 0.008856 THEN 116 * cbrt(y) - 16 ELSE 903.3 * y END))) AS light,
+         i // 8 < 2 OR i // 8 >= 6 OR i % 8 < 2 OR i % 8 >= 6 AS ring
+  FROM lab)
+SELECT item_id, count(*) FILTER (WHERE g <= 18)::DOUBLE / 64 AS dark_fraction, avg(light) AS L_mean, stddev_pop(light) AS L_std,
+       avg(g) FILTER (WHERE ring) AS border_val_mean, 0.0 AS center_sat_mean FROM pixels GROUP BY item_id"""
+
+
+def _grey_images(spark, sf_dir):
+    """Folder of one grey PNG per array; the arrays of some items are spoiled, so that their files cannot be decoded."""
+    grey = F.transform("cells", lambda v: 128 + 400 * v)
+    pixels = F.when(F.col("item_id") % 97 != 5, F.flatten(F.transform(grey, lambda g: F.array(g, g, g))))
+    rows = I.arrays_8x8(spark, sf_dir).select("item_id", pixels.alias("pixels"))
+    folder = new_work_path(spark, "images")
+    image_files.write_files(image_files.encoded_images(rows, "item_id", 8, 8, "pixels"), folder)
+    return folder
+
+
+@query("image_roundtrip_features", GREY_SQL, doubles="dark_fraction L_mean L_std border_val_mean center_sat_mean")
+def image_roundtrip_features(spark, sf_dir):
+    """Features of images that are written as files, read by the image source and decoded; broken files are skipped."""
+    features = images.image_features(images.read_images(spark, _grey_images(spark, sf_dir)))
+    item = F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long")
+    return features.select(item.alias("item_id"), "dark_fraction", "L_mean", "L_std", "border_val_mean", "center_sat_mean")
+
+
+@query("unreadable_images", """
+SELECT count(*) FILTER (WHERE vec_id % 97 <> 5) AS readable, count(*) FILTER (WHERE vec_id % 97 = 5) AS broken FROM embeddings
+""", ints="readable broken")
+def unreadable_images(spark, sf_dir):
+    """Files that the image source cannot decode, kept as a one-pixel placeholder."""
+    rows = images.read_images(spark, _grey_images(spark, sf_dir), on_error="placeholder")
+    return rows.agg(F.count_if(F.col("height") > 1).alias("readable"), F.count_if(F.col("height") == 1).alias("broken"))
+
+
 _angles = ", ".join(
     f"({o}, {a})" for o, a in enumerate(range(0, 360, 45)))
 PATCH_SQL = I.ARRAYS_SQL + f""",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import inputs as I
 from catalog.registry import query
-from evenhand.operators import audit, joins, sampling, scoring
+from evenhand.operators import audit, joins, principal, sampling, scoring
 from evenhand.operators.metrics import pivot_grid
 
 STRATA = I.STRATA
@@ -226,6 +226,62 @@ def sampled_principal_components(spark, sf_dir):
         "item_id", *[F.abs(F.get("pca", F.lit(i))).alias(f"pc{i + 1}") for i in range(3)])
 
 
+def _strongest(matrix: str, name: str, levels: int = 18) -> str:
+    """CTEs for the first eigenvector ``name``_vector and value ``name``_value of a matrix (i, j, v), by repeated squaring."""
+    text, last = f"{name}0 AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM {matrix} WHERE i = j) AS v FROM {matrix})", f"{name}0"
+    for t in range(1, levels + 1):
+        text += f""",
+{name}{t}p AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {last} a JOIN {last} b ON a.j = b.i GROUP BY a.i, b.j),
+{name}{t} AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM {name}{t}p WHERE i = j) AS v FROM {name}{t}p)"""
+        last = f"{name}{t}"
+    return text + f""",
+{name}_raw AS MATERIALIZED (
+  SELECT i, v / sqrt(sum(v * v) OVER ()) AS v FROM {last} WHERE j = (SELECT arg_max(i, v) FROM {last} WHERE i = j)),
+{name}_vector AS MATERIALIZED (SELECT i, v * (SELECT CASE WHEN arg_max(v, abs(v)) < 0 THEN -1 ELSE 1 END FROM {name}_raw) AS v FROM {name}_raw),
+{name}_value AS MATERIALIZED (
+  SELECT sum(a.v * m.v * b.v) AS v FROM {matrix} m JOIN {name}_vector a ON a.i = m.i JOIN {name}_vector b ON b.i = m.j)"""
+
+
+COMPONENTS_SQL = f"""WITH x AS (
+  SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
+means AS (SELECT i, avg(v) AS m FROM x GROUP BY i),
+centred AS MATERIALIZED (SELECT vec_id, label, i, v - m AS v FROM x JOIN means USING (i)),
+covariance AS MATERIALIZED (
+  SELECT a.i, b.i AS j, sum(a.v * b.v) / (count(*) - 1) AS v FROM centred a JOIN centred b USING (vec_id) GROUP BY a.i, b.i),
+{_strongest("covariance", "one")},
+rest AS MATERIALIZED (
+  SELECT c.i, c.j, c.v - (SELECT v FROM one_value) * a.v * b.v AS v FROM covariance c
+  JOIN one_vector a ON a.i = c.i JOIN one_vector b ON b.i = c.j),
+{_strongest("rest", "two")},
+total AS (SELECT sum(v) AS total FROM covariance WHERE i = j)"""
+
+
+@query("principal_components", COMPONENTS_SQL + """
+SELECT component, v AS variance, v / total AS share, total
+FROM (SELECT 1 AS component, v FROM one_value UNION ALL SELECT 2, v FROM two_value), total""",
+       ints="component", doubles="variance share total")
+def principal_components(spark, sf_dir):
+    """Variances along the first two components of all rows, and the total."""
+    found = principal.principal_components(I.embedding_items(spark, sf_dir), "embedding", 64, 2)
+    return principal.component_table(spark, found)
+
+
+@query("projected_class_means", COMPONENTS_SQL + """,
+projected AS (
+  SELECT vec_id, label, sum(c.v * a.v) AS pc1, sum(c.v * b.v) AS pc2 FROM centred c
+  JOIN one_vector a ON a.i = c.i JOIN two_vector b ON b.i = c.i GROUP BY vec_id, label)
+SELECT 'c' || label AS class, avg(pc1) AS pc1, avg(pc2) AS pc2, var_samp(pc1) AS spread1 FROM projected GROUP BY label""",
+       doubles="pc1 pc2 spread1")
+def projected_class_means(spark, sf_dir):
+    """Class means along the first two components, signs fixed by the largest coordinate."""
+    items = I.embedding_items(spark, sf_dir)
+    found = principal.principal_components(items, "embedding", 64, 2)
+    rows = items.select("true_class", principal.projected(found, "embedding").alias("pc"))
+    return rows.groupBy(F.col("true_class").alias("class")).agg(
+        F.avg(F.get("pc", F.lit(0))).alias("pc1"), F.avg(F.get("pc", F.lit(1))).alias("pc2"),
+        F.var_samp(F.get("pc", F.lit(0))).alias("spread1"))
+
+
 @query("rater_bridge", I.ORDERS_SQL + """,
 pairs AS (SELECT DISTINCT item_id, source AS tag FROM items),
 ratings AS (SELECT DISTINCT source AS tag, r1, r2 FROM items WHERE r1 = r2)

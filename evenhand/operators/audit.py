@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from evenhand.functions.labels import predicted_class
 from evenhand.operators.metrics import literal_array, ratio, with_overall
@@ -218,6 +218,21 @@ def row_accounting(df: DataFrame, checks: Mapping[str, Column], distinct: Sequen
     )
 
 
+def write_with_accounting(
+    df: DataFrame, path: str, checks: Mapping[str, Column], keep: Column | None = None
+) -> dict[str, int]:
+    """Write the rows that pass ``keep`` and count in the same pass: n_rows, each check before it, n_kept after it.
+
+    The counts are metrics of the write itself, so the source is read once. NULL checks
+    do not count, and a NULL ``keep`` drops the row.
+    """
+    before, after = Observation("before"), Observation("after")
+    seen = df.observe(before, F.count(F.lit(1)).alias("n_rows"), *[F.count_if(c).alias(n) for n, c in checks.items()])
+    kept = seen if keep is None else seen.where(keep)
+    kept.observe(after, F.count(F.lit(1)).alias("n_kept")).write.mode("overwrite").parquet(path)
+    return {**before.get, **after.get}
+
+
 def average_views(
     df: DataFrame, item: Sequence[str], probs: str, size: int, classes: Sequence[str]
 ) -> DataFrame:
