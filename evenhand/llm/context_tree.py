@@ -4,12 +4,15 @@ A byte is eight binary decisions, each with a tree of its own: its nodes are the
 0 to 5 bytes before. A node estimates its decision by Krichevsky-Trofimov counts;
 node and deeper nodes are mixed, half by half, over all depths by how well each
 would have coded the training texts. The counts are those of 6-byte strings of all
-training texts, summed by Spark, and the tree is built level by level as tables.
-
-Texts are scored as tokens: words of the lower-cased text joined by one space, and
-an end mark. Nodes that hold a fixed share of all training bytes are sent to the
-workers. Strings whose path leaves these are passed on with their number, meet the
-unpruned levels in tasks of one group of contexts, and are added back to their text.
+training texts, summed by Spark.
+
+The strings are the whole model. Contexts that share their last three bytes are one
+group, and a task builds the nodes of its groups from their strings, so no level of the
+tree is written. It hands up sums for the few contexts of two bytes, from which the top
+of the tree is computed, and then gives the log probabilities of its most frequent
+strings, which are sent to all workers. The strings of a text that are not among these
+are passed on with the text's number, meet the tree of their group in such a task, and
+are added back to their text.
 """
 
 from __future__ import annotations
@@ -27,11 +30,11 @@ from evenhand.session import reliable_checkpoint
 
 DEPTH = 5  # bytes of the longest context
 END = b"\xff"  # never part of UTF-8: the end of a text, and what stands before its first byte
-NODE_SHARE = 1 << 18  # a node is sent to the workers if it has seen 1 / NODE_SHARE of all training bytes
-WORD_SHARE = 1 << 17  # a word is, if it is 1 / WORD_SHARE of all training words
-TOP = 2  # nodes of so many bytes or fewer are all sent; the others are grouped by their last TOP + 1 bytes
-SLOT_NODES = 500_000  # nodes of such a task
-KNOWN_STRINGS = 1 << 21  # strings whose probability a worker keeps
+SENT_STRINGS = 1 << 20  # bound on the strings whose log probability is sent to the workers
+WORD_SHARE = 1 << 17  # a word's count is sent, if it is 1 / WORD_SHARE of all training words
+TOP = 2  # contexts of so many bytes or fewer are the top of the tree; the others are grouped by their last TOP + 1 bytes
+SLOT_STRINGS = 250_000  # strings of the training texts, and strings asked for, of a task
+KNOWN_STRINGS = 1 << 21  # distinct strings that a task counts before it passes them on
 LN2 = float(np.log(2))
 
 
@@ -118,49 +121,62 @@ def string_counts(docs: DataFrame) -> DataFrame:
 # --- the tree ----------------------------------------------------------------
 
 
-def log_gamma(x: Column) -> Column:
+def log_gamma(x: np.ndarray) -> np.ndarray:
     """Logarithm of the gamma function for x > 0 by Stirling's series at x + 7."""
     y = x + 7
-    series = 1 / (12 * y) - 1 / (360 * F.pow(y, F.lit(3))) + 1 / (1260 * F.pow(y, F.lit(5)))
-    product = x
+    series = 1 / (12 * y) - 1 / (360 * y ** 3) + 1 / (1260 * y ** 5)
+    product = x.copy()
     for i in range(1, 7):
         product = product * (x + i)
-    return (y - 0.5) * F.log(y) - y + F.lit(0.5 * float(np.log(2 * np.pi))) + series - F.log(product)
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + series - np.log(product)
 
 
-def log_estimate() -> Column:
+def log_estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Log probability that a Krichevsky-Trofimov estimator gives to ``a`` zeros and ``b`` ones."""
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1) - F.lit(float(np.log(np.pi)))
+    return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1.0) - np.log(np.pi)
+
 
+def summed(nodes: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(nodes in rising order, sum of each column by node)."""
+    order = np.argsort(nodes, kind="stable")
+    nodes = nodes[order]
+    starts = np.flatnonzero(np.r_[True, nodes[1:] != nodes[:-1]]) if len(nodes) else np.zeros(0, np.int64)
+    return nodes[starts], *[np.add.reduceat(c[order], starts) if len(nodes) else c for c in columns]
 
-def tree_levels(counts: DataFrame) -> list[DataFrame]:
-    """Levels 0 to DEPTH of (node, a, b, share): ``share`` is the weight of the node's own estimate, 1 for leaves.
+
+def decisions(values: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, zeros, ones) of contexts of DEPTH bytes, from distinct strings and their numbers.
 
     ``node`` is the context with the decision below it: 1, then the bits decided so far.
     """
-    byte = F.col("string").bitwiseAND(255)
-    context = F.shiftright("string", 8)
-    decisions = F.inline(F.array(*[
-        F.struct(
-            F.shiftleft(context, 8).bitwiseOR(F.lit(1 << j)).bitwiseOR(F.shiftright(byte, 8 - j)).alias("node"),
-            F.shiftright(byte, 7 - j).bitwiseAND(1).alias("bit")) for j in range(8)]))
-    ones = F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0))
-    deepest = counts.select(decisions, "n").groupBy("node").agg((F.sum("n") - ones).alias("a"), ones.alias("b"))
-    level = reliable_checkpoint(deepest.withColumn("weighted", log_estimate()).withColumn("share", F.lit(1.0)), "level")
-    levels = [level]
-    for depth in range(DEPTH - 1, -1, -1):
-        mask = (1 << (8 * (depth + 1))) - 1
-        up = level.groupBy(F.col("node").bitwiseAND(F.lit(mask)).alias("node")).agg(
-            F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("weighted").alias("below"))
-        own = log_estimate()
-        gap = F.col("below") - own
-        level = reliable_checkpoint(up.select(
-            "node", "a", "b",
-            (F.greatest("below", own) + F.log1p(F.exp(-F.abs(gap))) - F.lit(LN2)).alias("weighted"),
-            (1 / (1 + F.exp(F.least(gap, F.lit(700.0))))).alias("share")), "level")
-        levels.insert(0, level)
-    return levels
+    byte, context, j = values & 255, values >> 8, np.arange(8)
+    node = (context[:, None] << 8) | (1 << j) | (byte[:, None] >> (8 - j))
+    ones = ((byte[:, None] >> (7 - j)) & 1).ravel() == 1
+    each = np.repeat(n.astype(np.float64), 8)
+    return summed(node.ravel(), np.where(ones, 0, each), np.where(ones, each, 0))
+
+
+def mixed(a: np.ndarray, b: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log probability of a node mixed with those below it, weight of its own estimate)."""
+    own = log_estimate(a, b)
+    return np.logaddexp(below, own) - LN2, 1 / (1 + np.exp(np.minimum(below - own, 700.0)))
+
+
+def lower_levels(values: np.ndarray, n: np.ndarray) -> tuple[list[tuple], tuple]:
+    """Levels TOP + 1 to DEPTH of (node, a, b, share), and (node, a, b, below) summed for level TOP.
+
+    ``share`` is the weight of a node's own estimate, 1 for leaves. The strings must be
+    all those whose contexts share their last TOP + 1 bytes with one of them.
+    """
+    node, a, b = decisions(values, n)
+    weighted, share = log_estimate(a, b), np.ones(len(node))
+    levels = []
+    for depth in range(DEPTH, TOP, -1):
+        levels.insert(0, (node, a, b, share))
+        node, a, b, weighted = summed(node & ((1 << (8 * depth)) - 1), a, b, weighted)
+        if depth - 1 > TOP:
+            weighted, share = mixed(a, b, weighted)
+    return levels, (node, a, b, weighted)
 
 
 def place(nodes: np.ndarray, a: np.ndarray, b: np.ndarray, share: np.ndarray, depth: int,
@@ -170,8 +186,6 @@ def place(nodes: np.ndarray, a: np.ndarray, b: np.ndarray, share: np.ndarray, de
     A path through the tree mixes the estimates from the root down; ``sofar`` is what
     the shorter contexts give and ``left`` the weight that remains for longer ones.
     """
-    order = np.argsort(nodes)
-    nodes, a, b, share = nodes[order], a[order], b[order], share[order]
     one = (b + 0.5) / (a + b + 1)
     sofar, left = np.zeros(len(nodes)), np.ones(len(nodes))
     if above is not None and len(nodes):
@@ -181,38 +195,35 @@ def place(nodes: np.ndarray, a: np.ndarray, b: np.ndarray, share: np.ndarray, de
     return (nodes, p), (nodes, sofar + left * share * one, left * (1 - share))
 
 
-def arrays(table: pa.Table) -> list[np.ndarray]:
-    return [table[c].to_numpy() for c in ("node", "a", "b", "share")]
-
-
-def tree_model(counts: DataFrame, share: int = NODE_SHARE) -> tuple[list[tuple], tuple, list[DataFrame]]:
-    """(by depth the nodes sent to the workers and their probabilities, state below TOP, the deeper levels in full)."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(1, -(-total // share))
-    levels = tree_levels(counts)
-    tables, above, state = [], None, None
+def top_tables(node: np.ndarray, a: np.ndarray, b: np.ndarray, below: np.ndarray) -> tuple[list[tuple], tuple | None]:
+    """(by depth 0 to TOP the nodes and their probabilities, state for the nodes below) from the sums of level TOP."""
+    levels = []
+    for depth in range(TOP, -1, -1):
+        node, a, b, below = summed(node & ((1 << (8 * (depth + 1))) - 1), a, b, below)
+        weighted, share = mixed(a, b, below)
+        levels.insert(0, (node, a, b, share))
+        below = weighted
+    tables, above = [], None
     for depth, level in enumerate(levels):
-        kept = level.where(F.lit(depth <= TOP) | (F.col("a") + F.col("b") >= least))
-        table, above = place(*arrays(kept.select("node", "a", "b", "share").toArrow()), depth, above)
+        table, above = place(*level, depth, above)
         tables.append(table)
-        state = above if depth == TOP else state
-    return tables, state, levels[TOP + 1:]
-
-
-def tree_tables(counts: DataFrame, share: int = NODE_SHARE) -> list[tuple[np.ndarray, np.ndarray]]:
-    """By depth (nodes in rising order, probability of a one if the path ends there), bounded by ``share`` below TOP."""
-    return tree_model(counts, share)[0]
+    return tables, above
 
 
 class Coder:
-    """Log2 probabilities of strings; those of strings met before are kept."""
+    """Log2 probabilities of strings by the top of the tree and the levels below for their groups of contexts."""
+
+    def __init__(self, top: tuple[list[tuple], tuple | None], levels: list[tuple]):
+        self.tables, above = list(top[0]), top[1]
+        for depth, level in enumerate(levels, TOP + 1):
+            table, above = place(*level, depth, above)
+            self.tables.append(table)
 
-    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]]):
-        self.tables = tables
-        self.values, self.logs, self.open = np.zeros(0, np.uint64), np.zeros(0, np.float64), np.zeros(0, bool)
+    def logs_of(self, values: np.ndarray) -> np.ndarray:
+        """Eight decisions for each string, each by the deepest node there is."""
+        return np.concatenate([np.zeros(0), *[self._some(values[i:i + 65_536]) for i in range(0, len(values), 65_536)]])
 
-    def fresh(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Eight decisions for each string, each by the deepest node there is; whether a path ends above the last depth."""
+    def _some(self, values: np.ndarray) -> np.ndarray:
         values = values.view(np.int64)
         byte, context = values & 255, values >> 8
         j = np.arange(8)
@@ -228,72 +239,83 @@ class Coder:
             there = nodes[place] == node
             at, column, decision, place = at[there], column[there], decision[there], place[there]
             p[at, column] = ones[place]
-        else:
-            depth = len(self.tables)
-        whole = np.bincount(at, minlength=len(values)) if depth == len(self.tables) else np.zeros(len(values), np.int64)
         bit = (byte[:, None] >> (7 - j)) & 1
-        return np.log2(np.where(bit == 1, p, 1 - p)).sum(axis=1), whole < 8
+        return np.log2(np.where(bit == 1, p, 1 - p)).sum(axis=1)
 
-    def logs_of(self, values: np.ndarray) -> np.ndarray:
-        """Log2 probability of distinct strings."""
-        return self.judged(values)[0]
-
-    def judged(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log2 probability of distinct strings, and whether deeper nodes may exist that the tables lack."""
-        place = np.minimum(np.searchsorted(self.values, values), max(len(self.values) - 1, 0))
-        known = self.values[place] == values if len(self.values) else np.zeros(len(values), bool)
-        logs, open_ = np.empty(len(values)), np.empty(len(values), bool)
-        logs[known], open_[known] = self.logs[place[known]], self.open[place[known]]
-        new = values[~known]
-        if len(new):
-            logs[~known], open_[~known] = self.fresh(new)
-            if len(self.values) + len(new) > KNOWN_STRINGS:
-                self.values, self.logs, self.open = self.values[:0], self.logs[:0], self.open[:0]
-            merged = np.concatenate([self.values, new])
-            order = np.argsort(merged)
-            self.values = merged[order]
-            self.logs = np.concatenate([self.logs, logs[~known]])[order]
-            self.open = np.concatenate([self.open, open_[~known]])[order]
-        return logs, open_
-
-
-def deeper_logs(deep: DataFrame, levels: list[DataFrame], top: list[tuple], state: tuple) -> DataFrame:
-    """(_id, deeper): sum of the log2 probabilities of the strings of ``deep`` by the unpruned ``levels`` below TOP."""
-    spark = deep.sparkSession
-    shared = spark.sparkContext.broadcast((top, state))  # all nodes of at most TOP bytes
-    slots = max(6, -(-(deep.count() + sum(level.count() for level in levels)) // SLOT_NODES))
-    slot = F.pmod(F.xxhash64(F.shiftright("at", 8).bitwiseAND((1 << 8 * (TOP + 1)) - 1)), F.lit(slots)).cast("int")
-    nodes = None
-    for depth, level in enumerate(levels, TOP + 1):
-        part = level.select(F.lit(depth).alias("depth"), F.col("node").alias("at"), "a", "b", "share")
-        nodes = part if nodes is None else nodes.union(part)
-    nodes = nodes.withColumn("slot", slot).withColumnRenamed("at", "node")
-    asked = deep.withColumn("at", F.col("string")).withColumn("slot", slot).drop("at")
-
-    def run(strings: pa.Table, nodes: pa.Table) -> pa.Table:
-        top, above = shared.value
-        tables = list(top)
-        depth = nodes["depth"].to_numpy()
-        columns = arrays(nodes)
-        for d in range(TOP + 1, DEPTH + 1):
-            table, above = place(*(c[depth == d] for c in columns), d, above)
-            tables.append(table)
-        values, codes = np.unique(strings["string"].to_numpy(), return_inverse=True)
-        coder = Coder(tables)
-        logs = [coder.fresh(values[i:i + 65_536])[0] for i in range(0, len(values), 65_536)]
-        ids, row = np.unique(strings["_id"].to_numpy(), return_inverse=True)
-        each = np.concatenate([np.zeros(0), *logs])[codes] * strings["times"].to_numpy()
+
+def slot_of(string: Column, slots: int) -> Column:
+    """Number of the task that holds the contexts with the same last TOP + 1 bytes."""
+    return F.pmod(F.xxhash64(F.shiftright(string, 8).bitwiseAND((1 << 8 * (TOP + 1)) - 1)), F.lit(slots)).cast("int")
+
+
+def by_slot(rows: DataFrame, n: int):
+    """``rows`` grouped by slot, with so many slots that none holds much more than SLOT_STRINGS of ``n``."""
+    slots = max(6, -(-n // SLOT_STRINGS))
+    return rows.withColumn("slot", slot_of(F.col("string"), slots)).groupBy("slot")
+
+
+def sorted_strings(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    table = table.sort_by("string")
+    return table["string"].to_numpy(), table["n"].to_numpy()
+
+
+def top_of(counts: DataFrame, n: int) -> tuple[list[tuple], tuple | None]:
+    """The top of the tree from (string, n): nodes of contexts of at most TOP bytes."""
+
+    def sums(table: pa.Table) -> pa.Table:
+        node, a, b, below = lower_levels(*sorted_strings(table))[1]
+        return pa.table({"node": node, "a": a, "b": b, "below": below})
+
+    found = by_slot(counts, n).applyInArrow(sums, "node long, a double, b double, below double").groupBy("node").agg(
+        *[F.sum(c).alias(c) for c in ("a", "b", "below")]).toArrow()
+    return top_tables(*(found[c].to_numpy() for c in ("node", "a", "b", "below")))
+
+
+def frequent_logs(counts: DataFrame, n: int, top, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """(strings in rising order, log2 probability) of the most frequent strings, at most ``bound`` of them.
+
+    Their numbers are cut at one of eight steps for each doubling.
+    """
+    steps = counts.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(
+        F.count(F.lit(1)).alias("strings"), F.min("n").alias("least")).orderBy(F.desc("step")).collect()
+    least, total = None, 0
+    for step in steps:
+        total += step.strings
+        if total > bound:
+            break
+        least = step.least
+    if least is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.float64)
+
+    def logs(table: pa.Table) -> pa.Table:
+        values, numbers = sorted_strings(table)
+        often = values[numbers >= least]
+        return pa.table({"string": often, "log": Coder(top, lower_levels(values, numbers)[0]).logs_of(often)})
+
+    found = by_slot(counts, n).applyInArrow(logs, "string long, log double").toArrow().sort_by("string")
+    return found["string"].to_numpy(), found["log"].to_numpy()
+
+
+def other_logs(asked: DataFrame, counts: DataFrame, n: int, top) -> DataFrame:
+    """(_id, deeper): sum of the log2 probabilities of ``asked`` (_id, string, times), each in the task of its group."""
+    shared = asked.sparkSession.sparkContext.broadcast(top)  # the top of the tree
+    whole = n + asked.count()
+
+    def run(asked: pa.Table, counts: pa.Table) -> pa.Table:
+        values, codes = np.unique(asked["string"].to_numpy(), return_inverse=True)
+        each = Coder(shared.value, lower_levels(*sorted_strings(counts))[0]).logs_of(values)[codes] * asked["times"].to_numpy()
+        ids, row = np.unique(asked["_id"].to_numpy(), return_inverse=True)
         return pa.table({"_id": ids, "log": np.bincount(row, weights=each, minlength=len(ids))})
 
-    summed = asked.groupBy("slot").cogroup(nodes.groupBy("slot")).applyInArrow(run, "_id long, log double")
-    return summed.groupBy("_id").agg(F.sum("log").alias("deeper"))
+    found = by_slot(asked, whole).cogroup(by_slot(counts, whole)).applyInArrow(run, "_id long, log double")
+    return found.groupBy("_id").agg(F.sum("log").alias("deeper"))
 
 
 # --- scores ------------------------------------------------------------------
 
 
 def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text",
-          node_share: int = NODE_SHARE, word_share: int = WORD_SHARE) -> DataFrame:
+          sent_strings: int = SENT_STRINGS, word_share: int = WORD_SHARE) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row of ``docs``.
 
     Learns from all rows whose ``held_out`` is false. ``score`` is the log10 probability
@@ -302,9 +324,9 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     single words: log10((c + 0.1) / (N + 0.1 (V + 1))) summed over words and one end
     token, c being the token's count, N the number and V the kinds of training tokens;
     ``n_known`` counts tokens with c > 0. Words of at least 1 / ``word_share`` of all are
-    summed where the text is, the others are joined with their counts; so are strings of
-    bytes whose nodes hold less than 1 / ``node_share`` of all bytes, with no loss. Null and empty
-    texts are one end token; a null ``held_out`` is held out; repeated rows count and are
+    summed where the text is, the others are joined with their counts; the ``sent_strings``
+    most frequent strings of bytes are summed where the text is, the others in the tasks
+    that hold their contexts, by the same tree. Null and empty texts are one end token; a null ``held_out`` is held out; repeated rows count and are
     scored one by one; without training rows every bit costs 1 and N is 0; empty tables
     give empty tables; other columns are not read.
     """
@@ -313,7 +335,10 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     rows = docs.select(F.col(text).alias("_text"), F.col(key).alias("_key"),
                        F.coalesce(held_out, F.lit(True)).alias("_held"))
     training = rows.where(~F.col("_held"))
-    tables, state, levels = tree_model(reliable_checkpoint(string_counts(training.select("_text")), "strings"), node_share)
+    counts = reliable_checkpoint(string_counts(training.select("_text")), "strings")
+    n_strings = counts.count()
+    top = top_of(counts, n_strings)
+    frequent, frequent_log = frequent_logs(counts, n_strings, top, sent_strings)
     words = reliable_checkpoint(word_counts(training, "_text", lower=True), "words")
     n_texts = training.count()
     of_words = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).first()
@@ -323,11 +348,10 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     often = F.col("n") * word_share >= total
     found = words.where(often).toArrow()
     model = spark.sparkContext.broadcast(
-        (tables, dict(zip(found["word"].to_pylist(), found["n"].to_pylist())), n_texts, float(whole)))
+        (frequent, frequent_log, dict(zip(found["word"].to_pylist(), found["n"].to_pylist())), n_texts, float(whole)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, counts, ends, whole = model.value
-        coder = Coder(tables)
+        frequent, frequent_log, counts, ends, whole = model.value
         serial = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         for batch in batches:
             size = batch.num_rows
@@ -336,11 +360,13 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
             for at, parts in pieces(batch.column(0)):
                 values, sizes = strings(parts)
                 codes, distinct = pd.factorize(values)
-                known_logs, left_open = coder.judged(distinct)
-                each = np.where(left_open, 0, known_logs)[codes]
+                distinct = distinct.view(np.int64)
+                found = np.minimum(np.searchsorted(frequent, distinct), max(len(frequent) - 1, 0))
+                left_open = frequent[found] != distinct if len(frequent) else np.ones(len(distinct), bool)
+                each = np.where(left_open, 0, frequent_log[found] if len(frequent) else 0)[codes]
                 there = left_open[codes]
                 pair, n = np.unique(np.repeat(at, sizes)[there] * len(distinct) + codes[there], return_counts=True)
-                deep.append((pair // max(len(distinct), 1), distinct[pair % max(len(distinct), 1)].view(np.int64), n))
+                deep.append((pair // max(len(distinct), 1), distinct[pair % max(len(distinct), 1)], n))
                 np.add.at(logs, at, np.add.reduceat(np.r_[each, 0.0], np.cumsum(sizes) - sizes) * (sizes > 0))
                 np.add.at(n_bytes, at, sizes)
             tokens, known = np.ones(size, np.int64), np.full(size, int(ends > 0), np.int64)
@@ -378,7 +404,7 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
         run, f"_id long, _key {kind}, held_out boolean, n_tokens long, n_known long, base_score double, logs double, "
              "n_bytes long, rare array<struct<word: string, n: long>>, deep array<struct<string: long, n: long>>"), "scored")
     deep = scored.select("_id", F.inline("deep").alias("string", "times"))
-    deeper = deeper_logs(deep, levels, tables[:TOP + 1], state)
+    deeper = other_logs(deep, counts, n_strings, top)
     rare = scored.select("_id", F.inline("rare").alias("word", "times")).join(
         words.where(~often), "word", "left").groupBy("_id").agg(
         F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(float(whole)))).alias("more"),

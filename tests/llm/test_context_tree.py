@@ -77,7 +77,7 @@ def test_equals_plain_recursion(spark):
     content = [(i, f"the sea {'and' * (i % 3)} Sea of thing{i % 4}\nxyz", "en", "s", 0) for i in range(12)]
     content += [(50, None, None, None, None), (51, "", None, None, None), (52, "été q", None, None, None), (None, "the end", None, None, None)]
     docs = documents(spark, content)
-    got = score(docs, F.col("doc_id") % 4 == 0, node_share=1 << 40, word_share=8).collect()
+    got = score(docs, F.col("doc_id") % 4 == 0, word_share=8).collect()
     training = [t for i, t, *_ in content if i is not None and i % 4]
     tree = Tree(training)
     texts = {i: t for i, t, *_ in content}
@@ -92,10 +92,11 @@ def test_equals_plain_recursion(spark):
         assert r.bits_per_byte == pytest.approx(-r.score / math.log10(2) / (len(stream(text)) - DEPTH))
 
 
-def test_nodes_that_are_not_broadcast_count_in_full(spark):
+@pytest.mark.parametrize("sent", [0, 8, 1 << 20])
+def test_nodes_that_are_not_broadcast_count_in_full(spark, sent):
     content = [(i, f"the sea {'and' * (i % 3)} Sea of thing{i % 4} name{i}\nxyz", "en", "s", 0) for i in range(12)]
     docs = documents(spark, content + [(52, "été thing2 name3 q", None, None, None)])
-    got = score(docs, F.col("doc_id") % 4 == 0, node_share=8, word_share=8).collect()
+    got = score(docs, F.col("doc_id") % 4 == 0, sent_strings=sent, word_share=8).collect()
     tree = Tree([t for i, t, *_ in content if i % 4])
     texts = {i: t for i, t, *_ in content} | {52: "été thing2 name3 q"}
     assert len(got) == 13
@@ -104,7 +105,7 @@ def test_nodes_that_are_not_broadcast_count_in_full(spark):
 
 
 def test_awkward_rows_and_pruned_nodes(spark, docs):
-    got = score(docs, F.col("doc_id") % 10 == 0, node_share=64, word_share=4).collect()
+    got = score(docs, F.col("doc_id") % 10 == 0, sent_strings=64, word_share=4).collect()
     assert len(got) == len(rows()) and all(r.score < 0 and r.bits_per_byte > 0 for r in got)
     training = [t for i, t, *_ in rows() if i is not None and i % 10]
     for r in got:
@@ -114,11 +115,13 @@ def test_awkward_rows_and_pruned_nodes(spark, docs):
 
 
 def test_probabilities_of_all_next_bytes_sum_to_one(spark):
-    from evenhand.llm.context_tree import Coder, reliable_checkpoint, string_counts, tree_tables
+    from evenhand.llm.context_tree import Coder, lower_levels, string_counts, top_of
     import numpy as np
 
     texts = spark.createDataFrame([("the sea and the thing of the sea " * 5,)] * 3, "text string")
-    coder = Coder(tree_tables(reliable_checkpoint(string_counts(texts)), share=200))
+    counts = string_counts(texts)
+    rows = counts.toArrow().sort_by("string")
+    coder = Coder(top_of(counts, counts.count()), lower_levels(rows["string"].to_numpy(), rows["n"].to_numpy())[0])
     for context in (b"e sea", b"\xff\xff\xff\xff\xff", b"qqqqq"):
         start = sum(b << (8 * (DEPTH - 1 - i)) for i, b in enumerate(context)) << 8
         assert (2 ** coder.logs_of(np.arange(start, start + 256, dtype=np.uint64))).sum() == pytest.approx(1, abs=1e-5)
