@@ -22,10 +22,14 @@ def hash32(*parts, seed: int = SEED) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
 
 
+def md5_words(*parts, seed: int = SEED) -> Column:
+    """md5 over the seed and the parts as text: four words of eight digits."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[_column(p).cast("string") for p in parts]))
+
+
 def uniform_slices(*parts, seed: int = SEED) -> list[Column]:
     """Four independent uniform numbers from the four 32-bit words of one md5."""
-    key = F.concat_ws("|", F.lit(str(seed)), *[_column(p).cast("string") for p in parts])
-    words = F.md5(key)
+    words = md5_words(*parts, seed=seed)
     return [F.conv(F.substring(words, 1 + 8 * i, 8), 16, 10).cast("bigint") / F.lit(_SPACE) for i in range(4)]
 
 

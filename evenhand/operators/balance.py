@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from evenhand.functions.hashing import SEED, hash32, uniform
 from evenhand.operators.metrics import literal_array, ratio
 from evenhand.operators.ranking import hash_bucket, number_rows, take_first
-from evenhand.session import settle
+from evenhand.session import reliable_checkpoint, settle
 
 ATTEMPT_BUCKET = 65536  # attempts per bucket when ranking accepted attempts
 REPEAT_CHUNK = 4096  # copies one generator row may emit
@@ -88,14 +88,22 @@ def reference_pool(references: DataFrame, own: DataFrame, label: str, item: str,
 def repeat_rows(df: DataFrame, copies: Column, name: str = "copy") -> DataFrame:
     """Each row ``copies`` times with ``name`` from 1; rows with 0 copies vanish.
 
-    Generated in chunks, so a row with very many copies never builds one huge array.
+    A row of up to ``REPEAT_CHUNK`` copies is repeated where it is. Larger numbers are cut
+    into chunks, which are dealt out to all tasks before they are unfolded, so neither one
+    array nor one task ever holds all copies of a row.
     """
+    rows = df.withColumn("_copies", copies.cast("bigint"))
+    few = rows.where(F.col("_copies").between(1, REPEAT_CHUNK)).withColumn("_chunk", F.lit(0).cast("bigint"))
     chunks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_copies") - 1) / REPEAT_CHUNK).cast("bigint"))
-    rows = df.withColumn("_copies", copies.cast("bigint")).where(F.col("_copies") > 0)
-    rows = rows.withColumn("_chunk", F.explode(chunks))
-    start = F.col("_chunk") * REPEAT_CHUNK
-    inside = F.sequence(start + 1, F.least(start + REPEAT_CHUNK, F.col("_copies")))
-    return rows.withColumn(name, F.explode(inside)).drop("_copies", "_chunk")
+    many = rows.where(F.col("_copies") > REPEAT_CHUNK).withColumn("_chunk", F.explode(chunks))
+
+    def unfolded(part: DataFrame) -> DataFrame:
+        start = F.col("_chunk") * REPEAT_CHUNK
+        inside = F.sequence(start + 1, F.least(start + REPEAT_CHUNK, F.col("_copies")))
+        return part.withColumn(name, F.explode(inside)).drop("_copies", "_chunk")
+
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return unfolded(few).union(unfolded(many.repartition(tasks)))
 
 
 def candidate_attempts(
@@ -107,7 +115,8 @@ def candidate_attempts(
     All attempts that could be needed are planned at once: ``oversample`` times the
     deficit in each cycle and ``last_factor`` times in the last. Attempt i takes
     source ``i mod pool size`` in hash order and a hash-chosen reference, found by
-    an equi-join on its number.
+    an equi-join on its number. A class cannot use more sources than it has attempts, so
+    its pool is cut to so many by one hash cut before it is numbered.
     """
     per_cycle = F.floor(F.col("deficit") * F.lit(float(oversample))).cast("bigint")
     total = per_cycle * (cycles - 1) + F.col("deficit") * last_factor
@@ -115,11 +124,11 @@ def candidate_attempts(
         F.col("class").alias("target"), per_cycle.alias("_per_cycle"), total.alias("_attempts")), "plan")
 
     order = hash32(F.lit("source"), F.col("target"), F.col("source_id"), seed=seed)
-    rows = sources.withColumn("_h", order)
-    rows = number_rows(
-        rows, ["target"], ["_h", "source_id"], hash_bucket(F.col("_h")), "_idx", size="_pool").drop("_h")
-    # Sources beyond the number of attempts are dropped by the turn count of 0.
-    rows = rows.join(plan, "target")
+    pools = settle(sources.groupBy("target").agg(F.count(F.lit(1)).alias("_pool")).join(plan, "target"), "pools")
+    rows = take_first(sources.withColumn("_h", order), ["target"], ["_h", "source_id"], hash_bucket(F.col("_h")),
+                      pools.select("target", "_attempts"), "_attempts")
+    rows = number_rows(rows, ["target"], ["_h", "source_id"], hash_bucket(F.col("_h")), "_idx").drop("_h")
+    rows = reliable_checkpoint(rows.join(pools, "target"), "numbered")  # read for few and for many copies
     turns = F.floor((F.col("_attempts") - 1 - F.col("_idx")) / F.col("_pool")) + 1
     attempts = repeat_rows(rows, turns, "_turn").withColumn(
         "attempt", F.col("_idx") + (F.col("_turn") - 1) * F.col("_pool"))

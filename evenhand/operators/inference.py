@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from evenhand.functions.draws import multinomial_counts
-from evenhand.functions.hashing import SEED, hash32, uniform_slices
+from evenhand.functions.hashing import SEED, hash32, md5_words
 from evenhand.operators.metrics import PRED, TRUE, average_scores, class_scores, confusion_cells, with_overall
 from evenhand.operators.ranking import null_safe_join
 from evenhand.schemas import OVERALL
@@ -107,6 +107,15 @@ def poisson_cdf(resolution: float = 2.0 ** -32) -> list[float]:
 
 
 POISSON_ONE_CDF = poisson_cdf()
+POISSON_ONE_DIGITS = [f"{math.ceil(bound * 2 ** 32):08x}" for bound in POISSON_ONE_CDF if math.ceil(bound * 2 ** 32) < 2 ** 32]
+
+
+def poisson_weight_of_digits(word: Column) -> Column:
+    """Poisson(1) count of a number given as eight hexadecimal digits, which sort as the numbers do."""
+    weight = F.when(word < POISSON_ONE_DIGITS[0], 0)
+    for count, bound in enumerate(POISSON_ONE_DIGITS[1:], start=1):
+        weight = weight.when(word < bound, count)
+    return weight.otherwise(len(POISSON_ONE_DIGITS))
 
 
 def poisson_weight(u: Column) -> Column:
@@ -127,11 +136,11 @@ def poisson_bootstrap_f1(
     summed in one aggregation; rows are not multiplied.
     """
     keys = [*by, TRUE, PRED]
-    numbers = [
-        u for block in range(-(-draws // 4)) for u in uniform_slices(F.lit(f"draw{block}"), F.col(item), seed=seed)
-    ][:draws]
-    rows = df.where(F.col(TRUE).isNotNull())
-    weighted = rows.groupBy(*keys).agg(*[F.sum(poisson_weight(u)).alias(f"_w{d}") for d, u in enumerate(numbers)])
+    blocks = -(-draws // 4)
+    words = {f"_m{b}": md5_words(F.lit(f"draw{b}"), F.col(item), seed=seed) for b in range(blocks)}
+    rows = df.where(F.col(TRUE).isNotNull()).select(*keys, *[w.alias(c) for c, w in words.items()])
+    weighted = rows.groupBy(*keys).agg(*[
+        F.sum(poisson_weight_of_digits(F.substring(f"_m{d // 4}", 1 + 8 * (d % 4), 8))).alias(f"_w{d}") for d in range(draws)])
     per_draw = F.inline(F.array(*[
         F.struct(F.lit(d).alias("draw"), F.col(f"_w{d}").cast("bigint").alias("n")) for d in range(draws)
     ]))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from evenhand.functions import arrays as A
 from evenhand.functions.arrays import bind, mean
 from evenhand.operators.ranking import exact_quantiles, null_safe_join, value_cells
 from evenhand.session import settle
@@ -140,6 +141,23 @@ def patch_positions(
     ), choose)
 
 
+def array_consensus(values: Column, fence: float = 1.5) -> Column:
+    """Struct (n, kept, median, std) of an array of a few values, as :func:`robust_consensus` has them for rows.
+
+    For groups whose size is bounded, like the patches of one image: their values are
+    gathered once and need no further shuffle. NULL and NaN are left out.
+    """
+
+    def judged(known: Column) -> Column:
+        q1, q3 = A.quantile(known, 0.25), A.quantile(known, 0.75)
+        return A.bind(F.struct(q1.alias("q1"), q3.alias("q3")), lambda q: A.bind(
+            F.filter(known, lambda v: v.between(q["q1"] - fence * (q["q3"] - q["q1"]), q["q3"] + fence * (q["q3"] - q["q1"]))),
+            lambda kept: F.struct(F.size(known).alias("n"), F.size(kept).alias("kept"), A.quantile(kept, 0.5).alias("median"),
+                                  A.std_pop(kept).alias("std"))))
+
+    return A.bind(F.filter(values, lambda v: v.isNotNull() & ~F.isnan(v)), judged)
+
+
 def robust_consensus(df: DataFrame, keys: Sequence[str], value: str, fence: float = 1.5) -> DataFrame:
     """(keys, n, kept, median, std): median and population spread of the values inside the IQR fence.
 

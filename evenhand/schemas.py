@@ -30,16 +30,6 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast(df.schema[c].dataType)) for c in floating})
 
 
-def one_hot_schema(classes: Sequence[str], extra: str = "") -> T.StructType:
-    """Ground truth with one 0/1 column per class."""
-    fields = [T.StructField("image", T.StringType())]
-    fields += [T.StructField(c, T.DoubleType()) for c in classes]
-    schema = T.StructType(fields)
-    for name in filter(None, extra.split(",")):
-        schema = schema.add(name, T.DoubleType())
-    return schema
-
-
 def predictions_schema(classes: Sequence[str] = MODEL_CLASSES) -> T.StructType:
     schema = T.StructType([T.StructField("image_id", T.StringType()), T.StructField("pred_idx", T.IntegerType())])
     for c in classes:
@@ -47,34 +37,6 @@ def predictions_schema(classes: Sequence[str] = MODEL_CLASSES) -> T.StructType:
     return schema
 
 
-def strata_schema(classes: Sequence[str] = STRATA) -> T.StructType:
-    schema = (
-        T.StructType()
-        .add("file", "string").add("image_id", "string").add("image_type", "string").add("mst_name", "string")
-        .add("method", "string").add("confidence", "string").add("confidence_val", "double")
-        .add("has_vignette", "boolean").add("vignette_fraction", "double")
-        .add("pred_idx", "integer").add("true_label", "string")
-    )
-    for c in classes:
-        schema = schema.add(f"prob_{c}", T.DoubleType())
-    return schema
-
-
-STRATA_ITA = (
-    T.StructType()
-    .add("file", "string").add("image_id", "string").add("image_type", "string").add("mst_name", "string")
-    .add("method", "string").add("confidence", "string").add("confidence_val", "double")
-    .add("has_vignette", "boolean").add("vignette_fraction", "double")
-    .add("ita", "double").add("ita_std", "double").add("mst10_class", "integer").add("mst5_class", "integer")
-)
-
-MANIFEST_DUAL_RATER = (
-    T.StructType()
-    .add("image_id", "string").add("path", "string").add("true_idx", "integer").add("true_class", "string")
-    .add("fitzpatrick_scale", "integer").add("fitzpatrick_centaur", "double").add("fst_tertile", "string")
-    .add("source", "string").add("qc_flag", "string").add("mapping", "string")
-)
-
 MANIFEST_SINGLE_RATER = (
     T.StructType()
     .add("image_id", "string").add("path", "string").add("true_idx", "integer").add("true_class", "string")
@@ -92,13 +54,6 @@ CLASS_LABELS = (
     .add("predicted_label", "string").add("confidence", "double")
 )
 
-AUGMENTATION_MANIFEST = (
-    T.StructType()
-    .add("output_name", "string").add("source_id", "string").add("source_class", "string")
-    .add("reference_id", "string").add("reference_class", "string").add("method", "string")
-    .add("target_class", "string")
-)
-
 CLASSIFIER_RECORD = (
     T.StructType()
     .add("image_id", "string").add("image_path", "string").add("gradcam_overlay_path", "string")
@@ -109,11 +64,6 @@ CLASSIFIER_RECORD = (
     .add("expected_keywords", T.ArrayType(T.StringType())).add("cnn_correct", "boolean")
 )
 
-REASONED_RECORD = T.StructType(
-    CLASSIFIER_RECORD.fields
-    + [T.StructField("teacher_reasoning", T.StringType()), T.StructField("teacher_model", T.StringType())]
-)
-
 CONVERSATION = T.StructType([
     T.StructField("messages", T.ArrayType(
         T.StructType()

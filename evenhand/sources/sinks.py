@@ -24,16 +24,26 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
-def report_json(sections: Mapping[str, DataFrame]) -> DataFrame:
+MOST_REPORT_ROWS = 100_000
+
+
+def report_json(sections: Mapping[str, DataFrame], most_rows: int = MOST_REPORT_ROWS) -> DataFrame:
     """One row with a JSON document: each small result table becomes a list of records.
 
-    For result tables only; their size does not grow with the data.
+    For result tables, whose size does not grow with the data. A table of more than
+    ``most_rows`` rows makes the report fail before its rows are gathered; write such a
+    table with ``write_json_lines``.
     """
     names = list(sections)
     first = sections[names[0]].sparkSession.range(1)
-    columns = [
-        sections[n].agg(F.array_sort(F.collect_list(F.struct(*sections[n].columns)))).scalar().alias(n) for n in names
-    ]
+
+    def listed(table: DataFrame) -> DataFrame:
+        bounded = table.limit(most_rows + 1)  # one row too many is enough to fail
+        rows = F.array_sort(F.collect_list(F.struct(*table.columns)))
+        return bounded.agg(F.when(F.count(F.lit(1)) <= most_rows, rows).otherwise(
+            F.raise_error(F.lit(f"a report section has more than {most_rows} rows")).cast(f"array<{table.schema.simpleString()}>")))
+
+    columns = [listed(sections[n]).scalar().alias(n) for n in names]
     return first.select(*columns).select(F.to_json(F.struct(*names)).alias("value"))
 
 

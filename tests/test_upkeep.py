@@ -1,5 +1,6 @@
 """State between runs: stored cells, sketches, buckets, counted writes, replayed batches; components of all rows."""
 
+import json
 import shutil
 
 import numpy as np
@@ -8,9 +9,11 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F, types as T
 
 from catalog.upkeep import colocated_predictions
-from evenhand.operators import audit, incremental, metrics, principal, sketches
+from evenhand.functions.hashing import hash32
+from evenhand.operators import audit, balance, incremental, metrics, principal, sketches
 from evenhand.operators.colocated import shuffles_on
 from evenhand.operators.ranking import exact_quantiles
+from evenhand.sources import sinks
 from evenhand.streaming.exactly_once import read_batches, run_batches
 from evenhand.streaming.rowwise import read_record_stream
 
@@ -170,3 +173,21 @@ def test_components_of_all_rows(spark):
     assert np.allclose([r["p"] for r in got], (data - data.mean(axis=0)) @ want.T, atol=1e-4)
     empty = principal.principal_components(table.where("id < 0"), "f", 6, 2)
     assert empty.n == 0 and (empty.variances == 0).all()
+
+
+def test_a_report_of_a_growing_table_fails(spark):
+    table = spark.range(30).select("id")
+    assert json.loads(sinks.report_json({"t": table}, most_rows=30).first()["value"])["t"][29] == {"id": 29}
+    with pytest.raises(Exception, match="more than 29 rows"):
+        sinks.report_json({"t": table}, most_rows=29).collect()
+
+
+def test_a_large_pool_is_cut_to_the_attempts(spark):
+    """The same attempts as from the whole pool in hash order, although few of its rows are numbered."""
+    deficits = spark.createDataFrame([("a", 3, 5, 2, "b"), ("b", 5, 5, 0, "a")], "class string, n long, target long, deficit long, donor string")
+    sources = spark.range(5_000).select(F.lit("a").alias("target"), F.col("id").alias("source_id"), F.lit("b").alias("source_class"))
+    references = spark.createDataFrame([("a", 1), ("a", 2)], "target string, reference_id long")
+    got = balance.candidate_attempts(sources, references, deficits, 1.5, 4).orderBy("attempt").collect()
+    order = sources.select("source_id", hash32(F.lit("source"), F.lit("a"), F.col("source_id")).alias("h")).orderBy("h", "source_id")
+    assert [r["source_id"] for r in got] == [r["source_id"] for r in order.limit(15).collect()]
+    assert [r["attempt"] for r in got] == list(range(15))
