@@ -351,7 +351,7 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
         (frequent, frequent_log, dict(zip(found["word"].to_pylist(), found["n"].to_pylist())), n_texts, float(whole)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, frequent_log, counts, ends, whole = model.value
+        sent, sent_log, counts, ends, whole = model.value
         serial = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         for batch in batches:
             size = batch.num_rows
@@ -361,9 +361,9 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
                 values, sizes = strings(parts)
                 codes, distinct = pd.factorize(values)
                 distinct = distinct.view(np.int64)
-                found = np.minimum(np.searchsorted(frequent, distinct), max(len(frequent) - 1, 0))
-                left_open = frequent[found] != distinct if len(frequent) else np.ones(len(distinct), bool)
-                each = np.where(left_open, 0, frequent_log[found] if len(frequent) else 0)[codes]
+                found = np.minimum(np.searchsorted(sent, distinct), max(len(sent) - 1, 0))
+                left_open = sent[found] != distinct if len(sent) else np.ones(len(distinct), bool)
+                each = np.where(left_open, 0, sent_log[found] if len(sent) else 0)[codes]
                 there = left_open[codes]
                 pair, n = np.unique(np.repeat(at, sizes)[there] * len(distinct) + codes[there], return_counts=True)
                 deep.append((pair // max(len(distinct), 1), distinct[pair % max(len(distinct), 1)], n))
