@@ -280,9 +280,11 @@ def encode(docs: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str
     encoding without added special tokens; special strings inside a text become their
     tokens. A null or empty text has no tokens and empty ``ids``; repeated rows are
     encoded one by one; an empty table gives an empty table; only ``key``, ``text`` and
-    the columns of ``carry`` are read, so other names cannot clash.
+    the columns of ``carry`` are read, so other names cannot clash; a carried column
+    named ``n_tokens`` or ``ids`` is replaced.
     """
     bounded_batches(docs.sparkSession)
+    carry = [c for c in carry if c not in (key, "n_tokens", "ids")]
     name = publish_lexicon(docs, tokenizer_file, text, bound)
     narrow = docs.select(F.col(text).alias("_text"), F.col(key).alias(f"c_{key}"),
                          *[F.col(c).alias(f"c_{c}") for c in carry])
@@ -316,18 +318,25 @@ def encode(docs: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str
 def decode(encoded: DataFrame, tokenizer_file: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """All columns and ``name``: the tokens of ``ids``, joined with a space as the library's decode does.
 
-    The vocabulary file names no decoder, so tokens keep their word-end marks. Empty or
-    null ``ids`` give an empty text.
+    ``ids`` are packed or an array, as :func:`encode` gives them. The vocabulary file names
+    no decoder, so tokens keep their word-end marks. Empty or null ``ids`` give an empty
+    text; a column that is called ``name`` already is replaced.
     """
     bounded_batches(encoded.sparkSession)
+    encoded = encoded if name == ids else encoded.drop(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spaced = pa.array([" " + t for t in vocabulary(tokenizer_file).tokens], pa.large_string())
         for batch in batches:
-            packed = pc.fill_null(batch.column(batch.schema.get_field_index(ids)), b"")
             texts: list[str] = []
-            for value in packed:
-                tokens = pc.take(spaced, pa.array(np.frombuffer(value.as_buffer(), "<u4")))
+            for value in batch.column(batch.schema.get_field_index(ids)):
+                if not value.is_valid:
+                    numbers = np.zeros(0, np.int64)
+                elif pa.types.is_list(value.type):
+                    numbers = value.values.to_numpy(zero_copy_only=False)
+                else:
+                    numbers = np.frombuffer(value.as_buffer(), "<u4")
+                tokens = pc.take(spaced, pa.array(numbers))
                 start, end = (tokens.buffers()[1][8 * i:8 * i + 8].to_pybytes() for i in (0, len(tokens)))
                 texts.append(tokens.buffers()[2].to_pybytes()[
                     int.from_bytes(start, "little") + 1:int.from_bytes(end, "little")].decode() if len(tokens) else "")

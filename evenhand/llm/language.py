@@ -24,12 +24,25 @@ UNKNOWN = "und"
 SCORES_KEPT = 1 << 19
 
 
-def labelled_sample(docs: DataFrame, key: str, most: int, seed: int = 42) -> DataFrame:
-    """All rows if there are at most ``most``, else about ``most``, chosen by a hash of the key."""
-    n = docs.count()
-    if n <= most:
+def labelled_sample(docs: DataFrame, key: str, lang: str, most: int, seed: int = 42) -> DataFrame:
+    """All rows if there are at most ``most``, else rows chosen by a hash of the key, language by language.
+
+    Every language has an equal share of ``most``, and what small languages leave goes to
+    the others: a language below its share keeps all of its rows. One row a language
+    reaches the driver.
+    """
+    counts = sorted((r.n, r.lang) for r in docs.groupBy(F.col(lang).cast("string").alias("lang")).agg(
+        F.count(F.lit(1)).alias("n")).collect())
+    if sum(n for n, _ in counts) <= most:
         return docs
-    return docs.where(hash32(F.col(key), seed=seed) < F.lit(int(2 ** 32 * most / n)))
+    left, rates = most, {}
+    for place, (n, name) in enumerate(counts):
+        taken = min(n, left / (len(counts) - place))
+        rates[name] = taken / n
+        left -= taken
+    cut = F.element_at(F.create_map(*[F.lit(x) for name, rate in rates.items() for x in (name, int(2 ** 32 * rate))]),
+                       F.col(lang).cast("string"))
+    return docs.where(hash32(F.col(key), seed=seed) < cut)
 
 
 def letters(texts: pa.Array) -> pa.Array:
@@ -37,6 +50,16 @@ def letters(texts: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\p{L}\p{M}]+", " ")
 
 
+def letter_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """:func:`coded_words` of the letters; a word of marks alone is none."""
+    words, codes, at = coded_words(letters(texts))
+    filled = pc.match_substring_regex(words, r"\p{L}").to_numpy(zero_copy_only=False).astype(bool)
+    if filled.all():
+        return words, codes, at
+    kept = filled[codes]
+    return words.filter(pa.array(filled)), (np.cumsum(filled) - 1)[codes[kept]], at[kept]
+
+
 def language_words(labelled: DataFrame, text: str, lang: str) -> DataFrame:
     """(lang, word, n) of the labelled texts, counted per batch before the shuffle."""
 
@@ -45,7 +68,7 @@ def language_words(labelled: DataFrame, text: str, lang: str) -> DataFrame:
             coded = batch.column(1).dictionary_encode()
             of_row = coded.indices.to_numpy()
             for rows, group in byte_groups(batch.column(0)):
-                words, codes, at = coded_words(letters(group))
+                words, codes, at = letter_words(group)
                 pair = of_row[rows[at]].astype(np.int64) * len(words) + codes
                 both, n = np.unique(pair, return_counts=True)
                 lang_of, word_of = np.divmod(both, max(len(words), 1))
@@ -170,17 +193,17 @@ def identify(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: st
     """(key, carry..., lang_pred, score) for every row of ``docs``.
 
     Learns from the texts and languages of ``labelled`` alone: all of its rows or, by a
-    hash of the key, about ``max_rows`` of them; rows without text or language teach
-    nothing. The prediction is the language of the largest sum over words, ties to the
+    hash of the key, about ``max_rows`` of them, with all rows of small languages; rows
+    without text or language teach nothing. The prediction is the language of the largest sum over words, ties to the
     smaller name; a text of letters of which nothing is known gets the most common
     language. ``score`` is its share after a softmax of the mean score of a word,
     sharpened by the number of words up to ``confident_words``. Texts that are null,
-    empty or without letters get ``und`` and the score 0, and so does every text if
+    empty or without letters (marks are none) get ``und`` and the score 0, and so does every text if
     nothing could be learned. Repeated rows are judged one by one; empty tables give
     empty tables; columns outside ``carry`` are not read.
     """
     taught = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    model = profile(labelled_sample(taught.select(key, text, lang), key, max_rows), text, lang, bound)
+    model = profile(labelled_sample(taught.select(key, text, lang), key, lang, max_rows), text, lang, bound)
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -193,7 +216,7 @@ def identify(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: st
             sums = np.zeros((batch.num_rows, width))
             n = np.zeros(batch.num_rows, np.int64)
             for rows, group in byte_groups(batch.column(0)):
-                words, codes, at = coded_words(letters(group))
+                words, codes, at = letter_words(group)
                 scores = scorer.words(words.to_pylist())
                 for k in range(width):
                     np.add.at(sums[:, k], rows, np.bincount(at, weights=scores[codes, k], minlength=len(rows)))

@@ -18,10 +18,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evenhand.functions.hashing import hash32, uniform
-from evenhand.llm.texts import WORD
+from evenhand.llm.texts import WORD, sheltered
 from evenhand.session import reliable_checkpoint
 
 MOST_COPIES = 3
+MADE = ["size", "source_size", "target", "copies", "taken"]
 SLICES = 64  # hash slices of a size class
 
 
@@ -80,10 +81,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), key: str = "doc_i
     left out of the hash. An empty table gives an empty table. Columns of ``docs`` that
     have the name of a result column are replaced.
     """
-    made = ["size", "source_size", "target", "copies", "taken"]
-    clash = [c for c in made if c in docs.columns and c not in (key, text, source)]
+    docs = docs.drop(*[c for c in MADE if c not in (key, text, source)])
+    docs, restored = sheltered(docs, (key, text, source))
     size = word_count(text)
-    rows = docs.drop(*clash).withColumns({
+    rows = docs.withColumns({
         "size": size,
         "_src": F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("="), F.col(source).cast("string"))),
         "_hash": hash32(F.col(key), F.col(text), seed=seed),
@@ -103,11 +104,19 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), key: str = "doc_i
     start = (F.col("_before") + F.col("_at") - 1) * F.col("_rate") + F.col("_offset")
     end = (F.col("_before") + F.col("_at")) * F.col("_rate") + F.col("_offset")
     copies = F.least(F.floor(end) - F.floor(start), F.lit(most)).cast("int")
-    return numbered.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop(
-        *cell, "_hash", "_at", "_before", "_rate", "_offset")
+    found = numbered.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
+    return restored(found, MADE)
 
 
 def emit(mixed: DataFrame) -> DataFrame:
     """The mix itself: each row as often as ``copies`` says, without the columns that :func:`mix` added."""
-    rows = mixed.where(F.col("copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return rows.drop("_copy", "size", "source_size", "target", "copies", "taken")
+    rows = mixed.where(F.col("copies") > 0)
+    repeated = rows.select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("number of the copy"))
+    return repeated.drop("number of the copy", *MADE)
+
+
+def emit_mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), key: str = "doc_id", text: str = "text",
+             source: str = "source", seed: int = 42, most: int = MOST_COPIES) -> DataFrame:
+    """The rows of ``docs`` as often as :func:`mix` takes them, with all their own columns, whatever their names."""
+    given, restored = sheltered(docs, (key, text, source))
+    return restored(emit(mix(given, weights, key, text, source, seed, most)))

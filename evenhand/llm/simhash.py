@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from evenhand.llm.components import components
-from evenhand.llm.texts import bounded_batches, pass_on, with_carried
+from evenhand.llm.texts import bounded_batches, pass_on, sheltered, with_carried
 from evenhand.session import reliable_checkpoint
 
 BITS = 64
@@ -225,10 +225,11 @@ def keep_first(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: s
     Rows that repeat this key are reduced to one. A row without a key stays only if no
     row of its component has one, and one of such rows stays.
     """
+    docs, restored = sheltered(docs, (key, text))
     kept = classes.where(F.col(key) == F.col("component_id")).select(key).distinct()
     keyed = docs.join(kept, key, "left_semi").dropDuplicates([key])  # one shuffle serves both
     lone = classes.where(F.col(key).isNull() & F.col("component_id").isNull()).select(
         F.conv("fingerprint", 16, -10).cast("long").alias("_bits"), F.col("root").alias("_root")).distinct()
     nameless = prints(docs.where(F.col(key).isNull()), key, text, shingle, docs.columns, "_bits")
     rest = nameless.join(lone, "_bits").dropDuplicates(["_root"])
-    return keyed.select(*docs.columns).unionByName(rest.select(*docs.columns))
+    return restored(keyed.select(*docs.columns).unionByName(rest.select(*docs.columns)))

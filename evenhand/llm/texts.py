@@ -35,6 +35,21 @@ def with_carried(docs: DataFrame, key: str, text: str, carry: Sequence[str]) ->
     return docs.select(F.col(text).alias("_text"), F.col(key).alias("_key"), *rest)
 
 
+def sheltered(docs: DataFrame, used: Sequence[str]) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """(``docs`` with all columns but ``used`` under names that no operator makes, how to get the columns of ``docs`` back).
+
+    Operators add columns of their own, some of which a table may have already; under
+    shelter the table's own values pass through whatever is added.
+    """
+    own = {c: f"own column {i}" for i, c in enumerate(docs.columns) if c not in used}
+    given = docs.select(*[F.col(f"`{c}`").alias(own.get(c, c)) for c in docs.columns])
+
+    def restored(found: DataFrame, made: Sequence[str] = ()) -> DataFrame:
+        return found.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns], *made)
+
+    return given, restored
+
+
 def pass_on(narrow: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], list]], made: dict[str, str],
             key: str, text: str, carry: Sequence[str]) -> DataFrame:
     """Map ``narrow`` of :func:`with_carried` batch by batch: key, carried columns, then the columns ``made``.

@@ -4,7 +4,7 @@ import numpy as np
 from helpers import documents, rows
 from pyspark.sql import functions as F
 
-from evenhand.llm.language import identify
+from evenhand.llm.language import identify, labelled_sample
 from evenhand.llm.toxicity import NEAREST, BlockMaxIndex, rising, score
 
 
@@ -76,3 +76,20 @@ def test_toxic_words_are_learned_with_evidence(spark):
     assert all(e % 8 == 0 for e in by[900].evidence) and len(by[900].evidence) == 3 and "rotten" in by[900].terms
     wrong = sum(r.predicted != int(r.doc_id % 8 == 0) for r in got if r.doc_id < 400)
     assert wrong == 0
+
+
+def test_marks_alone_are_no_letters(spark):
+    content = [(i, "the sea and the thing", "en", "s", 1) for i in range(8)] + [(i, "der die und das", "de", "s", 1) for i in range(20, 28)]
+    odd = [(100, "\u0301 \u0302\u0301", "en", "s", 1), (101, "\u0301the\u0301 sea", "en", "s", 1), (102, "\u0301 the sea", "en", "s", 1)]
+    got = {r.doc_id: r for r in identify(documents(spark, content + odd), documents(spark, content)).collect()}
+    assert (got[100].lang_pred, got[100].score) == ("und", 0.0) and got[101].lang_pred == got[102].lang_pred == "en"
+
+
+def test_small_languages_are_learned_whole(spark):
+    common = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit("the sea and the thing").alias("text"), F.lit("en").alias("lang"))
+    rare = spark.range(100_000, 100_050).select(F.col("id").alias("doc_id"), F.lit("zorn blau wexel").alias("text"), F.lit("xx").alias("lang"))
+    whole = common.union(rare)
+    counts = {r.lang: r["count"] for r in labelled_sample(whole, "doc_id", "lang", 2_000).groupBy("lang").count().collect()}
+    assert counts["xx"] == 50 and abs(counts["en"] - 1_950) < 200
+    asked = spark.createDataFrame([(1, "blau zorn"), (2, "the thing")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in identify(asked, whole, max_rows=2_000).collect()} == {1: "xx", 2: "en"}

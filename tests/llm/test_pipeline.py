@@ -1,11 +1,15 @@
+import hashlib
+import itertools
 import pathlib
 
 import corpus_pipeline
 import pytest
-from helpers import documents, rows
+from helpers import CLASHING, documents, rows
 from pyspark.sql import functions as F
-from test_near_copies import plain_fingerprint, united
+from test_near_copies import united
+from test_near_texts import alike, plain_set
 
+from evenhand.llm.mixing import mix
 from evenhand.llm.queries import QUERIES, SQL
 from evenhand.llm.registry import table, tokenizer_file
 from tools.compare import compare, connect
@@ -45,14 +49,11 @@ def test_toxic_documents_go_and_clean_ones_stay(spark, sf_dir):
 
 
 def test_one_of_each_group_stays(stages):
+    """Of all documents that reach each other by links of 0.8 or more the one of the smallest number stays."""
     clean, single = stages[2], stages[3]
-    prints = {r.doc_id: plain_fingerprint(r.text) for r in clean}
-    kinds = sorted(set(prints.values()))
-    root = united(kinds, [(a, b) for a in kinds for b in kinds if a < b and (a ^ b).bit_count() <= 2])
-    least = {}
-    for i, f in prints.items():
-        least[root[f]] = min(i, least.get(root[f], i))
-    assert {r.doc_id for r in single} == set(least.values())
+    sets = {r.doc_id: plain_set(r.text) for r in clean}
+    links = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] == sets[b] or alike(sets[a], sets[b])]
+    assert {r.doc_id for r in single} == set(united(sorted(sets), links).values()) and len(single) < len(clean)
 
 
 def test_mix_and_tokens(stages):
@@ -64,8 +65,10 @@ def test_mix_and_tokens(stages):
     words = lambda rows: sum(len(r.text.encode().split()) for r in rows)
     assert 0.7 < words(mixed) / words(single) < 1.3
     library = Tokenizer.from_file(tokenizer_file())
-    want = sorted((r.doc_id, r.lang, r.source, library.encode(r.text, add_special_tokens=False).ids) for r in mixed)
-    assert sorted((r.doc_id, r.lang, r.source, r.token_ids) for r in coded) == want
+    digest = lambda ids: hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    want = sorted((r.doc_id, r.lang, r.source, ids, digest(ids)) for r in mixed
+                  for ids in [library.encode(r.text, add_special_tokens=False).ids])
+    assert sorted((r.doc_id, r.lang, r.source, r.token_ids, r.decoded_sha256) for r in coded) == want
     assert all(r.n_tokens == len(r.token_ids) for r in coded)
 
 
@@ -73,14 +76,34 @@ def test_run_takes_all_stages(spark, sf_dir, stages):
     assert sorted(corpus_pipeline.run(spark, sf_dir).collect()) == sorted(stages[-1])
 
 
-def test_awkward_documents_pass(spark, sf_dir):
-    docs = documents(spark, extra=False)
-    for _, stage in corpus_pipeline.STAGES:
+#: Every name that an operator or a stage gives to a column of its own.
+MADE = CLASHING + [
+    "lang_pred", "predicted", "evidence", "terms", "source_size", "token_ids", "decoded", "decoded_sha256", "fingerprint",
+    "component_id", "root", "least", "_src", "_hash", "_class", "_slice", "_at", "_before", "_rate", "_offset", "_copy",
+    "_bits", "_root", "cluster", "part", "parts", "own", "c_text", "c_doc_id", "number of the copy", "own column 3"]
+
+
+def test_awkward_documents_keep_their_own_columns(spark, sf_dir):
+    docs = documents(spark, extra=False).withColumns({c: F.lit(f"own {c}") for c in MADE})
+    for name, stage in corpus_pipeline.STAGES:
+        columns = docs.columns
         docs = corpus_pipeline.reliable_checkpoint(stage(spark, docs, sf_dir), "test")
+        if name != "bpe":
+            assert docs.columns == columns
+            kept = docs.select(*[f"`{c}`" for c in MADE]).distinct().collect()
+            assert [r.asDict() for r in kept] == [{c: f"own {c}" for c in MADE}]
     got = docs.collect()
     assert got and {r.doc_id for r in got} <= {r[0] for r in rows()} and 200 not in {r.doc_id for r in got}
 
 
+def test_mix_keeps_all_but_its_results(spark):
+    docs = documents(spark, extra=False).withColumns({c: F.lit(f"own {c}") for c in MADE})
+    mixed = mix(docs)
+    others = [c for c in MADE if c not in ("size", "source_size", "target", "copies", "taken")]
+    assert [r.asDict() for r in mixed.select(*[f"`{c}`" for c in others]).distinct().collect()] == [{c: f"own {c}" for c in others}]
+    assert mixed.schema["copies"].dataType.simpleString() == "int"
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, sf_dir, name):
     text, _, ok = compare(spark, connect(sf_dir), name, QUERIES[name], SQL[name], sf_dir)
