@@ -1,107 +1,182 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Labelled examples are vectors over the terms whose split between the labels cannot
-be chance; a term is a word or the beginning of a word. Their inverted index holds,
-for each term and block of examples, the largest weight. A search adds these up to
-an upper bound for each block, goes through the blocks from the largest bound down
-and stops when no block left can change the nearest examples, so it is exact.
-Votes weigh by nearness and are calibrated on the examples themselves, each judged
-without its own vote.
+Every word of a labelled example is a term. Its weight is its inverse document frequency,
+raised for words that come more often with label 1 than chance would have it; no word is
+left out. The examples lie in blocks of like texts. The index holds the weights of the
+most frequent terms block by block with their largest values, and postings of all others.
+A search adds up the postings, which are few, and bounds each block by them and by the
+largest weights; blocks that cannot hold one of the nearest examples are skipped, so the
+result is that of comparing with all examples. Votes weigh by nearness and are calibrated
+on the examples themselves, each judged without those of its own key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from evenhand.functions.hashing import hash32
-from evenhand.llm.texts import bounded_batches, byte_groups, coded_words, gather, pass_on, with_carried
 from evenhand.llm.language import letters
+from evenhand.llm.texts import bounded_batches, coded_words, gather, pass_on, with_carried
 from evenhand.session import reliable_checkpoint
 
 BLOCK = 64  # examples in a block of the index
-STEP = 16  # blocks scored at a time
-LEAST_ODDS = 3  # a term raises the odds of label 1 by this factor at least
-STEMS = (4, 5, 6, 7)  # a longer word also counts as its first letters
-REPEATS = (2, 3, 5)  # a term that comes so often in a text makes a further term
+DENSE = 512  # most frequent terms; their weights are kept for every example of a block
+FIRST_BLOCKS = 4  # blocks of each text that are scored before any is skipped
+QUERIES = 256  # texts that are searched together
+SIGNS = 64  # frequent terms that tell which examples are alike
 NEAREST = 15
-KNOWN_WORDS = 1 << 20  # words whose terms a worker keeps between batches
-KNOWN_ANSWERS = 1 << 16  # searches whose result a worker keeps
+TELLING = 2.0  # how much the log odds of label 1 raise a term's weight
+BIN_ROWS = 20  # examples in a bin of the calibration
+SHOWN = 10  # terms listed as evidence
 
 
-def terms_of(word: str) -> list[str]:
-    """The word and its beginnings."""
-    return [word, *[f"{word[:n]}*" for n in STEMS if len(word) > n]]
+# --- texts as vectors ----------------------------------------------------------
 
 
-def with_repeats(counts: dict[str, int]) -> dict[str, int]:
-    """The terms of a text and, for those that come 2, 3 or 5 times, that they do."""
-    return counts | {repeated(t, r): n for t, n in counts.items() for r in REPEATS if n >= r}
+@dataclass
+class Rows:
+    """Terms of some texts: ``row`` rises; ``n`` is how often the term comes."""
+
+    row: np.ndarray
+    term: np.ndarray
+    n: np.ndarray
+
+
+def text_terms(texts: pa.Array) -> tuple[pa.Array, Rows]:
+    """(distinct words, their numbers by text); a batch is bounded by bytes or holds one text."""
+    words, codes, at = coded_words(letters(pc.fill_null(texts, "")))
+    pair, n = np.unique(at * max(len(words), 1) + codes, return_counts=True)
+    row, term = np.divmod(pair, max(len(words), 1))
+    return words, Rows(row, term, n)
+
 
+@dataclass
+class Terms:
+    """The terms of the examples, the most frequent first, and their weights."""
+
+    names: pa.Array
+    weights: np.ndarray
+    unknown: float  # weight of a word that no example has
 
-def repeated(term: str, times: int) -> str:
-    return f"{term}@{times}"
+    @classmethod
+    def of(cls, names: pa.Array, df: np.ndarray, hits: np.ndarray, n: int, ones: int) -> Terms:
+        """From texts that have the term, those of label 1 among them, and the numbers of all examples."""
+        idf = np.log((n + 1) / (df + 1)) + 1
+        if 0 < ones < n:
+            p = ones / n
+            share = (hits + 2 * p) / (df + 2)
+            idf = idf * (1 + TELLING * np.maximum(np.log(share / (1 - share)) - np.log(p / (1 - p)), 0))
+        return cls(names, idf, float(np.log(n + 1) + 1))
 
+    def vectors(self, texts: pa.Array) -> Rows:
+        """Known terms of each text with the weights ``n`` of its unit vector; unknown words count in its length."""
+        words, rows = text_terms(texts)
+        known = pc.fill_null(pc.index_in(words, value_set=self.names), -1).to_numpy(zero_copy_only=False)[rows.term]
+        weight = (1 + np.log(rows.n)) * np.where(known < 0, self.unknown, self.weights[known] if len(self.weights) else 0)
+        length = np.sqrt(np.bincount(rows.row, weights=weight * weight, minlength=len(texts)))
+        kept = known >= 0
+        return Rows(rows.row[kept], known[kept], (weight / length[rows.row])[kept])
 
-# --- the index ---------------------------------------------------------------
+
+# --- the index -------------------------------------------------------------------
 
 
 @dataclass
 class BlockMaxIndex:
-    """Postings by term in the order of examples, cut into blocks; the examples have unit length."""
+    """Examples in blocks; terms below ``table``'s width are dense, the others have postings."""
 
     labels: np.ndarray
     keys: list
-    examples: np.ndarray  # postings: example
-    weights: np.ndarray  # postings: weight
-    cuts: np.ndarray  # [term, block]: first posting of the block
-    most: np.ndarray  # [term, block]: largest weight in the block
+    place: np.ndarray  # order of each example among the keys, for ties
+    table: np.ndarray  # [example, dense term]
+    most: np.ndarray  # [dense term, block]
+    starts: np.ndarray  # of the postings of each other term
+    examples: np.ndarray
+    weights: np.ndarray
 
     @classmethod
-    def build(cls, vectors: list[dict[int, float]], labels: list[int], keys: list, n_terms: int) -> BlockMaxIndex:
-        blocks = -(-len(vectors) // BLOCK)
-        term = np.array([t for v in vectors for t in sorted(v)], np.int64)
-        example = np.array([i for i, v in enumerate(vectors) for _ in v], np.int64)
-        weight = np.array([v[t] for v in vectors for t in sorted(v)], float)
-        order = np.lexsort((example, term))
-        term, example, weight = term[order], example[order], weight[order]
-        cell = term * blocks + example // BLOCK
-        cuts = np.searchsorted(cell, np.arange(n_terms * blocks + 1))
-        most = np.zeros(n_terms * blocks)
-        np.maximum.at(most, cell, weight)
-        starts = cuts[:-1].reshape(n_terms, blocks) if blocks else np.zeros((n_terms, 0), np.int64)
-        ends = cuts[1:].reshape(n_terms, blocks)[:, -1:] if blocks else np.zeros((n_terms, 1), np.int64)
-        return cls(np.array(labels), keys, example, weight, np.hstack([starts, ends]), most.reshape(n_terms, blocks))
-
-    def nearest(self, vector: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The ``k`` examples of largest cosine above 0, ties to the example that comes first."""
-        terms = np.array(sorted(vector), np.int64)
-        query = np.array([vector[t] for t in terms.tolist()])
-        bounds = query @ self.most[terms]
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        best: list[tuple[float, int]] = []
-        for start in range(0, len(order), STEP):
-            if len(best) == k and bounds[order[start]] < -best[-1][0] - 1e-9:
-                break
-            blocks = order[start:start + STEP]
-            first = self.cuts[terms[:, None], blocks]
-            sizes = (self.cuts[terms[:, None], blocks + 1] - first).ravel()
-            weights = gather(self.weights, first.ravel(), sizes) * np.repeat(np.repeat(query, len(blocks)), sizes)
-            example = gather(self.examples, first.ravel(), sizes)
-            low = blocks.min() * BLOCK
-            scores = np.round(np.bincount(example - low, weights=weights), 12)
-            if without >= low and without - low < len(scores):
-                scores[without - low] = 0
-            least = -best[-1][0] if len(best) == k else 0.0
-            found = np.flatnonzero((scores > 0) & (scores >= least))
-            found = found[np.lexsort((found, -scores[found]))][:k]
-            best = sorted(best + [(-float(scores[i]), int(i + low)) for i in found])[:k]
-        return [(-s, i) for s, i in best]
+    def build(cls, rows: Rows, labels: Sequence[int], keys: Sequence, n_terms: int, dense: int | None = None) -> BlockMaxIndex:
+        """From unit vectors of the examples in the order of their keys."""
+        n, dense = len(keys), min(DENSE if dense is None else dense, n_terms)
+        labels = np.asarray(labels, np.int64)
+        sign = np.zeros((n, max(1, min(SIGNS, n_terms))))
+        frequent = rows.term < sign.shape[1]
+        sign[rows.row[frequent], rows.term[frequent]] = rows.n[frequent]
+        order = np.lexsort((np.arange(n), sign.argmax(axis=1), labels))
+        at = np.empty(n, np.int64)
+        at[order] = np.arange(n)
+        blocks = -(-n // BLOCK)
+        table = np.zeros((blocks * BLOCK, dense))
+        inside = rows.term < dense
+        table[at[rows.row[inside]], rows.term[inside]] = rows.n[inside]
+        example, term, weight = at[rows.row[~inside]], rows.term[~inside] - dense, rows.n[~inside]
+        by_term = np.lexsort((example, term))
+        return cls(labels[order], [keys[i] for i in order.tolist()], order, table,
+                   table.reshape(blocks, BLOCK, dense).max(axis=1).T if blocks else np.zeros((dense, 0)),
+                   np.searchsorted(term[by_term], np.arange(n_terms - dense + 1)), example[by_term].astype(np.int32), weight[by_term])
+
+    def nearest(self, rows: Rows, n: int, k: int, without: Sequence | None = None) -> list[list[tuple[float, int]]]:
+        """For each of ``n`` texts the ``k`` examples of largest cosine above 0, ties in the order of keys.
+
+        ``without`` has a key for each text, whose examples do not count.
+        """
+        found: list[list[tuple[float, int]]] = []
+        own: dict = {}
+        if without is not None:
+            for i, key in enumerate(self.keys):
+                own.setdefault(key, []).append(i)
+        for first in range(0, n, QUERIES):
+            size = min(QUERIES, n - first)
+            part = slice(*np.searchsorted(rows.row, [first, first + size]))
+            barred = [own.get(key, []) for key in without[first:first + size]] if without is not None else [[]] * size
+            found += self._some(rows.row[part] - first, rows.term[part], rows.n[part], size, k, barred)
+        return found
+
+    def _some(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, size: int, k: int, barred: list) -> list:
+        dense, blocks = self.most.shape
+        n = blocks * BLOCK
+        if not n:
+            return [[] for _ in range(size)]
+        frequent = term < dense
+        query = np.zeros((size, dense))
+        query[row[frequent], term[frequent]] = weight[frequent]
+        other = term[~frequent] - dense
+        sizes = self.starts[other + 1] - self.starts[other]
+        cell = np.repeat(row[~frequent] * n, sizes) + gather(self.examples, self.starts[other], sizes)
+        part = np.bincount(cell, weights=np.repeat(weight[~frequent], sizes) * gather(self.weights, self.starts[other], sizes),
+                           minlength=size * n).reshape(size, n)
+        bound = query @ self.most + part.reshape(size, blocks, BLOCK).max(axis=2)
+        scores = np.full((size, n), -1.0)
+        done = np.zeros(bound.shape, bool)
+
+        def evaluate(wanted: np.ndarray) -> None:
+            for block in np.flatnonzero(wanted.any(axis=0)).tolist():
+                texts = np.flatnonzero(wanted[:, block])
+                stretch = slice(block * BLOCK, (block + 1) * BLOCK)
+                scores[texts, stretch] = part[texts, stretch] + query[texts] @ self.table[stretch].T
+            for text, examples in enumerate(barred):
+                scores[text, examples] = -1.0
+            done[wanted] = True
+
+        first = np.zeros(bound.shape, bool)
+        np.put_along_axis(first, np.argsort(-bound, axis=1)[:, :FIRST_BLOCKS], True, axis=1)
+        evaluate(first & (bound > 0))
+        least = np.maximum(np.partition(scores, n - k, axis=1)[:, n - k] if n > k else -1.0, 0.0)
+        evaluate((bound >= np.reshape(least, (-1, 1)) - 1e-9) & (bound > 0) & ~done)
+        scores = np.round(scores[:, :len(self.keys)], 12)
+        found = []
+        last = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k] if scores.shape[1] > k else np.full(size, -1.0)
+        for text in range(size):
+            near = np.flatnonzero((scores[text] >= last[text]) & (scores[text] > 0))
+            near = near[np.lexsort((self.place[near], -scores[text, near]))][:k]
+            found.append([(float(scores[text, i]), int(i)) for i in near])
+        return found
 
 
 def vote(found: list[tuple[float, int]], labels: np.ndarray) -> float | None:
@@ -113,74 +188,54 @@ def vote(found: list[tuple[float, int]], labels: np.ndarray) -> float | None:
 
 
 def rising(values: np.ndarray, labels: np.ndarray, bins: int = 20) -> tuple[np.ndarray, np.ndarray]:
-    """Calibration that never falls: mean label by bin of the value, neighbours pooled while they fall."""
+    """Calibration that never falls: mean label by bin of the value, neighbours pooled while they fall.
+
+    Equal values (to nine digits) are never parted.
+    """
+    kinds, of = np.unique(np.round(values, 9), return_inverse=True)
+    counts, sums = np.bincount(of, minlength=len(kinds)), np.bincount(of, weights=labels, minlength=len(kinds))
+    full = -(-len(values) // max(bins, 1))
     pooled: list[list[float]] = []  # [sum of labels, n, largest value]
-    for part in np.array_split(np.argsort(values, kind="stable"), min(bins, len(values)) or 1):
-        if not len(part):
-            continue
-        pooled.append([float(labels[part].sum()), float(len(part)), float(values[part].max())])
-        while len(pooled) > 1 and pooled[-2][0] * pooled[-1][1] >= pooled[-1][0] * pooled[-2][1]:
+    is_open = False
+    for value, n, total in zip(kinds.tolist(), counts.tolist(), sums.tolist()):
+        if is_open:
+            last = pooled.pop()
+            total, n = total + last[0], n + last[1]
+        pooled.append([total, n, value])
+        is_open = n < full
+        while not is_open and len(pooled) > 1 and pooled[-2][0] * pooled[-1][1] >= pooled[-1][0] * pooled[-2][1]:
             last = pooled.pop()
             pooled[-1] = [pooled[-1][0] + last[0], pooled[-1][1] + last[1], last[2]]
-    return (np.array([p[2] for p in pooled]), np.array([(p[0] + 0.5) / (p[1] + 1) for p in pooled]))
+    while len(pooled) > 1 and pooled[-2][0] * pooled[-1][1] >= pooled[-1][0] * pooled[-2][1]:
+        last = pooled.pop()
+        pooled[-1] = [pooled[-1][0] + last[0], pooled[-1][1] + last[1], last[2]]
+    return np.array([p[2] for p in pooled]), np.array([(p[0] + 0.5) / (p[1] + 1) for p in pooled])
 
 
 @dataclass
-class Model:
-    terms: dict[str, int]
-    idf: np.ndarray
-    index: BlockMaxIndex
-    edges: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    chances: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    bare: float = 0.0  # score of a text without any of the terms
-
-    def calibrated(self, raw: float | None) -> float:
-        if raw is None or not len(self.edges):
-            return self.bare
-        return float(np.interp(raw, self.edges, self.chances))
-
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        weights = {t: (1 + np.log(n)) * self.idf[t] for t, n in counts.items()}
-        size = np.sqrt(sum(w * w for w in weights.values()))
-        return {t: w / size for t, w in weights.items()}
+class Calibration:
+    """Score of a vote; ``bare`` is that of a text without neighbours."""
 
+    edges: np.ndarray
+    chances: np.ndarray
+    bare: float
 
-# --- fitting -----------------------------------------------------------------
+    @classmethod
+    def of(cls, votes: list[float | None], labels: list[int]) -> Calibration:
+        judged = [(v, y) for v, y in zip(votes, labels) if v is not None]
+        lone = [y for v, y in zip(votes, labels) if v is None]
+        edges, chances = (np.zeros(0), np.zeros(0)) if not judged else rising(
+            np.array([v for v, _ in judged]), np.array([y for _, y in judged], float), max(1, len(judged) // BIN_ROWS))
+        # Without examples of the kind, as all examples are.
+        return cls(edges, chances, (sum(lone) + 0.5) / (len(lone) + 1) if lone else (sum(labels) + 0.5) / (len(labels) + 1))
+
+    def score(self, raw: float | None) -> float:
+        if raw is None or not len(self.edges):
+            return self.bare
+        return float(np.interp(round(raw, 9), self.edges, self.chances))
 
 
-def text_terms(texts: pa.Array, wanted: dict[str, int] | None = None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """(terms, row, term, count): the terms of each text with their counts, rows in rising order.
-
-    With ``wanted`` only its terms are looked at.
-    """
-    index: dict[str, int] = {}
-    plain = None if wanted is None else {t.rpartition("@")[0] if "@" in t else t for t in wanted}
-    found = [(np.zeros(0, np.int64),) * 3]
-    for rows, group in byte_groups(texts):
-        words, codes, at = coded_words(letters(group))
-        of_word = [[index.setdefault(t, len(index)) for t in terms_of(w) if plain is None or t in plain]
-                   for w in words.to_pylist()]
-        sizes = np.fromiter(map(len, of_word), np.int64, len(of_word))
-        flat = np.fromiter((t for ts in of_word for t in ts), np.int64, int(sizes.sum()))
-        pair, n = np.unique(at * max(len(words), 1) + codes, return_counts=True)
-        row, word = np.divmod(pair, max(len(words), 1))
-        term = gather(flat, (np.cumsum(sizes) - sizes)[word], sizes[word])
-        found.append((np.repeat(rows[row], sizes[word]), term, np.repeat(n, sizes[word])))
-    row, term, n = (np.concatenate(x) for x in zip(*found))
-    names = list(index)
-    both, inverse = np.unique(row * max(len(names), 1) + term, return_inverse=True)
-    row, term = np.divmod(both, max(len(names), 1))
-    n = np.bincount(inverse, weights=n, minlength=len(both)).astype(np.int64)
-    parts = [(row, term, n)]
-    for i, times in enumerate(REPEATS, start=1):
-        often = n >= times
-        parts.append((row[often], term[often] + i * len(names), n[often]))
-    row, term, n = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((term, row))
-    names += [repeated(t, times) for times in REPEATS for t in index]
-    if wanted is not None and len(order):
-        order = order[np.array([t in wanted for t in names])[term[order]]]
-    return names, row[order], term[order], n[order]
+# --- fitting -----------------------------------------------------------------------
 
 
 def term_counts(examples: DataFrame) -> DataFrame:
@@ -188,150 +243,99 @@ def term_counts(examples: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, row, term, _ = text_terms(batch.column(2))
+            words, rows = text_terms(batch.column(2))
             label = batch.column(1).to_numpy(zero_copy_only=False)
-            df = np.bincount(term, minlength=len(names))
-            hits = np.bincount(term, weights=label[row], minlength=len(names)).astype(np.int64)
-            there = np.flatnonzero(df)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([names[i] for i in there.tolist()], pa.string()), pa.array(df[there]), pa.array(hits[there])],
-                ["term", "df", "hits"])
+            df = np.bincount(rows.term, minlength=len(words))
+            hits = np.bincount(rows.term, weights=label[rows.row], minlength=len(words)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([words, pa.array(df), pa.array(hits)], ["term", "df", "hits"])
 
-    counted = examples.mapInArrow(run, "term string, df long, hits long")
+    counted = examples.select("row", "label", "text").mapInArrow(run, "term string, df long, hits long")
     return counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("hits").alias("hits"))
 
 
-def telling_terms(examples: DataFrame, n: int, ones: int, most: int) -> list:
-    """(term, df) of the terms whose split between the labels cannot be chance.
-
-    With ``df`` texts, ``hits`` of them of label 1, and the share p of label 1 overall,
-    the Chernoff bound of such a split is exp(-df KL(hits / df, p)). A term is kept if
-    the bound times the number of terms is below 1 and the odds of label 1 with it are
-    ``LEAST_ODDS`` times those overall and no less than even; at most ``most`` are, the surest first.
-    """
-    if not 0 < ones < n:
-        return []
-    counts = reliable_checkpoint(term_counts(examples), "terms")
-    n_terms = counts.count()
-    p = ones / n
-    share = F.col("hits") / F.col("df")
-
-    def part(a, b: float):
-        return F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
-
-    surprise = F.col("df") * (part(share, p) + part(1 - share, 1 - p))
-    marks = (share * (1 - p) >= LEAST_ODDS * p * (1 - share)) & (share >= 0.5)
-    kept = counts.where(marks & (surprise > float(np.log(max(n_terms, 2)))))
-    return kept.orderBy(surprise.desc(), "term").limit(most).select("term", "df").collect()
-
-
-def example_vectors(examples: DataFrame, terms: dict[str, int]) -> list:
-    """(row, label, terms, counts) of the examples; bounded like the examples themselves."""
+def fit(labelled: DataFrame, key: str, text: str, label: str) -> tuple[Terms, BlockMaxIndex, Calibration]:
+    """Fit on all rows of ``labelled``, which the caller bounds: their terms, vectors and votes come to the driver."""
+    spark = labelled.sparkSession
+    bounded_batches(spark)
+    examples = reliable_checkpoint(labelled.select(
+        F.col(key).alias("row"), F.col(label).cast("int").alias("label"), F.col(text).alias("text")), "examples")
+    size = examples.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("ones")).first()
+    counted = term_counts(examples).toArrow().sort_by([("df", "descending"), ("term", "ascending")])
+    names = counted["term"].combine_chunks()
+    terms = Terms.of(names, counted["df"].to_numpy(), counted["hits"].to_numpy(), size.n, size.ones or 0)
+    shared = spark.sparkContext.broadcast(terms)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, row, term, n = text_terms(batch.column(2), terms)
-            ids = np.fromiter((terms[names[t]] for t in term.tolist()), np.int64, len(term))
-            cuts = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
+            rows = shared.value.vectors(batch.column(2))
+            cuts = pa.array(np.searchsorted(rows.row, np.arange(batch.num_rows + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.ListArray.from_arrays(cuts, pa.array(ids)),
-                 pa.ListArray.from_arrays(cuts, pa.array(n))], ["row", "label", "terms", "counts"])
+                [batch.column(0), batch.column(1), pa.ListArray.from_arrays(cuts, pa.array(rows.term.astype(np.int32))),
+                 pa.ListArray.from_arrays(cuts, pa.array(rows.n))], ["row", "label", "terms", "weights"])
 
     kind = examples.schema["row"].dataType.simpleString()
-    vectors = examples.mapInArrow(run, f"row {kind}, label int, terms array<long>, counts array<long>")
-    return vectors.orderBy("row", "label").collect()
-
+    listed = examples.select("row", "label", "text").mapInArrow(
+        vectors, f"row {kind}, label int, terms array<int>, weights array<double>").toArrow()
+    listed = listed.take(pc.sort_indices(listed.select(["row", "label"]), sort_keys=[("row", "ascending"), ("label", "ascending")]))
+    lists = listed["terms"].combine_chunks()
+    index = BlockMaxIndex.build(
+        Rows(np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False)),
+             lists.flatten().to_numpy().astype(np.int64), listed["weights"].combine_chunks().flatten().to_numpy()),
+        listed["label"].to_pylist(), listed["row"].to_pylist(), len(names))
+    model = spark.sparkContext.broadcast((terms, index))
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, index = model.value
+        for batch in batches:
+            found = index.nearest(terms.vectors(batch.column(2)), batch.num_rows, NEAREST, batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([vote(f, index.labels) for f in found], pa.float64()), batch.column(1)], ["vote", "label"])
 
-def fit(labelled: DataFrame, key: str, text: str, label: str, max_terms: int) -> Model:
-    """Fit on all rows of ``labelled``, which the caller bounds; see :func:`score`."""
-    bounded_batches(labelled.sparkSession)
-    examples = reliable_checkpoint(labelled.select(
-        F.col(key).alias("row"), F.col(label).cast("int").alias("label"), F.col(text).alias("text")), "examples")
-    size = examples.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("ones")).first()
-    n, ones = size.n, size.ones or 0
-    found = telling_terms(examples, n, ones, max_terms)
-    terms = {r.term: i for i, r in enumerate(found)}
-    idf = np.log((n + 1) / (np.array([r.df for r in found], float) + 1)) + 1
-    model = Model(terms, idf, BlockMaxIndex.build([], [], [], len(terms)), bare=(ones + 0.5) / (n + 1))
-    if not terms:
-        return model
-    rows = example_vectors(examples, terms)
-    bare = [r.label for r in rows if not r.terms]
-    model.bare = (sum(bare) + 0.5) / (len(bare) + 1)
-    rows = [r for r in rows if r.terms]
-    vectors = [model.vector(dict(zip(r.terms, r.counts))) for r in rows]
-    labels = [r.label for r in rows]
-    model.index = BlockMaxIndex.build(vectors, labels, [r.row for r in rows], len(terms))
-    votes = [vote(model.index.nearest(v, NEAREST, without=i), model.index.labels) for i, v in enumerate(vectors)]
-    judged = [(v, y) for v, y in zip(votes, labels) if v is not None]
-    if judged:
-        model.edges, model.chances = rising(np.array([v for v, _ in judged]), np.array([y for _, y in judged], float))
-    return model
+    spread = examples.select("row", "label", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    judged = spread.mapInArrow(votes, "vote double, label int").toArrow()
+    order = pc.sort_indices(judged, sort_keys=[("vote", "ascending"), ("label", "ascending")])
+    judged = judged.take(order)
+    return terms, index, Calibration.of(judged["vote"].to_pylist(), judged["label"].to_pylist())
 
 
 def score(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
-          max_examples: int = 12_000, max_terms: int = 4_096, carry: Sequence[str] = ()) -> DataFrame:
+          max_examples: int = 12_000, carry: Sequence[str] = ()) -> DataFrame:
     """(key, carry..., score, predicted, evidence, terms) for every row of ``docs``.
 
     ``labelled`` has (key, text, label 0 or 1); the model is fitted on all its rows or,
-    by a hash of the key, on about ``max_examples`` of them, with at most ``max_terms``
-    terms; rows with a null label are left out and null texts are empty. ``score`` is
-    the calibrated vote of the nearest examples, ``predicted`` is 1 from 0.5 on,
-    ``evidence`` lists the keys of the three nearest examples, ties in the order of
-    keys, and ``terms`` the terms of the text that the search used. A text without any
-    such term, null and empty texts included, has no neighbours and gets the share of
-    label 1 among examples of that kind. Repeated rows are judged one by one; without
-    labelled rows every score is 0.5; empty tables give empty
+    by a hash of the key, on about ``max_examples`` of them; rows with a null label are
+    left out and null texts are empty. ``score`` is the calibrated vote of the nearest
+    examples, ``predicted`` is 1 from 0.5 on, ``evidence`` lists the keys of the three
+    nearest examples, ties in the order of keys, and ``terms`` the terms of the text that
+    weigh most. An example finds itself at a cosine of 1. A text that shares no word with
+    any example, null and empty texts included, has no neighbours and gets the share of
+    label 1 among examples of that kind, or among all if there are none. Repeated rows are
+    judged one by one; without labelled rows every score is 0.5; empty tables give empty
     tables; columns outside ``carry`` are not read.
     """
     known = labelled.where(F.col(label).isNotNull())
     n = known.select(key).count()
     if n > max_examples:
         known = known.where(hash32(F.col(key), seed=7) < F.lit(int(2 ** 32 * max_examples / n)))
-    shared = docs.sparkSession.sparkContext.broadcast(fit(known, key, text, label, max_terms))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(known, key, text, label))
     kind = docs.schema[key].dataType
     made = {"score": "double", "predicted": "int", "evidence": f"array<{kind.simpleString()}>", "terms": "array<string>"}
 
     def start():
-        model = shared.value
-        of_word: dict[str, list[str]] = {}
-        answers: dict[tuple, tuple[float, list]] = {}
-        names = list(model.terms)
-        plain = {t.rpartition("@")[0] if "@" in t else t for t in names}
-
-        def term_vectors(texts: pa.Array) -> list[dict[int, int]]:
-            counts: list[dict[str, int]] = [{} for _ in range(len(texts))]
-            for rows, group in byte_groups(texts):
-                words, codes, at = coded_words(letters(group))
-                listed = words.to_pylist()
-                if len(of_word) > KNOWN_WORDS:
-                    of_word.clear()
-                for w in listed:
-                    if w not in of_word:
-                        of_word[w] = [t for t in terms_of(w) if t in plain]
-                useful = np.fromiter((bool(of_word[w]) for w in listed), bool, len(listed))[codes]
-                for row, code in zip(at[useful].tolist(), codes[useful].tolist()):
-                    own = counts[rows[row]]
-                    for t in of_word[listed[code]]:
-                        own[t] = own.get(t, 0) + 1
-            return [{model.terms[t]: n for t, n in with_repeats(own).items() if t in model.terms} for own in counts]
-
-        def answer(form: tuple) -> tuple[float, list]:
-            if form not in answers:
-                if len(answers) >= KNOWN_ANSWERS:
-                    answers.clear()
-                found = model.index.nearest(model.vector(dict(form)), NEAREST) if form else []
-                raw = vote(found, model.index.labels)
-                answers[form] = (model.calibrated(raw), [model.index.keys[i] for _, i in found[:3]])
-            return answers[form]
+        terms, index, calibration = shared.value
 
         def judge(batch: pa.RecordBatch) -> list:
-            forms = [tuple(sorted(own.items())) for own in term_vectors(batch.column(0))]
-            found = [answer(form) for form in forms]
-            scores = np.array([f[0] for f in found], float)
+            rows = terms.vectors(batch.column(0))
+            found = index.nearest(rows, batch.num_rows, NEAREST)
+            scores = np.array([calibration.score(vote(f, index.labels)) for f in found], float)
+            strongest = np.lexsort((rows.term, -rows.n, rows.row))
+            place = np.arange(len(strongest)) - np.searchsorted(rows.row, rows.row)
+            strongest = strongest[place < SHOWN]
+            cuts = np.searchsorted(rows.row[strongest], np.arange(batch.num_rows + 1)).astype(np.int32)
+            shown = terms.names.take(pa.array(rows.term[strongest])) if len(terms.names) else pa.array([], pa.string())
             return [pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)),
-                    pa.array([f[1] for f in found], pa.list_(batch.column(1).type)),
-                    pa.array([[names[t] for t, _ in form] for form in forms], pa.list_(pa.string()))]
+                    pa.array([[index.keys[i] for _, i in f[:3]] for f in found], pa.list_(batch.column(1).type)),
+                    pa.ListArray.from_arrays(cuts, shown.cast(pa.string()))]
 
         return judge
 

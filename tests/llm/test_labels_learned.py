@@ -1,11 +1,13 @@
+import math
 import random
 
 import numpy as np
+import pytest
 from helpers import documents, rows
 from pyspark.sql import functions as F
 
 from evenhand.llm.language import identify, labelled_sample
-from evenhand.llm.toxicity import NEAREST, BlockMaxIndex, rising, score
+from evenhand.llm.toxicity import NEAREST, BlockMaxIndex, Calibration, Rows, rising, score
 
 
 def test_languages(spark, docs):
@@ -36,18 +38,76 @@ def test_nothing_to_learn_from(spark, docs, no_docs):
     assert score(no_docs, docs.withColumn("toxic", F.lit(0))).count() == 0
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("dense", [0, 5, 40])
+def test_block_max_search_is_exact(dense):
     rng = random.Random(3)
     vectors = []
     for _ in range(700):
-        v = {rng.randrange(30): rng.choice([0.5, 1.0, 2.0]) for _ in range(rng.randrange(1, 6))}
+        v = {rng.randrange(40): rng.choice([0.5, 1.0, 2.0]) for _ in range(rng.randrange(0, 6))}
         size = sum(w * w for w in v.values()) ** 0.5
         vectors.append({t: w / size for t, w in v.items()})
-    index = BlockMaxIndex.build(vectors, [0] * 700, list(range(700)), 30)
-    for q in vectors[::23]:
-        cosines = [(round(sum(w * v.get(t, 0) for t, w in q.items()), 12), i) for i, v in enumerate(vectors)]
-        want = sorted((-c, i) for c, i in cosines if c > 0)[:NEAREST]
-        assert [(-s, i) for s, i in index.nearest(q, NEAREST)] == want
+    as_rows = lambda vs: Rows(*map(np.array, zip(*[(i, t, v[t]) for i, v in enumerate(vs) for t in sorted(v)])))
+    keys = [i // 2 for i in range(700)]
+    index = BlockMaxIndex.build(as_rows(vectors), [i % 3 == 0 for i in range(700)], keys, 40, dense)
+    asked = vectors[::2]
+    for without in (None, [keys[i] for i in range(0, 700, 2)]):
+        found = index.nearest(as_rows(asked), len(asked), NEAREST, without)
+        for place, (q, got) in enumerate(zip(asked, found)):
+            cosines = [(round(sum(w * v.get(t, 0) for t, w in q.items()), 12), i) for i, v in enumerate(vectors)
+                       if without is None or keys[i] != without[place]]
+            want = sorted((-c, i) for c, i in cosines if c > 0)[:NEAREST]
+            assert [(-s, int(index.place[i])) for s, i in got] == want
+
+
+def plain_scores(texts, labels):
+    """(score, three nearest) of each text by comparing it with all labelled ones; labels has None for the others."""
+    words = [[w for w in "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()] for t in texts]
+    examples = [i for i, y in enumerate(labels) if y is not None]
+    n, ones = len(examples), sum(labels[i] for i in examples)
+    p = ones / n
+
+    def weight(w):
+        having = [i for i in examples if w in words[i]]
+        share = (sum(labels[i] for i in having) + 2 * p) / (len(having) + 2)
+        raised = max(0.0, math.log(share / (1 - share)) - math.log(p / (1 - p))) if having else 0.0
+        return (math.log((n + 1) / (len(having) + 1)) + 1) * (1 + 2 * raised)
+
+    weights = {w: weight(w) for ws in words for w in set(ws)}
+    vectors = []
+    for ws in words:
+        v = {w: (1 + math.log(ws.count(w))) * weights[w] for w in set(ws)}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        vectors.append({w: x / size for w, x in v.items()})
+
+    def near(i, but):
+        cosines = [(round(sum(x * vectors[j].get(w, 0) for w, x in vectors[i].items()), 12), j) for j in examples if j != but]
+        return sorted((-c, j) for c, j in cosines if c > 0)[:NEAREST]
+
+    def raw(found):
+        return sum(labels[j] / (1.1 + c) for c, j in found) / sum(1 / (1.1 + c) for c, j in found) if found else None
+
+    fitted = Calibration.of(*zip(*sorted(((raw(near(i, i)), labels[i]) for i in examples), key=lambda x: (x[0] is None, x))))
+    return [(fitted.score(raw(near(i, None))), [j for _, j in near(i, None)[:3]]) for i in range(len(texts))]
+
+
+def test_scores_equal_brute_force(spark):
+    rng = random.Random(11)
+    common, marks = [f"w{'abcdefgh'[i % 8]}{'xyzuv'[i % 5]}{'pqr'[i % 3]}" for i in range(60)], ["rotten", "vile", "foul"]
+    texts, labels = [], []
+    for i in range(260):
+        text = rng.choices(common, k=rng.randrange(5, 40))
+        if i % 7 == 0:
+            text[1:3] = rng.choices(marks, k=2)
+        texts.append(" ".join(text))
+        labels.append(None if i % 5 == 0 else int(i % 7 == 0))
+    texts += ["", None, "nothing shared here", texts[7], "Rotten, ROTTEN and foul"]
+    labels += [None] * 5
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    known = docs.join(spark.createDataFrame([(i, y) for i, y in enumerate(labels) if y is not None], "doc_id long, toxic int"), "doc_id")
+    got = {r.doc_id: r for r in score(docs, known).collect()}
+    for i, (value, evidence) in enumerate(plain_scores(texts, labels)):
+        assert got[i].score == pytest.approx(value, abs=1e-9) and got[i].evidence == evidence, i
+    assert got[263].evidence[0] == 7 and got[264].predicted == 1 and got[260].evidence == got[262].evidence == []
 
 
 def test_calibration_never_falls():
