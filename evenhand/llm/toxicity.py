@@ -14,10 +14,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from evenhand.functions.hashing import hash32
@@ -238,64 +240,77 @@ class Calibration:
 # --- fitting -----------------------------------------------------------------------
 
 
-def term_counts(examples: DataFrame) -> DataFrame:
-    """(term, df, hits): texts that have the term, and those of label 1 among them."""
+@dataclass
+class Model:
+    """Terms and examples as they are sent to the workers; the index is built there from the numbers of each term."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, rows = text_terms(batch.column(2))
-            label = batch.column(1).to_numpy(zero_copy_only=False)
-            df = np.bincount(rows.term, minlength=len(words))
-            hits = np.bincount(rows.term, weights=label[rows.row], minlength=len(words)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([words, pa.array(df), pa.array(hits)], ["term", "df", "hits"])
+    terms: Terms
+    labels: np.ndarray
+    keys: list
+    sizes: np.ndarray  # terms of each example
+    term: np.ndarray
+    n: np.ndarray
 
-    counted = examples.select("row", "label", "text").mapInArrow(run, "term string, df long, hits long")
-    return counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("hits").alias("hits"))
+    @cached_property
+    def index(self) -> BlockMaxIndex:
+        row = np.repeat(np.arange(len(self.keys)), self.sizes)
+        weight = (1 + np.log(self.n)) * self.terms.weights[self.term]
+        length = np.sqrt(np.bincount(row, weights=weight * weight, minlength=len(self.keys)))
+        return BlockMaxIndex.build(Rows(row, self.term.astype(np.int64), weight / length[row]), self.labels, self.keys,
+                                   len(self.terms.names))
 
 
-def fit(labelled: DataFrame, key: str, text: str, label: str) -> tuple[Terms, BlockMaxIndex, Calibration]:
-    """Fit on all rows of ``labelled``, which the caller bounds: their terms, vectors and votes come to the driver."""
-    spark = labelled.sparkSession
-    bounded_batches(spark)
-    examples = reliable_checkpoint(labelled.select(
-        F.col(key).alias("row"), F.col(label).cast("int").alias("label"), F.col(text).alias("text")), "examples")
-    size = examples.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("ones")).first()
-    counted = term_counts(examples).toArrow().sort_by([("df", "descending"), ("term", "ascending")])
-    names = counted["term"].combine_chunks()
-    terms = Terms.of(names, counted["df"].to_numpy(), counted["hits"].to_numpy(), size.n, size.ones or 0)
-    shared = spark.sparkContext.broadcast(terms)
+def example_words(examples: DataFrame) -> pa.Table:
+    """(row, label, words, n) of each example with its distinct words, in the order of ``row`` and ``label``."""
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = shared.value.vectors(batch.column(2))
+            words, rows = text_terms(batch.column(2))
             cuts = pa.array(np.searchsorted(rows.row, np.arange(batch.num_rows + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.ListArray.from_arrays(cuts, pa.array(rows.term.astype(np.int32))),
-                 pa.ListArray.from_arrays(cuts, pa.array(rows.n))], ["row", "label", "terms", "weights"])
+                [batch.column(0), batch.column(1), pa.ListArray.from_arrays(cuts, words.take(pa.array(rows.term))),
+                 pa.ListArray.from_arrays(cuts, pa.array(rows.n.astype(np.int32)))], ["row", "label", "words", "n"])
 
     kind = examples.schema["row"].dataType.simpleString()
-    listed = examples.select("row", "label", "text").mapInArrow(
-        vectors, f"row {kind}, label int, terms array<int>, weights array<double>").toArrow()
-    listed = listed.take(pc.sort_indices(listed.select(["row", "label"]), sort_keys=[("row", "ascending"), ("label", "ascending")]))
-    lists = listed["terms"].combine_chunks()
-    index = BlockMaxIndex.build(
-        Rows(np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False)),
-             lists.flatten().to_numpy().astype(np.int64), listed["weights"].combine_chunks().flatten().to_numpy()),
-        listed["label"].to_pylist(), listed["row"].to_pylist(), len(names))
-    model = spark.sparkContext.broadcast((terms, index))
+    found = examples.select("row", "label", "text").mapInArrow(
+        run, f"row {kind}, label int, words array<string>, n array<int>").toArrow()
+    return found.take(pc.sort_indices(found.select(["row", "label"]), sort_keys=[("row", "ascending"), ("label", "ascending")]))
+
+
+def model_of(listed: pa.Table) -> Model:
+    """The model of all examples: terms in falling order of the examples that have them, equal ones by name."""
+    labels, lists = listed["label"].to_numpy().astype(np.int64), listed["words"].combine_chunks()
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    code = coded.indices.to_numpy().astype(np.int64)
+    df = np.bincount(code, minlength=len(coded.dictionary))
+    hits = np.bincount(code, weights=np.repeat(labels, sizes), minlength=len(df))
+    order = pc.sort_indices(pa.table({"df": df, "term": coded.dictionary}),
+                            sort_keys=[("df", "descending"), ("term", "ascending")]).to_numpy()
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order))
+    terms = Terms.of(coded.dictionary.take(pa.array(order)), df[order], hits[order], len(labels), int(labels.sum()))
+    return Model(terms, labels, listed["row"].to_pylist(), sizes, place[code], listed["n"].combine_chunks().flatten().to_numpy())
+
+
+def fit(labelled: DataFrame, key: str, text: str, label: str) -> tuple[Broadcast, Calibration]:
+    """Fit on all rows of ``labelled``, which the caller bounds: their words and votes come to the driver."""
+    spark = labelled.sparkSession
+    bounded_batches(spark)
+    examples = reliable_checkpoint(labelled.select(
+        F.col(key).alias("row"), F.col(label).cast("int").alias("label"), F.col(text).alias("text")), "examples")
+    shared = spark.sparkContext.broadcast(model_of(example_words(examples)))
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, index = model.value
+        model = shared.value
         for batch in batches:
-            found = index.nearest(terms.vectors(batch.column(2)), batch.num_rows, NEAREST, batch.column(0).to_pylist())
+            found = model.index.nearest(model.terms.vectors(batch.column(2)), batch.num_rows, NEAREST, batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([vote(f, index.labels) for f in found], pa.float64()), batch.column(1)], ["vote", "label"])
+                [pa.array([vote(f, model.index.labels) for f in found], pa.float64()), batch.column(1)], ["vote", "label"])
 
-    spread = examples.select("row", "label", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    judged = spread.mapInArrow(votes, "vote double, label int").toArrow()
-    order = pc.sort_indices(judged, sort_keys=[("vote", "ascending"), ("label", "ascending")])
-    judged = judged.take(order)
-    return terms, index, Calibration.of(judged["vote"].to_pylist(), judged["label"].to_pylist())
+    judged = examples.select("row", "label", "text").mapInArrow(votes, "vote double, label int").toArrow()
+    judged = judged.take(pc.sort_indices(judged, sort_keys=[("vote", "ascending"), ("label", "ascending")]))
+    return shared, Calibration.of(judged["vote"].to_pylist(), judged["label"].to_pylist())
 
 
 def score(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
@@ -317,12 +332,12 @@ def score(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str =
     n = known.select(key).count()
     if n > max_examples:
         known = known.where(hash32(F.col(key), seed=7) < F.lit(int(2 ** 32 * max_examples / n)))
-    shared = docs.sparkSession.sparkContext.broadcast(fit(known, key, text, label))
+    shared, calibration = fit(known, key, text, label)
     kind = docs.schema[key].dataType
     made = {"score": "double", "predicted": "int", "evidence": f"array<{kind.simpleString()}>", "terms": "array<string>"}
 
     def start():
-        terms, index, calibration = shared.value
+        terms, index = shared.value.terms, shared.value.index
 
         def judge(batch: pa.RecordBatch) -> list:
             rows = terms.vectors(batch.column(0))
