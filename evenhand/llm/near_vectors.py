@@ -1,12 +1,14 @@
 """Near-duplicate vectors: every vector asks the graph of every shard, links are verified, components united.
 
-Equal vectors are one point with a count. A beam is widened until an audit finds all
-links that a comparison with the whole shard finds, and for single queries as long
-as it holds nothing but links, so a large group of near copies is found whole.
+Equal vectors are one point with a count. A beam is widened until an audit finds, query by
+query, all links that a comparison with the whole shard finds, and for single queries as
+long as it holds nothing but links, so a large group of near copies is found whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -20,6 +22,11 @@ from evenhand.session import reliable_checkpoint
 BEAM = 32
 WIDEST = 16  # a beam of 1 / WIDEST of a shard is widened to the whole shard, which is then compared directly
 AUDITED = 256  # queries of a block that are compared with the whole shard
+LEAST_AUDITED = 16  # with fewer audited queries that have links, the nearest points are judged as well
+LARGE = 64  # queries with more links are of large groups, which the beams' own widening finds whole
+JUDGED = 10  # nearest points of an audited query
+DIRECT_ROWS = 64  # queries that are compared with the whole shard at a time
+WALKED = 1 << 20  # places in the beams of the queries that walk together
 SLACK = 1e-4  # single precision of the walk; every link is verified in double precision
 
 
@@ -29,47 +36,61 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def close_points(shard: Shard, units: np.ndarray, threshold: float, recall: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query row, point) with cosine at or above ``threshold`` as the graph finds them, with audited beams."""
+def enough(shard: Shard, numbers: np.ndarray, units: np.ndarray, all_units: np.ndarray, threshold: float, recall: float,
+           audit: np.ndarray, beam: int) -> bool:
+    """Whether a beam finds what a comparison with the whole shard finds, query by query.
+
+    A query counts as found if all of its links are, its own row left out. Queries of large
+    groups count only if there are no others. With too few queries that have a link, the
+    audited queries' nearest points are judged too, whatever their cosine.
+    """
+    whole = units[audit] @ all_units.T
+    whole[shard.numbers[None, :] == numbers[audit][:, None]] = -1.0
+    _, found = search(shard.graph, units[audit], beam)
+    met = np.zeros(whole.shape, bool)
+    row, slot = np.nonzero(found >= 0)
+    met[row, found[row, slot]] = True
+    links = whole >= threshold
+    n = links.sum(axis=1)
+    chosen = (n > 0) & (n <= LARGE) if ((n > 0) & (n <= LARGE)).any() else n > 0
+    if chosen.any() and (~(links & ~met).any(axis=1))[chosen].mean() < recall:
+        return False
+    if chosen.sum() >= LEAST_AUDITED:
+        return True
+    k = min(JUDGED, whole.shape[1])
+    near = whole >= np.partition(whole, whole.shape[1] - k, axis=1)[:, whole.shape[1] - k, None]
+    return (near & met).sum() >= min(recall, 0.95) * near.sum()
+
+
+def close_points(shard: Shard, numbers: np.ndarray, units: np.ndarray, threshold: float,
+                 recall: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query row, point) with cosine at or above ``threshold``, some at a time, as the graph finds them with audited beams."""
     n = len(shard.graph.points)
     all_units = unit_rows(shard.vectors)
     audit = np.linspace(0, len(units) - 1, min(AUDITED, len(units))).astype(np.int64)
-    true = (units[audit] @ all_units.T >= threshold).sum()
     beam = min(BEAM, n)
-
-    def whole(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What a beam as wide as the shard meets: all points."""
-        near = [np.nonzero(units[rows[i:i + 256]] @ all_units.T >= threshold - SLACK) for i in range(0, len(rows), 256)]
-        at = np.concatenate([rows[i * 256 + r] for i, (r, _) in enumerate(near)])
-        return at, np.concatenate([c for _, c in near])
-
-    def walk_all(rows: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Found (row, point); a query whose beam holds links only asks again with twice the beam."""
-        found = []
-        while len(rows):
-            if beam * WIDEST >= n:
-                found.append(whole(rows))
-                break
-            sims, points = search(shard.graph, units[rows], beam)
+    while beam * WIDEST < n and not enough(shard, numbers, units, all_units, threshold, recall, audit, beam):
+        beam *= 2
+    rows = np.arange(len(units))
+    while len(rows) and beam * WIDEST < n:
+        wider = []
+        for start in range(0, len(rows), max(1, WALKED // beam)):
+            part = rows[start:start + max(1, WALKED // beam)]
+            sims, points = search(shard.graph, units[part], beam)
             near = sims >= threshold - SLACK
-            full = near.all(axis=1)
+            full = near.all(axis=1)  # holds links only: asks again with twice the beam
+            wider.append(part[full])
             at, slot = np.nonzero(near & ~full[:, None])
-            found.append((rows[at], points[at, slot]))
-            rows, beam = rows[full], 2 * beam
-        at = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
-        points = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
-        exact = np.empty(len(at), bool)
-        for start in range(0, len(at), 1 << 16):
-            part = slice(start, start + (1 << 16))
-            exact[part] = np.einsum("id,id->i", units[at[part]], all_units[points[part]]) >= threshold
-        return at[exact], points[exact]
-
-    while True:
-        got, _ = walk_all(audit, beam)
-        if len(got) >= recall * true or beam * WIDEST >= n:
-            break
-        beam *= 2
-    return walk_all(np.arange(len(units)), beam)
+            at, points = part[at], points[at, slot]
+            for first in range(0, len(at), 1 << 16):
+                few = slice(first, first + (1 << 16))
+                exact = np.einsum("id,id->i", units[at[few]], all_units[points[few]]) >= threshold
+                yield at[few][exact], points[few][exact]
+        rows, beam = np.concatenate(wider), 2 * beam
+    for start in range(0, len(rows), DIRECT_ROWS):
+        part = rows[start:start + DIRECT_ROWS]
+        at, points = np.nonzero(units[part] @ all_units.T >= threshold)
+        yield part[at], points
 
 
 def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9,
@@ -82,7 +103,7 @@ def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding
     zero or hold null or non-finite components link with nothing, nor do vectors of
     different lengths or rows with a null key (their component is null, ``kept`` false).
     Equal vectors link always and are one point, however many; repeated rows count one
-    by one. ``recall`` is the share of links that each audit must find. An empty table
+    by one. ``recall`` is the share of audited queries whose links must all be found. An empty table
     gives an empty table; other columns are not read.
     """
     rows = table.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
@@ -92,19 +113,26 @@ def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding
     graphs = shard_graphs(points, unit_rows)
 
     def ask(shard: Shard, numbers: np.ndarray, vectors: np.ndarray) -> pa.Table:
-        """One link per point to the smallest that this task's links reach; (a, a, n): n rows link to a here."""
-        at, point = close_points(shard, unit_rows(vectors), threshold, recall)
-        other = shard.numbers[point] != numbers[at]
-        at, point = at[other], point[other]
-        nodes, code = np.unique(np.concatenate([numbers[at], shard.numbers[point]]), return_inverse=True)
-        root = roots_of(len(nodes), iter([(code[:len(at)], code[len(at):])]))
-        linked = np.flatnonzero(root != np.arange(len(nodes)))
-        weight = shard.counts[point]
-        asked, position = np.unique(at, return_inverse=True)
-        n = np.bincount(position, weights=weight, minlength=len(asked)).astype(np.int64)
+        """One link per point to the smallest that this task's links reach; (a, a, n): n rows link to a here.
+
+        Links are united and counted as they are found; none are kept.
+        """
+        nodes, code = np.unique(np.concatenate([numbers, shard.numbers]), return_inverse=True)
+        of_query, of_point = code[:len(numbers)], code[len(numbers):]
+        n = np.zeros(len(numbers), np.int64)
+
+        def links() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for at, point in close_points(shard, numbers, unit_rows(vectors), threshold, recall):
+                other = of_query[at] != of_point[point]
+                at, point = at[other], point[other]
+                n[:] += np.bincount(at, weights=shard.counts[point], minlength=len(n)).astype(np.int64)
+                yield of_query[at], of_point[point]
+
+        root = roots_of(len(nodes), links())
+        linked, asked = np.flatnonzero(root != np.arange(len(nodes))), np.flatnonzero(n)
         return pa.table({
             "a": np.concatenate([nodes[linked], numbers[asked]]), "b": np.concatenate([nodes[root[linked]], numbers[asked]]),
-            "n": np.concatenate([np.zeros(len(linked), np.int64), n])})
+            "n": np.concatenate([np.zeros(len(linked), np.int64), n[asked]])})
 
     found = reliable_checkpoint(
         ask_all(points.select("number", "vector"), graphs, unit_rows, ask, "a long, b long, n long"), "found")

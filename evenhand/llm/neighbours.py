@@ -16,7 +16,10 @@ from evenhand.llm.vectors import Shard, ask_all, shard_graphs, usable
 from evenhand.session import reliable_checkpoint
 
 BEAM = 64
+WIDEST = 4  # a beam of 1 / WIDEST of a shard is widened to the whole shard, which is then compared directly
 AUDITED = 32  # queries of a block that are compared with the whole shard
+DIRECT_ROWS = 256  # queries that are compared with the whole shard at a time
+WALKED = 1 << 20  # places in the beams of the queries that walk together
 
 
 def lifted(vectors: np.ndarray) -> np.ndarray:
@@ -27,22 +30,27 @@ def lifted(vectors: np.ndarray) -> np.ndarray:
 
 
 def best_points(shard: Shard, queries: np.ndarray, k: int, recall: float) -> np.ndarray:
-    """[queries, k] points of largest inner product; the beam is widened until the audit finds ``recall`` of them."""
+    """[queries, k or more] points of largest inner product, -1 for none.
+
+    The beam is widened until the audit finds ``recall`` of them. A beam of a quarter of the
+    shard is not walked: the queries are then compared with all of its points.
+    """
     n = len(shard.graph.points)
     k = min(k, n)
     asked = np.hstack([queries / np.linalg.norm(queries, axis=1, keepdims=True), np.zeros((len(queries), 1))])
     audit = np.linspace(0, len(queries) - 1, min(AUDITED, len(queries))).astype(np.int64)
     scores = queries[audit] @ shard.vectors.T
     least = np.partition(scores, n - k, axis=1)[:, n - k]
-    beam = min(max(BEAM, 2 * k), n)
-    while beam < n:
+    beam = max(BEAM, 2 * k)
+    while beam * WIDEST < n:
         _, found = search(shard.graph, asked[audit], beam)
         hits = np.take_along_axis(scores, np.maximum(found, 0), axis=1) >= least[:, None]
         if (hits & (found >= 0)).sum() >= recall * k * len(audit):
-            break
-        beam = min(2 * beam, n)
-    _, found = search(shard.graph, asked, beam)
-    return found
+            return np.concatenate([search(shard.graph, asked[i:i + WALKED // beam], beam)[1]
+                                   for i in range(0, len(asked), WALKED // beam)])
+        beam *= 2
+    return np.concatenate([np.argpartition(-(queries[i:i + DIRECT_ROWS] @ shard.vectors.T), k - 1, axis=1)[:, :k]
+                           for i in range(0, len(queries), DIRECT_ROWS)])
 
 
 def nearest(table: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding",

@@ -3,8 +3,9 @@ import pytest
 from test_near_copies import united
 
 from evenhand.llm import hnsw
-from evenhand.llm.near_vectors import near_vectors
-from evenhand.llm.neighbours import nearest
+from evenhand.llm.near_vectors import close_points, near_vectors, unit_rows
+from evenhand.llm.neighbours import best_points, lifted, nearest
+from evenhand.llm.vectors import Shard
 
 TABLE = "vec_id long, embedding array<float>, label int, n_links long, score double, number long"
 NAN, INF = float("nan"), float("inf")
@@ -106,3 +107,80 @@ def test_empty_tables(spark, content):
     assert near_vectors(empty).count() == 0
     assert nearest(empty, empty).count() == 0
     assert nearest(table(spark, content), empty).count() == 0
+
+
+def one_shard(points, unit):
+    """A shard with its graph, as a task reads it back; numbers are positions."""
+    made, order = hnsw.build(unit(points), seed=1)
+    return Shard({
+        "numbers": order.astype("<i8").tobytes(), "counts": np.ones(len(points), "<i8").tobytes(), "dim": points.shape[1],
+        "vectors": points[order].astype("<f8").tobytes(), "sizes": [len(x) for x in made.layers],
+        "links": b"".join(x.astype("<i4").tobytes() for x in made.layers)}, unit)
+
+
+def beside(rng, base, least, most):
+    """Vectors at a cosine between the bounds to the rows of ``base``."""
+    other = rng.normal(size=base.shape)
+    other -= (other * base).sum(axis=1, keepdims=True) * base
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cosine = rng.uniform(least, most, (len(base), 1))
+    return cosine * base + np.sqrt(1 - cosine ** 2) * other
+
+
+@pytest.mark.parametrize("hot", [0, 2_500])
+def test_small_pairs_are_found_in_a_shard_of_thousands(hot):
+    """Pairs just above the threshold beside unrelated points and a large group, on the path that walks the graph."""
+    rng = np.random.default_rng(6)
+    alone = unit_rows(rng.normal(size=(6_000, 64)))
+    group = beside(rng, np.repeat(unit_rows(rng.normal(size=(1, 64))), hot, axis=0), 0.96, 0.999) if hot else np.zeros((0, 64))
+    points = np.concatenate([alone, beside(rng, alone[:1_500], 0.9, 0.99), group])
+    shard = one_shard(points, unit_rows)
+    order = shard.numbers
+    small = np.concatenate([np.arange(1_500), np.arange(6_000, 7_500)])
+    rows = np.sort(rng.permutation(len(points))[:8_000]) if not hot else np.arange(len(points))
+    walked = len(points) > 16 * 32
+    units = unit_rows(points)
+    true = units[small] @ units.T >= 0.9
+    true[np.arange(len(small)), small] = False
+    found = set()
+    for at, point in close_points(shard, rows, units[rows], 0.9, 0.99):
+        found.update(zip(rows[at].tolist(), order[point].tolist()))
+    asked = set(rows.tolist())
+    judged = [all((int(q), int(p)) in found for p in np.flatnonzero(t)) for q, t in zip(small, true) if t.any() and int(q) in asked]
+    assert walked and len(judged) > 1_000 and np.mean(judged) >= 0.99
+    if hot:
+        exact = units[7_500:7_600] @ units[7_500:].T >= 0.9
+        got = sum((7_500 + i, 7_500 + j) in found for i in range(100) for j in range(hot))
+        assert got >= 0.99 * exact.sum()
+    assert all(units[a] @ units[b] >= 0.9 for a, b in list(found)[:5_000])
+
+
+def test_links_are_not_kept(monkeypatch):
+    """A block of queries in a large group comes as many small portions."""
+    rng = np.random.default_rng(2)
+    points = beside(rng, np.repeat(unit_rows(rng.normal(size=(1, 16))), 3_000, axis=0), 0.97, 0.999)
+    shard = one_shard(points, unit_rows)
+    sizes = [len(at) for at, _ in close_points(shard, np.arange(3_000), points, 0.9, 0.99)]
+    assert sum(sizes) == (points @ points.T >= 0.9).sum() and max(sizes) <= 64 * 3_000
+
+
+@pytest.mark.parametrize("dims", [8, 48])
+def test_nearest_in_a_shard_of_thousands(dims):
+    rng = np.random.default_rng(7)
+    points = rng.normal(size=(9_000, dims)) * rng.uniform(0.5, 2, (9_000, 1))
+    shard = one_shard(points, lifted)
+    queries = points[:300]
+    found = best_points(shard, queries, 21, 0.98)
+    exact = np.argsort(-(queries @ points.T), axis=1)[:, :21]
+    hits = [len(set(shard.numbers[f[f >= 0]].tolist()) & set(e.tolist())) / 21 for f, e in zip(found, exact)]
+    assert np.mean(hits) >= 0.95 and min(hits) >= 0.6
+
+
+def test_a_graph_in_pieces_is_searched_whole():
+    """Points that no walk reaches are found, because the widest beam is a comparison with all."""
+    points = np.random.default_rng(9).normal(size=(900, 6))
+    shard = one_shard(points, lifted)
+    shard.graph.layers[:] = [np.full(x.shape, -1, np.int32) for x in shard.graph.layers]
+    found = best_points(shard, points[:50], 20, 0.98)
+    exact = np.argsort(-(points[:50] @ points.T), axis=1)[:, :20]
+    assert [sorted(shard.numbers[f].tolist()) for f in found] == [sorted(e.tolist()) for e in exact]
