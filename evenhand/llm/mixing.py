@@ -23,7 +23,7 @@ from evenhand.session import reliable_checkpoint
 
 MOST_COPIES = 3
 MADE = ["size", "source_size", "target", "copies", "taken"]
-SLICES = 64  # hash slices of a size class
+SLICE_ROWS = 50_000  # rows of a hash slice of a size class, about
 
 
 def word_count(text: str) -> Column:
@@ -74,12 +74,15 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), key: str = "doc_i
 
     Sizes are words. Sources weigh ``weights`` in turn, by code point, null last; a null
     source is a source of its own. ``copies`` is how often the row is in the mix: 0 to
-    ``most``. It depends on the source, the size, the key and the text only, so reruns
-    agree and repeated rows are copied like neighbours; rows that are alike in key and
-    text may differ in copies by one. Null or empty texts have size 0 and lie first in
-    their source; a source without words has the target 0 and copies 0. A null key is
-    left out of the hash. An empty table gives an empty table. Columns of ``docs`` that
-    have the name of a result column are replaced.
+    ``most``. Documents of a source lie in the order of their size class, within a class by
+    hash slices of about ``SLICE_ROWS`` rows and there by size, so that neighbours are alike
+    and the words taken miss the target by little more than one of the longest documents.
+    ``copies`` depends on the source, the size, the key and the text only, so reruns agree
+    and repeated rows are copied like neighbours; rows that are alike in key and text may
+    differ in copies by one. Null or empty texts have size 0 and lie first in their source;
+    a source without words has the target 0 and copies 0. A null key is left out of the
+    hash. An empty table gives an empty table. Columns of ``docs`` that have the name of a
+    result column are replaced, all others keep their values.
     """
     docs = docs.drop(*[c for c in MADE if c not in (key, text, source)])
     docs, restored = sheltered(docs, (key, text, source))
@@ -88,7 +91,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), key: str = "doc_i
         "size": size,
         "_src": F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("="), F.col(source).cast("string"))),
         "_hash": hash32(F.col(key), F.col(text), seed=seed),
-    }).withColumns({"_class": size_class(F.col("size")), "_slice": F.pmod(F.col("_hash"), F.lit(SLICES))})
+    }).withColumn("_class", size_class(F.col("size")))
+    slices = F.ceil(F.count(F.lit(1)) / SLICE_ROWS).cast("bigint")
+    classes = reliable_checkpoint(rows.groupBy("_src", "_class").agg(slices.alias("_slices")), "classes")
+    rows = rows.join(classes, ["_src", "_class"]).withColumn("_slice", F.pmod("_hash", "_slices")).drop("_slices")
     cell = ["_src", "_class", "_slice"]
     cells = reliable_checkpoint(
         rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_words")), "cells")
@@ -99,7 +105,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), key: str = "doc_i
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_rate"),
         uniform(F.col("_src"), seed=seed).alias("_offset"))
     placed = reliable_checkpoint(placed, "placed")
-    inside = Window.partitionBy(*cell).orderBy("_hash", key)
+    inside = Window.partitionBy(*cell).orderBy("size", "_hash", key)
     numbered = rows.withColumn("_at", F.row_number().over(inside)).join(placed, cell)
     start = (F.col("_before") + F.col("_at") - 1) * F.col("_rate") + F.col("_offset")
     end = (F.col("_before") + F.col("_at")) * F.col("_rate") + F.col("_offset")

@@ -51,8 +51,9 @@ targets AS (
 numbered AS (
   SELECT r.doc_id, r.source, r.size, t.source_size, t.target, t.offset_,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS rate,
-         row_number() OVER (PARTITION BY r.src ORDER BY r.class, r.h % 64, r.h, r.doc_id) AS pos
-  FROM rows_ r JOIN targets t ON t.src = r.src),
+         row_number() OVER (PARTITION BY r.src ORDER BY r.class, r.h % r.slices, r.size, r.h, r.doc_id) AS pos
+  FROM (SELECT *, CAST(ceil(count(*) OVER (PARTITION BY src, class) / 50000) AS BIGINT) AS slices FROM rows_) r
+  JOIN targets t ON t.src = r.src),
 copied AS (
   SELECT *, least(floor(pos * rate + offset_) - floor((pos - 1) * rate + offset_), 3) AS n FROM numbered)
 SELECT doc_id, source, size, CAST(source_size AS BIGINT) AS source_size, CAST(target AS DOUBLE) AS target,
@@ -248,9 +249,9 @@ def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 NEGATIVES_SQL = """
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-         list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS q
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
   FROM embeddings
-  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
   SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
   FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),

@@ -3,7 +3,7 @@
 Shared by the near-duplicate operator and the nearest-neighbour search. A shard is
 bounded in bytes, so the number of shards grows with the table; its graph is one row
 of flat arrays in the shared folder, and a lost executor costs no graph that is
-written. Queries come in blocks of bounded size, and every block meets every shard.
+written. Queries come in groups of bounded size, and every group meets every shard.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from evenhand.session import reliable_checkpoint
 
 LEAST_SHARDS = 6
 SHARD_BYTES = 64 << 20  # of the vectors of a shard in double precision
-BLOCK_ROWS = 8_192  # queries that a task asks at a time
+GROUP_ROWS = 32_768  # queries that meet a shard in one task; each such group has the shard's graph sent to it
+BLOCK_ROWS = 8_192  # of these, queries that are asked at a time
 SPREAD = 4  # partitions for each group, so that few groups meet in one
 
 
@@ -87,9 +88,9 @@ class Shard:
 
 def ask_all(queries: DataFrame, graphs: DataFrame, unit: Callable[[np.ndarray], np.ndarray],
             ask: Callable[[Shard, np.ndarray, np.ndarray], pa.Table], schema: str) -> DataFrame:
-    """Every block of ``queries`` (number, vector) asks every shard of its length: ``ask(shard, numbers, vectors)``."""
+    """Every group of ``queries`` (number, vector) asks every shard of its length: ``ask(shard, numbers, vectors)``."""
     n = queries.count()
-    blocks = max(1, -(-n // BLOCK_ROWS))
+    blocks = max(1, -(-n // GROUP_ROWS))
     block = F.pmod(F.xxhash64("number", F.lit(1)), F.lit(blocks)).cast("int")
     shards = graphs.select(F.col("dim").alias("dim"), F.col("shard").alias("shard"))
     asked = queries.select(F.size("vector").alias("dim"), block.alias("block"), "number", "vector").join(
@@ -102,8 +103,9 @@ def ask_all(queries: DataFrame, graphs: DataFrame, unit: Callable[[np.ndarray],
         if not block.num_rows or not graph.num_rows:
             return empty
         block = block.sort_by("number")
-        row = graph.select(["dim", "shard", "numbers", "counts", "vectors", "sizes", "links"]).to_pylist()[0]
-        return ask(Shard(row, unit), block["number"].to_numpy().astype(np.int64), matrix(block["vector"]))
+        shard = Shard(graph.select(["dim", "shard", "numbers", "counts", "vectors", "sizes", "links"]).to_pylist()[0], unit)
+        parts = [block.slice(i, BLOCK_ROWS) for i in range(0, block.num_rows, BLOCK_ROWS)]
+        return pa.concat_tables([ask(shard, p["number"].to_numpy().astype(np.int64), matrix(p["vector"])) for p in parts])
 
     result = graphs.sparkSession.createDataFrame([], schema).schema
     empty = to_arrow_schema(result).empty_table()
