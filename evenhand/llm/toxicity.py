@@ -166,19 +166,23 @@ class BlockMaxIndex:
                 scores[text, examples] = -1.0
             done[wanted] = True
 
+        best = np.argsort(-bound, axis=1)[:, :FIRST_BLOCKS]
         first = np.zeros(bound.shape, bool)
-        np.put_along_axis(first, np.argsort(-bound, axis=1)[:, :FIRST_BLOCKS], True, axis=1)
+        np.put_along_axis(first, best, True, axis=1)
         evaluate(first & (bound > 0))
-        least = np.maximum(np.partition(scores, n - k, axis=1)[:, n - k] if n > k else -1.0, 0.0)
-        evaluate((bound >= np.reshape(least, (-1, 1)) - 1e-9) & (bound > 0) & ~done)
-        scores = np.round(scores[:, :len(self.keys)], 12)
-        found = []
-        last = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k] if scores.shape[1] > k else np.full(size, -1.0)
-        for text in range(size):
-            near = np.flatnonzero((scores[text] >= last[text]) & (scores[text] > 0))
-            near = near[np.lexsort((self.place[near], -scores[text, near]))][:k]
-            found.append([(float(scores[text, i]), int(i)) for i in near])
-        return found
+        least = np.zeros(size)
+        if best.shape[1] * BLOCK >= k:
+            held = scores.reshape(size, blocks, BLOCK)[np.arange(size)[:, None], best].reshape(size, -1)
+            least = np.maximum(np.partition(held, held.shape[1] - k, axis=1)[:, held.shape[1] - k], 0.0)
+        evaluate((bound >= least[:, None] - 1e-9) & (bound > 0) & ~done)
+        scores = scores[:, :len(self.keys)]
+        text, example = np.nonzero((scores >= least[:, None] - 1e-9) & (scores > 0))
+        nearness = np.round(scores[text, example], 12)
+        order = np.lexsort((self.place[example], -nearness, text))
+        text, example, nearness = text[order], example[order], nearness[order]
+        starts = np.searchsorted(text, np.arange(size + 1))
+        return [list(zip(nearness[a:min(z, a + k)].tolist(), example[a:min(z, a + k)].tolist()))
+                for a, z in zip(starts[:-1].tolist(), starts[1:].tolist())]
 
 
 def vote(found: list[tuple[float, int]], labels: np.ndarray) -> float | None:
