@@ -18,7 +18,7 @@ from evenhand.llm.simhash import near_classes
 from evenhand.llm.texts import WORD, remainder
 from evenhand.llm.token_count import token_counts
 from evenhand.llm.toxicity import score
-from evenhand.llm.url_filter import BINS_PER_UNIT, FOLDS, MODEL_ROWS, ORDER, REACH, SMOOTHING, Rule, judge
+from evenhand.llm.url_filter import BINS_PER_UNIT, FOLDS, ORDER, REACH, SMOOTHING, Rule, judge
 from evenhand.llm.winnowing import beside_next
 
 __all__ = ["QUERIES", "SQL"]
@@ -86,8 +86,7 @@ def url_sql() -> str:
         q_a, q_b = ("q.p_a", "q.p_b") if k else ("1 / 256.0::DOUBLE", "1 / 256.0::DOUBLE")
         shorter = f"JOIN l{k - 1} q ON q.string = substr(s.string, 2, {k})" if k else ""
         levels.append(f"""
-seen{k} AS (SELECT {end} AS string, sum(a) AS a, sum(b) AS b FROM counts GROUP BY 1
-            HAVING (sum(a) + sum(b)) * {MODEL_ROWS} >= (SELECT sum(a) + sum(b) FROM counts)),
+seen{k} AS (SELECT {end} AS string, sum(a) AS a, sum(b) AS b FROM counts GROUP BY 1),
 after{k} AS (SELECT substr(string, {ORDER + 1 - k}, {k}) AS context, sum(a) AS a, sum(b) AS b FROM counts GROUP BY 1),
 l{k} AS (SELECT s.string, (s.a + {SMOOTHING}::DOUBLE * {q_a}) / (c.a + {SMOOTHING}::DOUBLE) AS p_a,
                 (s.b + {SMOOTHING}::DOUBLE * {q_b}) / (c.b + {SMOOTHING}::DOUBLE) AS p_b

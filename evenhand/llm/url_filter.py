@@ -19,7 +19,7 @@ from evenhand.session import reliable_checkpoint
 
 ORDER = 4  # characters of the longest context
 SMOOTHING = 4.0  # weight of the shorter context, in characters seen
-MODEL_ROWS = 20_000  # bound of the model: strings of each length that are 1 / MODEL_ROWS of all characters or more
+SENT_ROWS = 20_000  # bound of the strings whose ratio is sent to all tasks: those that are 1 / SENT_ROWS of all or more
 FOLDS = 5  # one fold of the labelled URLs calibrates
 BINS_PER_UNIT = 50  # steps of the threshold
 REACH = 5  # the threshold lies between -REACH and REACH
@@ -62,21 +62,19 @@ def ending(length: int, name: str = "string") -> Column:
     return F.substring(name, ORDER + 2 - length, length)
 
 
-def model_levels(counts: DataFrame, rows: int = MODEL_ROWS) -> list[DataFrame]:
-    """By context length 0 to ORDER: (string, ratio) with at most ``rows`` rows each.
+def model_levels(counts: DataFrame) -> list[DataFrame]:
+    """By context length 0 to ORDER: (string, ratio) of all strings seen.
 
     ``counts`` has (string, a, b): how often each string was seen in allowed and blocked
     URLs. ``ratio`` is the log of the character's probability in allowed URLs to that in
-    blocked ones. A string that is kept has all its endings kept.
+    blocked ones.
     """
-    total = counts.agg(F.sum(F.col("a") + F.col("b"))).first()[0] or 0
     levels: list[DataFrame] = []
     for k in range(ORDER + 1):
         seen = counts.groupBy(ending(k + 1).alias("string")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
         context = F.substring("string", ORDER + 1 - k, k)
         after = counts.groupBy(context.alias("context")).agg(F.sum("a").alias("in_a"), F.sum("b").alias("in_b"))
-        kept = seen.where((F.col("a") + F.col("b")) * rows >= total).withColumn("context", F.substring("string", 1, k))
-        joined = kept.join(after, "context")
+        joined = seen.withColumn("context", F.substring("string", 1, k)).join(after, "context")
         if k:
             shorter = levels[-1].select(F.col("string").alias("shorter"), F.col("p_a").alias("q_a"), F.col("p_b").alias("q_b"))
             joined = joined.withColumn("shorter", F.substring("string", 2, k)).join(shorter, "shorter")
@@ -88,6 +86,16 @@ def model_levels(counts: DataFrame, rows: int = MODEL_ROWS) -> list[DataFrame]:
     return [level.select("string", (F.log("p_a") - F.log("p_b")).alias("ratio")) for level in levels]
 
 
+def string_ratios(asked: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """``asked`` (string, n) with the ``ratio`` of the longest ending that the model has, 0 without one."""
+    ratio = F.lit(0.0)
+    for k, level in enumerate(levels):
+        named = level.select(F.col("string").alias(f"_s{k}"), F.col("ratio").alias(f"_r{k}"))
+        asked = asked.join(named, ending(k + 1) == F.col(f"_s{k}"), "left")
+        ratio = F.coalesce(F.col(f"_r{k}"), ratio)
+    return asked.select("string", "n", ratio.alias("ratio"))
+
+
 def threshold(scored: DataFrame) -> float:
     """The step that best parts allowed from blocked URLs of the fold; 0 if it holds only one kind.
 
@@ -109,12 +117,15 @@ def threshold(scored: DataFrame) -> float:
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], key: str = "page_id", url: str = "url",
-          rows: int = MODEL_ROWS) -> DataFrame:
+          sent_rows: int = SENT_ROWS) -> DataFrame:
     """(key, host, path, rule, verdict, score) for every row of ``pages``.
 
     ``verdict`` is that of the longest rule that fits, else the model's: allow if
     ``score``, the mean log ratio of the characters of host and path, reaches the
-    threshold. Characters are judged by the longest string that the model has. A null
+    threshold. Characters are judged by the longest string that was seen in training. The
+    distinct strings of all URLs meet the whole model in joins; the ratios of at most
+    ``sent_rows`` frequent ones are sent to all tasks, the others are joined with the few
+    characters that need them. A null
     URL, one without ``://`` and one with neither host nor path have the score 0, which
     is also the threshold if one kind of label is missing. Null keys are allowed,
     repeated rows train and are judged one by one, an empty table gives an empty table;
@@ -126,14 +137,23 @@ def judge(pages: DataFrame, rules: Sequence[Rule], key: str = "page_id", url: st
     counts = reliable_checkpoint(
         training.select("ruled", F.explode(strings()).alias("string")).groupBy("string").agg(
             F.count_if(F.col("ruled") == "allow").alias("a"), F.count_if(F.col("ruled") == "block").alias("b")), "url-strings")
-    found = parts.withColumn("_row", F.monotonically_increasing_id()).withColumn("string", F.explode_outer(strings()))
-    ratio = F.lit(0.0)
-    for k, level in enumerate(model_levels(counts, rows)):
-        named = level.select(F.col("string").alias(f"_s{k}"), F.col("ratio").alias(f"_r{k}"))
-        found = found.join(F.broadcast(named), ending(k + 1) == F.col(f"_s{k}"), "left")  # at most ``rows`` rows
-        ratio = F.coalesce(F.col(f"_r{k}"), ratio)
+    rows = parts.withColumn("_row", F.monotonically_increasing_id())
+    asked = reliable_checkpoint(rows.select(F.explode(strings()).alias("string")).groupBy("string").agg(
+        F.count(F.lit(1)).alias("n")), "url-asked")
+    ratios = reliable_checkpoint(string_ratios(asked, model_levels(counts)), "url-ratios")
+    total = asked.agg(F.sum("n")).first()[0] or 0
+    often = F.col("n") * sent_rows >= total
+    sent = ratios.where(often).select("string", "ratio")
+    found = rows.withColumn("string", F.explode_outer(strings())).join(F.broadcast(sent), "string", "left")  # at most ``sent_rows`` rows
     once = [F.first(c).alias(c) for c in ("_key", "host", "path", "rule", "ruled", "_fold")]
-    scored = reliable_checkpoint(found.groupBy("_row").agg(*once, F.avg(ratio).alias("score")), "url-scores")
+    rare = F.collect_list(F.when(F.col("ratio").isNull(), F.col("string")))  # at most the characters of one URL
+    known = reliable_checkpoint(found.groupBy("_row").agg(
+        *once, F.coalesce(F.sum("ratio"), F.lit(0.0)).alias("sum"), F.count("string").alias("n"), rare.alias("rare")), "url-known")
+    others = known.select("_row", F.explode("rare").alias("string")).join(ratios.where(~often), "string").groupBy("_row").agg(
+        F.sum("ratio").alias("more"))
+    score = F.when(F.col("n") > 0, (F.col("sum") + F.coalesce("more", F.lit(0.0))) / F.col("n")).otherwise(0.0)
+    scored = reliable_checkpoint(known.join(others, "_row", "left").select(
+        "_key", "host", "path", "rule", "ruled", "_fold", score.alias("score")), "url-scores")
     limit = threshold(scored.where(F.col("ruled").isNotNull() & (F.col("_fold") == 0)))
     verdict = F.coalesce("ruled", F.when(F.col("score") >= limit, "allow").otherwise("block"))
     return scored.select(F.col("_key").alias(key), "host", "path", "rule", verdict.alias("verdict"), "score")

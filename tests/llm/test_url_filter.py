@@ -62,13 +62,14 @@ def brute(urls):
     return parts, rules, folds, scores
 
 
-def test_equals_brute_force(spark):
+@pytest.mark.parametrize("sent", [0, 30, 20_000])
+def test_equals_brute_force(spark, sent):
     urls = [f"http://{h}.example.{t}/{lang}/{i * 37 % 211}" for i, h in enumerate(["a", "www.b", "c-d", "Blog.E"] * 12)
             for t in ("org", "com", "net") for lang in ("en", "fr", "de", "es")]
     urls += [None, "", "no scheme", "x://", "http://ORG/", "http://org", "http://a.org?x=/y", "HTTP://example.org/en/1#f",
              "http://notexample.org/es/1", "a://b://c/d", "http://\u00e9\U0001F600.net/\u00fc"] + urls[:3]
     parts, rules, folds, scores = brute(urls)
-    got = {r.page_id: r for r in judge(pages(spark, urls), URL_RULES).collect()}
+    got = {r.page_id: r for r in judge(pages(spark, urls), URL_RULES, sent_rows=sent).collect()}
     assert len(got) == len(urls)
     judged = [(scores[i], r.verdict) for i, r in enumerate(rules) if r and folds[i] == 0]
     steps = sorted({math.floor(s * BINS_PER_UNIT) for s, _ in judged})
