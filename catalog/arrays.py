@@ -230,11 +230,15 @@ _cross = "abs(a.i // 8 - b.i // 8) + abs(a.i % 8 - b.i % 8) <= 1"
 _touch = "abs(a.i // 8 - b.i // 8) <= 1 AND abs(a.i % 8 - b.i % 8) <= 1 AND a.i <> b.i"
 _spread = lambda source, how: (
     f"SELECT item_id, crossed.i, {how}(valid) AS valid FROM {source} JOIN crossed ON crossed.j = {source}.i GROUP BY item_id, crossed.i")
-BORDER_SQL = ARRAYS.replace("WITH", "WITH RECURSIVE", 1) + f""",
+
+
+def _border_sql(bright: str, items: str = "true") -> str:
+    """Border share and flag of masks of the cells that are ``bright``, cell by cell."""
+    return ARRAYS.replace("WITH", "WITH RECURSIVE", 1) + f""",
 places AS (SELECT unnest(range(64)) AS i),
 crossed AS (SELECT a.i, b.i AS j FROM places a JOIN places b ON {_cross}),
 touching AS (SELECT a.i, b.i AS j FROM places a JOIN places b ON {_touch}),
-bright AS (SELECT item_id, i, v > -0.1 AS valid FROM cells),
+bright AS (SELECT item_id, i, {bright} AS valid FROM cells),
 shrunk AS ({_spread("bright", "bool_and")}),
 open_ AS ({_spread("shrunk", "bool_or")}),
 grown AS ({_spread("open_", "bool_or")}),
@@ -244,11 +248,11 @@ reach(item_id, i, j) AS (
   SELECT item_id, i, i FROM kept
   UNION SELECT r.item_id, r.i, t.j FROM reach r JOIN touching t ON t.i = r.j JOIN kept k ON k.item_id = r.item_id AND k.i = t.j),
 parts AS (SELECT item_id, root, count(*) AS size FROM (SELECT item_id, i, min(j) AS root FROM reach GROUP BY ALL) GROUP BY ALL),
-shares AS (SELECT item_id, 1 - coalesce(max(size), 0) / 64.0::DOUBLE AS border_fraction FROM arrays LEFT JOIN parts USING (item_id) GROUP BY item_id)
+shares AS (SELECT item_id, 1 - coalesce(max(size), 0) / 64.0::DOUBLE AS border_fraction FROM arrays LEFT JOIN parts USING (item_id) WHERE {items} GROUP BY item_id)
 SELECT item_id, border_fraction, border_fraction >= 0.3 AS has_border FROM shares"""
 
 
-@query("cleaned_border_flag", BORDER_SQL, doubles="border_fraction")
+@query("cleaned_border_flag", _border_sql("v > -0.1"), doubles="border_fraction")
 def cleaned_border_flag(spark, sf_dir):
     """Border share of masks after opening, closing and the cut to the largest component."""
     rows = I.arrays_8x8(spark, sf_dir)
@@ -284,6 +288,42 @@ def image_roundtrip_features(spark, sf_dir):
     return features.select(item.alias("item_id"), "dark_fraction", "L_mean", "L_std", "border_val_mean", "center_sat_mean")
 
 
+@query("image_border_mask", _border_sql("round(128 + 400 * v) > 18", "item_id % 97 <> 5"), doubles="border_fraction")
+def image_border_mask(spark, sf_dir):
+    """The clean-up of the border mask on image files that were written and decoded."""
+    found = image_files.border_mask(images.read_images(spark, _grey_images(spark, sf_dir)), min_fraction=0.3, size=3)
+    return found.select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long").alias("item_id"), "border_fraction", "has_border")
+
+
+_linear = lambda c: f"CASE WHEN {c} / 255 > 0.04045 THEN pow(({c} / 255 + 0.055) / 1.055, 2.4) ELSE {c} / 255 / 12.92 END"
+_root = lambda t: f"CASE WHEN {t} > 0.008856 THEN cbrt({t}) ELSE 7.787 * ({t}) + 16.0::DOUBLE / 116.0 END"
+_level = lambda shift: f"greatest(0, least(255, round(128 + 300 * v + {shift})))"
+COLOUR_SQL = ARRAYS + f""",
+bgr AS (SELECT item_id, {_level(-30)} AS b, {_level(0)} AS g, {_level(40)} AS r FROM cells),
+linear AS (SELECT *, {_linear('b')} AS lb, {_linear('g')} AS lg, {_linear('r')} AS lr FROM bgr),
+xyz AS (SELECT *, 0.212671 * lr + 0.715160 * lg + 0.072169 * lb AS y,
+               (0.019334 * lr + 0.119193 * lg + 0.950227 * lb) / 1.088754 AS z FROM linear),
+lab AS (SELECT *, CASE WHEN y > 0.008856 THEN 116.0 * ({_root('y')}) - 16.0 ELSE 903.3 * y END AS l,
+               200.0 * (({_root('y')}) - ({_root('z')})) + 128.0 AS blue FROM xyz),
+angles AS (SELECT item_id, degrees(atan2(greatest(0, least(255, round_even(l * 2.55, 0))) / 2.55 - 50.0,
+                                         greatest(0, least(255, round_even(blue, 0))) - 128.0)) AS angle,
+                  round_even(0.114 * b + 0.587 * g + 0.299 * r, 0) > 18 AS skin FROM lab)
+SELECT item_id, median(angle) FILTER (WHERE skin) AS ita, stddev_pop(angle) FILTER (WHERE skin) AS ita_std,
+       count(*) FILTER (WHERE NOT skin) / 64.0::DOUBLE AS dark_fraction FROM angles GROUP BY item_id"""
+
+
+@query("image_typology_angle", COLOUR_SQL, doubles="ita ita_std dark_fraction")
+def image_typology_angle(spark, sf_dir):
+    """Typology angle of the brighter pixels of colour images that were written as BMP files and decoded."""
+    pixels = F.flatten(F.transform("cells", lambda v: F.array(98 + 300 * v, 128 + 300 * v, 168 + 300 * v)))
+    rows = I.arrays_8x8(spark, sf_dir).select("item_id", pixels.alias("pixels"))
+    folder = new_work_path(spark, "images")
+    image_files.write_files(image_files.encoded_images(rows, "item_id", 8, 8, "pixels", "bmp"), folder)
+    features = images.image_features(images.read_images(spark, folder))
+    item = F.regexp_extract("path", r"(\d+)\.bmp$", 1).cast("long")
+    return features.select(item.alias("item_id"), "ita", "ita_std", "dark_fraction")
+
+
 @query("unreadable_images", """
 SELECT count(*) FILTER (WHERE vec_id % 97 <> 5) AS readable, count(*) FILTER (WHERE vec_id % 97 = 5) AS broken FROM embeddings
 """, ints="readable broken")
