@@ -29,6 +29,7 @@ from evenhand.session import reliable_checkpoint
 
 FREQUENT_WORDS = 1 << 17  # bound on the lexicon: words that make up 1 / FREQUENT_WORDS of all words or more
 KNOWN_PIECES = 1 << 18  # merged pre-tokens kept between batches by one worker
+KEPT_LENGTH = 64  # bytes of the longest pre-token that is kept, so that what is kept is bounded in bytes
 
 # Fixed values of the vocabulary's format: the pre-tokenizer's pattern for ASCII and the mark of a word's end.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0D a-z0-9]+"
@@ -83,6 +84,8 @@ class Vocabulary:
 
     def encode_piece(self, piece: str) -> bytes:
         """Packed ids of one pre-token; merged ones are kept for the next time."""
+        if len(piece) > KEPT_LENGTH:
+            return self.merged(piece)
         found = self.known.get(piece)
         if found is None:
             if len(self.known) >= KNOWN_PIECES:

@@ -21,7 +21,8 @@ from evenhand.session import reliable_checkpoint
 
 LONGEST = 5  # characters of the longest n-gram; a word has one mark at each end
 UNKNOWN = "und"
-SCORES_KEPT = 1 << 19
+SCORES_KEPT = 1 << 19  # scores of unseen words kept between batches by one worker
+KEPT_LENGTH = 64  # characters of the longest word whose score is kept, so that what is kept is bounded in bytes
 
 
 def labelled_sample(docs: DataFrame, key: str, lang: str, most: int, seed: int = 42) -> DataFrame:
@@ -171,19 +172,20 @@ class Scorer:
         known = self.model.words
         rows = np.fromiter((known.get(w, 0) for w in words), np.int64, len(words))
         scores = self.model.table[rows]
-        if len(self.kept) > SCORES_KEPT:
+        if len(self.scores) > SCORES_KEPT:
             self.forget()
         unseen = np.flatnonzero(rows == 0)
         new = [w for i in unseen.tolist() if (w := words[i]) not in self.kept]
+        place = dict(zip(new, range(len(self.scores), len(self.scores) + len(new))))
         if new:
             found = [self.rows(w) for w in new]
             sizes = np.array([len(f) for f in found])
             flat = self.model.table[np.concatenate([np.array(f) for f in found])]
             means = np.add.reduceat(flat, np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
-            self.kept.update(zip(new, range(len(self.scores), len(self.scores) + len(new))))
+            self.kept.update((w, i) for w, i in place.items() if len(w) <= KEPT_LENGTH)
             self.scores = np.concatenate([self.scores, means.astype(np.float32)])
         if len(unseen):
-            scores[unseen] = self.scores[[self.kept[words[i]] for i in unseen.tolist()]]
+            scores[unseen] = self.scores[[place[w] if (w := words[i]) in place else self.kept[w] for i in unseen.tolist()]]
         return scores
 
 

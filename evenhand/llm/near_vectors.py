@@ -21,10 +21,10 @@ from evenhand.session import reliable_checkpoint
 
 BEAM = 32
 WIDEST = 16  # a beam of 1 / WIDEST of a shard is widened to the whole shard, which is then compared directly
-AUDITED = 256  # queries of a block that are compared with the whole shard
-LEAST_AUDITED = 16  # with fewer audited queries that have links, the nearest points are judged as well
+AUDITED = 1_024  # queries of a block that are compared with the whole shard, to find some that have links
+JUDGED = 256  # of these, queries that judge a beam
+LEAST_JUDGED = 8  # with fewer queries that have links, the nearest points of others are judged as well
 LARGE = 64  # queries with more links are of large groups, which the beams' own widening finds whole
-JUDGED = 10  # nearest points of an audited query
 DIRECT_ROWS = 64  # queries that are compared with the whole shard at a time
 WALKED = 1 << 20  # places in the beams of the queries that walk together
 SLACK = 1e-4  # single precision of the walk; every link is verified in double precision
@@ -36,30 +36,33 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def enough(shard: Shard, numbers: np.ndarray, units: np.ndarray, all_units: np.ndarray, threshold: float, recall: float,
-           audit: np.ndarray, beam: int) -> bool:
-    """Whether a beam finds what a comparison with the whole shard finds, query by query.
+def audit(shard: Shard, numbers: np.ndarray, units: np.ndarray, all_units: np.ndarray, threshold: float) -> list[tuple[int, np.ndarray]]:
+    """(query row, points that a walk must meet) of some queries, by comparison with the whole shard.
 
-    A query counts as found if all of its links are, its own row left out. Queries of large
-    groups count only if there are no others. With too few queries that have a link, the
-    audited queries' nearest points are judged too, whatever their cosine.
+    The points are all links of the query, its own row left out. Queries of large groups
+    are taken only if no others have links. If few queries have links, others take part
+    with their nearest point, whatever its cosine.
     """
-    whole = units[audit] @ all_units.T
-    whole[shard.numbers[None, :] == numbers[audit][:, None]] = -1.0
-    _, found = search(shard.graph, units[audit], beam)
-    met = np.zeros(whole.shape, bool)
-    row, slot = np.nonzero(found >= 0)
-    met[row, found[row, slot]] = True
-    links = whole >= threshold
-    n = links.sum(axis=1)
-    chosen = (n > 0) & (n <= LARGE) if ((n > 0) & (n <= LARGE)).any() else n > 0
-    if chosen.any() and (~(links & ~met).any(axis=1))[chosen].mean() < recall:
-        return False
-    if chosen.sum() >= LEAST_AUDITED:
-        return True
-    k = min(JUDGED, whole.shape[1])
-    near = whole >= np.partition(whole, whole.shape[1] - k, axis=1)[:, whole.shape[1] - k, None]
-    return (near & met).sum() >= min(recall, 0.95) * near.sum()
+    small, large, other = [], [], []
+    tried = np.linspace(0, len(units) - 1, min(AUDITED, len(units))).astype(np.int64)
+    for start in range(0, len(tried), DIRECT_ROWS):
+        part = tried[start:start + DIRECT_ROWS]
+        whole = units[part] @ all_units.T
+        whole[shard.numbers[None, :] == numbers[part][:, None]] = -2.0
+        for query, cosines in zip(part.tolist(), whole):
+            links = np.flatnonzero(cosines >= threshold)
+            if not len(links):
+                other.append((query, np.array([cosines.argmax()])))
+            else:
+                (small if len(links) <= LARGE else large).append((query, links))
+    judges = (small or large)[:JUDGED]
+    return judges if len(judges) >= LEAST_JUDGED else judges + other[:JUDGED - len(judges)]
+
+
+def enough(shard: Shard, units: np.ndarray, judges: list[tuple[int, np.ndarray]], recall: float, beam: int) -> bool:
+    """Whether walks with this beam meet all points of the judging queries, for a share ``recall`` of them."""
+    _, found = search(shard.graph, units[[query for query, _ in judges]], beam)
+    return np.mean([np.isin(points, met).all() for (_, points), met in zip(judges, found)]) >= recall
 
 
 def close_points(shard: Shard, numbers: np.ndarray, units: np.ndarray, threshold: float,
@@ -67,9 +70,9 @@ def close_points(shard: Shard, numbers: np.ndarray, units: np.ndarray, threshold
     """(query row, point) with cosine at or above ``threshold``, some at a time, as the graph finds them with audited beams."""
     n = len(shard.graph.points)
     all_units = unit_rows(shard.vectors)
-    audit = np.linspace(0, len(units) - 1, min(AUDITED, len(units))).astype(np.int64)
     beam = min(BEAM, n)
-    while beam * WIDEST < n and not enough(shard, numbers, units, all_units, threshold, recall, audit, beam):
+    judges = audit(shard, numbers, units, all_units, threshold) if beam * WIDEST < n and len(units) else []
+    while beam * WIDEST < n and judges and not enough(shard, units, judges, recall, beam):
         beam *= 2
     rows = np.arange(len(units))
     while len(rows) and beam * WIDEST < n:
@@ -94,7 +97,7 @@ def close_points(shard: Shard, numbers: np.ndarray, units: np.ndarray, threshold
 
 
 def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9,
-                 recall: float = 0.999) -> DataFrame:
+                 recall: float = 0.99) -> DataFrame:
     """(key, n_links, component_id, kept) for every row of ``table``.
 
     Rows link if their cosine in double precision is at least ``threshold``; ``n_links``

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from evenhand.llm.texts import bounded_batches, byte_groups, coded_words
 
 KNOWN_WORDS = 1 << 20  # lengths kept between batches by one worker; beyond that they are found anew
+KEPT_LENGTH = 64  # characters of the longest word whose length is kept, so that what is kept is bounded in bytes
 
 
 def word_lengths(tokenizer, words: pa.Array, known: dict[str, int]) -> np.ndarray:
@@ -24,12 +25,14 @@ def word_lengths(tokenizer, words: pa.Array, known: dict[str, int]) -> np.ndarra
     if len(known) > KNOWN_WORDS:
         known.clear()
     listed = words.to_pylist()
-    new = [w for w in listed if w not in known]
+    found = np.fromiter((known.get(w, -1) for w in listed), np.int64, len(listed))
+    new = np.flatnonzero(found < 0)
     for start in range(0, len(new), 20_000):
-        block = new[start:start + 20_000]
-        for w, e in zip(block, tokenizer.encode_batch_fast(block, add_special_tokens=False)):
-            known[w] = len(e)
-    return np.fromiter((known[w] for w in listed), np.int64, len(listed))
+        at = new[start:start + 20_000].tolist()
+        block = [listed[i] for i in at]
+        found[at] = [len(e) for e in tokenizer.encode_batch_fast(block, add_special_tokens=False)]
+        known.update((w, n) for w, n in zip(block, found[at].tolist()) if len(w) <= KEPT_LENGTH)
+    return found
 
 
 def token_counts(docs: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str = "text") -> DataFrame:

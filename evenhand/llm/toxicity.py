@@ -30,12 +30,13 @@ from evenhand.session import reliable_checkpoint
 BLOCK = 64  # examples in a block of the index
 DENSE = 512  # most frequent terms; their weights are kept for every example of a block
 FIRST_BLOCKS = 4  # blocks of each text that are scored before any is skipped
-QUERIES = 256  # texts that are searched together
+QUERIES = 64  # texts that are searched together
 SIGNS = 64  # frequent terms that tell which examples are alike
 NEAREST = 15
 TELLING = 2.0  # how much the log odds of label 1 raise a term's weight
 BIN_ROWS = 20  # examples in a bin of the calibration
 SHOWN = 10  # terms listed as evidence
+LOADED = 500  # examples whose weights are computed together
 
 
 # --- texts as vectors ----------------------------------------------------------
@@ -117,11 +118,11 @@ class BlockMaxIndex:
         table = np.zeros((blocks * BLOCK, dense))
         inside = rows.term < dense
         table[at[rows.row[inside]], rows.term[inside]] = rows.n[inside]
-        example, term, weight = at[rows.row[~inside]], rows.term[~inside] - dense, rows.n[~inside]
+        example, term, weight = at[rows.row[~inside]].astype(np.int32), rows.term[~inside] - dense, rows.n[~inside]
         by_term = np.lexsort((example, term))
         return cls(labels[order], [keys[i] for i in order.tolist()], order, table,
                    table.reshape(blocks, BLOCK, dense).max(axis=1).T if blocks else np.zeros((dense, 0)),
-                   np.searchsorted(term[by_term], np.arange(n_terms - dense + 1)), example[by_term].astype(np.int32), weight[by_term])
+                   np.searchsorted(term[by_term], np.arange(n_terms - dense + 1)), example[by_term], weight[by_term])
 
     def nearest(self, rows: Rows, n: int, k: int, without: Sequence | None = None) -> list[list[tuple[float, int]]]:
         """For each of ``n`` texts the ``k`` examples of largest cosine above 0, ties in the order of keys.
@@ -257,11 +258,17 @@ class Model:
 
     @cached_property
     def index(self) -> BlockMaxIndex:
-        row = np.repeat(np.arange(len(self.keys)), self.sizes)
-        weight = (1 + np.log(self.n)) * self.terms.weights[self.term]
-        length = np.sqrt(np.bincount(row, weights=weight * weight, minlength=len(self.keys)))
-        return BlockMaxIndex.build(Rows(row, self.term.astype(np.int64), weight / length[row]), self.labels, self.keys,
-                                   len(self.terms.names))
+        row = np.repeat(np.arange(len(self.keys), dtype=np.int32), self.sizes)
+        weight = np.empty(len(row))
+        ends = np.cumsum(self.sizes)
+        for first in range(0, len(ends), LOADED):  # some examples at a time, for the sake of memory
+            part = slice(int(ends[first] - self.sizes[first]), int(ends[min(first + LOADED, len(ends)) - 1]))
+            some = (1 + np.log(self.n[part])) * self.terms.weights[self.term[part]]
+            length = np.sqrt(np.bincount(row[part] - first, weights=some * some, minlength=LOADED))
+            weight[part] = some / length[row[part] - first]
+        rows = Rows(row, self.term, weight)
+        self.sizes = self.term = self.n = None  # the index has them now
+        return BlockMaxIndex.build(rows, self.labels, self.keys, len(self.terms.names))
 
 
 def example_words(examples: DataFrame) -> pa.Table:
