@@ -24,7 +24,8 @@ WIDEST = 16  # a beam of 1 / WIDEST of a shard is widened to the whole shard, wh
 AUDITED = 1_024  # queries of a block that are compared with the whole shard, to find some that have links
 JUDGED = 256  # of these, queries that judge a beam
 LEAST_JUDGED = 8  # with fewer queries that have links, the nearest points of others are judged as well
-LARGE = 64  # queries with more links are of large groups, which the beams' own widening finds whole
+LARGE = 64  # queries with more links are of large groups
+LARGE_JUDGED = 16  # queries of large groups among those that judge
 DIRECT_ROWS = 64  # queries that are compared with the whole shard at a time
 WALKED = 1 << 20  # places in the beams of the queries that walk together
 SLACK = 1e-4  # single precision of the walk; every link is verified in double precision
@@ -39,9 +40,9 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
 def audit(shard: Shard, numbers: np.ndarray, units: np.ndarray, all_units: np.ndarray, threshold: float) -> list[tuple[int, np.ndarray]]:
     """(query row, points that a walk must meet) of some queries, by comparison with the whole shard.
 
-    The points are all links of the query, its own row left out. Queries of large groups
-    are taken only if no others have links. If few queries have links, others take part
-    with their nearest point, whatever its cosine.
+    The points are all links of the query, its own row left out. Large groups have a small
+    part of the judges, however many queries are of them. If few queries have links, others
+    take part with their nearest point, whatever its cosine.
     """
     small, large, other = [], [], []
     tried = np.linspace(0, len(units) - 1, min(AUDITED, len(units))).astype(np.int64)
@@ -55,14 +56,24 @@ def audit(shard: Shard, numbers: np.ndarray, units: np.ndarray, all_units: np.nd
                 other.append((query, np.array([cosines.argmax()])))
             else:
                 (small if len(links) <= LARGE else large).append((query, links))
-    judges = (small or large)[:JUDGED]
+    judges = small[:JUDGED - LARGE_JUDGED] + large[::max(1, len(large) // LARGE_JUDGED)][:LARGE_JUDGED]
     return judges if len(judges) >= LEAST_JUDGED else judges + other[:JUDGED - len(judges)]
 
 
-def enough(shard: Shard, units: np.ndarray, judges: list[tuple[int, np.ndarray]], recall: float, beam: int) -> bool:
-    """Whether walks with this beam meet all points of the judging queries, for a share ``recall`` of them."""
-    _, found = search(shard.graph, units[[query for query, _ in judges]], beam)
-    return np.mean([np.isin(points, met).all() for (_, points), met in zip(judges, found)]) >= recall
+def enough(shard: Shard, units: np.ndarray, judges: list[tuple[int, np.ndarray]], threshold: float, recall: float, beam: int) -> bool:
+    """Whether walks that begin with this beam meet all points of the judging queries, for a share ``recall`` of them.
+
+    As in the search itself, a query whose beam holds links only walks again with twice the
+    beam, and what would be compared directly is met.
+    """
+    left, met = list(judges), 0
+    while left and beam * WIDEST < len(shard.graph.points):
+        sims, found = search(shard.graph, units[[query for query, _ in left]], beam)
+        full = (sims >= threshold - SLACK).all(axis=1)
+        met += sum(np.isin(points, near).all() for (_, points), near, again in zip(left, found, full) if not again)
+        left = [judge for judge, again in zip(left, full) if again]
+        beam *= 2
+    return met + len(left) >= recall * len(judges)
 
 
 def close_points(shard: Shard, numbers: np.ndarray, units: np.ndarray, threshold: float,
@@ -72,7 +83,7 @@ def close_points(shard: Shard, numbers: np.ndarray, units: np.ndarray, threshold
     all_units = unit_rows(shard.vectors)
     beam = min(BEAM, n)
     judges = audit(shard, numbers, units, all_units, threshold) if beam * WIDEST < n and len(units) else []
-    while beam * WIDEST < n and judges and not enough(shard, units, judges, recall, beam):
+    while beam * WIDEST < n and judges and not enough(shard, units, judges, threshold, recall, beam):
         beam *= 2
     rows = np.arange(len(units))
     while len(rows) and beam * WIDEST < n:
