@@ -51,7 +51,9 @@ class Vocabulary:
 
         with open(path, encoding="utf-8") as file:
             content = json.load(file)
-        library = Tokenizer.from_file(path)
+        # The library's own view of characters, without its copy of the vocabulary.
+        rules = content | {"model": content["model"] | {"vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None}
+        library = Tokenizer.from_str(json.dumps(rules))
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         self.ids: dict[str, int] = content["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in content["added_tokens"]}
@@ -274,26 +276,29 @@ class Encoder:
 
 
 def encode(docs: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str = "text",
-           bound: int = FREQUENT_WORDS, carry: Sequence[str] = (), packed: bool = True) -> DataFrame:
+           bound: int = FREQUENT_WORDS, carry: Sequence[str] = (), packed: bool = True, decoded: str | None = None) -> DataFrame:
     """(key, carry..., n_tokens, ids): the ids of every whole text.
 
     ``ids`` are packed little-endian 32-bit integers or, with ``packed=False``, an array.
+    ``decoded`` names a further column for the text that :func:`decode` makes of them.
 
     ``tokenizer_file`` is a word BPE file that all machines have. Equal to the library's
     encoding without added special tokens; special strings inside a text become their
     tokens. A null or empty text has no tokens and empty ``ids``; repeated rows are
     encoded one by one; an empty table gives an empty table; only ``key``, ``text`` and
     the columns of ``carry`` are read, so other names cannot clash; a carried column
-    named ``n_tokens`` or ``ids`` is replaced.
+    named ``n_tokens``, ``ids`` or ``decoded`` is replaced.
     """
     bounded_batches(docs.sparkSession)
-    carry = [c for c in carry if c not in (key, "n_tokens", "ids")]
+    made = {"n_tokens": "long", "ids": "binary" if packed else "array<int>"} | ({decoded: "string"} if decoded else {})
+    carry = [c for c in carry if c != key and c not in made]
     name = publish_lexicon(docs, tokenizer_file, text, bound)
     narrow = docs.select(F.col(text).alias("_text"), F.col(key).alias(f"c_{key}"),
                          *[F.col(c).alias(f"c_{c}") for c in carry])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer_file, Lexicon(SparkFiles.get(name)))
+        spaced = spaced_tokens(tokenizer_file) if decoded else None
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int64)
             parts: list[list[bytes]] = [[] for _ in range(batch.num_rows)]
@@ -306,16 +311,32 @@ def encode(docs: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str
                 np.add.at(n, rows, each)
                 for row, end, size in zip(rows.tolist(), ends.tolist(), each.tolist()):
                     parts[row].append(flat[end - size:end].tobytes())
+            each = [b"".join(p) for p in parts]
             if packed:
-                joined = pa.array([b"".join(p) for p in parts], pa.binary())
+                joined = pa.array(each, pa.binary())
             else:
-                whole = np.frombuffer(b"".join(x for p in parts for x in p), "<u4").astype(np.int32)
+                whole = np.frombuffer(b"".join(each), "<u4").astype(np.int32)
                 joined = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), pa.array(whole))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n), joined],
-                                             [*batch.schema.names[1:], "n_tokens", "ids"])
+            texts = [pa.array([text_of(np.frombuffer(e, "<u4"), spaced) for e in each], pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n), joined, *texts],
+                                             [*batch.schema.names[1:], *made])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[1:])
-    return narrow.mapInArrow(run, f"{kinds}, n_tokens long, ids {'binary' if packed else 'array<int>'}").toDF(key, *carry, "n_tokens", "ids")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[1:]] + [f"`{c}` {k}" for c, k in made.items()]
+    return narrow.mapInArrow(run, ", ".join(kinds)).toDF(key, *carry, *made)
+
+
+def spaced_tokens(tokenizer_file: str) -> pa.Array:
+    """Every token after a space."""
+    return pa.array([" " + t for t in vocabulary(tokenizer_file).tokens], pa.large_string())
+
+
+def text_of(ids: np.ndarray, spaced: pa.Array) -> str:
+    """The tokens of ``ids``, joined with a space."""
+    if not len(ids):
+        return ""
+    tokens = pc.take(spaced, pa.array(ids))
+    start, end = (int.from_bytes(tokens.buffers()[1][8 * i:8 * i + 8].to_pybytes(), "little") for i in (0, len(tokens)))
+    return tokens.buffers()[2][start + 1:end].to_pybytes().decode()
 
 
 def decode(encoded: DataFrame, tokenizer_file: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
@@ -329,7 +350,7 @@ def decode(encoded: DataFrame, tokenizer_file: str, ids: str = "ids", name: str
     encoded = encoded if name == ids else encoded.drop(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spaced = pa.array([" " + t for t in vocabulary(tokenizer_file).tokens], pa.large_string())
+        spaced = spaced_tokens(tokenizer_file)
         for batch in batches:
             texts: list[str] = []
             for value in batch.column(batch.schema.get_field_index(ids)):
@@ -339,10 +360,7 @@ def decode(encoded: DataFrame, tokenizer_file: str, ids: str = "ids", name: str
                     numbers = value.values.to_numpy(zero_copy_only=False)
                 else:
                     numbers = np.frombuffer(value.as_buffer(), "<u4")
-                tokens = pc.take(spaced, pa.array(numbers))
-                start, end = (tokens.buffers()[1][8 * i:8 * i + 8].to_pybytes() for i in (0, len(tokens)))
-                texts.append(tokens.buffers()[2].to_pybytes()[
-                    int.from_bytes(start, "little") + 1:int.from_bytes(end, "little")].decode() if len(tokens) else "")
+                texts.append(text_of(numbers, spaced))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
                                              [*batch.schema.names, name])
 

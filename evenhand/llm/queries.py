@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evenhand.functions.hashing import hash32
 from evenhand.llm import context_tree
-from evenhand.llm.bpe import decode, encode
+from evenhand.llm.bpe import encode
 from evenhand.llm.hard_negatives import hard_negatives
 from evenhand.llm.language import identify
 from evenhand.llm.mixing import mix
@@ -205,8 +205,7 @@ def op9_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_bpe")
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
-    vocabulary = tokenizer_file()
-    coded = decode(encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    coded = encode(table(spark, sf_dir, "documents"), tokenizer_file(), decoded="decoded")
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

@@ -43,8 +43,11 @@ def test_counts_and_codes_equal_the_library(spark, docs, library):
     for r, ids in got:
         assert r["size"] == "own size" and r.n_tokens == len(ids)
         assert r.decoded == library.decode(ids, skip_special_tokens=False)
-    arrays = encode(table, tokenizer_file(), packed=False).collect()
+    arrays = encode(table, tokenizer_file(), carry=("text", "size"), packed=False, decoded="text").collect()
     assert sorted(((r.doc_id is None, r.doc_id, r.ids) for r in arrays), key=str) == expected
+    assert all(r.text == library.decode(r.ids, skip_special_tokens=False) and r["size"] == "own size" for r in arrays)
+    again = decode(encode(table, tokenizer_file(), packed=False), tokenizer_file(), name="n_tokens").collect()
+    assert all(r.n_tokens == library.decode(r.ids, skip_special_tokens=False) for r in again)
     del docs
 
 
