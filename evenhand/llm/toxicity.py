@@ -12,7 +12,7 @@ on the examples themselves, each judged without those of its own key.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -28,9 +28,9 @@ from evenhand.llm.texts import bounded_batches, coded_words, gather, pass_on, wi
 from evenhand.session import reliable_checkpoint
 
 BLOCK = 64  # examples in a block of the index
-DENSE = 512  # most frequent terms; their weights are kept for every example of a block
+DENSE = 256  # most frequent terms; their weights are kept for every example of a block
 FIRST_BLOCKS = 4  # blocks of each text that are scored before any is skipped
-QUERIES = 64  # texts that are searched together
+QUERIES = 32  # texts that are searched together
 SIGNS = 64  # frequent terms that tell which examples are alike
 NEAREST = 15
 TELLING = 2.0  # how much the log odds of label 1 raise a term's weight
@@ -104,21 +104,27 @@ class BlockMaxIndex:
     weights: np.ndarray
 
     @classmethod
-    def build(cls, rows: Rows, labels: Sequence[int], keys: Sequence, n_terms: int, dense: int | None = None) -> BlockMaxIndex:
-        """From unit vectors of the examples in the order of their keys."""
+    def build(cls, parts: Callable[[], Iterator[Rows]], labels: Sequence[int], keys: Sequence, n_terms: int,
+              dense: int | None = None) -> BlockMaxIndex:
+        """From unit vectors of the examples in the order of their keys; ``parts`` gives some of them at a time, twice."""
         n, dense = len(keys), min(DENSE if dense is None else dense, n_terms)
         labels = np.asarray(labels, np.int64)
-        sign = np.zeros((n, max(1, min(SIGNS, n_terms))))
-        frequent = rows.term < sign.shape[1]
-        sign[rows.row[frequent], rows.term[frequent]] = rows.n[frequent]
+        sign = np.zeros((n, max(1, min(SIGNS, n_terms))), np.float32)
+        for rows in parts():
+            frequent = rows.term < sign.shape[1]
+            sign[rows.row[frequent], rows.term[frequent]] = rows.n[frequent]
         order = np.lexsort((np.arange(n), sign.argmax(axis=1), labels))
-        at = np.empty(n, np.int64)
+        at = np.empty(n, np.int32)
         at[order] = np.arange(n)
         blocks = -(-n // BLOCK)
         table = np.zeros((blocks * BLOCK, dense))
-        inside = rows.term < dense
-        table[at[rows.row[inside]], rows.term[inside]] = rows.n[inside]
-        example, term, weight = at[rows.row[~inside]].astype(np.int32), rows.term[~inside] - dense, rows.n[~inside]
+        others = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0))]
+        for rows in parts():
+            inside = rows.term < dense
+            table[at[rows.row[inside]], rows.term[inside]] = rows.n[inside]
+            others.append((at[rows.row[~inside]], (rows.term[~inside] - dense).astype(np.int32), rows.n[~inside]))
+        example, term, weight = (np.concatenate(x) for x in zip(*others))
+        del others
         by_term = np.lexsort((example, term))
         return cls(labels[order], [keys[i] for i in order.tolist()], order, table,
                    table.reshape(blocks, BLOCK, dense).max(axis=1).T if blocks else np.zeros((dense, 0)),
@@ -258,17 +264,19 @@ class Model:
 
     @cached_property
     def index(self) -> BlockMaxIndex:
-        row = np.repeat(np.arange(len(self.keys), dtype=np.int32), self.sizes)
-        weight = np.empty(len(row))
-        ends = np.cumsum(self.sizes)
-        for first in range(0, len(ends), LOADED):  # some examples at a time, for the sake of memory
-            part = slice(int(ends[first] - self.sizes[first]), int(ends[min(first + LOADED, len(ends)) - 1]))
-            some = (1 + np.log(self.n[part])) * self.terms.weights[self.term[part]]
-            length = np.sqrt(np.bincount(row[part] - first, weights=some * some, minlength=LOADED))
-            weight[part] = some / length[row[part] - first]
-        rows = Rows(row, self.term, weight)
+        def parts() -> Iterator[Rows]:
+            ends = np.cumsum(self.sizes)
+            for first in range(0, len(ends), LOADED):  # some examples at a time, for the sake of memory
+                last = min(first + LOADED, len(ends))
+                part = slice(int(ends[first] - self.sizes[first]), int(ends[last - 1]))
+                row = np.repeat(np.arange(last - first), self.sizes[first:last])
+                weight = (1 + np.log(self.n[part])) * self.terms.weights[self.term[part]]
+                length = np.sqrt(np.bincount(row, weights=weight * weight, minlength=last - first))
+                yield Rows(row + first, self.term[part], weight / length[row])
+
+        found = BlockMaxIndex.build(parts, self.labels, self.keys, len(self.terms.names))
         self.sizes = self.term = self.n = None  # the index has them now
-        return BlockMaxIndex.build(rows, self.labels, self.keys, len(self.terms.names))
+        return found
 
 
 def example_words(examples: DataFrame) -> pa.Table:

@@ -48,7 +48,7 @@ def test_block_max_search_is_exact(dense):
         vectors.append({t: w / size for t, w in v.items()})
     as_rows = lambda vs: Rows(*map(np.array, zip(*[(i, t, v[t]) for i, v in enumerate(vs) for t in sorted(v)])))
     keys = [i // 2 for i in range(700)]
-    index = BlockMaxIndex.build(as_rows(vectors), [i % 3 == 0 for i in range(700)], keys, 40, dense)
+    index = BlockMaxIndex.build(lambda: iter([as_rows(vectors)]), [i % 3 == 0 for i in range(700)], keys, 40, dense)
     asked = vectors[::2]
     for without in (None, [keys[i] for i in range(0, 700, 2)]):
         found = index.nearest(as_rows(asked), len(asked), NEAREST, without)
