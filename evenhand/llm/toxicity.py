@@ -28,15 +28,16 @@ from evenhand.llm.texts import bounded_batches, coded_words, gather, pass_on, wi
 from evenhand.session import reliable_checkpoint
 
 BLOCK = 64  # examples in a block of the index
-DENSE = 256  # most frequent terms; their weights are kept for every example of a block
+DENSE = 512  # most frequent terms; their weights are kept for every example of a block
 FIRST_BLOCKS = 4  # blocks of each text that are scored before any is skipped
-QUERIES = 32  # texts that are searched together
+QUERIES = 16  # texts that are searched together
 SIGNS = 64  # frequent terms that tell which examples are alike
 NEAREST = 15
 TELLING = 2.0  # how much the log odds of label 1 raise a term's weight
 BIN_ROWS = 20  # examples in a bin of the calibration
 SHOWN = 10  # terms listed as evidence
 LOADED = 500  # examples whose weights are computed together
+BATCH_BYTES = 1 << 20  # of texts that a worker holds beside the index
 
 
 # --- texts as vectors ----------------------------------------------------------
@@ -315,7 +316,7 @@ def model_of(listed: pa.Table) -> Model:
 def fit(labelled: DataFrame, key: str, text: str, label: str) -> tuple[Broadcast, Calibration]:
     """Fit on all rows of ``labelled``, which the caller bounds: their words and votes come to the driver."""
     spark = labelled.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, BATCH_BYTES)
     examples = reliable_checkpoint(labelled.select(
         F.col(key).alias("row"), F.col(label).cast("int").alias("label"), F.col(text).alias("text")), "examples")
     shared = spark.sparkContext.broadcast(model_of(example_words(examples)))
@@ -359,6 +360,7 @@ def score(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str =
         terms, index = shared.value.terms, shared.value.index
 
         def judge(batch: pa.RecordBatch) -> list:
+            pa.default_memory_pool().release_unused()  # of the batch before
             rows = terms.vectors(batch.column(0))
             found = index.nearest(rows, batch.num_rows, NEAREST)
             scores = np.array([calibration.score(vote(f, index.labels)) for f in found], float)
