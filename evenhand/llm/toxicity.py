@@ -37,7 +37,7 @@ TELLING = 2.0  # how much the log odds of label 1 raise a term's weight
 BIN_ROWS = 20  # examples in a bin of the calibration
 SHOWN = 10  # terms listed as evidence
 LOADED = 500  # examples whose weights are computed together
-BATCH_BYTES = 1 << 20  # of texts that a worker holds beside the index
+BATCH_BYTES = 2 << 20  # of texts that a worker holds beside the index
 
 
 # --- texts as vectors ----------------------------------------------------------
