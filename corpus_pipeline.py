@@ -42,7 +42,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each component of texts that share 0.8 or more of their 5-word shingles."""
+    """The document of the smallest doc_id of each component of texts that share 0.8 or more of their 5-word shingles.
+
+    SimHash fingerprints, and minimum hashes beyond their radius, find what is compared; shingle sets decide.
+    """
     return keep_first(docs, copy_classes(docs), shingle=WORDS, prints=set_prints)
 
 

@@ -1,11 +1,13 @@
-"""Near-duplicate texts: Jaccard similarity of five-word shingles, checked on every candidate link.
-
-Candidates share a band of minimum hashes, groups of candidates are shipped to the
-tasks once (large groups in pairs of chunks), and there all pairs are compared by
-their whole shingle sets. A pair at the threshold of 0.8 shares no band with
-probability (1 - 0.8 ** ROWS) ** BANDS, about 5 in a million, closer pairs with less;
-what does share one is judged exactly. Fingerprints of 64 bits cannot do this: at 0.8
-some 10 bits differ, and no block keys for such a radius tell texts apart.
+"""Near-duplicate texts by SimHash, with an exact check of every link; minimum hashes reach further pairs.
+
+Every text gets the SimHash fingerprint of its five-word shingles. Fingerprints that
+differ in ``RADIUS`` bits or fewer are linked by :func:`simhash.near_links`, which loses
+none, and the components of these links are groups of candidates. At a Jaccard similarity
+of 0.8 some 10 bits differ, and no block keys for such a radius tell texts apart, so
+candidates are also what share a band of minimum hashes: a pair at the threshold shares
+none with probability (1 - 0.8 ** ROWS) ** BANDS, about 5 in a million, closer pairs with
+less. Groups of candidates of either kind are shipped to the tasks once (large groups in
+pairs of chunks), and there all pairs are compared by their whole shingle sets.
 """
 
 from __future__ import annotations
@@ -18,12 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from evenhand.llm.components import components
-from evenhand.llm.simhash import classes_of, roots_of
+from evenhand.llm.simhash import classes_of, majority, near_links, roots_of
 from evenhand.llm.texts import bounded_batches, pass_on, with_carried
 from evenhand.session import reliable_checkpoint
 
 WORDS = 5
 SIMILAR = 0.8
+RADIUS, BLOCKS = 3, 5  # differing bits of fingerprints that link; blocks of bits, of which linked ones share two
 BANDS, ROWS = 40, 6
 CHUNK = 512  # texts of one group that are compared in one place; larger groups are cut into chunks
 CHUNK_SHINGLES = 1 << 20  # the same in shingles
@@ -48,12 +51,12 @@ def set_print(shingles: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingles.tobytes(), 42) if len(shingles) else 0
 
 
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """[sets, BANDS]: a key of the ``ROWS`` minimum hashes of each band; no set may be empty."""
+def band_keys(sets: list[np.ndarray], bands: int = BANDS) -> np.ndarray:
+    """[sets, bands]: a key of the ``ROWS`` minimum hashes of each band; no set may be empty."""
     values = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
     starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
-    keys = np.empty((len(sets), BANDS), np.uint64)
-    for band in range(BANDS):
+    keys = np.empty((len(sets), bands), np.uint64)
+    for band in range(bands):
         key = np.full(len(sets), band + 1, np.uint64)
         for i in range(band * ROWS, (band + 1) * ROWS):
             key = (key ^ np.minimum.reduceat(values * FACTORS[i] + SHIFTS[i], starts)) * np.uint64(0x9E3779B97F4A7C15)
@@ -63,8 +66,11 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def set_prints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS,
-               carry: Sequence[str] = (), name: str = "bits", banded: bool = False) -> DataFrame:
-    """(key, carry..., ``name``): the print of each text's shingle set; ``banded`` adds its size and band keys."""
+               carry: Sequence[str] = (), name: str = "bits", banded: bool = False, bands: int = BANDS) -> DataFrame:
+    """(key, carry..., ``name``): the print of each text's shingle set.
+
+    ``banded`` adds the set's size, its SimHash fingerprint and its keys of ``bands`` bands.
+    """
     bounded_batches(docs.sparkSession)
 
     def start():
@@ -73,15 +79,16 @@ def set_prints(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
             made = [pa.array(np.array([set_print(s) for s in sets], np.uint64).view(np.int64))]
             if banded:
                 filled = [s for s in sets if len(s)]
-                keys = band_keys(filled) if filled else np.zeros((0, BANDS), np.uint64)
-                offsets = np.r_[0, np.cumsum([BANDS * (len(s) > 0) for s in sets])].astype(np.int32)
+                keys = band_keys(filled, bands) if filled else np.zeros((0, bands), np.uint64)
+                offsets = np.r_[0, np.cumsum([bands * (len(s) > 0) for s in sets])].astype(np.int32)
                 made += [pa.array(np.array([len(s) for s in sets], np.int64)),
+                         pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64)),
                          pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64)))]
             return made
 
         return run
 
-    made = {name: "long"} | ({"size": "long", "parts": "array<long>"} if banded else {})
+    made = {name: "long"} | ({"size": "long", "simhash": "long", "parts": "array<long>"} if banded else {})
     return pass_on(with_carried(docs, key, text, carry), start, made, key, text, carry)
 
 
@@ -124,6 +131,14 @@ def similar_pairs(sets: list[np.ndarray], similar: float) -> tuple[np.ndarray, n
     return np.nonzero(np.triu(common * (1 + similar) >= similar * both - 1e-6, 1))
 
 
+def print_keys(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(bits, part): one key for all sets of ``classes`` (bits, size, simhash) whose fingerprints links of the radius join."""
+    filled = classes.where(F.col("size") > 0)
+    roots = components(near_links(filled.select(F.col("simhash").alias("bits")).distinct(), radius, BLOCKS))
+    rooted = filled.join(roots, F.col("simhash") == F.col("node"), "left")
+    return rooted.select("bits", F.xxhash64(F.lit("simhash"), F.coalesce("root", "simhash")).alias("part"))
+
+
 def copy_links(docs: DataFrame, classes: DataFrame, keyed: DataFrame, text: str, words: int, similar: float) -> DataFrame:
     """Links (a, b) that join all candidates whose similarity is at least ``similar``.
 
@@ -164,16 +179,18 @@ def copy_links(docs: DataFrame, classes: DataFrame, keyed: DataFrame, text: str,
 
 
 def copy_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS,
-                 similar: float = SIMILAR) -> DataFrame:
+                 similar: float = SIMILAR, radius: int = RADIUS, bands: int = BANDS) -> DataFrame:
     """(key, fingerprint, component_id, root) for every row of ``docs``, as ``simhash.near_classes`` has them.
 
     Texts link if the Jaccard similarity of their sets of ``words``-word shingles is at
-    least ``similar``; a shorter text is one shingle, null and empty texts are equal. The
-    ``fingerprint`` is that of the set. Null keys, repeated rows and empty tables are
+    least ``similar``; a shorter text is one shingle, null and empty texts are equal.
+    Compared are texts that SimHash fingerprints within ``radius`` bits join and texts
+    that share one of ``bands`` bands. The ``fingerprint`` is that of the whole set. Null keys, repeated rows and empty tables are
     treated as in ``near_classes``.
     """
-    banded = reliable_checkpoint(set_prints(docs, key, text, words, banded=True), "banded")
+    banded = reliable_checkpoint(set_prints(docs, key, text, words, banded=True, bands=bands), "banded")
     rows = banded.select(key, "bits")
-    classes = reliable_checkpoint(banded.groupBy("bits").agg(F.min(key).alias("least"), F.max("size").alias("size")), "classes")
-    keyed = reliable_checkpoint(banded.select("bits", F.explode("parts").alias("part")).distinct(), "keyed")
+    classes = reliable_checkpoint(banded.groupBy("bits").agg(F.min(key).alias("least"), F.max("size").alias("size"), F.max("simhash").alias("simhash")), "classes")
+    shared_bands = banded.select("bits", F.explode("parts").alias("part")).distinct()
+    keyed = reliable_checkpoint(shared_bands.union(print_keys(classes, radius)), "keyed")
     return classes_of(rows, classes, copy_links(docs, classes, keyed, text, words, similar), key)

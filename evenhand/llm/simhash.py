@@ -40,7 +40,11 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
         return xxhash.xxh64_intdigest(b" ".join(words), seed)
     digest = xxhash.xxh64_intdigest
     shingles = map(b" ".join, zip(*[words[i:] for i in range(shingle)]))
-    hashes = np.fromiter((digest(s, seed) for s in shingles), np.uint64, len(words) - shingle + 1)
+    return majority(np.fromiter((digest(s, seed) for s in shingles), np.uint64, len(words) - shingle + 1))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 without any."""
     ones = np.zeros(BITS, np.int64)
     for start in range(0, len(hashes), 1 << 16):
         part = hashes[start:start + (1 << 16)].view(np.uint8).reshape(-1, 8)

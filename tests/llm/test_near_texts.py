@@ -7,7 +7,8 @@ from test_near_copies import united
 
 import corpus_pipeline
 from evenhand.llm import near_texts
-from evenhand.llm.near_texts import copy_classes, shingle_set, similar_pairs
+from evenhand.llm.near_texts import RADIUS, copy_classes, print_keys, shingle_set, similar_pairs
+from evenhand.llm.simhash import majority
 
 
 def plain_set(text):
@@ -74,3 +75,34 @@ def test_pairs_at_the_threshold_count(monkeypatch):
     monkeypatch.setattr(near_texts, "COLUMNS", 3)
     sets = [np.arange(n, dtype=np.uint64) for n in (8, 10, 11)] + [shingle_set("")]
     assert [tuple(map(int, p)) for p in zip(*similar_pairs(sets, 0.8))] == [(0, 1), (1, 2)]
+
+
+def test_fingerprints_within_the_radius_are_candidates_without_bands(spark):
+    """SimHash alone, no band of minimum hashes: what its links join is compared and dropped, other texts stay."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(2_000)]
+    texts = []
+    for _ in range(12):
+        base = rng.choices(vocabulary, k=800)
+        texts += [" ".join(changed(rng, base, n)) for n in (0, 1, 2, 40)]
+    prints = [majority(shingle_set(t)) for t in texts]
+    sets = [plain_set(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= RADIUS]
+    assert len(pairs) >= 12 and all(alike(sets[i], sets[j]) for i, j in pairs)
+    want = united(range(len(texts)), pairs)
+    got = copy_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), bands=0)
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
+def test_keys_of_fingerprints_join_what_the_radius_joins(spark):
+    rng = random.Random(12)
+    prints = []
+    for _ in range(30):
+        start = rng.getrandbits(63)
+        prints += [start, start ^ 0b111, start ^ 0b111 ^ (1 << 40), start ^ (0xFF << 50)]
+    classes = spark.createDataFrame([(i, 5, p) for i, p in enumerate(prints)] + [(-1, 0, 0)], "bits long, size long, simhash long")
+    keys = {r.bits: r.part for r in print_keys(classes).collect()}
+    near = [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= RADIUS]
+    root = united(range(len(prints)), near)
+    assert -1 not in keys and len(set(keys.values())) == len(set(root.values()))
+    assert all(keys[i] == keys[r] for i, r in root.items())
