@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 from evenhand.session import reliable_checkpoint, settle
 
 PIECE_BYTES = 1 << 20
+TASK_BYTES = 16 << 20  # a task reads so many splits one after the other that it has about as much
 QUOTE, BACKSLASH = ord('"'), ord("\\")
 NUMBERS = ["flips", "sum_out", "sum_in", "low_out", "low_in"]
 
@@ -48,6 +49,11 @@ def summary(data: bytes) -> list[int]:
     return [int(odd[-1]), int(outside[-1]), int(inside[-1]), min(0, int(outside.min())), min(0, int(inside.min()))]
 
 
+def task_count(splits: int, split_bytes: int, least: int) -> int:
+    """Tasks for ``splits`` splits: one each up to ``least``, then as many as ``TASK_BYTES`` asks for."""
+    return max(1, min(splits, max(least, -(-splits * split_bytes // TASK_BYTES))))
+
+
 def text_pieces(spark: SparkSession, path: str, split_bytes: int | None, piece_bytes: int) -> DataFrame:
     """(path, start, seq, data, is_array, summary) of all files, written once.
 
@@ -85,6 +91,8 @@ def text_pieces(spark: SparkSession, path: str, split_bytes: int | None, piece_b
         lines = spark.read.option("lineSep", "}").text(path).select(
             F.col("value").cast("binary"), F.col("_metadata.file_path").alias("path"),
             F.col("_metadata.file_block_start").alias("start"))
+        if split_bytes is not None:
+            lines = lines.coalesce(task_count(lines.rdd.getNumPartitions(), split_bytes, spark.sparkContext.defaultParallelism))
         return reliable_checkpoint(lines.mapInArrow(
             gathered, "path string, start long, seq long, data binary, is_array boolean, " + ", ".join(f"{n} long" for n in NUMBERS)),
             "json-pieces")
@@ -173,8 +181,8 @@ def read_json_pieces(spark: SparkSession, path: str, schema: T.StructType, split
                      piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """Records of JSON files by ``schema``: an array of objects, or objects one after the other.
 
-    A file is read by as many tasks as it has splits of ``split_bytes`` (default: the
-    session's), and its records are parsed by tasks of about ``piece_bytes`` and more. The
+    A file is cut into splits of ``split_bytes`` (default: the session's), which are read
+    by tasks of their own or, if they are many, some in one task (:func:`task_count`). Its records are parsed by tasks of about ``piece_bytes`` and more. The
     order of records is not kept. A record that does not fit the schema has NULLs, as in
     Spark's own reader; elements that are no objects are left out; an empty array or file
     has no rows. The text is written once to the shared folder; a single record must fit

@@ -73,6 +73,18 @@ def test_one_file_in_many_tasks(spark, tmp_path, indent):
     assert sorted(as_tuple(r) for r in plain.collect()) == sorted(as_tuple(r) for r in read.collect())
 
 
+def test_many_splits_are_few_tasks(spark, tmp_path):
+    """Splits stay byte ranges of their own, but thousands of them are no thousands of tasks and files."""
+    rows = records(400)
+    (tmp_path / "one.json").write_text(json.dumps(rows), encoding="utf-8")
+    pieces = json_pieces.text_pieces(spark, str(tmp_path / "one.json"), 256, 500)
+    assert pieces.select("start").distinct().count() > 100
+    assert len(pieces.inputFiles()) <= spark.sparkContext.defaultParallelism
+    read = read_json_pieces(spark, str(tmp_path / "one.json"), SCHEMA, split_bytes=256, piece_bytes=500)
+    assert sorted(as_tuple(r) for r in read.collect()) == [as_tuple(r) for r in rows]
+    assert [json_pieces.task_count(n, 64 << 10, 12) for n in (0, 5, 600, 16_000, 96_000)] == [1, 5, 12, 63, 375]
+
+
 def test_records_longer_than_pieces_and_splits(spark, tmp_path):
     rows = [{"id": i, "text": "}{" * 5_000 * i, "parts": [{"a": j, "b": "}"} for j in range(300)]} for i in range(6)]
     (tmp_path / "a.json").write_text(json.dumps(rows))
