@@ -83,8 +83,9 @@ def colocated_pairs(spark, sf_dir):
 
 
 def colocated_predictions(spark, sf_dir, buckets: int = 8):
-    """One row per item with a boolean for each model, from two bucketed tables."""
+    """One row per item with a boolean for each model, from two tables in ``buckets`` buckets or more, as their rows need."""
     items = I.order_items(spark, sf_dir)
+    buckets = colocated.bucket_count(len(I.MODELS) * items.count(), buckets)
     run = uuid.uuid4().hex
     truth = colocated.write_colocated(items.select("item_id", "true_class", "stratum"), f"truth_{run}", "item_id", buckets)
     predictions = colocated.write_colocated(

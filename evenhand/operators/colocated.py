@@ -10,13 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evenhand.session import new_work_path
 
+BUCKET_ROWS = 2_000_000  # rows of the longest of the tables that a task sorts and joins at a time
+
+
+def bucket_count(rows: int, least: int = 8) -> int:
+    """Buckets for tables of which the longest has ``rows`` rows: a bucket is read by one task, so it must not grow."""
+    return max(least, -(-rows // BUCKET_ROWS))
+
 
 def write_colocated(df: DataFrame, name: str, key: str, buckets: int, path: str | None = None) -> DataFrame:
     """Write ``df`` as the table ``name`` in ``buckets`` buckets of ``key``, sorted by it, and return the table.
 
     Rows are dealt out by the key before they are written, so a bucket is one file. Take
-    as many buckets as give files of some hundred megabytes; tables that are to be joined
-    need the same number. A key that holds a large share of the rows makes one large
+    as many buckets as :func:`bucket_count` gives; tables that are to be joined need the
+    same number. A key that holds a large share of the rows makes one large
     bucket: such tables are better joined without buckets, where a skewed key is split.
     """
     spark = df.sparkSession

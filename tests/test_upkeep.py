@@ -10,7 +10,7 @@ from pyspark.sql import functions as F, types as T
 
 from catalog.upkeep import colocated_predictions
 from evenhand.functions.hashing import hash32
-from evenhand.operators import audit, balance, incremental, metrics, principal, sketches
+from evenhand.operators import audit, balance, colocated, incremental, metrics, principal, sketches
 from evenhand.operators.colocated import shuffles_on
 from evenhand.operators.ranking import exact_quantiles
 from evenhand.sources import sinks
@@ -123,6 +123,18 @@ def test_bucketed_tables_meet_without_a_shuffle(spark, sf_dir):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_buckets_grow_with_the_rows(spark, sf_dir, monkeypatch):
+    """A bucket is one task's work: more rows make more buckets, not longer ones, and the same pairs."""
+    want = sorted(map(str, colocated_predictions(spark, sf_dir).collect()))
+    n = 5 * spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    monkeypatch.setattr(colocated, "BUCKET_ROWS", n // 20)
+    paired = colocated_predictions(spark, sf_dir)
+    plan = paired._jdf.queryExecution().executedPlan().toString()
+    assert f"out of {-(-n // (n // 20))}" in plan and "out of 8" not in plan
+    assert shuffles_on(paired, "item_id") == 0
+    assert sorted(map(str, paired.collect())) == want
+
+
 def test_a_batch_that_was_written_but_not_committed_is_not_doubled(spark, tmp_path):
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     schema = T.StructType().add("id", "long")
