@@ -24,7 +24,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
-from evenhand.llm.texts import bounded_batches, byte_groups, coded_words, gather, word_counts
+from evenhand.llm.texts import KEEPERS, bounded_batches, byte_groups, coded_words, gather, lean, word_counts
 from evenhand.session import reliable_checkpoint
 
 FREQUENT_WORDS = 1 << 17  # bound on the lexicon: words that make up 1 / FREQUENT_WORDS of all words or more
@@ -123,6 +123,9 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+KEEPERS["bpe"] = vocabulary.cache_clear
+
+
 # --- the automaton ----------------------------------------------------------
 
 
@@ -322,7 +325,7 @@ def encode(docs: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str
                                              [*batch.schema.names[1:], *made])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[1:]] + [f"`{c}` {k}" for c, k in made.items()]
-    return narrow.mapInArrow(run, ", ".join(kinds)).toDF(key, *carry, *made)
+    return narrow.mapInArrow(lean(run, "bpe"), ", ".join(kinds)).toDF(key, *carry, *made)
 
 
 def spaced_tokens(tokenizer_file: str) -> pa.Array:
@@ -365,4 +368,4 @@ def decode(encoded: DataFrame, tokenizer_file: str, ids: str = "ids", name: str
                                              [*batch.schema.names, name])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(run, f"{kinds}, `{name}` string")
+    return encoded.mapInArrow(lean(run, "bpe"), f"{kinds}, `{name}` string")

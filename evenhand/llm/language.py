@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evenhand.functions.hashing import hash32
-from evenhand.llm.texts import bounded_batches, byte_groups, coded_words, pass_on, with_carried
+from evenhand.llm.texts import bounded_batches, byte_groups, coded_words, lean, pass_on, with_carried
 from evenhand.session import reliable_checkpoint
 
 LONGEST = 5  # characters of the longest n-gram; a word has one mark at each end
@@ -78,7 +78,7 @@ def language_words(labelled: DataFrame, text: str, lang: str) -> DataFrame:
                     ["lang", "word", "n"])
 
     counted = labelled.select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).mapInArrow(
-        count, "lang string, word string, n long")
+        lean(count), "lang string, word string, n long")
     return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 

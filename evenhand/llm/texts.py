@@ -7,6 +7,8 @@ are put together again by the caller.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -17,6 +19,31 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 GROUP_BYTES = 4 << 20
 SPACES = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+#: How to drop what a module keeps in a worker from task to task, by the name of the module.
+KEEPERS: dict[str, Callable[[], None]] = {}
+
+
+def spare_memory() -> None:
+    """Give what this process has freed back to the system; Spark uses a worker again for other tasks, and most of it stays with it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], owner: str = "") -> Callable:
+    """``run`` for ``mapInArrow``, begun without what tasks of other modules than ``owner`` have left, and leaving nothing that is free."""
+
+    def run_lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, drop in KEEPERS.items():
+            if name != owner:
+                drop()
+        spare_memory()
+        yield from run(batches)
+        spare_memory()
+
+    return run_lean
 
 
 def bounded_batches(spark: SparkSession, size: int = GROUP_BYTES) -> None:
@@ -69,7 +96,7 @@ def pass_on(narrow: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], li
     place = {c: i for i, c in enumerate(narrow.columns)}
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in names] + [f"`{c}` {k}" for c, k in made.items()])
     final = [key] + [c for c in carry if c not in (key, text)] + ([text] if text in carry else []) + list(made)
-    return narrow.mapInArrow(mapped, schema).toDF(*final)
+    return narrow.mapInArrow(lean(mapped), schema).toDF(*final)
 
 
 def cut_at_spaces(data: bytes, limit: int) -> Iterator[bytes]:
@@ -143,7 +170,7 @@ def word_counts(texts: DataFrame, text: str = "text", lower: bool = False) -> Da
                 n = np.bincount(codes, minlength=len(words)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([words, pa.array(n)], ["word", "n"])
 
-    counted = texts.select(F.col(text).alias("text")).mapInArrow(count, "word string, n long")
+    counted = texts.select(F.col(text).alias("text")).mapInArrow(lean(count), "word string, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -152,5 +179,6 @@ def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
     ends = np.cumsum(sizes)
     if not len(ends) or not ends[-1]:
         return values[:0]
-    shift = np.repeat(starts - (ends - sizes), sizes)
-    return values[shift + np.arange(ends[-1])]
+    at = np.repeat(starts - (ends - sizes), sizes)
+    at += np.arange(ends[-1])
+    return values[at]

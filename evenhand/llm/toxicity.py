@@ -24,19 +24,21 @@ from pyspark.sql import DataFrame, functions as F
 
 from evenhand.functions.hashing import hash32
 from evenhand.llm.language import letters
-from evenhand.llm.texts import bounded_batches, coded_words, gather, pass_on, with_carried
+from evenhand.llm.texts import bounded_batches, coded_words, gather, lean, pass_on, spare_memory, with_carried
 from evenhand.session import reliable_checkpoint
 
 BLOCK = 64  # examples in a block of the index
 DENSE = 512  # most frequent terms; their weights are kept for every example of a block
 FIRST_BLOCKS = 4  # blocks of each text that are scored before any is skipped
 QUERIES = 16  # texts that are searched together
+POSTINGS = 1 << 18  # postings of a text that are added up together
 SIGNS = 64  # frequent terms that tell which examples are alike
 NEAREST = 15
 TELLING = 2.0  # how much the log odds of label 1 raise a term's weight
 BIN_ROWS = 20  # examples in a bin of the calibration
 SHOWN = 10  # terms listed as evidence
 LOADED = 500  # examples whose weights are computed together
+LOOKED_UP = 1 << 17  # terms that are looked up together
 BATCH_BYTES = 2 << 20  # of texts that a worker holds beside the index
 
 
@@ -78,10 +80,19 @@ class Terms:
             idf = idf * (1 + TELLING * np.maximum(np.log(share / (1 - share)) - np.log(p / (1 - p)), 0))
         return cls(names, idf, float(np.log(n + 1) + 1))
 
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """Number of each of the distinct ``words`` among the terms, -1 for others; the terms are many, so the words are hashed."""
+        found = np.full(len(words), -1, np.int32)
+        for first in range(0, len(self.names), LOOKED_UP):
+            at = pc.index_in(self.names.slice(first, LOOKED_UP), value_set=words)
+            terms = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+            found[at.drop_null().to_numpy()] = first + terms
+        return found
+
     def vectors(self, texts: pa.Array) -> Rows:
         """Known terms of each text with the weights ``n`` of its unit vector; unknown words count in its length."""
         words, rows = text_terms(texts)
-        known = pc.fill_null(pc.index_in(words, value_set=self.names), -1).to_numpy(zero_copy_only=False)[rows.term]
+        known = self.numbers(words)[rows.term]
         weight = (1 + np.log(rows.n)) * np.where(known < 0, self.unknown, self.weights[known] if len(self.weights) else 0)
         length = np.sqrt(np.bincount(rows.row, weights=weight * weight, minlength=len(texts)))
         kept = known >= 0
@@ -111,25 +122,31 @@ class BlockMaxIndex:
         n, dense = len(keys), min(DENSE if dense is None else dense, n_terms)
         labels = np.asarray(labels, np.int64)
         sign = np.zeros((n, max(1, min(SIGNS, n_terms))), np.float32)
+        starts = np.zeros(n_terms - dense + 1, np.int64)
         for rows in parts():
             frequent = rows.term < sign.shape[1]
             sign[rows.row[frequent], rows.term[frequent]] = rows.n[frequent]
+            starts[1:] += np.bincount(rows.term[rows.term >= dense] - dense, minlength=n_terms - dense)
+        np.cumsum(starts, out=starts)
         order = np.lexsort((np.arange(n), sign.argmax(axis=1), labels))
         at = np.empty(n, np.int32)
         at[order] = np.arange(n)
         blocks = -(-n // BLOCK)
         table = np.zeros((blocks * BLOCK, dense))
-        others = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0))]
+        examples, weights = np.zeros(starts[-1], np.int32), np.zeros(starts[-1])
+        free = starts[:-1].copy()  # where the next posting of each term goes, so that none is held twice
         for rows in parts():
             inside = rows.term < dense
             table[at[rows.row[inside]], rows.term[inside]] = rows.n[inside]
-            others.append((at[rows.row[~inside]], (rows.term[~inside] - dense).astype(np.int32), rows.n[~inside]))
-        example, term, weight = (np.concatenate(x) for x in zip(*others))
-        del others
-        by_term = np.lexsort((example, term))
+            by_term = np.flatnonzero(~inside)
+            by_term = by_term[np.argsort(rows.term[by_term], kind="stable")]
+            terms, first, counts = np.unique(rows.term[by_term] - dense, return_index=True, return_counts=True)
+            to = np.repeat(free[terms] - first, counts) + np.arange(len(by_term))
+            examples[to], weights[to] = at[rows.row[by_term]], rows.n[by_term]
+            free[terms] += counts
         return cls(labels[order], [keys[i] for i in order.tolist()], order, table,
                    table.reshape(blocks, BLOCK, dense).max(axis=1).T if blocks else np.zeros((dense, 0)),
-                   np.searchsorted(term[by_term], np.arange(n_terms - dense + 1)), example[by_term], weight[by_term])
+                   starts, examples, weights)
 
     def nearest(self, rows: Rows, n: int, k: int, without: Sequence | None = None) -> list[list[tuple[float, int]]]:
         """For each of ``n`` texts the ``k`` examples of largest cosine above 0, ties in the order of keys.
@@ -158,9 +175,17 @@ class BlockMaxIndex:
         query[row[frequent], term[frequent]] = weight[frequent]
         other = term[~frequent] - dense
         sizes = self.starts[other + 1] - self.starts[other]
-        cell = np.repeat(row[~frequent] * n, sizes) + gather(self.examples, self.starts[other], sizes)
-        part = np.bincount(cell, weights=np.repeat(weight[~frequent], sizes) * gather(self.weights, self.starts[other], sizes),
-                           minlength=size * n).reshape(size, n)
+        part = np.zeros((size, n))
+        text, scale = row[~frequent], weight[~frequent]
+        before = np.cumsum(sizes) - sizes
+        own = before - before[np.searchsorted(text, text)]  # postings of the same text's earlier terms
+        cuts = np.flatnonzero((np.diff(text) != 0) | (np.diff(own // POSTINGS) != 0)) + 1
+        for first, last in zip([0, *cuts.tolist()], [*cuts.tolist(), len(text)]):
+            piece = slice(first, last)
+            if last > first:
+                part[text[first]] += np.bincount(
+                    gather(self.examples, self.starts[other[piece]], sizes[piece]), minlength=n,
+                    weights=np.repeat(scale[piece], sizes[piece]) * gather(self.weights, self.starts[other[piece]], sizes[piece]))
         bound = query @ self.most + part.reshape(size, blocks, BLOCK).max(axis=2)
         scores = np.full((size, n), -1.0)
         done = np.zeros(bound.shape, bool)
@@ -293,7 +318,7 @@ def example_words(examples: DataFrame) -> pa.Table:
 
     kind = examples.schema["row"].dataType.simpleString()
     found = examples.select("row", "label", "text").mapInArrow(
-        run, f"row {kind}, label int, words array<string>, n array<int>").toArrow()
+        lean(run), f"row {kind}, label int, words array<string>, n array<int>").toArrow()
     return found.take(pc.sort_indices(found.select(["row", "label"]), sort_keys=[("row", "ascending"), ("label", "ascending")]))
 
 
@@ -320,6 +345,7 @@ def fit(labelled: DataFrame, key: str, text: str, label: str) -> tuple[Broadcast
     examples = reliable_checkpoint(labelled.select(
         F.col(key).alias("row"), F.col(label).cast("int").alias("label"), F.col(text).alias("text")), "examples")
     shared = spark.sparkContext.broadcast(model_of(example_words(examples)))
+    spare_memory()
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -328,7 +354,7 @@ def fit(labelled: DataFrame, key: str, text: str, label: str) -> tuple[Broadcast
             yield pa.RecordBatch.from_arrays(
                 [pa.array([vote(f, model.index.labels) for f in found], pa.float64()), batch.column(1)], ["vote", "label"])
 
-    judged = examples.select("row", "label", "text").mapInArrow(votes, "vote double, label int").toArrow()
+    judged = examples.select("row", "label", "text").mapInArrow(lean(votes), "vote double, label int").toArrow()
     judged = judged.take(pc.sort_indices(judged, sort_keys=[("vote", "ascending"), ("label", "ascending")]))
     return shared, Calibration.of(judged["vote"].to_pylist(), judged["label"].to_pylist())
 
