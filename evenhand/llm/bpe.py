@@ -28,7 +28,8 @@ from evenhand.llm.texts import KEEPERS, bounded_batches, byte_groups, coded_word
 from evenhand.session import reliable_checkpoint
 
 FREQUENT_WORDS = 1 << 17  # bound on the lexicon: words that make up 1 / FREQUENT_WORDS of all words or more
-KNOWN_PIECES = 1 << 18  # merged pre-tokens kept between batches by one worker
+KNOWN_PIECES = 1 << 17  # merged pre-tokens kept between batches by one worker
+BATCH_BYTES = 1 << 20  # of texts that a worker encodes together
 KEPT_LENGTH = 64  # bytes of the longest pre-token that is kept, so that what is kept is bounded in bytes
 
 # Fixed values of the vocabulary's format: the pre-tokenizer's pattern for ASCII and the mark of a word's end.
@@ -292,10 +293,10 @@ def encode(docs: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str
     the columns of ``carry`` are read, so other names cannot clash; a carried column
     named ``n_tokens``, ``ids`` or ``decoded`` is replaced.
     """
-    bounded_batches(docs.sparkSession)
     made = {"n_tokens": "long", "ids": "binary" if packed else "array<int>"} | ({decoded: "string"} if decoded else {})
     carry = [c for c in carry if c != key and c not in made]
     name = publish_lexicon(docs, tokenizer_file, text, bound)
+    bounded_batches(docs.sparkSession, BATCH_BYTES)
     narrow = docs.select(F.col(text).alias("_text"), F.col(key).alias(f"c_{key}"),
                          *[F.col(c).alias(f"c_{c}") for c in carry])
 
@@ -349,7 +350,7 @@ def decode(encoded: DataFrame, tokenizer_file: str, ids: str = "ids", name: str
     no decoder, so tokens keep their word-end marks. Empty or null ``ids`` give an empty
     text; a column that is called ``name`` already is replaced.
     """
-    bounded_batches(encoded.sparkSession)
+    bounded_batches(encoded.sparkSession, BATCH_BYTES)
     encoded = encoded if name == ids else encoded.drop(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -67,3 +67,8 @@ def test_tasks_of_other_operators_drop_what_a_worker_keeps():
     first = bpe.vocabulary(tokenizer_file())
     assert list(lean(iter, "bpe")(iter([1, 2]))) == [1, 2] and bpe.vocabulary(tokenizer_file()) is first
     assert list(lean(iter)(iter([1, 2]))) == [1, 2] and bpe.vocabulary.cache_info().currsize == 0
+
+
+def test_texts_are_encoded_in_small_batches(docs, spark):
+    bpe.encode(docs, tokenizer_file())  # counts the words in larger batches first
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(bpe.BATCH_BYTES) == str(1 << 20)
