@@ -5,7 +5,8 @@ compiled into a minimal acyclic automaton over their bytes. Equal suffixes are
 shared; each arc carries the number of words that sort before it, so a walk adds up
 to the word's rank, and the rank points to the word's ids. The flat arrays are one
 file, sent with ``addFile`` and memory-mapped by the workers of an executor. Words
-that the automaton lacks are merged exactly, pair by pair, in the order of ranks.
+that the automaton lacks are merged exactly, pair by pair, in the order of ranks,
+all distinct pre-tokens of a batch at once.
 """
 
 from __future__ import annotations
@@ -28,13 +29,17 @@ from evenhand.llm.texts import KEEPERS, bounded_batches, byte_groups, coded_word
 from evenhand.session import reliable_checkpoint
 
 FREQUENT_WORDS = 1 << 17  # bound on the lexicon: words that make up 1 / FREQUENT_WORDS of all words or more
-KNOWN_PIECES = 1 << 17  # merged pre-tokens kept between batches by one worker
+KNOWN_PIECES = 1 << 17  # merged pre-tokens kept from word to word where words are encoded one by one
 BATCH_BYTES = 1 << 20  # of texts that a worker encodes together
-KEPT_LENGTH = 64  # bytes of the longest pre-token that is kept, so that what is kept is bounded in bytes
+KEPT_LENGTH = 64  # bytes of the longest pre-token that is kept or merged beside others, which bounds both in bytes
+BLOCK_PIECES = 1 << 12  # pre-tokens merged side by side
 
 # Fixed values of the vocabulary's format: the pre-tokenizer's pattern for ASCII and the mark of a word's end.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0D a-z0-9]+"
 WORD_END = "</w>"
+PLAIN = "^[!-&(-;=-~]+$"  # words of printable ASCII without the beginnings of contractions and special strings
+DIGIT, LETTER = 1, 2
+KINDS = np.array([DIGIT if chr(b) in "0123456789" else LETTER if chr(b).islower() else 0 for b in range(128)], np.int8)
 
 
 def byte_symbols() -> list[str]:
@@ -44,6 +49,78 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(256 + other.index(b)) for b in range(256)]
 
 
+class Merges:
+    """The merges (left id, right id, made id) in the order of their ranks, for many pre-tokens side by side."""
+
+    PLACES = KEPT_LENGTH.bit_length()  # bits of a position in a pre-token
+    NONE = np.iinfo(np.int32).max
+
+    def __init__(self, merges: Sequence[tuple[int, int, int]]):
+        left, right, self.made = np.array(merges, np.int64).reshape(-1, 3).T.copy()
+        self.made = self.made.astype(np.int32)
+        keys = left << 32 | right
+        self.rank = np.argsort(keys)
+        self.keys = keys[self.rank]
+        self.rank = (self.rank << self.PLACES).astype(np.int32)
+
+    def due(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rank and position ``at`` of each pair as one number, so that the smallest is the leftmost of the lowest rank."""
+        if not len(self.keys):
+            return np.full(len(left), self.NONE, np.int32)
+        keys = left.astype(np.int64) << 32 | right
+        found = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[found] == keys, self.rank[found] | at, self.NONE).astype(np.int32)
+
+    def merged(self, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pre-tokens, how many each has); a pre-token is the run ``symbols[start:start + size]``, at most KEPT_LENGTH long.
+
+        A column for each pre-token, a row for each position. Every round merges in every
+        column the leftmost pair of the lowest rank; columns without one are done. The row
+        below the last position stands for what is before the first symbol and after the last.
+        """
+        n, wide = len(sizes), int(sizes.max(initial=0))
+        place = np.arange(wide + 1)[:, None]
+        symbol = np.where(place < sizes, symbols[np.minimum(starts + place, len(symbols) - 1)], -1).astype(np.int32)
+        after = np.where(place + 1 < sizes, place + 1, wide).astype(np.int16)
+        before = np.where(place > 0, place - 1, wide).astype(np.int16) + np.zeros((1, n), np.int16)
+        due = np.full((wide + 1, n), self.NONE, np.int32)
+        row, column = np.nonzero(place + 1 < sizes)
+        due[row, column] = self.due(symbol[row, column], symbol[row + 1, column], row)
+        while True:
+            best = due.min(axis=0, initial=self.NONE)
+            column = np.flatnonzero(best < self.NONE)
+            if not len(column):
+                break
+            best = best[column]
+            row = best & (1 << self.PLACES) - 1
+            right = after[row, column]
+            follows, precedes = after[right, column], before[row, column]
+            made = self.made[best >> self.PLACES]
+            symbol[row, column], symbol[right, column] = made, -1
+            after[row, column], before[follows, column] = follows, row
+            due[right, column] = self.NONE
+            due[row, column] = self.due(made, symbol[follows, column], row)
+            due[precedes, column] = self.due(symbol[precedes, column], made, precedes)
+        left = symbol.T[symbol.T >= 0]
+        return left.astype("<u4"), np.count_nonzero(symbol >= 0, axis=0)
+
+
+def plain_pieces(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(pre-tokens of the words one after the other, how many each word has) of lower-cased words that match PLAIN.
+
+    A pre-token is a run of letters, one digit, or a run of other characters.
+    """
+    text = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], pc.ascii_lower(words)), "")[0].as_py().encode()
+    kind = KINDS[np.frombuffer(text, np.uint8)]
+    ends = np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = np.ones(len(kind) + 1, bool)
+    first[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    first[ends] = True
+    starts = np.flatnonzero(first)
+    pieces = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(text))
+    return pieces, np.diff(np.searchsorted(starts, ends), prepend=0)
+
+
 class Vocabulary:
     """Ids, merge ranks and token strings of a word BPE file (``tokenizers`` JSON)."""
 
@@ -59,11 +136,15 @@ class Vocabulary:
         self.ids: dict[str, int] = content["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in content["added_tokens"]}
         self.rank = {tuple(pair): i for i, pair in enumerate(content["model"]["merges"])}
+        self.merges = Merges([(self.ids[a], self.ids[b], self.ids[a + b]) for a, b in self.rank])
         names = self.ids | self.special
         self.tokens = [""] * (max(names.values()) + 1)
         for token, i in names.items():
             self.tokens[i] = token
         self.symbols = byte_symbols()
+        self.inner, self.last = np.zeros((2, 1 + max(map(ord, self.symbols))), np.int32)  # ids of byte symbols by code point
+        for symbol in self.symbols:
+            self.inner[ord(symbol)], self.last[ord(symbol)] = self.ids[symbol], self.ids[symbol + WORD_END]
         self.ascii = str.maketrans({b: self.symbols[b] for b in range(128)})
         self.pieces = regex.compile(PIECES)
         self.known: dict[str, bytes] = {}
@@ -96,8 +177,8 @@ class Vocabulary:
             found = self.known[piece] = self.merged(piece)
         return found
 
-    def encode_word(self, word: str) -> bytes:
-        """Packed ids of a text without ASCII white space: special strings first, then the pieces of the rest.
+    def split(self, word: str) -> list[str]:
+        """Special strings of a text without ASCII white space and the pre-tokens, in byte symbols, of the rest.
 
         Letters, numbers, lower case and composition of other than ASCII characters are
         the library's own, by its normalizer and its pre-tokenizer: its tables of
@@ -106,17 +187,61 @@ class Vocabulary:
         found = []
         for i, part in enumerate(self.marks.split(word) if "<|" in word else [word]):
             if i % 2:
-                found.append(np.array([self.special[part]], "<u4").tobytes())
+                found.append(part)
             elif part.isascii():
                 lowered = part.lower()
                 if lowered.isalpha():
-                    found.append(self.encode_piece(lowered))
+                    found.append(lowered)
                 else:
-                    found += [self.encode_piece(p.translate(self.ascii)) for p in self.pieces.findall(lowered)]
+                    found += [p.translate(self.ascii) for p in self.pieces.findall(lowered)]
             else:
-                pieces = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(part))
-                found += [self.encode_piece(p) for p, _ in pieces]
-        return b"".join(found)
+                found += [p for p, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(part))]
+        return found
+
+    def encode_word(self, word: str) -> bytes:
+        """Packed ids of a text without ASCII white space."""
+        return b"".join(np.array([self.special[p]], "<u4").tobytes() if p in self.special else self.encode_piece(p)
+                        for p in self.split(word))
+
+    def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where those of each word start, how many it has): what :meth:`encode_word` gives for each."""
+        plain = pc.match_substring_regex(words, PLAIN)
+        found, each = plain_pieces(words.filter(plain))
+        split = [self.split(w) for w in words.filter(pc.invert(plain)).to_pylist()]
+        found = pa.concat_arrays([found, pa.array([p for s in split for p in s], pa.string())]).dictionary_encode()
+        ids, starts, sizes = self.encode_pieces(found.dictionary)
+        codes = found.indices.to_numpy()
+        ids = gather(ids, starts[codes], sizes[codes])
+        sums = np.concatenate([[0], np.cumsum(sizes[codes])])
+        ends = np.cumsum(np.concatenate([each, np.fromiter(map(len, split), np.int64, len(split))]))
+        ends = sums[np.concatenate([[0], ends])]
+        order = np.argsort(~plain.to_numpy(zero_copy_only=False), kind="stable")
+        starts, sizes = np.empty_like(order), np.empty_like(order)
+        starts[order], sizes[order] = ends[:-1], np.diff(ends)
+        return ids, starts, sizes
+
+    def encode_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where those of each piece start, how many it has) of distinct pieces; similar lengths are merged side by side."""
+        lengths = pc.utf8_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)
+        lengths[pc.is_in(pieces, pa.array(list(self.special), pa.string())).to_numpy(zero_copy_only=False)] = KEPT_LENGTH + 1
+        order = np.argsort(lengths, kind="stable")
+        beside, apart = np.split(order, [np.searchsorted(lengths[order], KEPT_LENGTH, "right")])
+        found, sizes = [np.zeros(0, "<u4")], np.zeros(len(pieces), np.int64)
+        for first in range(0, len(beside), BLOCK_PIECES):
+            block = beside[first:first + BLOCK_PIECES]
+            text = pc.binary_join(pa.ListArray.from_arrays([0, len(block)], pieces.take(pa.array(block))), "")[0].as_py()
+            points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+            ends = np.cumsum(lengths[block])
+            symbols = self.inner[points]
+            symbols[ends - 1] = self.last[points[ends - 1]]
+            ids, sizes[block] = self.merges.merged(symbols, ends - lengths[block], lengths[block])
+            found.append(ids)
+        for i, piece in zip(apart, pieces.take(pa.array(apart)).to_pylist()):
+            found.append(np.frombuffer(self.encode_word(piece) if piece in self.special else self.merged(piece), "<u4"))
+            sizes[i] = len(found[-1])
+        starts = np.empty_like(sizes)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        return np.concatenate(found), starts, sizes
 
 
 @lru_cache(maxsize=2)
@@ -273,10 +398,9 @@ class Encoder:
         seen = rank >= 0
         starts[seen] = lex.starts[rank[seen]]
         sizes[seen] = lex.starts[rank[seen] + 1] - starts[seen]
-        merged = [self.vocab.encode_word(w) for w in words.filter(pa.array(~seen)).to_pylist()]
-        sizes[~seen] = np.fromiter(map(len, merged), np.int64, len(merged)) // 4
-        starts[~seen] = len(self.listed) + np.cumsum(sizes[~seen]) - sizes[~seen]
-        return np.concatenate([self.listed, np.frombuffer(b"".join(merged), "<u4")]), starts, sizes
+        merged, starts[~seen], sizes[~seen] = self.vocab.encode_words(words.filter(pa.array(~seen)))
+        starts[~seen] += len(self.listed)
+        return np.concatenate([self.listed, merged]), starts, sizes
 
 
 def encode(docs: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str = "text",
